@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, pii, quality, urls
+from . import ann, covertree, langid, mixing, neardup, packing, pii, quality, urls
 from .common import crc_mod
 
 
@@ -22,6 +22,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def op6_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -47,6 +55,6 @@ def op10_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op4_ngram_jaccard_join, op5_pii, op8_url_filter, op9_language_id, op10_weighted_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_cover_tree_near_dedup, op4_ngram_jaccard_join, op5_pii, op6_anisotropic_ann, op8_url_filter, op9_language_id, op10_weighted_mixing)}
 
 ORACLES: dict[str, str] = {}
