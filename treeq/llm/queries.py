@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, covertree, langid, mixing, neardup, packing, pii, quality, urls
+from . import ann, covertree, langid, mixing, neardup, packing, pii, quality, suffix, urls
 from .common import crc_mod
 
 
@@ -42,6 +42,12 @@ def op6_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix.repeated_passages(_read(spark, sf_dir, "documents"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("n_words"), line.alias("spans"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,6 +61,6 @@ def op10_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_cover_tree_near_dedup, op4_ngram_jaccard_join, op5_pii, op6_anisotropic_ann, op8_url_filter, op9_language_id, op10_weighted_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_cover_tree_near_dedup, op4_ngram_jaccard_join, op5_pii, op6_anisotropic_ann, op7_sparse_suffix_dedup, op8_url_filter, op9_language_id, op10_weighted_mixing)}
 
 ORACLES: dict[str, str] = {}
