@@ -23,29 +23,30 @@ from .components import components
 from .neardup import _forest
 from .vectors import matrix, usable, with_node
 
-#: Vectors of a block, about; pivots at most; radii of the levels (chords; 2 is everything).
-BLOCK, PIVOTS, RADII = 2048, 512, (1.0, 0.5, 0.25)
+#: Vectors of a block, about; pivots at most; radii of the levels (chords).
+BLOCK, PIVOTS, RADII = 4096, 512, (0.5, 0.25, 0.125)
 _EPS = 1e-7
 
 
 def _levels(x: np.ndarray) -> np.ndarray:
     """(levels, rows) of each vector's centre at each radius; a centre is its own centre at all deeper levels."""
     n = len(x)
-    gram = (x.astype(np.float32) @ x.astype(np.float32).T).astype(np.float32)
+    small = x.astype(np.float32)
+    gram = small @ small.T
     parent, out = np.zeros(n, np.int64), np.empty((len(RADII), n), np.int64)
     for level, radius in enumerate(RADII):
-        near = 1 - radius * radius / 2
-        by: dict[int, list[int]] = {}
-        for i in range(n):
-            centres = by.setdefault(int(parent[i]), [])
-            if centres:
-                g = gram[i, centres]
-                best = int(g.argmax())
-                if g[best] >= near:
-                    out[level, i] = centres[best]
-                    continue
-            centres.append(i)
-            out[level, i] = i
+        row, col = np.nonzero(gram >= 1 - radius * radius / 2)
+        ok = (col < row) & (parent[row] == parent[col])
+        row, col = row[ok], col[ok]
+        at = np.searchsorted(row, np.arange(n + 1))
+        centre = np.ones(n, bool)
+        out[level] = np.arange(n)
+        for i in np.flatnonzero(np.diff(at)):  # vectors with an earlier one near; in order, so centres are known
+            near = col[at[i] : at[i + 1]]
+            near = near[centre[near]]
+            if len(near):
+                centre[i] = False
+                out[level, i] = near[gram[i, near].argmax()]
         parent = out[level]
     return out
 
@@ -71,6 +72,7 @@ class Tree:
                 self.children.append((order, np.searchsorted(above[order], np.arange(len(self.nodes[level - 1]) + 1))))
         self.size = [np.bincount(np.searchsorted(ids, centre[level])) if level < len(centre) else np.ones(len(x), int) for level, ids in enumerate(self.nodes)]
         self.below = centre
+        self.top = x[self.nodes[0]].astype(np.float32)
 
     def expand(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in `node`, child) for every child of the nodes."""
@@ -80,14 +82,30 @@ class Tree:
         return which, order[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[node], count)]
 
 
+def _near(a: Tree, b: Tree, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of top nodes whose centres are nearer than the limit and both radii, from products in single precision with a
+    margin for it. Most nodes are single vectors (radius 0): for them one bound holds, and no distance is taken."""
+    p, q = [], []
+    for left in (a.radius[0] == 0, a.radius[0] > 0):
+        for right in (b.radius[0] == 0, b.radius[0] > 0):
+            i, j = np.flatnonzero(left), np.flatnonzero(right)
+            if len(i) and len(j):
+                reach = np.full((1, 1), limit)
+                if a.radius[0][i[0]] or b.radius[0][j[0]]:
+                    reach = limit + a.radius[0][i][:, None] + b.radius[0][j]
+                u, v = np.nonzero(a.top[i] @ b.top[j].T >= (1 - reach * reach / 2 - 1e-5).astype(np.float32))
+                p.append(i[u])
+                q.append(j[v])
+    return (np.concatenate(p), np.concatenate(q)) if p else (np.zeros(0, int),) * 2
+
+
 def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """Linked pairs of rows (i of a, j of b; each pair once if the trees are the same), and node pairs (level, p, q) all of whose rows link."""
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
     whole: list[tuple[int, int, int]] = []
     chord = lambda g: np.sqrt(np.maximum(0, 2 - 2 * g))
-    d = chord(a.x[a.nodes[0]] @ b.x[b.nodes[0]].T)
-    p, q = np.nonzero(d <= limit + a.radius[0][:, None] + b.radius[0] + _EPS)
-    d = d[p, q]
+    p, q = _near(a, b, limit)
+    d = chord(np.einsum("ij,ij->i", a.x[a.nodes[0][p]], b.x[b.nodes[0][q]]))
     for level in range(len(a.nodes)):
         if level:
             k, p2 = a.expand(level - 1, p)
