@@ -100,7 +100,7 @@ def _near(a: Tree, b: Tree, limit: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Linked pairs of rows (i of a, j of b; each pair once if the trees are the same), and node pairs (level, p, q) all of whose rows link."""
+    """Linked pairs of rows (i of a, j of b; each pair once, in either order, if the trees are the same), and node pairs (level, p, q) all of whose rows link."""
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
     whole: list[tuple[int, int, int]] = []
     chord = lambda g: np.sqrt(np.maximum(0, 2 - 2 * g))
@@ -110,7 +110,11 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
         if level:
             k, p2 = a.expand(level - 1, p)
             m, q2 = b.expand(level - 1, q[k])
+            alike = (p == q)[k][m]
             p, q = p2[m], q2
+            if same:  # below one node, one order of a pair is enough; pairs of different nodes came in one order only
+                ok = ~alike | (p <= q)
+                p, q = p[ok], q[ok]
             keep_p, keep_q, keep_d = [], [], []
             for lo in range(0, len(p), 1 << 16):
                 i, j = p[lo : lo + (1 << 16)], q[lo : lo + (1 << 16)]
@@ -120,7 +124,7 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
                 keep_q.append(j[ok])
                 keep_d.append(e[ok])
             p, q, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keep_p, keep_q, keep_d))
-        if same:  # of a pair of different nodes one order is enough
+        elif same:
             ok = p <= q
             p, q, d = p[ok], q[ok], d[ok]
         if level < len(a.nodes) - 1:
@@ -131,7 +135,7 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
     i, j = a.nodes[-1][p], b.nodes[-1][q]
     ok = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= cosine
     if same:
-        ok &= i < j
+        ok &= i != j
     return i[ok], j[ok], whole
 
 
