@@ -197,7 +197,7 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
 
     A null text, or one without any letter, is `und` with score 0; so is every text if no language was learned.
     """
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "text")]
+    columns = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(field.langs)

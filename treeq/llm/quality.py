@@ -141,10 +141,10 @@ def fit(texts: list[str], y: list[int], epochs: int = 6, batch: int = 64, seed:
     return net
 
 
-def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, seed_fold: bool = True) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """(text, quality) of at most `limit` labelled documents outside the held-out fold, chosen by a hash of the id."""
     y = labels.where("quality in (0, 1) and doc_id is not null")
-    y = (y.where(crc_mod("doc_id", 3) != 1) if seed_fold else y).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    y = y.where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").where("text is not null").select("doc_id", "text", "quality")
 
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Net:
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """docs with `score`, the probability of label 1 of each whole text; null and empty texts score as empty."""
-    columns = [c for c in docs.columns if c not in ("score", "text")]
+    columns = [c for c in docs.columns if c.lower() not in ("score", "text")]
     weights = net.w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,17 +75,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     named = lambda word: F.contains(F.lower(html), F.lit(word))
     rows = pages.withColumns({
         "host": host_of(url), "path": path_of(url), "alias": form_of(url),
-        "link": F.when(named("canonical"), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)),
-        "jump": F.when(named("refresh"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TO, 1)),
+        "_link": F.when(named("canonical"), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)),
+        "_jump": F.when(named("refresh"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TO, 1)),
     }).drop("html")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = cut(rows.withColumns({"rule": name, "verdict": verdict}))
-    linked = cut(rows.where("link <> '' or jump <> ''").select("alias", "url", F.explode(F.array("link", "jump")).alias("to")))
+    linked = cut(rows.where("_link <> '' or _jump <> ''").select("alias", "url", F.explode(F.array("_link", "_jump")).alias("to")))
     edges = linked.select("alias", form_of(resolve(url, F.col("to"))).alias("to")).where("alias <> to").distinct()
     groups = components(edges, "alias", "to").withColumnRenamed("node", "alias")
     said = rows.where("alias is not null and verdict is not null").groupBy("alias").agg(F.min("verdict").alias("verdict"))
     said = said.join(groups, "alias", "left").select(F.coalesce("component", "alias").alias("component"), "verdict")
-    said = said.groupBy("component").agg(F.min("verdict").alias("said"))  # allow comes before block
+    said = said.groupBy("component").agg(F.min("verdict").alias("_said"))  # allow comes before block
     names = rows.where("verdict is null").select("alias").distinct().join(groups, "alias", "left").withColumn("component", F.coalesce("component", "alias"))
-    names = names.join(said, "component").select("alias", "said")
-    return rows.join(names, "alias", "left").withColumn("verdict", F.coalesce("verdict", "said", F.lit("allow"))).drop("said", "link", "jump")
+    names = names.join(said, "component").select("alias", "_said")
+    return rows.join(names, "alias", "left").withColumn("verdict", F.coalesce("verdict", "_said", F.lit("allow"))).drop("_said", "_link", "_jump")
