@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 
 def spaces(misc: Column) -> Column:
     """What stands after a token: nothing for SpaceAfter=No, SpacesAfter with \\s, \\t, \\n decoded, else one blank."""
@@ -37,16 +39,22 @@ def offsets() -> Column:
 
 def first_difference(a: Column, b: Column) -> Column:
     """Position (from 0) of the first character in which two texts differ; -1 if one begins the other."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.get(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), F.lit(0))
-    return F.when(n == 0, -1).otherwise(F.coalesce(at - 1, F.lit(-1)))
+    def differ(a: Column, b: Column) -> Column:
+        n = F.least(F.length(a), F.length(b))
+        at = F.get(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), F.lit(0))
+        return F.when(n == 0, -1).otherwise(F.coalesce(at - 1, F.lit(-1)))
+
+    return let(a, b, then=differ)
 
 
 def feats_of(text: Column) -> Column:
     """A=B|C=D as a map; the later of two equal names (whatever their case) wins; no "=" gives an empty value."""
     parts = F.transform(F.filter(F.split(text, r"[|\n]"), lambda x: (x != "") & (x != "_")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise(F.lit("")).alias("value")))
-    last = F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, i + 2, F.greatest(F.size(parts) - i - 1, F.lit(0))), lambda q: F.lower(q["key"]) == F.lower(p["key"])))
-    return F.map_from_entries(last)
+    def last(parts: Column) -> Column:
+        later = lambda p, i: F.exists(F.slice(parts, i + 2, F.greatest(F.size(parts) - i - 1, F.lit(0))), lambda q: F.lower(q["key"]) == F.lower(p["key"]))
+        return F.filter(parts, lambda p, i: ~later(p, i))
+
+    return F.map_from_entries(let(parts, then=last))
 
 
 def feats_text(feats: Column) -> Column:
@@ -84,7 +92,8 @@ def deps_text(deps: Column) -> Column:
 def subphrase(labels: list[str]) -> Column:
     """Forms from the first to the last word that has one of these labels."""
     ids = F.transform(F.filter("words", lambda w: w["deprel"].isin(labels)), lambda w: w["id"])
-    return F.array_join(F.transform(F.filter("words", lambda w: w["id"].between(F.array_min(ids), F.array_max(ids))), lambda w: w["form"]), " ")
+    inside = lambda a, z: F.array_join(F.transform(F.filter("words", lambda w: w["id"].between(a, z)), lambda w: w["form"]), " ")
+    return let(F.array_min(ids), F.array_max(ids), then=inside)
 
 
 # Scientific transliteration of Cyrillic (ISO 9), letter by letter. Fixed values of that standard.

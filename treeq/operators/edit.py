@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Cond
+from ..functions.let import let
 from ..functions.values import Value, literal
 from .trees import ancestors
 
@@ -108,9 +109,14 @@ def reattach(sents: DataFrame, word: int, to: int, rel: str | None = None) -> Da
     """Moves a word to a new head; `warning` says why where that is refused."""
     t = F.get("words", F.lit(word - 1))
     head, why = new_head(t, F.lit(str(to)))
-    done = lambda w: (w["id"] == word) & why.isNull()
-    words = F.transform("words", lambda w: F.when(done(w), w.withField("head", head).withField("deprel", w["deprel"] if rel is None else F.lit(rel))).otherwise(w))
-    return sents.withColumn("warning", F.when(t.isNotNull(), why)).withColumn("words", F.when(t.isNotNull(), words).otherwise(F.col("words")))
+
+    def moved(head: Column, why: Column) -> Column:
+        set_ = lambda w: w.withField("head", head).withField("deprel", w["deprel"] if rel is None else F.lit(rel))
+        words = F.transform("words", lambda w: F.when((w["id"] == word) & why.isNull(), set_(w)).otherwise(w))
+        return F.struct(words.alias("words"), why.alias("warning"))
+
+    done = F.when(t.isNotNull(), let(head, why, then=moved)).otherwise(F.struct(F.col("words"), F.lit(None).cast("string").alias("warning")))
+    return sents.withColumn("done_", done).withColumn("words", F.col("done_.words")).withColumn("warning", F.col("done_.warning")).drop("done_")
 
 
 def add_enhanced(sents: DataFrame, word: int, head: int, rel: str) -> DataFrame:
@@ -124,14 +130,16 @@ def drop_enhanced(sents: DataFrame, word: int, head: int, rel: str) -> DataFrame
 
 def renumber(words: Column) -> Column:
     """Ids 1 to n in order; heads and enhanced heads follow (0 where the head is gone, such edges go)."""
-    ids = F.transform(words, lambda w: w["id"])
-    at = lambda h: F.array_position(ids, h).cast("int")
+    def numbered(words: Column, ids: Column) -> Column:
+        at = lambda h: F.array_position(ids, h).cast("int")
+
+        def one(w: Column, i: Column) -> Column:
+            deps = F.transform(F.filter(w["deps"], lambda d: (d["headid"] <= 0) | (at(d["headid"]) > 0)), lambda d: d.withField("headid", F.when(d["headid"] > 0, at(d["headid"])).otherwise(d["headid"])))
+            return w.withField("id", (i + 1).cast("int")).withField("head", F.when(w["head"] > 0, at(w["head"])).otherwise(w["head"])).withField("deps", deps)
 
-    def one(w: Column, i: Column) -> Column:
-        deps = F.transform(F.filter(w["deps"], lambda d: (d["headid"] <= 0) | (at(d["headid"]) > 0)), lambda d: d.withField("headid", F.when(d["headid"] > 0, at(d["headid"])).otherwise(d["headid"])))
-        return w.withField("id", (i + 1).cast("int")).withField("head", F.when(w["head"] > 0, at(w["head"])).otherwise(w["head"])).withField("deps", deps)
+        return F.transform(words, one)
 
-    return F.transform(words, one)
+    return let(words, then=lambda words: let(words, F.transform(words, lambda w: w["id"]), then=numbered))
 
 
 def delete_word(sents: DataFrame, word: int) -> DataFrame:
@@ -155,16 +163,18 @@ def join_words(sents: DataFrame, word: int) -> DataFrame:
     """Joins a word with the next: the one nearer the root stays (the left one in a tie), forms and lemmas concatenated."""
     a, b = F.get("words", F.lit(word - 1)), F.get("words", F.lit(word))
     right = F.size(ancestors(b)) < F.size(ancestors(a))
-    keep = F.when(right, b["id"]).otherwise(a["id"])
-    drop = F.when(right, a["id"]).otherwise(b["id"])
 
-    def one(w: Column) -> Column:
-        both = w.withField("form", F.concat(a["form"], b["form"])).withField("lemma", F.concat(a["lemma"], b["lemma"]))
-        moved = w.withField("head", F.when(w["head"] == drop, keep).otherwise(w["head"]))
-        return F.when(w["id"] == keep, both.withField("head", F.when(w["head"] == drop, F.get("words", drop - 1)["head"]).otherwise(w["head"]))).otherwise(moved)
+    def joined(right: Column) -> Column:
+        keep, drop = F.when(right, b["id"]).otherwise(a["id"]), F.when(right, a["id"]).otherwise(b["id"])
+
+        def one(w: Column) -> Column:
+            both = w.withField("form", F.concat(a["form"], b["form"])).withField("lemma", F.concat(a["lemma"], b["lemma"]))
+            moved = w.withField("head", F.when(w["head"] == drop, keep).otherwise(w["head"]))
+            return F.when(w["id"] == keep, both.withField("head", F.when(w["head"] == drop, F.get("words", drop - 1)["head"]).otherwise(w["head"]))).otherwise(moved)
+
+        return F.transform(F.filter("words", lambda w: w["id"] != drop), one)
 
-    words = renumber(F.transform(F.filter("words", lambda w: w["id"] != drop), one))
-    return sents.withColumn("words", F.when(b.isNotNull(), words).otherwise(F.col("words")))
+    return sents.withColumn("words", F.when(b.isNotNull(), renumber(let(right, then=joined))).otherwise(F.col("words")))
 
 
 def split_word(sents: DataFrame, word: int, at: int) -> DataFrame:

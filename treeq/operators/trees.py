@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+
 
 def ancestors(token: Column) -> Column:
     """Ids of the token's heads, nearest first; a cycle or a head outside ends the list."""
@@ -22,6 +24,11 @@ def with_ancestors(sents: DataFrame) -> DataFrame:
     return sents.withColumn("up", F.transform("words", ancestors))
 
 
+def dominated(word: int) -> Column:
+    """The words below the word with this id."""
+    return let(F.transform("words", ancestors), then=lambda up: F.filter("words", lambda w: dominates(up, F.lit(word), w["id"])))
+
+
 def dominates(up: Column, above: Column, below: Column) -> Column:
     """Whether the word with id `above` is a head, at some distance, of the word with id `below`."""
     return F.coalesce(F.array_contains(F.get(up, below - 1), above), F.lit(False))
@@ -29,13 +36,12 @@ def dominates(up: Column, above: Column, below: Column) -> Column:
 
 def is_projective(up: Column | None = None) -> Column:
     """Every word inside an arc of length over two is below the arc's head."""
-    up = F.transform("words", ancestors) if up is None else up
-
-    def inside(w: Column) -> Column:
+    def inside(up: Column, w: Column) -> Column:
         lo, hi = F.least(w["id"], w["head"]) + 1, F.greatest(w["id"], w["head"]) - 1
         return F.forall(F.sequence(lo, hi), lambda i: dominates(up, w["head"], i))
 
-    return F.forall("words", lambda w: (w["head"] < 1) | (F.abs(w["id"] - w["head"]) <= 2) | inside(w))
+    every = lambda up: F.forall("words", lambda w: (w["head"] < 1) | (F.abs(w["id"] - w["head"]) <= 2) | inside(up, w))
+    return let(F.transform("words", ancestors) if up is None else up, then=every)
 
 
 def problems() -> Column:
@@ -56,8 +62,8 @@ def subtree(root: Column | int) -> Column:
     """The words at or below the word with this id, renumbered from 1; the top has head 0 and label `_`."""
     root = F.lit(root) if isinstance(root, int) else root
     kept = F.filter("words", lambda w: (w["id"] == root) | F.array_contains(ancestors(w), root))
-    ids = F.transform(kept, lambda w: w["id"])
-    return F.transform(kept, lambda w, i: w.withField("id", (i + 1).cast("int")).withField("head", F.when(w["id"] == root, F.lit(0)).otherwise(F.array_position(ids, w["head"]).cast("int"))).withField("deprel", F.when(w["id"] == root, F.lit("_")).otherwise(w["deprel"])))
+    number = lambda kept, ids: F.transform(kept, lambda w, i: w.withField("id", (i + 1).cast("int")).withField("head", F.when(w["id"] == root, F.lit(0)).otherwise(F.array_position(ids, w["head"]).cast("int"))).withField("deprel", F.when(w["id"] == root, F.lit("_")).otherwise(w["deprel"])))
+    return let(kept, then=lambda kept: let(kept, F.transform(kept, lambda w: w["id"]), then=number))
 
 
 def is_span(first: int, last: int) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from ..functions.text import deps_of, deps_text, feats_of, feats_text, misc_of, misc_text
 from ..schema import COLUMNS
 
@@ -29,7 +30,10 @@ def _cell(cells: Column, columns: tuple[str, ...], name: str, default: str = "_"
 
 
 def _token(line: Column, columns: tuple[str, ...]) -> Column:
-    cells = F.split(line, "\t")
+    return let(F.split(line, "\t"), then=lambda cells: _fields(cells, columns))
+
+
+def _fields(cells: Column, columns: tuple[str, ...]) -> Column:
     at = lambda name: _cell(cells, columns, name)
     tid = at("ID")
     kind = F.when(tid.contains("-"), "MWT").when(tid.contains("."), "EMPTY").otherwise("WORD")
@@ -45,7 +49,10 @@ def _token(line: Column, columns: tuple[str, ...]) -> Column:
 
 def _wrong(line: Column, columns: tuple[str, ...]) -> Column:
     """The first thing wrong with a token line; null if it is fine."""
-    cells = F.split(line, "\t")
+    return let(F.split(line, "\t"), then=lambda cells: _faults(line, cells, columns))
+
+
+def _faults(line: Column, cells: Column, columns: tuple[str, ...]) -> Column:
     at = lambda name: _cell(cells, columns, name)
     blank = F.exists(cells, lambda c: c == "")
     filled = F.exists(F.slice(cells, 3, 7), lambda c: c != "_") if columns[:10] == COLUMNS else F.lit(False)

@@ -26,4 +26,4 @@ def running_counts(stream: DataFrame, field: str = "upos") -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str, key: str, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Counts by event-time window and key; what arrives later than the watermark allows is left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count("*").alias("n"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count("*").alias("n"))
