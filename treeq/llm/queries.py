@@ -63,4 +63,33 @@ def op10_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_cover_tree_near_dedup, op4_ngram_jaccard_join, op5_pii, op6_anisotropic_ann, op7_sparse_suffix_dedup, op8_url_filter, op9_language_id, op10_weighted_mixing)}
 
-ORACLES: dict[str, str] = {}
+#: Reachability over a table link(a, b) that has both directions: least(node, root).
+_REACH = """reach AS (SELECT a AS node, a AS root FROM link UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node),
+ least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+_TOKENS = r"regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op3_cover_tree_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.9), {_REACH}
+ SELECT v.vec_id AS vec_id, (SELECT count(*) FROM link WHERE a = v.vec_id) AS n_links, coalesce(root, v.vec_id) AS component_id, coalesce(root, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN least ON node = v.vec_id""",
+    "op4_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, LATERAL unnest(range(1, greatest(2, len(w) - 3))) t(i) WHERE len(w) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)), {_REACH}
+ SELECT d.doc_id AS doc_id, coalesce(root, d.doc_id) AS class_id, (SELECT count(*) FROM link WHERE a = d.doc_id) AS n_links, coalesce(root, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN least ON node = d.doc_id""",
+    "op7_sparse_suffix_dedup": f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+ g AS (SELECT doc_id, i - 1 AS s, md5(array_to_string(w[i : i + 49], ' ')) AS g FROM w, LATERAL unnest(range(1, len(w) - 48)) t(i)),
+ r AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+ h AS (SELECT doc_id, s, s - coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000000) > 50 AS new FROM g WHERE g IN (SELECT g FROM r)),
+ k AS (SELECT doc_id, s, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM h),
+ p AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS z FROM k GROUP BY doc_id, k)
+ SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_words, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM p GROUP BY doc_id""",
+    # without canonical links and refreshes, of which the tables have none: aliases by address only
+    "op8_url_filter": r"""WITH u AS (SELECT page_id, url, coalesce(html, '') AS html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(v, h, p)),
+ j AS (SELECT page_id, host, path, url, html, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS said FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+ f AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '(?i)(/index)?\.html?$', '') || coalesce('?' || nullif(regexp_replace(regexp_replace(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '(?:^|&)(?:utm_[^&=]*|ref|fbclid|gclid)(?:=[^&]*)?', '', 'g'), '^&', ''), ''), '') END AS alias FROM j),
+ g AS (SELECT alias, min(said) AS said FROM f WHERE alias IS NOT NULL GROUP BY alias)
+ SELECT page_id, host, path, rule, coalesce(f.said, g.said, 'allow') AS verdict FROM f LEFT JOIN g USING (alias)""",
+}
