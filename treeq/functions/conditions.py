@@ -92,7 +92,7 @@ _is_word = lambda t: t["kind"] == "WORD"
 
 def head(c: Cond) -> Cond:
     """The head is a word for which c holds; false for roots, multiword and empty tokens."""
-    return Cond(lambda t: (t["head"] > 0) & _is_word(t) & c(F.get("words", t["head"] - 1)) & F.get("words", t["head"] - 1).isNotNull())
+    return Cond(lambda t: (t["head"] > 0) & _is_word(t) & F.get("words", t["head"] - 1).isNotNull() & c(F.get("words", t["head"] - 1)))
 
 
 def child(c: Cond) -> Cond:

@@ -1,8 +1,9 @@
 """Similar sentences: equal ones by grouping, others within an edit distance by a partition-based join.
 
-The distance is optimal string alignment (insert, delete, replace, swap of neighbours). A swap touches two of the pieces that a string
-is cut into, other edits one, so of 2k + 1 disjoint pieces one at least survives k edits unchanged, moved by k places at most. Pieces are an
-equi-join key together with the length and the piece's number; only survivors are verified.
+The distance is optimal string alignment (insert, delete, replace, swap of neighbours). Short texts within k edits
+become equal when up to k characters are deleted from each, so what deletions leave is an equi-join key. Of long texts, which leave
+too many, pieces are: a swap touches two of the pieces that a text is cut into, other edits one, so of 2k + 1 disjoint pieces one at least
+survives k edits unchanged, moved by k places at most; the key is a piece, its number and the text's length. Only texts that share a key are verified.
 """
 
 from __future__ import annotations
@@ -29,6 +30,19 @@ def osa(a: str, b: str, k: int) -> int:
     return min(last[len(b)], far)
 
 
+#: Texts of up to so many characters are keyed by deletions.
+SHORT = 48
+
+
+def _deletions(texts: DataFrame, t: str, k: int) -> DataFrame:
+    """(t, rest) for what is left of a text after up to k deletions."""
+    out = texts.select(t, F.col(t).alias("rest"))
+    for _ in range(k):
+        shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.length("rest"), F.lit(1))), lambda i: F.concat(F.substring("rest", F.lit(1), i - 1), F.substring("rest", i + 1, F.length("rest"))))
+        out = out.select(t, F.explode(F.array_distinct(F.concat(F.array("rest"), shorter))).alias("rest")).distinct()
+    return out
+
+
 def _pieces(n: Column, parts: int) -> tuple[Column, Column]:
     """For a length: a function's worth of (start, size) of piece p (from 0), sizes as equal as can be."""
     base, more = F.floor(n / parts).cast("int"), (n % parts).cast("int")
@@ -55,14 +69,18 @@ def similar(left: DataFrame, right: DataFrame | None, key: str, text: str, k: in
         return base + F.when(p < more, 1).otherwise(0)
 
     every = F.sequence(F.lit(0), F.lit(parts - 1))
-    index = names[1].select("t2").distinct().withColumn("n", F.length("t2"))
+    texts = [n.select(f"t{i}").distinct() for i, n in enumerate(names, 1)]
+    small = [_deletions(x.where(F.length(f"t{i}") <= SHORT + k), f"t{i}", k) for i, x in enumerate(texts, 1)]
+    short = small[0].join(small[1], "rest").select("t1", "t2")
+    index = texts[1].where(F.length("t2") > SHORT).withColumn("n", F.length("t2"))
     index = index.select("t2", "n", F.explode(every).alias("p")).select("t2", "n", "p", F.expr("t2").alias("x"))
     index = index.select("t2", "n", "p", F.substring("x", start(F.col("n"), F.col("p")) + 1, size(F.col("n"), F.col("p"))).alias("piece"))
-    probe = names[0].select("t1").distinct().select("t1", F.explode(F.sequence(F.greatest(F.length("t1") - k, F.lit(0)), F.length("t1") + k)).alias("n"))
+    probe = texts[0].where(F.length("t1") > SHORT).select("t1", F.explode(F.sequence(F.greatest(F.length("t1") - k, F.lit(0)), F.length("t1") + k)).alias("n"))
     probe = probe.select("t1", "n", F.explode(every).alias("p"))
     probe = probe.select("t1", "n", "p", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("shift")).withColumn("at", start(F.col("n"), F.col("p")) + F.col("shift"))
     probe = probe.where("at >= 0").select("t1", "n", "p", F.substring("t1", F.col("at") + 1, size(F.col("n"), F.col("p"))).alias("piece"))
-    found = probe.join(index, ["n", "p", "piece"]).where(F.col("t1") < F.col("t2") if own else F.lit(True)).select("t1", "t2").distinct()
+    found = probe.join(index, ["n", "p", "piece"]).select("t1", "t2").unionByName(short)
+    found = found.where(F.col("t1") < F.col("t2") if own else F.lit(True)).distinct()
     found = found.where(F.levenshtein("t1", "t2", 2 * k) >= 0)  # a swap costs two Levenshtein edits
 
     @F.pandas_udf("int")
