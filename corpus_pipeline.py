@@ -13,6 +13,17 @@ from treeq.llm import mixing, neardup, packing, pii, quality
 from treeq.llm.common import cut
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that are equal in id and text. Only rows that repeat are shuffled with their texts."""
+    key = docs.select("doc_id", F.xxhash64("text").alias("key"))
+    often = cut(key.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("key").alias("k")))
+    if often.isEmpty():
+        return docs
+    same = docs["doc_id"].eqNullSafe(often["id"]) & (F.xxhash64(docs["text"]) == often["k"])
+    more = docs.join(often, same, "left_semi").withColumn("key_", F.xxhash64("text")).dropDuplicates(["doc_id", "key_"]).drop("key_")
+    return docs.join(often, same, "left_anti").unionByName(more)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -22,8 +33,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id (rows that repeat it: one)."""
     kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return found.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"]).select(docs.columns)
+    return once(docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     parts = F.concat(F.array_repeat("size", whole), F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(F.array().cast("array<bigint>")))
     plan = plan.select(F.col("doc_id").alias("id"), "text_key", "size", F.explode(parts).alias("part"))
-    rows = docs.withColumn("text_key_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key_"])
+    rows = once(docs).withColumn("text_key_", F.xxhash64("text"))
     rows = rows.join(plan, rows["doc_id"].eqNullSafe(plan["id"]) & (rows["text_key_"] == plan["text_key"]))
-    cut_text = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(F.expr(r"regexp_extract(text, concat('(?s)\\A([\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*+){', part, '})'), 1)"))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut_text = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), ""))
     rows = rows.withColumn("text", cut_text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
