@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
+BATCH_ROWS = 1000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 
@@ -37,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python at most BATCH_ROWS at a time: the default of 10000 can be hundreds of MB on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def with_fields(schema: T.StructType, **more: str) -> T.StructType:
     """The schema with fields of these names and types at its end."""
     out = T.StructType(list(schema.fields))
@@ -67,7 +75,7 @@ _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _P and of its inverse modulo 2**64, n of each at least."""
     if len(_POW[0]) < n:
-        size = max(n, 2 * STEP_BYTES)
+        size = max(n, STEP_BYTES + 1)
         for i, base in enumerate((_P, _PINV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, span_hashes, text_steps, with_fields, words
+from .common import crc_mod, small_batches, span_hashes, text_steps, with_fields, words
 
 #: Documents that are fitted on, at most: the first by a hash of the id; and the most bytes of one that count.
 MAX_LABELLED, MAX_BYTES = 2000, 1 << 14
@@ -199,6 +199,8 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
     """
     columns = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "text")]
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(field.langs)
         for b in batches:

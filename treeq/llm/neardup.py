@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest, gram_hashes, mix64, span_hashes, text_steps, with_fields, words
+from .common import cut, digest, gram_hashes, mix64, small_batches, span_hashes, text_steps, with_fields, words
 from .components import components
 
 PLACES = 64
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     links, and are kept. Rows that repeat an id are documents of their own: copies if their texts are equal. Other columns are left out; an empty table gives
     no rows.
     """
+    small_batches(docs.sparkSession)
     sigs = cut(signatures(docs, k))
     classes = cut(sigs.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("sig").alias("sig")))
     groups = components(candidates(classes.select("node", "sig"), threshold, recall))

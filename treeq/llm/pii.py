@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import Boost
+from .common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -207,6 +208,7 @@ def detect(docs: DataFrame) -> DataFrame:
     fine; a column of the name `spans` is replaced.
     """
     boost, cut = model()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(SPANS)
     def find(texts: pd.Series) -> pd.Series:
@@ -218,6 +220,7 @@ def detect(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs whose texts have <KIND> instead of each span (overlapping ones: one mark, of the first); n_chars follows."""
     boost, cut = model()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series) -> pd.Series:

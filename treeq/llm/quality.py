@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_steps, with_fields
+from .common import crc_mod, small_batches, text_steps, with_fields
 
 BLOCK, CHUNK, STRIDE = 64, 4, 2  # bytes in a block; blocks in a chunk; blocks from one chunk to the next
 DIM, TAP, FILTERS, HIDDEN = 8, 4, 24, 24  # byte embedding; bytes in half a filter; filters; hidden units
@@ -159,6 +159,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     """docs with `score`, the probability of label 1 of each whole text; null and empty texts score as empty."""
     columns = [c for c in docs.columns if c.lower() not in ("score", "text")]
     weights = net.w
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Net()

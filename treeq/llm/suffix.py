@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gram_hashes, mix64, span_hashes, text_steps, words
+from .common import cut, gram_hashes, mix64, small_batches, span_hashes, text_steps, words
 
 SEED, SPAN = 8, 21
 
@@ -147,6 +147,7 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     if least < SPAN + SEED + SPAN:
         raise ValueError(f"least must be {2 * SPAN + SEED} at least")
+    small_batches(docs.sparkSession)
     found = windows(docs, cut(matched(retained(docs, least))), least)
     shared = found.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("g")
     starts = found.join(shared, "g", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
