@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, small_batches, span_hashes, text_steps, with_fields, words
 
-#: Documents that are fitted on, at most: the first by a hash of the id; and the most bytes of one that count.
-MAX_LABELLED, MAX_BYTES = 2000, 1 << 14
+#: Documents that are fitted on, at most: the first by a hash of the id; longer texts than this are not fitted on.
+MAX_LABELLED, MAX_CHARS = 2000, 50_000
 BITS, BLOCK = 16, 128
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -123,7 +123,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, run: int = 32, seed
     if not texts:
         return field
     rng, number = np.random.default_rng(seed), {x: i for i, x in enumerate(field.langs)}
-    data = pa.array([t.encode()[:MAX_BYTES].decode(errors="ignore") for t in texts])
+    data = pa.array(texts, pa.string())
     parts = []
     for lo, hi, buf, offs in text_steps(data, lower=True, limit=1 << 30):
         starts, ends, doc = words(buf, offs, ~_LETTER)
@@ -170,7 +170,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, run: int = 32, seed
 
 def labelled(docs: DataFrame, limit: int = MAX_LABELLED, fold: int = 5) -> DataFrame:
     """(doc_id, text, lang) of at most `limit` documents that have a language, outside the held-out fold, by a hash of the id."""
-    rows = docs.where("lang is not null and text is not null").where(crc_mod("doc_id", fold) != 0)
+    rows = docs.where("lang is not null").where(F.length("text") <= MAX_CHARS).where(crc_mod("doc_id", fold) != 0)
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(29)), "doc_id").limit(limit)
     return rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
 

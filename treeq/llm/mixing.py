@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Ranges of virtual time; rows of one range of a source's shuffled order, about.
-TIMES, RANGE_ROWS = 4096, 2048
+#: Ranges of virtual time; rows of one range of the shuffled order, about; ranges at most, beyond which they hold more rows.
+TIMES, RANGE_ROWS, RANGES = 4096, 512, 1 << 16
 
 
 def n_words(text: str = "text") -> Column:
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     sized = cut(rows.groupBy("doc_id", "source", "size", "text_key").agg(F.count("*").alias("copies")))
     by = cut(targets(sized.select("source", (F.col("size") * F.col("copies")).alias("size")), weights, share, most))
     n, budget = sized.count(), by.agg(F.sum("target")).first()[0] or 0.0
-    ranges = max(1, n // RANGE_ROWS)
+    ranges = max(1, min(RANGES, n // RANGE_ROWS))
     passes = sized.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))).alias("pass"))
     passes = passes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "pass", "text_key"))
     # the range is the high part of the hash, so ranges in order are the shuffled order

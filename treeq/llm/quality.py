@@ -21,8 +21,8 @@ from .common import crc_mod, small_batches, text_steps, with_fields
 BLOCK, CHUNK, STRIDE = 64, 4, 2  # bytes in a block; blocks in a chunk; blocks from one chunk to the next
 DIM, TAP, FILTERS, HIDDEN = 8, 4, 24, 24  # byte embedding; bytes in half a filter; filters; hidden units
 LAGS = range(1, 25)
-#: Labelled rows that are fitted on, at most: the first by a hash of the id.
-MAX_LABELLED = 4000
+#: Labelled rows that are fitted on, at most: the first by a hash of the id; longer texts than this are not fitted on.
+MAX_LABELLED, MAX_CHARS = 4000, 50_000
 
 
 def _pad(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
     y = labels.where("quality in (0, 1) and doc_id is not null")
     y = y.where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").where("text is not null").select("doc_id", "text", "quality")
+    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").where(F.length("text") <= MAX_CHARS).select("doc_id", "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Net:
