@@ -267,11 +267,11 @@ query("edit_eud", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c
 
 
 def _edit_field(s: SparkSession, d: str) -> DataFrame:
-    edits = views.read(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("sent"), F.lit(1).alias("id"), F.col("o_orderpriority").alias("value"))
+    edits = views.read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sent"), F.lit(1).alias("id"), F.col("o_orderpriority").alias("value"))
     return edit.edit_fields(views.orders(s, d), edits, "sent", "lemma").select("sent", F.inline("words")).select("sent", "id", "lemma")
 
 
-query("edit_field", _edit_field, f"{TOK} SELECT t.sent AS sent, t.id AS id, CASE WHEN t.id = 1 AND o.o_orderkey IS NOT NULL THEN o.o_orderpriority ELSE t.lemma END AS lemma FROM tok t LEFT JOIN orders o ON o.o_orderkey = t.sent AND o.o_orderkey % 2 = 0")
+query("edit_field", _edit_field, f"{TOK} SELECT t.sent AS sent, t.id AS id, CASE WHEN t.id = 1 AND o.o_orderkey IS NOT NULL THEN o.o_orderpriority ELSE t.lemma END AS lemma FROM tok t LEFT JOIN orders o ON o.o_orderkey = t.sent AND o.o_orderstatus = 'F'")
 query("edit_reattach", lambda s, d: edit.reattach(views.orders(s, d), 2, 4, "moved").select("sent", F.explode("words").alias("w"), "warning").select("sent", "w.id", "w.head", "w.deprel", "warning"), f"{UP}, why AS (SELECT t.sent, CASE WHEN t.n < 4 THEN 'head is outside the sentence' WHEN EXISTS (SELECT 1 FROM up u WHERE u.sent = t.sent AND u.id = 4 AND u.anc = 2) THEN 'head is below the word' END AS warning FROM tok t WHERE t.id = 2) SELECT t.sent AS sent, t.id AS id, CASE WHEN t.id = 2 AND w.warning IS NULL THEN 4 ELSE t.head END AS head, CASE WHEN t.id = 2 AND w.warning IS NULL THEN 'moved' ELSE t.deprel END AS deprel, w.warning AS warning FROM tok t LEFT JOIN why w ON w.sent = t.sent")
 query("edit_ed", lambda s, d: edit.drop_enhanced(edit.add_enhanced(views.orders(s, d), 3, 2, "new"), 3, 1, "ext").select("sent", F.explode("words").alias("w")).select("sent", F.col("w.id").alias("id"), tx.deps_text(F.col("w.deps")).alias("deps")), f"{TOK} SELECT sent, id, head || ':' || deprel || CASE WHEN id > 2 AND id <> 3 THEN '|' || (id - 2) || ':ext' WHEN id = 3 THEN '|2:new' ELSE '' END AS deps FROM tok")
 query("tok_delete", lambda s, d: edit.delete_word(views.orders(s, d), 2).select("sent", F.inline("words")).select("sent", "id", "form", "head"), f"{TOK}, g AS (SELECT sent, head AS ghead FROM tok WHERE id = 2), k AS (SELECT t.sent, t.id, t.form, CASE WHEN t.head = 2 THEN g.ghead ELSE t.head END AS head, row_number() OVER (PARTITION BY t.sent ORDER BY t.id) AS nid FROM tok t LEFT JOIN g ON g.sent = t.sent WHERE t.id <> 2) SELECT k.sent AS sent, k.nid AS id, k.form AS form, CASE WHEN k.head = 0 THEN 0 ELSE h.nid END AS head FROM k LEFT JOIN k h ON h.sent = k.sent AND h.id = k.head")
@@ -291,11 +291,11 @@ query("undo_redo", lambda s, d: edit.latest(views.read(s, d, "events"), "user_id
 
 def _lock(s: SparkSession, d: str) -> DataFrame:
     current = views.read(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("version"), F.col("o_orderstatus").alias("value"))
-    edits = views.read(s, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_orderkey") % 2).alias("version"), F.lit("E").alias("value"))
+    edits = views.read(s, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_orderkey") % 2).alias("version"), F.lit("E").alias("value"))
     return edit.merge_if_current(current, edits, "o_orderkey", "version", "value")
 
 
-query("optimistic_lock", _lock, "SELECT o_orderkey, o_orderkey % 4 + CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = o_orderkey % 2 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = o_orderkey % 2 THEN 'E' ELSE o_orderstatus END AS value, o_orderkey % 3 = 0 AND o_orderkey % 4 <> o_orderkey % 2 AS refused FROM orders")
+query("optimistic_lock", _lock, "SELECT o_orderkey, o_orderkey % 4 + CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = o_orderkey % 2 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = o_orderkey % 2 THEN 'E' ELSE o_orderstatus END AS value, o_orderstatus = 'F' AND o_orderkey % 4 <> o_orderkey % 2 AS refused FROM orders")
 
 # validation
 IMPLIES = [(c.upos("R"), c.head(c.upos("N")) | c.token_id(1)), (c.feat("Disc"), c.xpos("O"))]
