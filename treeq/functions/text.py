@@ -26,6 +26,11 @@ def surface() -> Column:
     return F.rtrim(F.array_join(F.transform("words", piece), ""))
 
 
+def surface_pieces() -> Column:
+    """id -> form and what stands after it, of every word."""
+    return F.map_from_entries(F.transform("words", lambda w: F.struct(w["id"], F.concat(w["form"], spaces(w["misc"])))))
+
+
 def offsets() -> Column:
     """start and end of each word in the text of forms joined by blanks: a running sum inside the sentence."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<id:int,start:int,end:int>>").alias("out"))

@@ -262,3 +262,39 @@ def merge_if_current(current: DataFrame, edits: DataFrame, key: str, version: st
     rows = current.join(e, key, "left")
     ok = F.coalesce(F.col("seen_") == F.col(version), F.lit(False))
     return rows.select(key, F.when(ok, F.col(version) + 1).otherwise(F.col(version)).alias(version), F.when(ok, F.col("new_")).otherwise(F.col(value)).alias(value), (F.col("seen_").isNotNull() & ~ok).alias("refused"))
+
+
+def replace_next(sents: DataFrame, rule: Rule, position: str, current: int) -> DataFrame:
+    """The next sentence after a position in which the rule's condition holds, with the rule applied."""
+    from .search import after
+
+    return apply_rules(after(sents.where(F.exists("words", rule.cond.__call__)), position, current), [rule])
+
+
+def compact(sents: DataFrame, forms: list[str], joint: str = "_") -> DataFrame:
+    """The first run of words with these forms as one word: the run's word nearest the root stays, forms are joined."""
+    n = len(forms)
+
+    def run(w: Column) -> Column:
+        out = F.lit(True)
+        for k, f in enumerate(forms):
+            out = out & F.coalesce(F.get("words", w["id"] - 1 + k)["form"] == f, F.lit(False))
+        return out
+
+    first = F.get(F.transform(F.filter("words", run), lambda w: w["id"]), F.lit(0))
+
+    def joined(a: Column) -> Column:
+        part = F.slice("words", a, F.lit(n))
+        top = F.get(F.transform(F.filter(part, lambda w: ~w["head"].between(a, a + n - 1)), lambda w: w["id"]), F.lit(0))
+        inside = lambda i: i.between(a, a + n - 1)
+        kept = F.filter("words", lambda w: ~inside(w["id"]) | (w["id"] == top))
+        text = F.array_join(F.transform(part, lambda w: w["form"]), joint)
+        return F.transform(kept, lambda w: w.withField("form", F.when(w["id"] == top, text).otherwise(w["form"])).withField("head", F.when(inside(w["head"]), F.when(w["id"] == top, w["head"]).otherwise(top)).otherwise(w["head"])))
+
+    return sents.withColumn("words", F.when(first.isNotNull(), renumber(let(first, then=joined))).otherwise(F.col("words")))
+
+
+def set_comments(sents: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """Comments from an edits table (key, comment: lines), where it has some."""
+    e = edits.groupBy(key).agg(F.max("comment").alias("new_"))
+    return sents.join(e, key, "left").withColumn("comments", F.coalesce(F.split("new_", "\n"), "comments")).drop("new_")

@@ -49,9 +49,15 @@ def _pieces(n: Column, parts: int) -> tuple[Column, Column]:
     return base, more
 
 
+def copies(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, first, n for rows whose text others have too: the smallest key with that text, and how many have it. No pairs are made."""
+    groups = rows.groupBy(text).agg(F.min(key).alias("first"), F.count("*").alias("n")).where(f"n > 1 and {text} is not null")
+    return rows.join(groups, text).select(key, "first", "n")
+
+
 def similar(left: DataFrame, right: DataFrame | None, key: str, text: str, k: int) -> DataFrame:
     """key1, key2, distance of texts within k edits: inside one table (key1 < key2), or between two. Texts are distinct first,
-    so copies are joined back and never compared twice. Null texts match nothing."""
+    so copies are joined back and never compared twice; where there are many, use `copies`, and this on the distinct texts. Null texts match nothing."""
     own = right is None
     right = left if own else right
     names = [left.select(F.col(key).alias("key1"), F.col(text).alias("t1")).where("t1 is not null"), right.select(F.col(key).alias("key2"), F.col(text).alias("t2")).where("t2 is not null")]

@@ -12,7 +12,7 @@ from .functions import conditions as c
 from .functions import text as tx
 from .functions import values as v
 from .operators import corpus, edit, grew, search, similar, stats, trees, validate
-from .sources import conllu, export, views
+from .sources import conllu, export, sdparse, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,7 +181,7 @@ query("seq_position", lambda s, d: views.orders(s, d).select("sent", F.explode(F
 query("seq_arc_height", lambda s, d: views.orders(s, d).select("sent", F.inline(trees.arc_heights())).select("sent", "id", "height"))
 
 # similarity
-query("sim_identical", lambda s, d: similar.similar(views.read(s, d, "part"), None, "p_partkey", "p_name", 0).groupBy("key1").agg(F.count("*").alias("n")), "SELECT a.p_partkey AS key1, count(*) AS n FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey GROUP BY 1")
+query("sim_identical", lambda s, d: similar.copies(views.lines(s, d).select(F.concat_ws(":", "doc_id", "line_no").alias("id"), "text"), "id", "text"), "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), k AS (SELECT doc_id || ':' || line_no AS id, text FROM l WHERE trim(text) <> '') SELECT id, min(id) OVER w AS first, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY text) QUALIFY n > 1")
 query("sim_char", lambda s, d: similar.similar(views.read(s, d, "supplier"), None, "s_suppkey", "s_name", 1), "SELECT a.s_suppkey AS key1, b.s_suppkey AS key2, CAST(damerau_levenshtein(a.s_name, b.s_name) AS INTEGER) AS distance FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE damerau_levenshtein(a.s_name, b.s_name) <= 1")
 query("sim_two_groups", lambda s, d: similar.similar(views.read(s, d, "part").select("p_name").distinct(), views.read(s, d, "part").select("p_name").distinct(), "p_name", "p_name", 1), "WITH p AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS key1, b.p_name AS key2, CAST(damerau_levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM p a, p b WHERE damerau_levenshtein(a.p_name, b.p_name) <= 1")
 
@@ -343,3 +343,15 @@ query("sink_spacy_json", lambda s, d: views.orders(s, d).select("sent", export.s
 query("sink_tree_json", lambda s, d: views.orders(s, d).select("sent", export.tree_json().alias("json")))
 query("sink_latex", lambda s, d: views.orders(s, d).select("sent", export.latex().alias("tex")))
 query("lines_length", lambda s, d: views.lines(s, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.size("words").cast("long").alias("n")), "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) SELECT doc_id, line_no, CAST(len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS BIGINT) AS n FROM l WHERE trim(text) <> ''")
+query("scan_string", lambda s, d: conllu.parse(_blocks(s, d).groupBy(F.floor(F.col("sent") / 50).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n\n").alias("text")).select("file", F.explode(F.split("text", "\n\n")).alias("value"))).select(F.col("sent_id").cast("long").alias("sent"), F.size("words").cast("long").alias("n")), f"{TOK} SELECT sent, count(*) AS n FROM tok GROUP BY sent")
+query("scan_sdparse", lambda s, d: sdparse.parse(views.orders(s, d).withColumn("words", F.transform("words", lambda w: w.withField("form", F.replace(w["form"], F.lit(" "), F.lit("_"))))).select("sent", export.sd_parse().alias("value"))).select("sent", F.inline("words")).select("sent", "id", "form", "head", "deprel"), f"{TOK} SELECT sent, id, replace(form, ' ', '_') AS form, head, deprel FROM tok")
+query("scan_conllu_plus", lambda s, d: conllu.parse(conllu.convert_columns(_blocks(s, d), conllu.COLUMNS, ("ID", "FORM", "UPOS", "SEM:NE")), ("ID", "FORM", "UPOS", "SEM:NE")).select("sent", F.inline("words")).select("sent", "id", "form", "upos"), f"{TOK} SELECT sent, id, form, upos FROM tok")
+query("find_grew", lambda s, d: search.after(grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D", ["dep1"])]), "sent").select("sent").distinct(), "sent", 200, backwards=True), f"{TOK} SELECT max(h.sent) AS sent FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.sent < 200 AND h.upos = 'N' AND d.upos = 'R' AND d.deprel = 'dep1'")
+query("fn_surface_list", lambda s, d: views.orders(s, d).select("sent", F.explode(tx.surface_pieces()).alias("id", "piece")), f"{TOK} SELECT sent, id, form || ' ' AS piece FROM tok")
+query("fn_spaces", lambda s, d: views.read(s, d, "nation").select("n_nationkey", tx.spaces(F.array(F.struct(F.when(F.col("n_nationkey") % 2 == 0, "SpaceAfter").otherwise("SpacesAfter").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, "No").otherwise(r"\s\t").alias("val")))).alias("after")), "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ' ' || chr(9) END AS after FROM nation")
+query("edit_feat", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"Feat_Case": "Nom", "Feat_disc": ""}), edit.Rule(c.upos("N"), {"feats": "_"})]).select("sent", F.inline("words")).select("sent", "id", tx.feats_text(F.col("feats")).alias("feats")), f"{TOK} SELECT sent, id, CASE WHEN upos = 'N' THEN '_' ELSE CASE WHEN upos = 'A' THEN 'Case=Nom|' WHEN disc IS NOT NULL THEN 'Disc=Yes|' ELSE '' END || 'Size=' || size END AS feats FROM tok")
+query("edit_misc", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"Misc_Line": v.this("Xpos"), "Misc_Gloss": ""}), edit.Rule(c.upos("N"), {"misc": "_"})]).select("sent", F.inline("words")).select("sent", "id", tx.misc_text(F.col("misc")).alias("misc")), f"{TOK} SELECT sent, id, CASE WHEN upos = 'N' THEN '_' WHEN upos = 'A' THEN 'Line=' || xpos ELSE 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END END AS misc FROM tok")
+query("edit_replace_next", lambda s, d: edit.replace_next(views.orders(s, d), edit.Rule(c.upos("R") & c.xpos("O"), {"Lemma": v.upper(v.this("Form"))}), "sent", 300).select("sent", F.inline("words")).select("sent", "id", "lemma"), f"{TOK}, x AS (SELECT min(sent) AS sent FROM tok WHERE sent > 300 AND upos = 'R' AND xpos = 'O') SELECT t.sent AS sent, id, CASE WHEN upos = 'R' AND xpos = 'O' THEN upper(form) ELSE lemma END AS lemma FROM tok t JOIN x ON x.sent = t.sent")
+query("tok_compact", lambda s, d: edit.compact(views.orders(s, d), ["red widget", "red widget"]).select("sent", F.size("words").cast("long").alias("n")), f"{TOK}, h AS (SELECT DISTINCT a.sent FROM tok a JOIN tok b ON b.sent = a.sent AND b.id = a.id + 1 WHERE a.form = 'red widget' AND b.form = 'red widget') SELECT t.sent AS sent, count(*) - CASE WHEN any_value(h.sent) IS NULL THEN 0 ELSE 1 END AS n FROM tok t LEFT JOIN h ON h.sent = t.sent GROUP BY t.sent")
+query("comment_edit", lambda s, d: edit.set_comments(views.orders(s, d).select("sent", F.array(F.lit("old")).alias("comments")), views.read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sent"), F.concat(F.lit("a\n"), "o_orderpriority").alias("comment")), "sent").select("sent", F.array_join("comments", "+").alias("comments")), f"{TOK}, u AS (SELECT DISTINCT sent FROM tok) SELECT sent, CASE WHEN o_orderkey IS NULL THEN 'old' ELSE 'a+' || o_orderpriority END AS comments FROM u LEFT JOIN orders ON o_orderkey = sent AND o_orderstatus = 'F'")
+query("valid_text", QUERIES["fn_text_diff"], ORACLES["fn_text_diff"])
