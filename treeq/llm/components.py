@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+TASK_ROWS = 100_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
@@ -19,15 +21,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
+    # tables of one task per TASK_ROWS edges: a loop over many tiny files would take longer than its work
+    parts = max(1, -(-e.count() // TASK_ROWS))
+    save = lambda df: cut(df.coalesce(parts))
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # minima are written before they are joined: AQE splits a hub's edges only if both sides of a join are plain exchanges
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = save(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        e = cut(small)
+        e = save(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             break
