@@ -193,3 +193,19 @@ def test_nearest_recall(spark, small):
         s[q] = -9
         hits += len(set(ids[np.argsort(-s)[:5]]) & {r.vec_id for r in got if r.query_id == ids[q]})
     assert hits / len(got) >= 0.9 and len(got) == 5 * (ids % 50 == 0).sum()
+
+
+def test_nearest_dense_group(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = rng.normal(size=64) + rng.normal(0, 0.1, (1000, 64))  # a third of the rows: cosines of about 0.99
+    x = x.astype(np.float32)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for q in range(0, len(x), 50):
+        s = u @ u[q]
+        s[q] = -9
+        assert [got[q][k] for k in range(1, 6)] == np.argsort(-s)[:5].tolist(), q

@@ -3,7 +3,8 @@
 A unit vector is stored as one of 16 centres in each of many small subspaces: four bits each. Codes and centres are
 chosen by an anisotropic loss, in which the part of the residual that is parallel to the vector weighs more than the rest,
 because only that part moves large inner products. A query scans codes by table lookup (two subspaces at a
-time), the best by the scanned score are ranked again by their true cosine, in double precision.
+time). A code carries the angle between its vector and the point it stands for, so a scanned score bounds the true cosine:
+all that can be among the nearest by that bound are ranked by their true cosine, in double precision. The result is exact.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .vectors import matrix, with_node
 
 #: Vectors that centres are fitted on, at most; the angle (cosine) from which neighbours matter, which sets the weights.
 SAMPLE, COSINE = 16384, 0.2
-#: Queries and codes of a block; candidates that a block passes on, and that are ranked again, per result asked for.
-QUERIES, CODES, PASS, RERANK = 512, 8192, 24, 60
+#: Queries and codes of a block (codes of up to WIDE dimensions; fewer of longer ones); per result asked for, candidates whose true cosines set a block's cut-off.
+QUERIES, CODES, WIDE, PASS = 512, 8192, 256, 24
+#: More than the rounding of scores scanned in single precision (per subspace), and of cosines in double precision.
+SINGLE, DOUBLE = 1e-7, 1e-9
 
 
 class Quantiser:
@@ -80,6 +83,18 @@ class Quantiser:
                 along[:, m] = now
         return self
 
+    def points(self, codes: np.ndarray) -> np.ndarray:
+        """The points that codes stand for, in the vectors' own dimensions (those of the filling are left out)."""
+        return np.concatenate([self.centres[m][codes[:, m]] for m in range(self.parts)], 1)[:, : self.dim]
+
+    def bounds(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length of a code's point, its angle to the unit vector x); a point of length 0 says nothing, so its angle is pi."""
+        c = self.points(codes)
+        length = np.sqrt((c * c).sum(1))
+        some = length > 0
+        cos = (c * x).sum(1) / np.where(some, length, 1)
+        return np.where(some, length, 1), np.where(some, np.arccos(np.clip(cos - DOUBLE, -1, 1)), np.pi)
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         return codes[:, 0::2] | codes[:, 1::2] << 4
 
@@ -96,8 +111,14 @@ class Quantiser:
         return out
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows with rows, each by itself: the same whatever else is in the block. Scaling first keeps squares in range."""
+    x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
 def nearest(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row of `vectors` for which the Column `queries` holds.
+    """(query_id, rank, vec_id, score): the k nearest of each row of `vectors` for which the Column `queries` holds.
 
     All other rows are candidates (a query's own row is not). Vectors that are null, empty, zero or have null or
     non-finite components, and rows without an id, take no part. Equal vectors are scanned once, and stand for the
@@ -108,7 +129,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
     spark, found = vectors.sparkSession, None
     ids = rows.select("node", "vec_id").distinct().withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("k") <= k + 1).drop("k")
     ids = cut(ids)
-    classes = cut(rows.groupBy("node", "dim").agg(F.first("embedding").alias("embedding"), F.max("asks").alias("asks")))
+    classes = cut(rows.groupBy("node", "dim").agg(F.first("embedding").alias("embedding"), F.max("asks").alias("asks"), F.min("vec_id").alias("least")))
     for (dim,) in classes.select("dim").distinct().orderBy("dim").collect():
         part = _scan(classes.where(F.col("dim") == dim), dim, k)
         found = part if found is None else found.unionByName(part)
@@ -123,50 +144,57 @@ def nearest(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
 
 
 def _scan(classes: DataFrame, dim: int, k: int) -> DataFrame:
-    """(query, node, score): exact cosines of the candidates that the scans of all blocks leave, for classes of one length."""
+    """(query, node, score): the k + 1 best of each block of codes by exact cosine, then by smallest id, for classes of one length."""
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toPandas()
     quantiser = Quantiser(dim).fit(matrix(sample.embedding))
-    per_block, keep = k * PASS, k * RERANK
+    first, keep = k * PASS, k + 1
+    kind = classes.schema["least"].dataType.simpleString()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
-                yield pd.DataFrame({"node": pdf.node, "code": [r.tobytes() for r in quantiser.pack(quantiser.encode(matrix(pdf.embedding)))]})
+                x = matrix(pdf.embedding)
+                codes = quantiser.encode(x)
+                length, angle = quantiser.bounds(x, codes)
+                yield pdf.assign(code=[r.tobytes() for r in quantiser.pack(codes)], length=length, angle=angle)
 
-    coded = cut(classes.select("node", "embedding").mapInPandas(encode, "node binary, code binary"))
+    vector = dict(classes.dtypes)["embedding"]
+    coded = cut(classes.select("node", "least", "embedding").mapInPandas(encode, f"node binary, least {kind}, embedding {vector}, code binary, length double, angle double"))
     asking = classes.where("asks").select(F.col("node").alias("query"), "embedding")
-    code_blocks, query_blocks = max(1, -(-coded.count() // CODES)), max(1, -(-asking.count() // QUERIES))
+    block = max(1, CODES * WIDE // max(dim, WIDE))
+    code_blocks, query_blocks = max(1, -(-coded.count() // block)), max(1, -(-asking.count() // QUERIES))
     spread = lambda of, n, other, m: (F.pmod(F.xxhash64(of), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     cb, qb = spread("node", code_blocks, "qb", query_blocks)
-    codes = coded.select("node", "code", cb.alias("cb"), qb.alias("qb"))
+    codes = coded.select("*", cb.alias("cb"), qb.alias("qb"))
     qb, cb = spread("query", query_blocks, "cb", code_blocks)
     asks = asking.select("query", "embedding", qb.alias("qb"), cb.alias("cb"))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "node": [], "guess": []})
-        right = right.sort_values("node", kind="stable")
+            return pd.DataFrame({"query": [], "node": [], "score": []})
+        right = right.sort_values("least", kind="stable")
         packed = np.frombuffer(b"".join(right.code), np.uint8).reshape(len(right), -1)
+        unit, raw, node = matrix(right.embedding), right.embedding.to_numpy(), right.node.to_numpy()
+        length, angle = right["length"].to_numpy(), right["angle"].to_numpy()
+        n, m = min(first, len(right)), min(keep, len(right))
         out = []
         for lo in range(0, len(left), 64):
-            s = quantiser.scan(quantiser.tables(matrix(left.embedding.iloc[lo : lo + 64])), packed).T
-            n = min(per_block, s.shape[1])
+            some = left.iloc[lo : lo + 64]
+            q = matrix(some.embedding)
+            s = quantiser.scan(quantiser.tables(q), packed).T
             best = np.argpartition(-s, n - 1, 1)[:, :n]
-            out.append(pd.DataFrame({"query": np.repeat(left["query"].to_numpy()[lo : lo + 64], n), "node": right.node.to_numpy()[best.ravel()], "guess": np.take_along_axis(s, best, 1).ravel()}))
+            true = np.stack([unit[b] @ v for b, v in zip(best, q, strict=True)])
+            least = np.partition(true, n - m, 1)[:, n - m] - DOUBLE  # no more than the m-th best cosine
+            # a vector is no nearer to the query than its code's point, less the angle between the two
+            reach = s / length + SINGLE * quantiser.parts >= np.cos(np.minimum(np.pi, np.arccos(np.clip(least, -1, 1))[:, None] + angle))
+            for i in range(len(some)):
+                at = np.flatnonzero(reach[i])
+                t = unit[at] @ q[i]
+                at = at[t >= np.partition(t, len(t) - m)[len(t) - m] - DOUBLE]
+                asked = some.embedding.iloc[i]
+                exact = cosines(np.stack(raw[at]).astype(np.float64), np.asarray(asked, np.float64)[None])
+                top = np.argsort(-exact, kind="stable")[:m]
+                out.append(pd.DataFrame({"query": [some["query"].iloc[i]] * m, "node": node[at[top]], "score": exact[top]}))
         return pd.concat(out, ignore_index=True)
 
-    scanned = asks.groupBy("qb", "cb").cogroup(codes.groupBy("qb", "cb")).applyInPandas(scan, "query binary, node binary, guess float")
-    first = F.row_number().over(W.partitionBy("query").orderBy(F.col("guess").desc(), "node"))
-    left = scanned.withColumn("n", first).where(F.col("n") <= keep).select("query", "node")
-    vec = classes.select("node", "embedding")
-
-    @F.pandas_udf("double")
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=float)
-        x, y = (np.stack(s.to_numpy()).astype(np.float64) for s in (a, b))
-        x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))
-        return pd.Series((x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))))
-
-    both = left.join(vec, "node").join(asking.withColumnRenamed("embedding", "asked"), "query")
-    return both.select("query", "node", cosine("asked", "embedding").alias("score"))
+    return asks.groupBy("qb", "cb").cogroup(codes.groupBy("qb", "cb")).applyInPandas(scan, "query binary, node binary, score double")
