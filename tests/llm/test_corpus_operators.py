@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,6 +24,36 @@ def test_best_fit_is_tightest(pieces):
         room[b], mask[b] = room.get(b, 40) - size, mask.get(b, 0) | bits
 
 
+def test_pack_without_conflicts(spark):
+    sizes = [1, 1, 1] + np.random.default_rng(8).integers(1, 60, 300).tolist()
+    rows = [(i, f"t{i} " * n, f"s{i}") for i, n in enumerate(sizes)]
+    got = {r.bin: r.bin_words for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=64).collect()}
+    rooms = []
+    for n in sorted(sizes, reverse=True):  # naive best fit
+        room = min((r for r in rooms if r >= n), default=None)
+        if room is not None:
+            rooms.remove(room)
+        rooms.append((64 if room is None else room) - n)
+    assert sorted(got.values()) == sorted(64 - r for r in rooms)
+    three = packing.pack(spark.createDataFrame(rows[:3], "doc_id long, text string, source string")).collect()
+    assert len(three) == 3 and len({r.bin for r in three}) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 30), st.integers(0, 50)), max_size=60))
+def test_pack_rare_sources(pieces):
+    pieces = sorted(pieces, reverse=True)
+    sizes, sources, clusters = ([p[j] for p in pieces] for j in range(3))
+    got = packing.best_fit(sizes, packing._masks(pd.Series(sources), pd.Series(clusters)), 40)
+    bins = {}
+    for size, source, cluster, b in zip(sizes, sources, clusters, got, strict=True):
+        room = {x: 40 - sum(p[0] for p in inside) for x, inside in bins.items()}
+        fits = [room[x] for x, inside in bins.items() if room[x] >= size and all(source != s and cluster != c for _, s, c in inside)]
+        assert (room[b] == min(fits)) if fits else b not in bins
+        bins.setdefault(b, []).append((size, source, cluster))
+        assert len({p[1] for p in bins[b]}) == len(bins[b]) == len({p[2] for p in bins[b]})
+
+
 DOCS = [(1, "a b c " * 50, "x"), (1, "a b c " * 50, "x"), (2, None, None), (3, "", "x"), (None, "w " * 9, None), (4, "q " * 500, "y"), (5, "A  b c " * 50, "z"), (6, "r " * 64, "x")] + [(10 + i, f"t{i} " * (i % 37 + 1), f"s{i % 5}") for i in range(200)]
 
 

@@ -22,7 +22,8 @@ SHARD_ROWS = 4096
 
 class Bins:
     """Open bins by room left. A segment tree over the room holds the AND of the bitmaps below each node: where a
-    document shares a bit with that, every bin below conflicts and the search skips them all at once."""
+    document shares a bit with that, every bin below conflicts and the search skips them all at once. In the tree bitmaps
+    are shifted by one: bit 0 is set where there is no bin at all, so a document without any bit skips only those."""
 
     def __init__(self, capacity: int):
         self.leaves = 1 << capacity.bit_length()
@@ -32,7 +33,7 @@ class Bins:
     def _up(self, room: int) -> None:
         both = -1
         for m in self.at[room].values():
-            both &= m
+            both &= m << 1
         i = room + self.leaves
         self.tree[i] = both
         while i > 1:
@@ -45,10 +46,10 @@ class Bins:
 
     def take(self, size: int, mask: int) -> tuple[int, int, int] | None:
         """Removes and returns (room, bin, bitmap) of the tightest compatible bin with room for size."""
-        stack = [(1, 0, self.leaves)]
+        stack, skip = [(1, 0, self.leaves)], mask << 1 | 1
         while stack:
             i, lo, n = stack.pop()
-            if lo + n <= size or self.tree[i] & mask:
+            if lo + n <= size or self.tree[i] & skip:
                 continue
             if n > 1:
                 h = n // 2
@@ -74,7 +75,7 @@ def best_fit(sizes: list[int], masks: list[int], capacity: int) -> list[int]:
 
 
 def _masks(*columns: pd.Series) -> list[int]:
-    """A bit for each value that occurs twice at least, columns side by side; a first bit of its own for each row without."""
+    """A bit for each value that occurs twice at least, columns side by side; a row without any conflicts with none."""
     out, bit = [0] * len(columns[0]), 1
     for c in columns:
         codes, _ = pd.factorize(c, use_na_sentinel=False)
@@ -84,7 +85,7 @@ def _masks(*columns: pd.Series) -> list[int]:
             if o:
                 out[i] |= 1 << place.setdefault(code, bit + len(place))
         bit += len(place)
-    return [m or 1 << bit for m in out]
+    return out
 
 
 def pack(docs: DataFrame, capacity: int = 1024, cluster: str | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
