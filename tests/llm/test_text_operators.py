@@ -141,6 +141,30 @@ def test_chosen_spans():
     assert found("we met at home. on 2021-03-04 at page 12") == []
 
 
+def test_numbers_side_by_side():
+    text = "a 212-555-1234 /(212) 555-9876 [12] 2021-03-04"
+    groups = [m.span() for m in re.finditer("[0-9]+", text)]
+    want = {"ip": set(), "card": set(), "phone": set()}
+    for i in range(len(groups)):
+        for j in range(i, len(groups)):
+            n, start = sum(e - s for s, e in groups[i : j + 1]), groups[i][0] - (text[groups[i][0] - 1] in "([+")
+            for kind, lo, hi in (("ip", 4, 12), ("card", 15, 19), ("phone", 7, 15)):
+                if lo <= n <= hi and (kind != "ip" or j - i == 3):
+                    want[kind].add((kind, start, groups[j][1]))
+    assert set(pii.candidates(text)) == set().union(*want.values()) and len(pii.candidates(text)) == sum(map(len, want.values()))
+
+    boost, cut = pii.model()
+    found = lambda t: [(k, t[s:e]) for k, s, e, *_ in pii.spans(t, boost, cut)]
+    two = [("phone", "212-555-1234"), ("phone", "212-555-9876")]
+    assert found("212-555-1234 212-555-9876") == found("call 212-555-1234 / 212-555-9876 now") == two
+    many = [f"212-555-{i:04d}" for i in range(1000, 1040)]
+    for gap in (" ", " / "):
+        assert found("call " + gap.join(many)) == [("phone", x) for x in many]
+    assert found("call +1 (275) 555-2469 / 212-555-9876") == [("phone", "+1 (275) 555-2469"), two[1]]
+    assert two[1] in found("order 12345678 212-555-9876") and two[1] in found("on 2021-03-05 212-555-9876 rang")
+    assert found("on 2021-03-04 2021-03-05 2021-03-06") == []
+
+
 def test_pii_odd(spark, odd):
     rows = pii.detect(odd).collect()
     assert len(rows) == len(ODD) and [len(r.spans) for r in rows if r.doc_id is None] == [2]

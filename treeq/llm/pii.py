@@ -1,7 +1,7 @@
 """Personal data: base patterns that always count, and candidates that boosted trees choose from.
 
-Generators with high recall propose spans that may overlap: written-out addresses ("ann (at) mail dot com"), numbers
-with unusual separators, national phone numbers without a plus. Boosted trees score each by its format and its context;
+Generators with high recall propose spans that may overlap: written-out addresses ("ann (at) mail dot com"), and of runs of
+digits every part of whole groups that has as many digits as a number of some kind, so that of numbers side by side each is proposed. Boosted trees score each by its format and its context;
 a threshold per kind, calibrated for precision on examples that were not fitted, selects; of selected spans that
 overlap, the best-scored stays. A base span is never dropped, and no added span overlaps one.
 """
@@ -9,8 +9,10 @@ overlap, the best-scored stays. A base span is never dropped, and no added span
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -77,6 +79,9 @@ DOT = re.compile(r"(?i)\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s|\.")
 LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
 RUN = re.compile(r"(?<![0-9A-Za-z])[+(\[]?[0-9](?:[\x20().\-/\[\] ‐-–]{0,3}[0-9])+")
+GROUP = re.compile("[0-9]+")
+#: Groups of digits that a span of digits leaves outside, right beside it.
+LEFT_OF, RIGHT_OF = re.compile(r"([0-9]+)([\x20().\-/\[\] ‐-–]{1,3})\Z"), re.compile(r"([\x20().\-/\[\] ‐-–]{1,3})([0-9]+)")
 MARK = re.compile(r"(?i)[(\[{<]\s?dot|\sdot\s|[(\[{<]\s?at\s?[)\]}>]|@")
 
 
@@ -94,13 +99,21 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 out.append(("email", m.start() - len(left[0]), end))
     if DIGIT.search(text):
         for m in RUN.finditer(text):
-            n = len(_digits(m[0])) if m.end() - m.start() < 64 else 0
-            if 4 <= n <= 12 and len(re.findall("[0-9]+", m[0])) == 4:
-                out.append(("ip", *m.span()))
-            if 15 <= n <= 19:
-                out.append(("card", *m.span()))
-            if 7 <= n <= 15:
-                out.append(("phone", *m.span()))
+            groups = [g.span() for g in GROUP.finditer(text, *m.span())]
+            for i, (start, _) in enumerate(groups):
+                start -= start > m.start() and text[start - 1] in "+(["
+                n = 0
+                for j in range(i, len(groups)):
+                    n += groups[j][1] - groups[j][0]
+                    if n > 19:
+                        break
+                    end = groups[j][1]
+                    if 4 <= n <= 12 and j - i == 3:
+                        out.append(("ip", start, end))
+                    if 15 <= n <= 19:
+                        out.append(("card", start, end))
+                    if 7 <= n <= 15:
+                        out.append(("phone", start, end))
     return out
 
 
@@ -122,7 +135,16 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     near = re.findall("[a-z]+", before)[-4:] + re.findall("[a-z]+", after)[:3]
     cue = CUES[kind].split()
     tail = re.findall("[A-Za-z0-9-]+", span)[-1:] or [""]
+    inner = re.findall(r"(?<=[0-9])[^0-9A-Za-z]+(?=[0-9])", span) if kind != "email" else []
+    left, right = (LEFT_OF.search(text[max(0, start - 24) : start]), RIGHT_OF.match(text, end)) if kind != "email" else (None, None)
+    gaps = [m[k] if m else "" for m, k in ((left, 2), (right, 1))]
+    lens = [*map(len, groups[:4]), 0, 0, 0, 0][:4]
     return [
+        float(bool(left) and "+" in text[max(0, start - 6) : start]), float(len(set(map(len, groups))) == 1),
+        # beside it: digits, a gap as within it, a blank, how long; within it: unlike gaps, lengths of groups
+        *(x for m, gap, k in ((left, gaps[0], 1), (right, gaps[1], 2)) for x in (float(len(m[k]) if m else 0), float(bool(gap) and gap in inner), float(" " in gap), float(len(gap)))),
+        float(len(set(inner))), float(sum(" " in g for g in inner)), float(max(map(len, inner), default=0)), *map(float, lens), float(len(groups[-1]) if groups else 0),
+        float(lens[:3] == [3, 3, 4] and len(groups) == 3), float(len(groups) == 3 and lens[0] == 4 and lens[1] <= 2 and lens[2] <= 2),
         *(float(kind == k) for k in KINDS), float(len(span)), float(len(digits)), float(len(groups)), float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
         float(sum(map(span.count, ".[]"))), float(span.count("-")), float(sum(map(span.count, "  "))), float(span.count("/")), float(span[:1] in "+("), float(sum(map(span.count, "()"))),
         float(len(digits) > 14 and luhn(digits)), float(len(groups) == 4 and all(_byte(g) for g in groups)), float(tail[0].lower() in TLDS), float(bool(re.search(r"[(\[{<]\s?(at|@)", span, re.I))), float(bool(re.search(r"[(\[{<]\s?dot|\sdot\s", span, re.I))),
@@ -130,8 +152,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-def _examples(n: int, seed: int) -> Iterator[tuple[str, int, int]]:
-    """(text, start, end) of made-up lines: with personal data at start:end, or with something that only looks like it (end 0)."""
+def _examples(n: int, seed: int) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """(text, spans) of made-up lines: personal data at the spans (kind, start, end); what is beside them only looks like it.
+
+    Two in five lines have several numbers or addresses side by side, of one kind or of any."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[rng.integers(len(x))]
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
@@ -141,9 +165,7 @@ def _examples(n: int, seed: int) -> Iterator[tuple[str, int, int]]:
         d = "4" + num(14)
         return d + next(c for c in "0123456789" if luhn(d + c))
 
-    for _ in range(n):
-        kind, real = pick(*KINDS), rng.random() < 0.5
-        cue = pick(*CUES[kind].split()) if rng.random() < (0.6 if real else 0.15) else word()
+    def one(kind: str, real: bool) -> str:
         if kind == "email":
             at, dot = (pick(" (at) ", "(at)", " [at] ", "[at]", " at ", " @ "), pick(" (dot) ", "[dot]", " dot ", ".", "(dot)")) if real else (pick(" at ", " @ ", " at "), pick(".", " dot ", "."))
             if real and at == " at " and dot == ".":
@@ -157,19 +179,32 @@ def _examples(n: int, seed: int) -> Iterator[tuple[str, int, int]]:
             span = pick(".", " ", "  ", "/", " - ").join(d[i : i + 4] for i in range(0, len(d), 4)) if real or rng.random() < 0.5 else d
         else:
             a, b, c = num(3), num(3), num(4)
-            span = pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{num(2)} {a} {b}{c}", f"0{num(2)}/{b}{c}", f"0{num(2)} {b} {c}") if real else pick(f"20{num(2)}-{num(2)}-{num(2)}", num(8), f"{num(2)}/{num(2)}/20{num(2)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(1)}.{num(3)}.{num(3)}", num(10), f"{num(4)}-{num(4)}", num(16))
-        lead = f"{word()} {word()} {cue}{pick(' ', ': ', ' is ')}"
-        yield f"{lead}{span}{pick(' ', '. ', ', ')}{word()} {word()}", len(lead), (len(lead) + len(span)) if real else 0
+            span = pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{num(2)} {a} {b}{c}", f"0{num(2)}/{b}{c}", f"0{num(2)} {b} {c}", f"{a} {b} {c}", f"+{num(1)} ({a}) {b}-{c}", f"+{num(2)} {a} {b}{c}") if real else pick(f"20{num(2)}-{num(2)}-{num(2)}", num(8), f"{num(2)}/{num(2)}/20{num(2)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(1)}.{num(3)}.{num(3)}", num(10), f"{num(4)}-{num(4)}", num(16))
+        return span
+
+    for _ in range(n):
+        kind, real, several = pick(*KINDS), rng.random() < 0.5, rng.random() < 0.4
+        cue = pick(*CUES[kind].split()) if rng.random() < (0.6 if real else 0.15) else word()
+        text, found = f"{word()} {word()} {cue}{pick(' ', ': ', ' is ')}", []
+        gap, same = pick(" ", " ", " / ", "/", " - ", ", ", "; "), rng.random() < 0.6
+        for i in range(rng.integers(2, 8) if several else 1):
+            k, r = (kind, real ^ (i > 0 and rng.random() < 0.25)) if not i or same else (pick(*KINDS), rng.random() < 0.5)
+            span = one(k, r)
+            text += gap if i else ""
+            if r:
+                found.append((k, len(text), len(text) + len(span)))
+            text += span
+        yield f"{text}{pick(' ', '. ', ', ')}{word()} {word()}", found
 
 
 @cache
 def model(n: int = 6000, seed: int = 5, precision: float = 0.99) -> tuple[Boost, tuple[float, ...]]:
     """Trees fitted on made-up examples (two thirds), and the lowest threshold per kind with that precision on the rest."""
     x, y, held, kinds = [], [], [], []
-    for i, (text, start, end) in enumerate(_examples(n, seed)):
+    for i, (text, found) in enumerate(_examples(n, seed)):
         for kind, s, e in candidates(text):
             x.append(features(text, kind, s, e))
-            y.append(float(end > 0 and s < end and e > start and min(e, end) - max(s, start) >= 0.8 * (max(e, end) - min(s, start)) and {"email": "@" in text or "at" in text, "card": e - s > 14, "phone": len(_digits(text[s:e])) < 15}.get(kind, True)))
+            y.append(float(any(k == kind and s < end and e > start and (min(e, end) - max(s, start) >= 0.8 * (max(e, end) - min(s, start)) if kind == "email" else _digits(text[s:e]) == _digits(text[start:end])) for k, start, end in found)))
             held.append(i % 3 == 0)
             kinds.append(KINDS.index(kind))
     x, y, held, kinds = np.array(x), np.array(y), np.array(held), np.array(kinds)
@@ -184,16 +219,28 @@ def model(n: int = 6000, seed: int = 5, precision: float = 0.99) -> tuple[Boost,
     return boost, tuple(cut)
 
 
+def _outside(some: list[tuple[str, int, int]], base: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Those that touch no base span (which may overlap one another: of those that begin before a place, the last end counts)."""
+    base = sorted(base)
+    starts, ends = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+    return [c for c in some if not (at := bisect_left(starts, c[2])) or ends[at - 1] <= c[1]]
+
+
 def spans(text: str | None, boost: Boost, cut: tuple[float, ...]) -> list[tuple[str, int, int, float, bool]]:
     """All spans of a text: (kind, start, end, score, is base), by kind as in KINDS, then by place."""
     text = text or ""
     found = [(*s, 1.0, True) for s in base_spans(text)]
-    if more := [c for c in candidates(text) if not any(c[1] < e and c[2] > s for _, s, e, *_ in found)]:
-        p = boost.predict(np.array([features(text, *c) for c in more]))
-        taken: list[tuple[int, int]] = []
-        for score, c in sorted(zip(p, more, strict=True), key=lambda x: (-x[0], x[1])):
-            if score >= cut[KINDS.index(c[0])] and not any(c[1] < e and c[2] > s for s, e in taken):
-                taken.append(c[1:])
+    if more := _outside(candidates(text), [s[1:3] for s in found]):
+        good = []
+        for lo in range(0, len(more), 4096):
+            some = more[lo : lo + 4096]
+            p = boost.predict(np.array([features(text, *c) for c in some]))
+            good += [(score, c) for score, c in zip(p, some, strict=True) if score >= cut[KINDS.index(c[0])]]
+        taken: list[tuple[int, int]] = []  # in order and apart, so only neighbours can overlap
+        for score, c in sorted(good, key=lambda x: (-x[0], x[1])):
+            at = bisect_left(taken, c[1:])
+            if not any(c[1] < e and c[2] > s for s, e in taken[max(0, at - 1) : at + 1]):
+                taken.insert(at, c[1:])
                 found.append((*c, float(score), False))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 
