@@ -62,7 +62,7 @@ def _absent(block: list[tuple], bound: dict[str, Column]) -> Column:
 
 
 def match(sents: DataFrame, pattern: Pattern, *keys: str) -> DataFrame:
-    """A row per binding: key columns, a struct column per node, and `ids`, the sorted word ids."""
+    """A row per binding: key columns, a struct column per node, and `ids`, the sorted word ids. Nodes bind words only, neither empty words nor the root."""
     rows = sents
     for test in pattern.tests:
         rows = rows.where(test())
