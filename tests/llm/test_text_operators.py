@@ -98,6 +98,17 @@ def test_language_odd(spark, odd):
     assert langid.langid(odd.limit(0)).count() == 0
 
 
+def test_fitted_rows_are_bounded(spark):
+    docs = spark.range(900).selectExpr("if(id < 300, 7, id) AS doc_id", "concat('text ', id) AS text", "if(id % 2 = 0, 'en', 'de') AS lang")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")
+    for rows, limit in ((quality.labelled(docs, labels, 1000), 1000), (quality.labelled(docs, labels, 50), 50), (langid.labelled(docs, 1000), 1000), (langid.labelled(docs, 50), 50)):
+        got = rows.collect()
+        assert 0 < len(got) == len({r.doc_id for r in got}) <= limit
+        assert sorted(map(str, got)) == sorted(map(str, rows.collect()))
+    texts = {r.doc_id: (r.text, r.lang) for r in langid.labelled(docs, 1000).collect()}
+    assert all(lang == ("en" if int(t.split()[1]) % 2 == 0 else "de") for t, lang in texts.values())
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

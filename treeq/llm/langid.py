@@ -169,10 +169,11 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, run: int = 32, seed
 
 
 def labelled(docs: DataFrame, limit: int = MAX_LABELLED, fold: int = 5) -> DataFrame:
-    """(doc_id, text, lang) of at most `limit` documents that have a language, outside the held-out fold, by a hash of the id."""
+    """(doc_id, text, lang) of at most `limit` documents that have a language, outside the held-out fold, by a hash of the id; of rows that repeat an id, one, by a hash of the text."""
     rows = docs.where("lang is not null").where(F.length("text") <= MAX_CHARS).where(crc_mod("doc_id", fold) != 0)
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(29)), "doc_id").limit(limit)
-    return rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    one = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "lang")).alias("one")
+    return rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.lang")
 
 
 def train(docs: DataFrame, limit: int = MAX_LABELLED) -> Field:

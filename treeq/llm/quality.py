@@ -142,11 +142,12 @@ def fit(texts: list[str], y: list[int], epochs: int = 6, batch: int = 64, seed:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """(text, quality) of at most `limit` labelled documents outside the held-out fold, chosen by a hash of the id."""
+    """(text, quality) of at most `limit` labelled documents outside the held-out fold, chosen by a hash of the id; of rows that repeat an id, one, by a hash of the text."""
     y = labels.where("quality in (0, 1) and doc_id is not null")
     y = y.where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").where(F.length("text") <= MAX_CHARS).select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").where(F.length("text") <= MAX_CHARS)
+    return rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Net:
