@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,25 +23,83 @@ _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local session gets a folder of its own
+    (all of it is one machine); on a cluster that could not work, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="treeq-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+#: Where the tables of `cut` are, by the identity of their DataFrame.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from Parquet files in the shared folder: short lineage, and safe from lost executors."""
+    """The same rows, read from Parquet files in the shared folder: short lineage, and safe from lost executors.
+
+    The files stay for as long as results may be computed from them; `drop` removes those that were only a step.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/treeq-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `cut` wrote and that nothing will read again."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ranked(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """df with the rank of each row, from 1, in this order: one range sort, then an offset per partition. Equal rows are in any order."""
+    part, row = free(df, "part"), free(df, "row")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    here = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = cut(rows.withColumn(part, F.spark_partition_id()).withColumn(row, here))
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))  # a row per partition
+    out = rows.join(F.broadcast(before.withColumnRenamed("n", name)), part)
+    return out.withColumn(name, F.col(name) + F.col(row) + 1).drop(part, row)
+
+
+def repeated(df: DataFrame, copies: str, name: str, step: int = 1024) -> DataFrame:
+    """Each row as often as its column `copies` says, numbered from 1 in a new column.
+
+    Rows of more than `step` copies first become rows of at most so many, which are dealt anew, so counts may be of any size.
+    """
+    few = df.where(F.col(copies) <= step).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    many = df.where(F.col(copies) > step)
+    many = many.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / step).cast("long"))))
+    many = many.repartition(name, *df.columns)
+    first = F.col(name) * step
+    return few.unionByName(many.withColumn(name, F.explode(F.sequence(first + 1, F.least(F.col(copies), first + step)))))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows with whole texts go to Python at most BATCH_ROWS at a time: the default of 10000 can be hundreds of MB on either side."""
+    """Rows with whole texts go to Python at most BATCH_ROWS at a time: the default of 10000 can be hundreds of MB on either side.
+
+    This is a setting of the session, read when a plan runs, so it stays as it is set here."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))

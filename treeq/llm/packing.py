@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, repeated
 from .mixing import n_words
 
 #: Pieces of one shard, about.
@@ -93,30 +93,37 @@ def pack(docs: DataFrame, capacity: int = 1024, cluster: str | None = None, shar
 
     cluster names a column of docs that tells duplicates; without one, texts that are equal but for case and blanks
     form a cluster. Words are runs of characters other than blank and tab to carriage return. A text that is null or has no
-    word has one row, without a bin. A null source or cluster is a value like others. Rows that are repeated are packed
-    each on its own; no row is dropped. Other columns are left out; an empty table gives no rows.
+    word has one row, without a bin; a text of any length becomes pieces of whole bins and a rest. Ids may be numbers or strings. A null
+    id, source or cluster is a value like others. Rows that are repeated are packed each on its own; no row is dropped. Pieces of
+    one size are placed in order of the id's text, cluster, source and copy. Other columns are left out, whatever their names; an empty table gives no rows.
     """
-    same = F.col(cluster).cast("string") if cluster else F.md5(F.lower(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " ")).cast("binary"))
-    rows = docs.select("doc_id", "source", same.alias("cluster"), n_words().alias("size")).groupBy("doc_id", "source", "cluster", "size").agg(F.count("*").alias("copies"))
-    rows = cut(rows)
+    plain = F.lower(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    same = F.col(cluster).cast("string") if cluster else F.md5(plain.cast("binary"))
+    rows = docs.select("doc_id", "source", same.alias("cluster"), n_words().alias("size"))
+    rows = cut(rows.groupBy("doc_id", "source", "cluster", "size").agg(F.count("*").alias("copies")))
     whole = F.floor(F.col("size") / capacity).cast("long")
-    one = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), whole.alias("whole"), (F.col("size") - whole * capacity).alias("rest"))
+    one = repeated(rows, "copies", "copy").select("*", whole.alias("whole"), (F.col("size") - whole * capacity).alias("rest"))
     total = rows.where((F.col("size") % capacity) > 0).agg(F.sum("copies")).first()[0] or 0
     shards = max(1, -(-total // shard_rows))
-    rest = one.where("rest > 0").select("doc_id", "source", "cluster", F.col("whole").alias("piece"), "copy", F.col("rest").alias("n_words"), F.pmod(F.xxhash64("doc_id", "cluster", "copy", "source"), F.lit(shards)).alias("shard"))
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "copy", "source", "size"), F.lit(shards))
+    rest = one.where("rest > 0").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "cluster", F.col("whole").alias("piece"), "copy", F.col("rest").alias("n_words"), shard.alias("shard"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "doc_id", "cluster", "source", "copy"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
+        order = ["n_words", "doc_id", "cluster", "source", "copy"]
+        pdf = pdf.sort_values(order, ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         pdf["k"] = best_fit(pdf.n_words.tolist(), _masks(pdf.source, pdf.cluster), capacity)
         pdf["bin_words"] = pdf.groupby("k").n_words.transform("sum")
         pdf["bin"] = "s" + pdf["shard"].astype(str) + "-" + pdf.k.astype(str)
-        return pdf[["doc_id", "source", "cluster", "piece", "n_words", "bin", "bin_words"]].astype({"doc_id": "Int64"})
-
-    fields = "doc_id, source, cluster, piece, n_words, bin, bin_words"
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    packed = rest.groupBy("shard").applyInPandas(run, f"doc_id {types['doc_id']}, source {types['source']}, cluster string, piece long, n_words long, bin string, bin_words long")
-    full = one.where("whole > 0").select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("piece"), F.lit(capacity).cast("long").alias("n_words"), "copy")
-    full = full.withColumn("bin", F.concat_ws("-", F.lit("f"), "doc_id", F.xxhash64("source", "cluster"), "copy", "piece")).withColumn("bin_words", F.lit(capacity).cast("long")).drop("copy")
-    none = one.where("size = 0").select("doc_id", "source", "cluster", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("bin_words"))
-    out = full.select(*fields.split(", ")).unionByName(packed).unionByName(none)
+        return pdf[fields]
+
+    fields = ["doc_id", "source", "cluster", "piece", "n_words", "bin", "bin_words"]
+    kinds = f"doc_id string, source {types['source']}, cluster string, piece long, n_words long, bin string, bin_words long"
+    packed = rest.groupBy("shard").applyInPandas(run, kinds).withColumn("doc_id", F.col("doc_id").cast(types["doc_id"]))
+    full = one.where("whole > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
+    name = F.concat_ws("-", F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("source", "cluster", "size"), "copy", "piece")
+    full = full.select("doc_id", "source", "cluster", "piece", F.lit(capacity).cast("long").alias("n_words"), name.alias("bin"), F.lit(capacity).cast("long").alias("bin_words"))
+    zero = F.lit(0).cast("long")
+    none = one.where("size = 0").select("doc_id", "source", "cluster", zero.alias("piece"), zero.alias("n_words"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("bin_words"))
+    out = full.unionByName(packed.select(*fields)).unionByName(none)
     return out.withColumn("first_word", F.col("piece") * capacity)
