@@ -25,14 +25,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     # tables of one task per TASK_ROWS edges: a loop over many tiny files would take longer than its work
     parts = max(1, -(-e.count() // TASK_ROWS))
     save = lambda df: cut(df.coalesce(parts))
+    # minima are written before they are joined: AQE splits a hub's edges only if both sides of a join are plain exchanges.
+    # A table of one task has nothing to split, so there they are not.
+    keep = save if parts > 1 else lambda df: df
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # minima are written before they are joined: AQE splits a hub's edges only if both sides of a join are plain exchanges
-        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = save(large.distinct())
-        least = save(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         pairs = F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))
         small = large.join(least, "u").select(F.explode(pairs).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         done, e = e, save(small.where("u <> v").distinct())

@@ -66,6 +66,7 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier,
 #: Reachability over a table link(a, b) that has both directions: least(node, root).
 _REACH = """reach AS (SELECT a AS node, a AS root FROM link UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node),
  least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+_HOST = r"coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _TOKENS = r"regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
@@ -85,11 +86,23 @@ ORACLES: dict[str, str] = {
  k AS (SELECT doc_id, s, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM h),
  p AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS z FROM k GROUP BY doc_id, k)
  SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_words, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM p GROUP BY doc_id""",
-    # without canonical links and refreshes, of which the tables have none: aliases by address only
-    "op8_url_filter": r"""WITH u AS (SELECT page_id, url, coalesce(html, '') AS html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    # of links in pages, canonical ones that are whole addresses
+    "op8_url_filter": rf"""WITH RECURSIVE u AS (SELECT page_id, url, coalesce(html, '') AS html, {_HOST.format("url")} AS host,
+   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
  r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(v, h, p)),
- j AS (SELECT page_id, host, path, url, html, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS said FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
- f AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '(?i)(/index)?\.html?$', '') || coalesce('?' || nullif(regexp_replace(regexp_replace(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '(?:^|&)(?:utm_[^&=]*|ref|fbclid|gclid)(?:=[^&]*)?', '', 'g'), '^&', ''), ''), '') END AS alias FROM j),
- g AS (SELECT alias, min(said) AS said FROM f WHERE alias IS NOT NULL GROUP BY alias)
- SELECT page_id, host, path, rule, coalesce(f.said, g.said, 'allow') AS verdict FROM f LEFT JOIN g USING (alias)""",
+ j AS (SELECT page_id, host, path, url, html, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS said
+   FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+ c AS (SELECT url, regexp_extract(regexp_extract(html, '(?i)<link\s(?:[^>]*\s)?rel\s*=\s*["'']?canonical["'']?[^>]*>'), '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM j WHERE contains(url, '://')),
+ l AS (SELECT url, replace(href, '&amp;', '&') AS href FROM c WHERE contains(href, '://')),
+ w0 AS (SELECT DISTINCT url AS a, regexp_replace(url, '(?s)#.*', '') AS x FROM (SELECT url FROM j UNION ALL SELECT href FROM l) WHERE contains(url, '://')),
+ w1 AS (SELECT a, split_part(x, '?', 1) || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(x, '(?s)^[^?]*\?(.*)', 1), '&'),
+   lambda q: NOT regexp_matches(q, '(?s)^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$')), '&'), ''), '') AS b FROM w0),
+ w2 AS (SELECT a, b, 'https://' || regexp_replace(regexp_replace({_HOST.format("b")}, ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(b, '(?s)^.*?://[^/?#]*', '') AS c FROM w1),
+ w3 AS (SELECT *, regexp_extract(split_part(c, '?', 1), '^(https://[^/]*)', 1)
+   || regexp_replace(regexp_replace(regexp_extract(split_part(c, '?', 1), '(?s)^https://[^/]*(.*)', 1), '/+$', ''), '(?i)(/index)?\.html?$', '') || regexp_extract(c, '(?s)^[^?]*(\?.*)', 1) AS d FROM w2),
+ step AS (SELECT a, b FROM w3 UNION SELECT b, c FROM w3 UNION SELECT c, d FROM w3 UNION SELECT url, href FROM l),
+ link AS (SELECT a, b FROM step WHERE a <> b UNION SELECT b, a FROM step WHERE a <> b), {_REACH},
+ n AS (SELECT j.*, coalesce(root, url) AS comp FROM j LEFT JOIN least ON node = url),
+ g AS (SELECT comp, min(said) AS via FROM n WHERE url IS NOT NULL GROUP BY comp)
+ SELECT page_id, host, path, rule, coalesce(said, via, 'allow') AS verdict FROM n LEFT JOIN g USING (comp)""",
 }
