@@ -118,6 +118,14 @@ def crc_mod(id_col: str, m: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
+def excerpt(text: Column, chars: int, pieces: int = 16) -> Column:
+    """A text of up to `chars` characters; of a longer one, equal pieces that begin at equal distances, the last at its end."""
+    size = chars // pieces
+    start = lambda i: F.floor(i * (F.length(text) - size) / (pieces - 1)).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, start(i), F.lit(size)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(parts, " "))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: spreads the bits of uint64 values."""
     x = x.astype(np.uint64, copy=True)

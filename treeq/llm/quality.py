@@ -16,23 +16,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, text_steps, with_fields
+from .common import crc_mod, excerpt, small_batches, text_steps, with_fields
 
 BLOCK, CHUNK, STRIDE = 64, 4, 2  # bytes in a block; blocks in a chunk; blocks from one chunk to the next
 DIM, TAP, FILTERS, HIDDEN = 8, 4, 24, 24  # byte embedding; bytes in half a filter; filters; hidden units
 LAGS = range(1, 25)
-#: Labelled rows that are fitted on, at most: the first by a hash of the id; longer texts than this are not fitted on.
-MAX_LABELLED, MAX_CHARS = 4000, 50_000
+#: Labelled rows that are fitted on, at most: the first by a hash of the id; characters of one text that are fitted on, at most:
+#: of a longer text, `excerpt` takes pieces from its beginning to its end.
+MAX_LABELLED, FIT_CHARS = 4000, 32_768
+#: Blocks of a text that are worked on at once when it is scored.
+SLICE = 4096
 
 
-def _pad(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with each document filled up with zeros to whole blocks (one at least), and the first block of each."""
+def _pad(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with each document filled up with zeros to whole blocks (one at least), after a block of zeros that keeps it apart
+    from the one before; the first block of each document, and where it ends."""
     size = np.diff(offs)
     blocks = np.maximum(1, -(-size // BLOCK))
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    out = np.zeros(first[-1] * BLOCK, np.uint8)
-    out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - offs[:-1], size)] = data
-    return out, first
+    end = np.cumsum(blocks + 1)
+    first = end - blocks
+    out = np.zeros((end[-1] + 1) * BLOCK, np.uint8)
+    out[np.arange(len(data)) + np.repeat(first * BLOCK - offs[:-1], size)] = data
+    return out, first, end
 
 
 def _matches(data: np.ndarray) -> np.ndarray:
@@ -48,14 +53,13 @@ def _matches(data: np.ndarray) -> np.ndarray:
     return np.stack([best, total / len(LAGS)], 1)
 
 
-def _chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunks(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end block of each chunk, and the document's first chunk."""
-    blocks = np.diff(first)
-    count = np.maximum(1, -(-(blocks - CHUNK) // STRIDE) + 1)
+    count = np.maximum(1, -(-(last - first - CHUNK) // STRIDE) + 1)
     at = np.concatenate([[0], np.cumsum(count)])
     local = np.arange(at[-1]) - np.repeat(at[:-1], count)
-    begin = np.repeat(first[:-1], count) + local * STRIDE
-    return begin, np.minimum(begin + CHUNK, np.repeat(first[1:], count)), at
+    begin = np.repeat(first, count) + local * STRIDE
+    return begin, np.minimum(begin + CHUNK, np.repeat(last, count)), at
 
 
 class Net:
@@ -77,24 +81,49 @@ class Net:
         self.moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.w.items()}
         self.steps = 0
 
-    def forward(self, data: np.ndarray, offs: np.ndarray, keep: bool = False):
+    def _blocks(self, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(taps' embeddings, rectified filters, features of each block) of whole blocks of bytes."""
         w = self.w
-        padded, first = _pad(data, offs)
-        begin, end, at = _chunks(first)
         x = w["emb"][padded].reshape(-1, TAP * DIM)
         z = x @ w["near"] + w["fb"]
         z[:-1] += x[1:] @ w["next"]
         np.maximum(z, 0, out=z)
-        per = BLOCK // TAP
-        block = np.concatenate([z.reshape(-1, per, FILTERS).mean(1), _matches(padded)], 1)
+        return x, z, np.concatenate([z.reshape(-1, BLOCK // TAP, FILTERS).mean(1), _matches(padded)], 1)
+
+    def _pooled(self, block: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray):
+        """(blocks, features, hidden units of each chunk; the largest of each document) from features of blocks."""
         total = np.concatenate([np.zeros((1, block.shape[1]), np.float64), np.cumsum(block, 0, dtype=np.float64)])
         size = (end - begin)[:, None]
         feat = ((total[end] - total[begin]) / size).astype(np.float32)
-        h = np.tanh(feat @ w["hid"] + w["hb"])
-        top = np.maximum.reduceat(h, at[:-1], 0)
-        p = 1 / (1 + np.exp(-np.clip(top @ w["out"] + w["ob"][0], -30, 30).astype(np.float64)))
+        h = np.tanh(feat @ self.w["hid"] + self.w["hb"])
+        return size, feat, h, np.maximum.reduceat(h, at[:-1], 0)
+
+    def _chance(self, top: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(top @ self.w["out"] + self.w["ob"][0], -30, 30).astype(np.float64)))
+
+    def forward(self, data: np.ndarray, offs: np.ndarray, keep: bool = False):
+        """The probability of each document; but for rounding, it doesn't depend on the others."""
+        padded, first, last = _pad(data, offs)
+        begin, end, at = _chunks(first, last)
+        x, z, block = self._blocks(padded)
+        size, feat, h, top = self._pooled(block, begin, end, at)
+        p = self._chance(top)
         return (p, padded, x, z, begin, end, at, size, feat, h, top) if keep else p
 
+    def long(self, data: np.ndarray, slice_: int = SLICE) -> float:
+        """The probability of one document of any length, slice by slice: only the largest units so far are carried on."""
+        blocks, top = max(1, -(-len(data) // BLOCK)), None
+        for a in range(0, max(1, blocks - CHUNK + STRIDE), slice_):
+            b = min(blocks, a + slice_ + CHUNK - STRIDE)
+            # the block before and the one after, or zeros
+            padded = np.zeros((b - a + 2) * BLOCK, np.uint8)
+            lo, hi = max(0, (a - 1) * BLOCK), min(len(data), (b + 1) * BLOCK)
+            padded[lo - (a - 1) * BLOCK :][: hi - lo] = data[lo:hi]
+            begin, end, at = _chunks(np.array([1]), np.array([b - a + 1]))
+            most = self._pooled(self._blocks(padded)[2], begin, end, at)[3]
+            top = most if top is None else np.maximum(top, most)
+        return float(self._chance(top)[0])
+
     def step(self, data: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> float:
         w = self.w
         p, padded, x, z, begin, end, at, size, feat, h, top = self.forward(data, offs, True)
@@ -142,12 +171,14 @@ def fit(texts: list[str], y: list[int], epochs: int = 6, batch: int = 64, seed:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """(text, quality) of at most `limit` labelled documents outside the held-out fold, chosen by a hash of the id; of rows that repeat an id, one, by a hash of the text."""
+    """(doc_id, text, quality) of at most `limit` labelled documents outside the held-out fold, chosen by a hash of the id; of rows
+    that repeat an id, one, by a hash of the text; of long texts, `excerpt`."""
     y = labels.where("quality in (0, 1) and doc_id is not null")
     y = y.where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").where(F.length("text") <= MAX_CHARS)
-    return rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("text", excerpt(F.col("text"), FIT_CHARS))
+    return rows.groupBy("doc_id", "quality").agg(F.min_by("text", "h").alias("text")).select("doc_id", "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Net:
@@ -156,9 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Net:
     return fit([r.text for r in rows], [r.quality for r in rows])
 
 
-def score(docs: DataFrame, net: Net) -> DataFrame:
-    """docs with `score`, the probability of label 1 of each whole text; null and empty texts score as empty."""
-    columns = [c for c in docs.columns if c.lower() not in ("score", "text")]
+def score(docs: DataFrame, net: Net, name: str = "score") -> DataFrame:
+    """docs with a column of this name, the probability of label 1 of each whole text.
+
+    Null and empty texts score as empty; a text of any length is worked through in slices of bounded memory. A column of
+    that name is replaced; all others, nulls in them and rows that are repeated stay as they are; an empty table gives no rows.
+    """
+    columns = [c for c in docs.columns if c.lower() not in (name.lower(), "text")]
     weights = net.w
     small_batches(docs.sparkSession)
 
@@ -166,13 +201,20 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
         net = Net()
         net.w = weights
         for b in batches:
-            p = [net.forward(data, offs) for _, _, data, offs in text_steps(b.column("text"), limit=1 << 18)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), b.column("text"), pa.array(np.concatenate(p) if p else [], pa.float64())], [*columns, "text", "score"])
+            p = [np.zeros(0)]
+            for _, _, data, offs in text_steps(b.column("text"), limit=SLICE * BLOCK):
+                p.append(net.forward(data, offs) if len(data) <= SLICE * BLOCK else np.array([net.long(data)]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), b.column("text"), pa.array(np.concatenate(p), pa.float64())], [*columns, "text", name])
 
     kept = docs.select(*columns, "text")
-    return kept.mapInArrow(run, with_fields(kept.schema, score="double"))
+    return kept.mapInArrow(run, with_fields(kept.schema, **{name: "double"}))
+
 
+def quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, score_as: str = "score", predicted_as: str = "predicted") -> DataFrame:
+    """docs with a score, and whether it is 0.5 or more as 1 or 0, in columns of the two names, which replace columns of that name.
 
-def quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """docs with score and predicted; nulls in any column and an empty table are fine, and rows stay as they are."""
-    return score(docs, train(docs, labels, limit)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    Nulls in any column, empty and very long texts, repeated rows, an empty table and columns of other names are fine (see `score`);
+    rows stay as they are. Without a label the score is an unfitted net's. A score of 0.5 counts as 1.
+    """
+    out = score(docs, train(docs, labels, limit), score_as)
+    return out.withColumn(predicted_as, (F.col(score_as) >= 0.5).cast("int"))
