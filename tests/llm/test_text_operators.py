@@ -51,6 +51,53 @@ def test_quality_gradient():
         net.w[name][:] = before
 
 
+def naive_score(net, raw):
+    """The forward pass byte by byte, as the module's text describes it."""
+    w, block, tap = {k: v.astype(float) for k, v in net.w.items()}, quality.BLOCK, quality.TAP
+    n = max(1, -(-len(raw) // block))
+    data = [0] * block + list(raw) + [0] * (n * block - len(raw)) + [0] * block
+    blocks = []
+    for b in range(1, n + 1):
+        filters = np.zeros(quality.FILTERS)
+        for t in range(b * block, (b + 1) * block, tap):
+            z = w["fb"].copy()
+            for name, at in (("near", t), ("next", t + tap)):
+                z += np.concatenate([w["emb"][data[i]] for i in range(at, at + tap)]) @ w[name]
+            filters += np.maximum(z, 0) / (block // tap)
+        share = [np.mean([i >= lag and data[i] == data[i - lag] for i in range(b * block, (b + 1) * block)]) for lag in quality.LAGS]
+        blocks.append(np.concatenate([filters, [max(share), np.mean(share)]]))
+    units = []
+    for c in range(max(1, -(-(n - quality.CHUNK) // quality.STRIDE) + 1)):
+        units.append(np.tanh(np.mean(blocks[c * quality.STRIDE : c * quality.STRIDE + quality.CHUNK], 0) @ w["hid"] + w["hb"]))
+    return 1 / (1 + np.exp(-(np.max(units, 0) @ w["out"] + w["ob"][0])))
+
+
+def test_quality_forward():
+    net, rng = quality.Net(3), np.random.default_rng(2)
+    net.w["fb"][:] = rng.normal(size=quality.FILTERS) * 0.1
+    raw = [bytes(rng.integers(97, 103, n).tolist()) for n in (0, 1, 63, 64, 65, 300, 1000, 1700)]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    want = [naive_score(net, x) for x in raw]
+    assert np.allclose(net.forward(data, offs), want, atol=1e-5)
+    for size in (2, 4, 16):  # slices of a text
+        assert np.allclose([net.long(np.frombuffer(x, np.uint8), size) for x in raw], want, atol=1e-5)
+
+
+def test_quality_keeps_columns(spark, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality.quality(odd, labels, score_as="p", predicted_as="good").collect()
+    assert sorted(str(r.score) for r in rows) == sorted(str(x[4]) for x in ODD) and all(0 <= r.p <= 1 for r in rows)
+
+
+def test_excerpts(spark):
+    text = "".join(chr(97 + i // 100 % 26) for i in range(40_000))
+    docs = spark.createDataFrame([(1, text, "en"), (2, "short", "de"), (3, None, "de")], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    for rows in (quality.labelled(docs, labels), langid.labelled(docs)):
+        for r in rows.collect():
+            assert len(r.text) <= 2 * quality.FIT_CHARS and (r.text == "short" if r.doc_id == 2 else r.text.startswith(text[:99]) and r.text.endswith(text[-99:]))
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality.quality(odd, labels).collect()
@@ -77,6 +124,28 @@ def test_forward_backward():
         assert np.allclose(got[a:b], want / want.sum(1, keepdims=True))
 
 
+def test_long_text_in_stretches():
+    f = langid.fit(["the cat and the dog with this"] * 40 + ["der hund und die katze nicht"] * 40, ["en"] * 40 + ["de"] * 40)
+    rng = np.random.default_rng(1)
+    for text in (" ".join(rng.choice("the cat der hund und 12 -- über nicht".split(), 700)), "12 " * 300 + "the dog" + " 7" * 400, "x" * 2000, "", "1 2"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _, want = langid.label_words(f, data, np.array([0, len(data)]))
+        if text != "x" * 2000:
+            parts = list(langid.label_long(f, data, 128))
+            assert np.allclose(np.concatenate([np.zeros((0, 2)), *(x[2] for x in parts)]), want, atol=1e-5)
+            assert sum((x[0].tolist() for x in parts), []) == starts.tolist() and sum((x[1].tolist() for x in parts), []) == ends.tolist()
+        else:
+            assert sum(len(x[0]) for x in langid.label_long(f, data, 128)) == 16  # a word of more than a stretch is cut
+
+
+def test_long_text_means(monkeypatch):
+    f = langid.fit(["the cat and the dog with this"] * 40 + ["der hund und die katze nicht"] * 40, ["en"] * 40 + ["de"] * 40)
+    data = np.frombuffer(("the dog und der hund " * 90).encode(), np.uint8)
+    whole = langid._means(f, data, np.array([0, len(data)]))
+    monkeypatch.setattr(langid, "SLICE", 100)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole, langid._means(f, data, np.array([0, len(data)])), strict=True))
+
+
 def test_language(spark, small):
     d = small.replace("sf0.001", "sf0.01")
     got = queries.op9_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
