@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest, gram_hashes, mix64, small_batches, span_hashes, text_steps, with_fields, words
+from .common import cut, digest, drop, gram_hashes, mix64, small_batches, span_hashes, text_steps, with_fields, words
 from .components import components
 
 PLACES = 64
@@ -192,8 +192,26 @@ def _split_pairs(members: DataFrame, least: float) -> DataFrame:
     return rows.select("path", "node", "sig").mapInPandas(run, "a binary, b binary")
 
 
-def _links(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with Jaccard similarity >= threshold: within a (i < j), or between a and b. Exact."""
+class Deltas:
+    """Sets by what they have besides a base that all of them share, and what of the base they lack."""
+
+    def __init__(self, plus: list[np.ndarray], minus: list[np.ndarray], base: int):
+        self.sides = (plus, minus)
+        self.base = base
+        self.size = np.array([base + len(p) - len(m) for p, m in zip(plus, minus, strict=True)])
+
+    def shared(self, other: Deltas | None) -> np.ndarray:
+        """The size of the intersection of each set with each of `other` (None: of the same)."""
+        other = other or self
+        lack = [np.array([len(x) for x in d.sides[1]]) for d in (self, other)]
+        both = self.base - lack[0][:, None] - lack[1].astype(np.float32)
+        for mine, its in zip(self.sides, other.sides, strict=True):
+            both += _common(mine, None if other is self else its)
+        return both
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """How many members each of the sets a has in common with each of b (None: with a)."""
     left = np.concatenate(a)
     right = left if b is None else np.concatenate(b)
     token, slot = np.unique(np.concatenate([left, right]), return_inverse=True)
@@ -219,19 +237,55 @@ def _links(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) ->
             d[r[x:y], c[x:y] - lo] = 1
             m.append(d)
         both += m[0] @ m[1].T
-    union = sizes[0][:, None] + sizes[1] - both
-    hit = both >= threshold * union - 1e-9
+    if b is None:  # tokens of one set only were left out
+        both[np.arange(len(a)), np.arange(len(a))] = sizes[0]
+    return both
+
+
+def _links(a: Deltas, b: Deltas | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with Jaccard similarity >= threshold: within a (i < j), or between a and b. Exact."""
+    both = a.shared(b)
+    hit = both >= threshold * (a.size[:, None] + (a if b is None else b).size - both) - 1e-9
     return np.nonzero(np.triu(hit, 1) if b is None else hit)
 
 
+def _members(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (grp, block, node, copies, text, model) with their sets as `plus` and `minus` against the set of the model's text, of
+    `base` members; without a model, the set is all in `plus`. Rows whose text is not the node's (a repeated id may bring another) go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plus, minus, base, keep = [], [], [], []
+            models: dict[str | None, np.ndarray] = {None: np.zeros(0, np.uint64)}
+            nodes, named = b.column("node").to_pylist(), b.column("model").to_pylist()
+            for m in set(named) - {None}:
+                models[m] = next(shingle_sets(pa.array([m], pa.string()), k))
+            for i, x in enumerate(shingle_sets(b.column("text"), k)):
+                if digest(x) == nodes[i]:
+                    of = models[named[i]]
+                    keep.append(i)
+                    plus.append(np.setdiff1d(x, of, assume_unique=True).tobytes())
+                    minus.append(np.setdiff1d(of, x, assume_unique=True).tobytes())
+                    base.append(len(of))
+            same = b.select(["grp", "blocks", "block", "node", "copies"]).take(pa.array(keep, pa.int64()))
+            more = [pa.array(plus, pa.binary()), pa.array(minus, pa.binary()), pa.array(base, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*same.columns, *more], [*same.schema.names, "plus", "minus", "base"])
+
+    kept = rows.select("grp", "blocks", "block", "node", "copies", "text", "model")
+    return kept.mapInArrow(run, with_fields(kept.schema[:5], plus="binary", minus="binary", base="integer"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.995) -> DataFrame:
     """A row per document with an id: doc_id, class_id, n_links, kept.
 
     n_links is the number of other documents with similarity >= threshold, copies included; class_id is the smallest
     doc_id that links lead to; kept is true for one row of each class. A text of fewer than k words is one shingle, so it links
-    with its copies only; a null text, or one without words, links with nothing. Rows without an id have null class_id, no
-    links, and are kept. Rows that repeat an id are documents of their own: copies if their texts are equal. Other columns are left out; an empty table gives
-    no rows.
+    with its copies only; a null text, or one without words, links with nothing; of a text of any length all shingles count. Rows without an id have null class_id, no
+    links, and are kept. Rows that repeat an id are documents of their own: copies if their texts are equal. Other columns are left out,
+    whatever their names; an empty table gives no rows.
+
+    A linked group of more than BLOCK classes is compared block by block. What is sent for that of each class is not its text but how its
+    set differs from that of one class of the group, which is little where a group is large because its texts are alike.
     """
     small_batches(docs.sparkSession)
     sigs = cut(signatures(docs, k))
@@ -243,28 +297,32 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
     # one text for each class: the sets are equal whichever copy it is
     texts = docs.select(F.col("doc_id").alias("first"), "text").join(members.select("first").distinct(), "first", "left_semi")
     members = members.join(texts, "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("grp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "copies", "text")
-    part = members.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "block", "node")
+    members = cut(members.select("grp", "blocks", "block", "node", "copies", "text"))
+    # the component is named by a class of its own, which serves as the model of its group; written, so that AQE can split a large group
+    models = cut(members.where("blocks > 1 and node = grp").groupBy("grp").agg(F.min("text").alias("model")))
+    few = members.where("blocks = 1").withColumn("model", F.lit(None).cast("string"))
+    sets = _members(few.unionByName(members.where("blocks > 1").join(models, "grp")), k)
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    p, q = F.least("block", "other"), F.greatest("block", "other")
+    # the block pairs of a group are dealt in turn, so that no task gets several of a large group while others get none
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.pmod(F.xxhash64("grp") + p * F.col("blocks") + q, F.lit(parts)).cast("int")
+    part = sets.select("grp", p.alias("p"), q.alias("q"), "block", "node", "copies", "plus", "minus", "base", task.alias("task"))
+    part = part.repartitionById(parts, F.col("task")).drop("task").sortWithinPartitions("grp", "p", "q", "block", "node")
 
     def compare(pdf: pd.DataFrame) -> list[tuple]:
-        sets = list(shingle_sets(pa.array(pdf.text, pa.string()), k))
+        pdf = pdf.drop_duplicates(["block", "node"])  # of an id that is repeated with texts of one set
+        p, q, n = int(pdf.p.iloc[0]), int(pdf.q.iloc[0]), len(pdf)
+        m = int((pdf.block == p).sum())
+        sides = [pdf] if p == q else [pdf.iloc[:m], pdf.iloc[m:]]
+        if min(map(len, sides)) < (2 if p == q else 1):
+            return []
+        sets = [Deltas(*([np.frombuffer(x, np.uint64) for x in s[c]] for c in ("plus", "minus")), int(pdf.base.iloc[0])) for s in sides]
+        i, j = _links(sets[0], sets[1] if p != q else None, threshold)
+        j = j if p == q else j + m
         nodes, copies = pdf.node.tolist(), pdf.copies.to_numpy()
-        right = [d == n for d, n in zip(map(digest, sets), nodes, strict=True)]  # a repeated id may bring another text
-        at = [i for i, ok in enumerate(right) if ok]
-        at = [i for j, i in enumerate(at) if not j or nodes[at[j - 1]] != nodes[i]]
-        nodes, copies, sets, block = [nodes[i] for i in at], copies[at], [sets[i] for i in at], pdf.block.to_numpy()[at]
-        p, q = int(pdf.p.iloc[0]), int(pdf.q.iloc[0])
-        m = int((block == p).sum())
-        if p == q:
-            i, j = _links(sets, None, threshold) if m > 1 else (np.zeros(0, int),) * 2
-        elif 0 < m < len(sets):
-            i, j = _links(sets[:m], sets[m:], threshold)
-            j = j + m
-        else:
-            i = j = np.zeros(0, int)
-        links = np.bincount(i, copies[j], len(sets)) + np.bincount(j, copies[i], len(sets))
-        return [(nodes[x], nodes[r], int(links[x])) for x, r in enumerate(_forest(len(sets), i, j)) if links[x]]
+        links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+        return [(nodes[x], nodes[r], int(links[x])) for x, r in enumerate(_forest(n, i, j)) if links[x]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -280,11 +338,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall:
             yield pd.DataFrame(done, columns=["node", "root", "links"])
 
     linked = cut(part.mapInPandas(run, "node binary, root binary, links long"))
+    drop(members, models, groups)
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(linked.select("node", "root"), "node", "root")
+    joined = cut(components(linked.select("node", "root"), "node", "root"))
     named = joined.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     named = joined.join(named, "component").select("node", "least").join(links, "node")
-    info = cut(classes.select("node", "copies", "first").join(named, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("class_id")))
+    info = classes.select("node", "copies", "first").join(named, "node", "left")
+    n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    info = cut(info.select("node", n_links.alias("n_links"), F.coalesce("least", "first").alias("class_id")))
     out = sigs.select("doc_id", "node").join(info, "node").select("doc_id", "class_id", "n_links")
     none = docs.select("doc_id", "text").where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     out = out.unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
