@@ -33,21 +33,25 @@ def _slots(value: np.ndarray, kind: int) -> np.ndarray:
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of the trigrams around every byte that is in a word, in order; slots of each word's affixes and of itself)."""
+    """(slots of the trigrams around every byte that is in a word, in order; slots of each word's affixes and of itself).
+
+    A word's features come from its own bytes, with blanks around them, whatever stands beside it."""
     b = np.zeros(len(data) + 4, np.uint32)
     b[2:-2] = data
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    at = np.flatnonzero(np.cumsum(inside[:-1]))
-    b[2:-2][np.cumsum(inside[:-1]) == 0] = 32
-    grams = _slots(b[at + 1] << np.uint32(16) | b[at + 2] << np.uint32(8) | b[at + 3], 1)
+    length = ends - starts
+    first = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else np.zeros(0, np.int64)
+    at = np.arange(length.sum()) + np.repeat(starts - first, length)
+    left, right = b[at + 1], b[at + 3]
+    left[first] = 32
+    right[first + length - 1] = 32
+    grams = _slots(left << np.uint32(16) | b[at + 2] << np.uint32(8) | right, 1)
     s, e = starts + 2, ends + 2
-    last3 = np.where(e - 3 >= s, b[e - 3], 0)
+    head = [np.where(length > i, b[s + i], np.uint32(32)) for i in range(3)]
+    tail = [np.where(length > i, b[e - 1 - i], np.uint32(0)) for i in range(3)]
     own = np.stack([
-        _slots(b[s] << np.uint32(16) | b[s + 1] << np.uint32(8) | b[s + 2], 2),
-        _slots(last3 << np.uint32(16) | b[e - 2] << np.uint32(8) | b[e - 1], 3),
-        _slots(b[e - 2] << np.uint32(8) | b[e - 1], 4),
+        _slots(head[0] << np.uint32(16) | head[1] << np.uint32(8) | head[2], 2),
+        _slots(tail[2] << np.uint32(16) | tail[1] << np.uint32(8) | tail[0], 3),
+        _slots(tail[1] << np.uint32(8) | tail[0], 4),
         _slots((span_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32), 5),
     ], 1)
     return grams, own
