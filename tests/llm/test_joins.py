@@ -159,6 +159,28 @@ def test_whole_subtrees():
     assert (na + nb == (x @ x.T >= 0.9).sum(1) - 1).all()
 
 
+def test_pruning():
+    """From the two roots down, most pairs of nodes fall away with their parents where vectors have clusters."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 32))
+    x, y = (centres[rng.integers(0, 40, n)] + rng.normal(0, 0.12, (n, 32)) for n in (1500, 1200))
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    a, b = (covertree.Tree(v, covertree._levels(v)) for v in (x, y))
+    for tree in (a, b):  # one root; nested centres; true covering radii within the level's; centres of a level apart
+        assert len(tree.nodes[0]) == 1 and all(set(u) <= set(v) for u, v in zip(tree.nodes, tree.nodes[1:], strict=False))
+        for level, radius in enumerate(covertree.RADII):
+            away = np.linalg.norm(tree.x - tree.x[tree.below[level]], axis=1)
+            assert away.max() <= radius + 1e-3 and tree.radius[level].max() <= away.max() + 1e-6
+    for left, right, same in ((a, a, True), (a, b, False)):
+        seen = []
+        covertree.dual(left, right, 0.9, same, seen)
+        assert sum(seen) < 0.15 * len(left.x) * len(right.x), seen
+        ones = [np.ones(len(t.x), np.int64) for t in (left, right)]
+        na, nb, *_ = covertree.links(left, right, *ones, 0.9, same)
+        hit = left.x @ right.x.T >= 0.9
+        assert (na + nb == hit.sum(1) - 1).all() if same else (na == hit.sum(1)).all() and (nb == hit.sum(0)).all()
+
+
 def test_nearest(vecs):
     x, df = vecs
     u = x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -1,11 +1,12 @@
 """Near-duplicate vectors by cosine: cover trees and a dual traversal with exact results.
 
-On unit vectors a cosine is a chord length, a metric. Vectors are dealt to blocks around pivots; each block gets the levels
-of a cover tree: nested centres whose radii halve, each vector within a level's radius of its centre, and centres of a level
-further apart than that. Two blocks are compared by walking their trees together, level by level: a pair of nodes goes on
-only if its centres are nearer than the threshold plus both covering radii (the true largest distances below the nodes), so
-whole pairs of subtrees fall away; a pair that lies within the threshold whatever its members is counted whole. The
-last level compares vectors in double precision.
+On unit vectors a cosine is a chord length, a metric. Vectors are dealt to blocks around pivots; each block gets a cover tree, from
+one root down: nested centres whose radii halve (2, which holds everything, 1, 1/2, ...), each vector within a level's radius of its
+centre, and centres of a level further apart than that. Two blocks are compared by walking their trees together from the two roots, level by level:
+a pair of nodes goes on only if its centres are nearer than the threshold plus both covering radii (the true largest distances below
+the nodes), so whole pairs of subtrees fall away; a pair that lies within the threshold whatever its members is counted whole. The last
+level compares vectors in double precision. Pairs of blocks whose pivots are too far apart for their radii are left out before
+that, by the same bound.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from .components import components
 from .neardup import _forest
 from .vectors import matrix, usable, with_node
 
-#: Vectors of a block, about; pivots at most; radii of the levels (chords).
-BLOCK, PIVOTS, RADII = 4096, 512, (0.5, 0.25, 0.125)
+#: Vectors of a block, about; pivots at most; radii of the levels (chords; the first is the root's).
+BLOCK, PIVOTS, RADII = 4096, 512, (2.0, 1.0, 0.5, 0.25, 0.125)
 _EPS = 1e-7
+#: Node pairs of two parents from which on they are taken as a matrix product, and rows of such a product.
+DENSE, ROWS = 4096, 1024
 
 
 def _levels(x: np.ndarray) -> np.ndarray:
@@ -33,21 +36,24 @@ def _levels(x: np.ndarray) -> np.ndarray:
     n = len(x)
     small = x.astype(np.float32)
     gram = small @ small.T
-    parent, out = np.zeros(n, np.int64), np.empty((len(RADII), n), np.int64)
-    for level, radius in enumerate(RADII):
-        row, col = np.nonzero(gram >= 1 - radius * radius / 2)
-        ok = (col < row) & (parent[row] == parent[col])
-        row, col = row[ok], col[ok]
-        at = np.searchsorted(row, np.arange(n + 1))
-        centre = np.ones(n, bool)
+    out = np.zeros((len(RADII), n), np.int64)  # the root is the first vector
+    for level, radius in enumerate(RADII[1:], 1):
+        parent, near = out[level - 1], gram >= 1 - radius * radius / 2
+        alone = near.sum(1) == 1
+        centre, covered = alone.copy(), alone.copy()
+        for i in np.flatnonzero(~alone & (parent == np.arange(n))):  # centres of the level above stay centres, and come first
+            centre[i] = covered[i] = True
+            covered |= near[i] & (parent == i)
+        for i in np.flatnonzero(~alone):
+            if not covered[i]:
+                centre[i] = True
+                covered |= near[i] & (parent == parent[i])
         out[level] = np.arange(n)
-        for i in np.flatnonzero(np.diff(at)):  # vectors with an earlier one near; in order, so centres are known
-            near = col[at[i] : at[i + 1]]
-            near = near[centre[near]]
-            if len(near):
-                centre[i] = False
-                out[level, i] = near[gram[i, near].argmax()]
-        parent = out[level]
+        centres, rest = np.flatnonzero(centre), np.flatnonzero(~centre)
+        for lo in range(0, len(rest), ROWS):  # the nearest of the parent's centres
+            some = rest[lo : lo + ROWS]
+            g = np.where(parent[some][:, None] == parent[centres], gram[some][:, centres], -np.inf)
+            out[level, some] = centres[g.argmax(1)]
     return out
 
 
@@ -72,7 +78,7 @@ class Tree:
                 self.children.append((order, np.searchsorted(above[order], np.arange(len(self.nodes[level - 1]) + 1))))
         self.size = [np.bincount(np.searchsorted(ids, centre[level])) if level < len(centre) else np.ones(len(x), int) for level, ids in enumerate(self.nodes)]
         self.below = centre
-        self.top = x[self.nodes[0]].astype(np.float32)
+        self.small = x.astype(np.float32)
 
     def expand(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in `node`, child) for every child of the nodes."""
@@ -82,58 +88,70 @@ class Tree:
         return which, order[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[node], count)]
 
 
-def _near(a: Tree, b: Tree, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of top nodes whose centres are nearer than the limit and both radii, from products in single precision with a
-    margin for it. Most nodes are single vectors (radius 0): for them one bound holds, and no distance is taken."""
-    p, q = [], []
-    for left in (a.radius[0] == 0, a.radius[0] > 0):
-        for right in (b.radius[0] == 0, b.radius[0] > 0):
-            i, j = np.flatnonzero(left), np.flatnonzero(right)
-            if len(i) and len(j):
+def _near(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of nodes i of a and j of b at a level, all pairs whose centres are nearer than the limit and both radii, from products in
+    single precision with a margin for it. Most nodes are single vectors (radius 0): for them one bound holds."""
+    p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ra, rb = a.radius[level], b.radius[level]
+    for left in (i[ra[i] == 0], i[ra[i] > 0]):
+        for right in (j[rb[j] == 0], j[rb[j] > 0]):
+            for lo in range(0, len(left) if len(right) else 0, ROWS):
+                some = left[lo : lo + ROWS]
                 reach = np.full((1, 1), limit)
-                if a.radius[0][i[0]] or b.radius[0][j[0]]:
-                    reach = limit + a.radius[0][i][:, None] + b.radius[0][j]
-                u, v = np.nonzero(a.top[i] @ b.top[j].T >= (1 - reach * reach / 2 - 1e-5).astype(np.float32))
-                p.append(i[u])
-                q.append(j[v])
-    return (np.concatenate(p), np.concatenate(q)) if p else (np.zeros(0, int),) * 2
+                if ra[some[0]] or rb[right[0]]:
+                    reach = np.minimum(2, limit + ra[some][:, None] + rb[right])
+                g = a.small[a.nodes[level][some]] @ b.small[b.nodes[level][right]].T
+                u, v = np.nonzero(g >= (1 - reach * reach / 2 - 1e-5).astype(np.float32))
+                p.append(some[u])
+                q.append(right[v])
+    return np.concatenate(p), np.concatenate(q)
 
 
-def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Linked pairs of rows (i of a, j of b; each pair once, in either order, if the trees are the same), and node pairs (level, p, q) all of whose rows link."""
+def dual(a: Tree, b: Tree, cosine: float, same: bool, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Linked pairs of rows (i of a, j of b; each pair once, in either order, if the trees are the same), and node pairs (level, p, q) all of
+    whose rows link. `seen` gets the number of node pairs of each level that are looked at: the others fell away above."""
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
     whole: list[tuple[int, int, int]] = []
     chord = lambda g: np.sqrt(np.maximum(0, 2 - 2 * g))
-    p, q = _near(a, b, limit)
-    d = chord(np.einsum("ij,ij->i", a.x[a.nodes[0][p]], b.x[b.nodes[0][q]]))
-    for level in range(len(a.nodes)):
-        if level:
-            k, p2 = a.expand(level - 1, p)
-            m, q2 = b.expand(level - 1, q[k])
-            alike = (p == q)[k][m]
-            p, q = p2[m], q2
-            if same:  # below one node, one order of a pair is enough; pairs of different nodes came in one order only
-                ok = ~alike | (p <= q)
-                p, q = p[ok], q[ok]
-            keep_p, keep_q, keep_d = [], [], []
-            for lo in range(0, len(p), 1 << 16):
-                i, j = p[lo : lo + (1 << 16)], q[lo : lo + (1 << 16)]
-                e = chord(np.einsum("ij,ij->i", a.x[a.nodes[level][i]], b.x[b.nodes[level][j]]))
-                ok = e <= limit + a.radius[level][i] + b.radius[level][j] + _EPS
-                keep_p.append(i[ok])
-                keep_q.append(j[ok])
-                keep_d.append(e[ok])
-            p, q, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keep_p, keep_q, keep_d))
-        elif same:
-            ok = p <= q
-            p, q, d = p[ok], q[ok], d[ok]
-        if level < len(a.nodes) - 1:
+    p, q, last = np.zeros(1, np.int64), np.zeros(1, np.int64), len(a.nodes) - 1
+    for level in range(1, last + 1):
+        keep_p, keep_q, looked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        (oa, ta), (ob, tb) = a.children[level - 1], b.children[level - 1]
+        count = (ta[p + 1] - ta[p]) * (tb[q + 1] - tb[q])
+        for x, y in zip(p[count >= DENSE], q[count >= DENSE], strict=True):
+            i, j = oa[ta[x] : ta[x + 1]], ob[tb[y] : tb[y + 1]]
+            looked += len(i) * len(j)
+            u, v = _near(a, b, level, i, j, limit)
+            ok = u <= v if same and x == y else slice(None)  # below one node, one order of a pair is enough
+            keep_p.append(u[ok])
+            keep_q.append(v[ok])
+        p, q = p[count < DENSE], q[count < DENSE]
+        for lo in range(0, len(p), 1 << 14):
+            some, other = p[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
+            k, i = a.expand(level - 1, some)
+            m, j = b.expand(level - 1, other[k])
+            looked += len(j)
+            i, alike = i[m], (some == other)[k][m]
+            if same:
+                ok = ~alike | (i <= j)
+                i, j = i[ok], j[ok]
+            for at in range(0, len(i), 1 << 16):
+                u, v = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                e = chord(np.einsum("ij,ij->i", a.x[a.nodes[level][u]], b.x[b.nodes[level][v]]))
+                ok = e <= limit + a.radius[level][u] + b.radius[level][v] + _EPS
+                keep_p.append(u[ok])
+                keep_q.append(v[ok])
+        p, q = np.concatenate(keep_p), np.concatenate(keep_q)
+        if seen is not None:
+            seen.append(looked)
+        if level < last:
+            d = np.concatenate([np.zeros(0), *(chord(np.einsum("ij,ij->i", a.x[a.nodes[level][p[lo : lo + (1 << 16)]]], b.x[b.nodes[level][q[lo : lo + (1 << 16)]]])) for lo in range(0, len(p), 1 << 16))])
             r = a.radius[level][p] + b.radius[level][q]
             sure = (d + r < limit - _EPS) & (a.size[level][p] * b.size[level][q] > 1)
             whole += [(level, int(x), int(y)) for x, y in zip(p[sure], q[sure], strict=True)]
-            p, q, d = p[~sure], q[~sure], d[~sure]
+            p, q = p[~sure], q[~sure]
     i, j = a.nodes[-1][p], b.nodes[-1][q]
-    ok = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= cosine
+    ok = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", a.x[i[lo : lo + (1 << 16)]], b.x[j[lo : lo + (1 << 16)]]) >= cosine for lo in range(0, len(i), 1 << 16))])
     if same:
         ok &= i != j
     return i[ok], j[ok], whole
@@ -142,7 +160,7 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
 def links(a: Tree, b: Tree, copies_a: np.ndarray, copies_b: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(links of each row of a, links of each row of b, i, j): copies that each row links with, and pairs that span the linked groups."""
     i, j, whole = dual(a, b, cosine, same)
-    na, nb = np.bincount(i, copies_b[j], len(a.x)), np.bincount(j, copies_a[i], len(b.x))
+    na, nb = (np.bincount(x, c, n).astype(np.int64) for x, c, n in ((i, copies_b[j], len(a.x)), (j, copies_a[i], len(b.x))))
     more_i, more_j = [i], [j]
     for level, p, q in whole:
         left, right = np.flatnonzero(a.below[level] == a.nodes[level][p]), np.flatnonzero(b.below[level] == b.nodes[level][q])
@@ -161,7 +179,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) ->
 
     Vectors that are null, empty, zero or have null or non-finite components, and rows without an id, link with nothing
     (component_id is their id). Equal vectors link (one class from the start, so copies are never paired). Vectors of
-    different lengths never link. Repeated ids are vectors of their own. Other columns are left out; an empty table gives no rows.
+    different lengths never link. Repeated ids are vectors of their own. Other columns are left out, whatever their names; an empty table gives no rows.
     """
     rows = with_node(vectors.select("vec_id", "embedding")).withColumn("dim", F.size("embedding"))
     rows = cut(rows)
@@ -201,7 +219,7 @@ def _compare(classes: DataFrame, want: int, cosine: float, block: int) -> DataFr
     kind = dict(classes.dtypes)["embedding"]
     dealt = cut(classes.select("node", "copies", "embedding").mapInPandas(assign, f"node binary, copies long, embedding {kind}, cell int, away double"))
     cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # PIVOTS rows at most
-    blocks = {c.cell: -(-c.n // block) for c in cells}
+    blocks = {c.cell: max(1, round(c.n / block)) for c in cells}
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
     apart = np.sqrt(np.maximum(0, 2 - 2 * (around @ around.T)))
     radius = {c.cell: c.radius for c in cells}
