@@ -213,15 +213,69 @@ def test_base_patterns(spark, small):
         assert not want or set(line.split(",")) <= set(r.spans.split(","))
 
 
-def test_chosen_spans():
-    boost, cut = pii.model()
-    found = lambda t: [(k, t[s:e], b) for k, s, e, _, b in pii.spans(t, boost, cut)]
+@pytest.fixture(scope="module")
+def texts(spark, small):
+    return spark.read.parquet(f"{small.replace('sf0.001', 'sf0.1')}/documents.parquet").select("text")
+
+
+@pytest.fixture(scope="module")
+def model(texts):
+    return pii.fit(texts)
+
+
+def test_model_is_calibrated(texts, model):
+    """Thresholds come from held-out documents, without a floor; the spans added to documents are right."""
+    assert all(0 < c <= 1 for c in model.cut) and len(set(model.cut)) == len(pii.KINDS)
+    base, added = 0, []
+    for (t,) in texts.where("text is not null").collect():
+        for k, s, e, _, is_base in pii.spans(t, model):
+            base += is_base
+            if not is_base:
+                added.append((k, t[s:e]))
+    assert base > 600 and added
+    right = [pii.luhn(re.sub("[^0-9]", "", x)) if k == "card" else bool(re.fullmatch(r"(\+\d )?\(\d{3}\) 555-\d{4}", x)) for k, x in added]
+    assert np.mean(right) >= 0.9, added
+
+
+def test_selection(texts, model):
+    """Against trying all candidates one by one."""
+    for text in ("a 212-555-1234 / (212) 555-9876, 4845 1681 1440 7329 x.y (at) mail (dot) com +1 (826) 555-4081 190.137.223.204 or 2021-03-04", *[r.text for r in texts.where("text rlike '[0-9]{4}'").limit(60).collect()]):
+        base, chosen = pii.base_spans(text), []
+        free = [c for c in pii.candidates(text) if not any(c[1] < e and c[2] > s for _, s, e in base)]
+        scored = [(float(model.score(text, [c])[0]), c) for c in free]
+        for p, c in sorted(scored, key=lambda x: (-x[0], x[1][1], -x[1][2], x[1][0])):
+            if p >= model.cut[pii.KINDS.index(c[0])] and not any(c[1] < e and c[2] > s for _, s, e in chosen):
+                chosen.append(c)
+        assert sorted((k, s, e) for k, s, e, *_ in pii.spans(text, model)) == sorted([*base, *chosen])
+
+
+def test_no_examples(spark):
+    model = pii.fit(spark.createDataFrame([("call 212-555-1234",), (None,)], "text string"))
+    assert pii.spans("call 212-555-1234, a@b.org", model) == [("email", 19, 26, 1.0, True)]
+
+
+def test_pages_of_digits(model):
+    import time
+
+    began = time.time()
+    for text in ("1" * 1_000_000, "1." * 200_000, "+1" * 200_000, "a@b." * 50_000, "4111111111111111 " * 3000):
+        pii.spans(text, model)
+    assert time.time() - began < 30
+
+
+def test_long_parts():
+    local, host = "x" * 90, ".".join("abcdefgh")
+    assert ("email", 0, len(local) + 5 + len(host)) in pii.candidates(f"{local} (at){host}".replace(" (at)", " (at)"))
+
+
+def test_chosen_spans(model):
+    found = lambda t: [(k, t[s:e], b) for k, s, e, _, b in pii.spans(t, model)]
     assert found("write to ann.lee (at) mail (dot) com now") == [("email", "ann.lee (at) mail (dot) com", False)]
     assert found("call (212) 555-1234 today")[0][:2] == ("phone", "(212) 555-1234")
     assert found("we met at home. on 2021-03-04 at page 12") == []
 
 
-def test_numbers_side_by_side():
+def test_numbers_side_by_side(model):
     text = "a 212-555-1234 /(212) 555-9876 [12] 2021-03-04"
     groups = [m.span() for m in re.finditer("[0-9]+", text)]
     want = {"ip": set(), "card": set(), "phone": set()}
@@ -233,8 +287,7 @@ def test_numbers_side_by_side():
                     want[kind].add((kind, start, groups[j][1]))
     assert set(pii.candidates(text)) == set().union(*want.values()) and len(pii.candidates(text)) == sum(map(len, want.values()))
 
-    boost, cut = pii.model()
-    found = lambda t: [(k, t[s:e]) for k, s, e, *_ in pii.spans(t, boost, cut)]
+    found = lambda t: [(k, t[s:e]) for k, s, e, *_ in pii.spans(t, model)]
     two = [("phone", "212-555-1234"), ("phone", "212-555-9876")]
     assert found("212-555-1234 212-555-9876") == found("call 212-555-1234 / 212-555-9876 now") == two
     many = [f"212-555-{i:04d}" for i in range(1000, 1040)]

@@ -1,4 +1,4 @@
-"""Gradient-boosted trees for log loss, small enough to fit on a driver in a second."""
+"""Gradient-boosted trees for log loss, small enough to fit on a driver in seconds."""
 
 from __future__ import annotations
 
@@ -6,40 +6,41 @@ import numpy as np
 
 
 class Boost:
-    """Binary trees of fixed depth on quantile cuts; each leaf takes a Newton step."""
+    """Binary trees of fixed depth on quantile cuts; each leaf takes a Newton step. Sums by cut come from histograms."""
 
-    def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.3, cuts: int = 16):
+    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.25, cuts: int = 24):
         self.trees, self.depth, self.rate, self.cuts, self.model, self.base = trees, depth, rate, cuts, [], 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boost:
         rate = np.clip(y.mean(), 0.01, 0.99)
         self.base = float(np.log(rate / (1 - rate)))
         grid = [np.unique(np.quantile(c, np.linspace(0, 1, self.cuts + 1)[:-1])) for c in x.T]
+        # a value's bin is the number of cuts below it; bins of all columns side by side
+        bins = np.stack([np.searchsorted(g, c, "left") for g, c in zip(grid, x.T, strict=True)], 1) + np.arange(x.shape[1]) * (self.cuts + 1)
         raw = np.full(len(y), self.base)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-raw))
-            tree = self._grow(x, y - p, p * (1 - p), np.arange(len(y)), grid, self.depth)
+            tree = self._grow(bins, y - p, p * (1 - p), np.arange(len(y)), grid, self.depth)
             self.model.append(tree)
             raw += self._walk(tree, x)
         return self
 
-    def _grow(self, x, g, h, rows, grid, depth):
+    def _grow(self, bins, g, h, rows, grid, depth):
         total_g, total_h = g[rows].sum(), h[rows].sum()
         leaf = float(self.rate * total_g / (total_h + 1))
         if not depth or len(rows) < 20:
             return leaf
-        best = (1e-6, None, None)
-        for j, cuts in enumerate(grid):
-            right = x[rows, j][:, None] > cuts
-            rg, rh = g[rows] @ right, h[rows] @ right
-            gain = rg**2 / (rh + 1) + (total_g - rg) ** 2 / (total_h - rh + 1) - total_g**2 / (total_h + 1)
-            k = int(np.argmax(gain))
-            if gain[k] > best[0]:
-                best = (gain[k], j, float(cuts[k]))
-        if best[1] is None:
+        width, columns, some = self.cuts + 1, bins.shape[1], bins[rows].ravel()
+        sums = [np.bincount(some, np.repeat(v[rows], columns), width * columns).reshape(columns, width) for v in (g, h)]
+        left_g, left_h = (np.cumsum(s, 1)[:, :-1] for s in sums)  # values up to each cut
+        right_g, right_h = total_g - left_g, total_h - left_h
+        gain = right_g**2 / (right_h + 1) + left_g**2 / (left_h + 1) - total_g**2 / (total_h + 1)
+        gain[np.arange(width - 1) >= np.array([len(c) for c in grid])[:, None]] = -np.inf
+        j, k = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        if gain[j, k] <= 1e-6:
             return leaf
-        up = x[rows, best[1]] > best[2]
-        return best[1], best[2], self._grow(x, g, h, rows[~up], grid, depth - 1), self._grow(x, g, h, rows[up], grid, depth - 1)
+        up = bins[rows, j] > k + j * width
+        return int(j), float(grid[j][k]), self._grow(bins, g, h, rows[~up], grid, depth - 1), self._grow(bins, g, h, rows[up], grid, depth - 1)
 
     def _walk(self, tree, x: np.ndarray) -> np.ndarray:
         if isinstance(tree, float):
