@@ -291,7 +291,7 @@ def _cues(examples: list[tuple[str, str, int, int, bool]]) -> dict[str, dict[str
 
 def fit_rows(rows: list[tuple[bool, str, bool, str, str, str]], lines: int = LINES, precision: float = 0.99, seed: int = 5) -> Model:
     """A model from (held out, *piece) of `pieces`: fitted on what isn't held out; per kind the lowest threshold that reaches the precision
-    on what is (two more wrong ones are counted, so few examples give none)."""
+    on what is held out (two more wrong ones are counted, so few examples give none)."""
     sets: list[list[tuple[str, str, int, int, bool]]] = []
     for held in (False, True):
         mine, out = [r[1:] for r in rows if r[0] == held], []
@@ -314,7 +314,8 @@ def fit_rows(rows: list[tuple[bool, str, bool, str, str, str]], lines: int = LIN
         ranked = p[kind == k][order]
         good = np.cumsum(y[kind == k][order]) / (np.arange(1, len(order) + 1) + 2)
         ok = np.flatnonzero((good >= precision) & np.append(ranked[1:] < ranked[:-1], True)[: len(order)])  # equal scores go together
-        cut.append(float(ranked[ok[-1]]) if len(ok) else 2.0)
+        # half way to the next score, since no example lies between
+        cut.append(float(ranked[ok[-1] : ok[-1] + 2].mean()) if len(ok) else 2.0)
     return Model(boost, cues, tuple(cut))
 
 
