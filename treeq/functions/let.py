@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,13 @@ def let(*values: Column, then: Callable[..., Column]) -> Column:
     """
     fields = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
     return F.get(F.transform(F.array(fields), lambda s: then(*(s[f"v{i}"] for i in range(len(values))))), F.lit(0))
+
+
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns computed once per row, at this place of the plan.
+
+    Later expressions then refer to values. Else the optimizer could put a column's expression into the lambdas that refer to it, where
+    it would be evaluated again for every element. Filters on other columns still pass.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names)))).select(df.columns)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.let import settled
+
 
 def between(sents: DataFrame, position: str, first: int | None, last: int | None) -> DataFrame:
     """Sentences first to last, from 1 and inclusive; the position counts from 0."""
@@ -26,25 +28,82 @@ def folds(sents: DataFrame, position: str, k: int) -> DataFrame:
     return out.withColumn("part", F.when(F.pmod(F.col(position) + F.col("fold"), F.lit(k)) == 0, "test").otherwise("train"))
 
 
-def merged(sents: DataFrame, group: str, position: str) -> DataFrame:
-    """One sentence per group: the words of its sentences in order, ids and heads shifted."""
-    order = lambda a, b: F.when(a[position] < b[position], -1).when(a[position] > b[position], 1).otherwise(0)
-    words = F.array_sort(F.collect_list(F.struct(position, "words")), order)
-    rows = sents.groupBy(group).agg(words.alias("parts"))
-    kind = sents.schema["words"].dataType.simpleString()
+def write_folds(sents: DataFrame, position: str, k: int, path: str, columns: tuple[str, ...] | None = None) -> None:
+    """The folds as CoNLL-U files, in folders fold=i/part=test and fold=i/part=train."""
+    from ..sources.conllu import COLUMNS, block
 
-    def add(acc, p):
-        n = F.size(acc)
-        return F.concat(acc, F.transform(p["words"], lambda w: w.withField("id", w["id"] + n).withField("head", F.when(w["head"] > 0, w["head"] + n).otherwise(w["head"]))))
+    rows = folds(sents, position, k).select("fold", "part", F.concat(block(columns or COLUMNS), F.lit("\n")).alias("value"))
+    rows.write.partitionBy("fold", "part").text(path)
 
-    return rows.select(group, F.aggregate("parts", F.array().cast(kind), add).alias("words"))
+
+def merged(sents: DataFrame, group: str, position: str) -> DataFrame:
+    """One sentence per group: its sentences' words, multiword tokens and empty words in order, with ids, heads and enhanced heads shifted; comments
+    follow one another, texts are joined by blanks. A sentence is a row, so this is for groups that fit into one; `merged_tokens` numbers those of any size."""
+    order = lambda a, b: F.when(a[position] < b[position], -1).when(a[position] > b[position], 1).otherwise(0)
+    arrays = [c for c in ("words", "mwts", "empties") if c in sents.columns]
+    lists = [c for c in ("comments",) if c in sents.columns]
+    parts = F.array_sort(F.collect_list(F.struct(position, *arrays, *lists, *(c for c in ("text",) if c in sents.columns))), order)
+    rows = settled(sents.groupBy(group).agg(parts.alias("parts")), "parts")
+    kinds = {c: sents.schema[c].dataType.simpleString() for c in arrays}
+    start = F.struct(*(F.array().cast(kinds[c]).alias(c) for c in arrays))
+
+    def add(acc: Column, p: Column) -> Column:
+        n = F.size(acc["words"])
+        # empty words in front of a sentence (0.m) follow those behind the last word before it
+        last = F.coalesce(F.array_max(F.transform(F.filter(acc["empties"], lambda e: e["id"] == n), lambda e: e["subid"])), F.lit(0)) if "empties" in arrays else F.lit(0)
+        sub = lambda x, i: F.when((x >= 0) & (i == 0), x + last).otherwise(x)
+        edge = lambda d: d.withField("headsubid", sub(d["headsubid"], d["headid"])).withField("headid", F.when((d["headid"] > 0) | (d["headsubid"] >= 0), d["headid"] + n).otherwise(d["headid"]))
+        edges = lambda t: F.transform(t["deps"], edge)
+        head = lambda w: F.when(w["head"] > 0, w["head"] + n).otherwise(w["head"])
+        shifted = {
+            "words": lambda w: w.withField("id", w["id"] + n).withField("head", head(w)).withField("deps", edges(w)),
+            "mwts": lambda m: m.withField("id", m["id"] + n).withField("subid", m["subid"] + n),
+            "empties": lambda e: e.withField("subid", sub(e["subid"], e["id"])).withField("id", e["id"] + n).withField("deps", edges(e)),
+        }
+        return F.struct(*(F.concat(acc[c], F.transform(p[c], shifted[c])).alias(c) for c in arrays))
+
+    done = settled(rows.withColumn("all_", F.aggregate("parts", start, add)), "all_")
+    out = [F.col(f"all_.{c}").alias(c) for c in arrays]
+    out += [F.flatten(F.transform("parts", lambda p: p[c])).alias(c) for c in lists]
+    if "text" in sents.columns:
+        out.append(F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
+    return done.select(group, *out)
+
+
+#: Sentences of one window, by position.
+CHUNK = 10_000
+
+
+def running(rows: DataFrame, group: str, position: str, amount: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """rows with the sum of `amount` over what stands before them in their group. Positions are numbers; a group is summed in chunks of `chunk` of them, then
+    within each, so no group passes through one task."""
+    rows = rows.withColumn("amount_", amount).withColumn("chunk_", F.floor(F.col(position) / chunk))
+    sums = rows.groupBy(group, "chunk_").agg(F.sum("amount_").alias("sum_"))
+    earlier = W.partitionBy(group).orderBy("chunk_").rowsBetween(W.unboundedPreceding, -1)  # a row per chunk
+    sums = sums.select(group, "chunk_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0)).alias("before_"))
+    inner = W.partitionBy(group, "chunk_").orderBy(position).rowsBetween(W.unboundedPreceding, -1)
+    here = rows.withColumn("here_", F.coalesce(F.sum("amount_").over(inner), F.lit(0)))
+    return here.join(sums, [group, "chunk_"]).withColumn(name, F.col("before_") + F.col("here_")).drop("amount_", "chunk_", "before_", "here_")
+
+
+def merged_tokens(sents: DataFrame, group: str, position: str) -> DataFrame:
+    """(group, kind, id, subid, form, head, deprel, deps, ...): all tokens of a group as one sentence has them, ids, heads and enhanced heads shifted by the words
+    before. A group may be of any size: nothing is gathered. Empty words in front of a sentence keep their number, so add `position` to tell them apart."""
+    rows = running(sents, group, position, F.size("words"), "n_").withColumn("n_", F.col("n_").cast("int"))
+    n = F.col("n_")
+    edge = lambda d: d.withField("headid", F.when((d["headid"] > 0) | (d["headsubid"] >= 0), d["headid"] + n).otherwise(d["headid"]))
+    sub = lambda t: F.when(t["kind"] == "MWT", t["subid"] + n).otherwise(t["subid"])
+    head = lambda t: F.when(t["head"] > 0, t["head"] + n).otherwise(t["head"])
+    token = lambda t: t.withField("subid", sub(t)).withField("id", t["id"] + n).withField("head", head(t)).withField("deps", F.transform(t["deps"], edge))
+    arrays = [F.col(c) for c in ("words", "mwts", "empties") if c in sents.columns]
+    every = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+    return rows.select(group, position, F.inline(F.transform(every, token)))
 
 
 def line_numbers(sents: DataFrame, group: str, position: str, n_lines: str) -> DataFrame:
     """sents with first_line and last_line in their file, a blank line after each sentence."""
-    w = W.partitionBy(group).orderBy(position).rowsBetween(W.unboundedPreceding, -1)
-    first = F.coalesce(F.sum(F.col(n_lines) + 1).over(w), F.lit(0)) + 1
-    return sents.withColumn("first_line", first).withColumn("last_line", first + F.col(n_lines) - 1)
+    out = running(sents, group, position, F.col(n_lines) + 1, "first_line").withColumn("first_line", F.col("first_line") + 1)
+    return out.withColumn("last_line", F.col("first_line") + F.col(n_lines) - 1)
 
 
 def at_line(numbered: DataFrame, line: int) -> DataFrame:

@@ -15,16 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Cond, Getter
+from ..functions.let import settled
 from .trees import is_projective
 
 ANY = Cond(lambda t: F.lit(True))
 
 
+@dataclass
+class Is:
+    """In a negative block: the node satisfies the condition."""
+
+    node: str
+    cond: Cond
+
+
 @dataclass
 class Pattern:
     """nodes: name -> condition. edges: (head, dependent[, labels[, negated]]). order: (left, right, immediate).
-    agree: (node, getter, node, getter, equal). without: blocks of edges that must not all be there, where a dependent may be a condition instead
-    of a node. tests: predicates on the sentence row."""
+    agree: (node, getter, node, getter, equal). without: blocks that must not hold as a whole, of edges, where a dependent may be a condition instead
+    of a node, and of `Is` (what a node is); names that the pattern doesn't bind stand for any node. tests: predicates on the sentence row.
+
+    Nodes are words, empty words and the root (id 0, without form, lemma, tags or features, a head only)."""
 
     nodes: dict[str, Cond]
     edges: list[tuple] = field(default_factory=list)
@@ -38,38 +49,70 @@ class Pattern:
         self.nodes = {n: self.nodes.get(n, ANY) for n in sorted(named | set(self.nodes))}
 
 
+def nodes(sents: DataFrame) -> Column:
+    """What a node may be: words, empty words if there are any, the root."""
+    w = F.get("words", F.lit(0))
+    root = w.withField("id", F.lit(0)).withField("head", F.lit(-1))
+    for f, kind in [(f.name, f.dataType) for f in sents.schema["words"].dataType.elementType.fields]:
+        if f not in ("id", "head", "kind", "subid"):
+            empty = F.slice(w[f], 1, 0) if kind.typeName() == "array" else F.map_filter(w[f], lambda k, v: F.lit(False)) if kind.typeName() == "map" else F.lit("_").cast(kind)
+            root = root.withField(f, empty)
+    more = [F.col("empties")] if "empties" in sents.columns else []
+    return F.concat("words", *more, F.filter(F.array(root), lambda r: F.size("words") > 0))
+
+
+def _word(t: Column) -> Column:
+    return t["id"] > 0
+
+
 def _edge(head: Column, dep: Column, labels: Iterable[str] | None = None, negated: bool = False) -> Column:
-    there = dep["head"] == head["id"]
+    there = (dep["head"] == head["id"]) & (head["subid"] < 0) & (dep["subid"] < 0) & _word(dep)
     if labels is None:
         return there
     listed = dep["deprel"].isin(list(labels))
     return there & (~listed if negated else listed)
 
 
+def _same(a: Column, b: Column) -> Column:
+    return (a["id"] == b["id"]) & (a["subid"] == b["subid"])
+
+
 def _dependent(head: Column, c: Cond, rest: list) -> Callable[[Column], Column]:
     return lambda w: _edge(head, w, *rest) & c(w)
 
 
-def _absent(block: list[tuple], bound: dict[str, Column]) -> Column:
-    every = F.lit(True)
-    for head, dep, *rest in block:
-        if isinstance(dep, str) and dep in bound:
-            every = every & _edge(bound[head], bound[dep], *rest)
-        else:
-            c = dep if isinstance(dep, Cond) else ANY
-            every = every & F.exists("words", _dependent(bound[head], c, rest))
-    return ~every
+def _absent(block: list, bound: dict[str, Column]) -> Column:
+    free = []
+    for x in block:
+        for n in (x.node,) if isinstance(x, Is) else x[:2]:
+            if isinstance(n, str) and n not in bound and n not in free:
+                free.append(n)
+
+    def holds(known: dict[str, Column], left: list[str]) -> Column:
+        if left:
+            return F.exists("nodes_", lambda w: holds({**known, left[0]: w}, left[1:]))
+        every = F.lit(True)
+        for x in block:
+            if isinstance(x, Is):
+                every = every & x.cond(known[x.node])
+            elif isinstance(x[1], str):
+                every = every & _edge(known[x[0]], known[x[1]], *x[2:])
+            else:
+                every = every & F.exists("words", _dependent(known[x[0]], x[1], list(x[2:])))
+        return every
+
+    return ~holds(bound, free)
 
 
 def match(sents: DataFrame, pattern: Pattern, *keys: str) -> DataFrame:
-    """A row per binding: key columns, a struct column per node, and `ids`, the sorted word ids. Nodes bind words only, neither empty words nor the root."""
+    """A row per binding: key columns, a struct column per node, and `ids`, the sorted ids of what they bind."""
     rows = sents
     for test in pattern.tests:
         rows = rows.where(test())
+    rows = settled(rows.select(*keys, "words", nodes(rows).alias("nodes_")), "nodes_")
     for c in pattern.nodes.values():  # sentences without a candidate for some node go first
         if c is not ANY:
-            rows = rows.where(F.exists("words", c.__call__))
-    rows = rows.select(*keys, "words")
+            rows = rows.where(F.exists("nodes_", c.__call__))
     left, bound = list(pattern.nodes), {}
     while left:
         up = next((e for e in pattern.edges if e[1] in bound and e[0] in left), None)  # head of a bound dependent
@@ -78,20 +121,22 @@ def match(sents: DataFrame, pattern: Pattern, *keys: str) -> DataFrame:
         left.remove(name)
         c = pattern.nodes[name]
         if up:
-            rows = rows.withColumn(name, F.get("words", bound[up[1]]["head"] - 1)).where((bound[up[1]]["head"] > 0) & F.col(name).isNotNull())
+            at = bound[up[1]]["head"]
+            rows = rows.withColumn(name, F.when(at > 0, F.get("words", at - 1)).when(at == 0, F.get("nodes_", F.size("nodes_") - 1))).where(F.col(name).isNotNull())
             bound[name] = F.col(name)
             rows = rows.where(c(bound[name])) if c is not ANY else rows
         else:
             tied = [e for e in pattern.edges if e[1] == name and e[0] in bound]
-
             keep = c
             for h, _, *rest in tied:
                 keep = keep & Cond(_dependent(bound[h], ANY, rest))
-            rows = rows.withColumn(name, F.explode(F.filter("words", keep.__call__)))
+            # only words depend on something
+            domain = "words" if any(e[1] == name for e in pattern.edges) else "nodes_"
+            rows = rows.withColumn(name, F.explode(F.filter(domain, keep.__call__)))
             bound[name] = F.col(name)
         for other in bound:
             if other != name:
-                rows = rows.where(bound[other]["id"] != bound[name]["id"])
+                rows = rows.where(~_same(bound[other], bound[name]))
         for h, d, *rest in pattern.edges:
             if name in (h, d) and h in bound and d in bound:
                 rows = rows.where(_edge(bound[h], bound[d], *rest))

@@ -1,4 +1,4 @@
-"""The sentence row. Columns of a token may be left out where no operator asks for them."""
+"""The sentence row. Columns of a token may be left out where no operator asks for them. Names and their order are fixed values of the file format."""
 
 DEP = "struct<headid:int,headsubid:int,deprel:string>"
 MISC = "struct<key:string,val:string>"

@@ -7,35 +7,59 @@ each sentence has `errors`, and `strict` reading fails on the first one.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.let import let
+from ..functions.let import let, settled
 from ..functions.text import deps_of, deps_text, feats_of, feats_text, misc_of, misc_text
+from ..operators.edit import renumbered
 from ..schema import COLUMNS
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of lines (value, source) of files, one per sentence. CRLF files are fine where lines are blank throughout."""
-    return spark.read.text(path, lineSep="\n\n").select("value", F.col("_metadata.file_path").alias("source"))
+def read_text(spark: SparkSession, path: str, crlf: bool = False, numbered: bool = False) -> DataFrame:
+    """Blocks of lines (value, source) of files, one per sentence; blocks without a token line (comments only) are left out.
+
+    Lines may end in LF or CRLF, and lines of blanks separate sentences too. `crlf` says that files have CRLF: then large ones are read in
+    parallel as well (without it such a file is right, but one task's). `numbered` adds sent_no, from 0 in each file.
+    """
+    rows = spark.read.text(path, lineSep="\r\n\r\n" if crlf else "\n\n")
+    rows = rows.select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split_"))
+    rows = rows.withColumn("value", F.explode(F.split("value", BLANK))).where(F.col("value").rlike(TOKEN_LINE))
+    return _numbered(rows) if numbered else rows.drop("split_")
+
+
+#: Between sentences; what a block has that isn't only comments.
+BLANK, TOKEN_LINE = r"\r?\n[ \t]*\r?\n(?:[ \t]*\r?\n)*", r"(?m)^[^#\s]"
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """sent_no: what is before a block in its split of the file, and the splits before that. A split is read in order by one task, so the ids
+    that rows get there follow each other; a small table of splits, not the texts, is exchanged."""
+    rows = rows.withColumn("at_", F.monotonically_increasing_id())
+    splits = rows.groupBy("source", "split_").agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
+    earlier = W.partitionBy("source").orderBy("split_").rowsBetween(W.unboundedPreceding, -1)  # a row per split
+    splits = splits.withColumn("before_", F.coalesce(F.sum("n_").over(earlier), F.lit(0))).drop("n_")
+    out = rows.join(splits, ["source", "split_"])
+    return out.select("value", "source", (F.col("before_") + F.col("at_") - F.col("first_")).alias("sent_no"))
 
 
 def from_strings(spark: SparkSession, texts: list[str]) -> DataFrame:
-    """The same from strings."""
+    """(value, source, sent_no) from strings, numbered in each."""
     rows = spark.createDataFrame([(t, str(i)) for i, t in enumerate(texts)], "value string, source string")
-    return rows.select(F.explode(F.split(F.regexp_replace("value", "\r\n", "\n"), r"\n\s*\n")).alias("value"), "source")
+    parts = F.filter(F.split("value", BLANK), lambda x: x.rlike(TOKEN_LINE))
+    return rows.select(F.posexplode(parts).alias("sent_no", "value"), "source").select("value", "source", F.col("sent_no").cast("long"))
 
 
 def _cell(cells: Column, columns: tuple[str, ...], name: str, default: str = "_") -> Column:
     return F.coalesce(F.get(cells, F.lit(columns.index(name))), F.lit(default)) if name in columns else F.lit(default)
 
 
-def _token(line: Column, columns: tuple[str, ...]) -> Column:
-    return let(F.split(line, "\t"), then=lambda cells: _fields(cells, columns))
-
-
-def _fields(cells: Column, columns: tuple[str, ...]) -> Column:
+def _fields(cells: Column, columns: tuple[str, ...], relaxed: bool) -> Column:
     at = lambda name: _cell(cells, columns, name)
     tid = at("ID")
+    head = F.coalesce(at("HEAD").try_cast("int"), F.lit(-1))
+    if relaxed:
+        head = F.when(at("HEAD") == tid, 0).otherwise(head)
     kind = F.when(tid.contains("-"), "MWT").when(tid.contains("."), "EMPTY").otherwise("WORD")
     sub = F.when(tid.contains("-"), F.substring_index(tid, "-", -1)).when(tid.contains("."), F.substring_index(tid, ".", -1))
     extra = [c for c in columns if c not in COLUMNS]
@@ -43,50 +67,73 @@ def _fields(cells: Column, columns: tuple[str, ...]) -> Column:
     return F.struct(
         kind.alias("kind"), F.regexp_extract(tid, r"\A(\d+)", 1).try_cast("int").alias("id"), F.coalesce(sub.try_cast("int"), F.lit(-1)).alias("subid"),
         F.regexp_replace(at("FORM"), r"(?<=\d)#(?=\d{3})", "").alias("form"), at("LEMMA").alias("lemma"), at("UPOS").alias("upos"), at("XPOS").alias("xpos"), feats_of(at("FEATS")).alias("feats"),
-        F.coalesce(at("HEAD").try_cast("int"), F.lit(-1)).alias("head"), at("DEPREL").alias("deprel"), deps_of(at("DEPS")).alias("deps"), misc_of(at("MISC")).alias("misc"), more.alias("extra"),
+        head.alias("head"), at("DEPREL").alias("deprel"), deps_of(at("DEPS")).alias("deps"), misc_of(at("MISC")).alias("misc"), more.alias("extra"),
     )
 
 
-def _wrong(line: Column, columns: tuple[str, ...]) -> Column:
+def _faults(line: Column, cells: Column, columns: tuple[str, ...], relaxed: bool) -> Column:
     """The first thing wrong with a token line; null if it is fine."""
-    return let(F.split(line, "\t"), then=lambda cells: _faults(line, cells, columns))
-
-
-def _faults(line: Column, cells: Column, columns: tuple[str, ...]) -> Column:
     at = lambda name: _cell(cells, columns, name)
     blank = F.exists(cells, lambda c: c == "")
     filled = F.exists(F.slice(cells, 3, 7), lambda c: c != "_") if columns[:10] == COLUMNS else F.lit(False)
     return (
-        F.when(~line.rlike(r"\A\d"), "line begins with neither a number nor #").when(F.size(cells) != len(columns), F.concat(F.lit("wrong number of columns: "), F.size(cells).cast("string")))
-        .when(blank, "empty column").when(at("ID").contains("-") & filled, "a multiword token has other columns than form and misc")
-        .when(~at("HEAD").rlike(r"\A(_|\d+)\z"), "head is no number").when((at("HEAD") == at("ID")), "word is its own head")
-    )
+        F.when(~line.rlike(r"\A\d"), "line begins with neither a number nor #")
+        .when(F.size(cells) != len(columns), F.concat(F.lit("wrong number of columns: "), F.size(cells).cast("string")))
+        .when(F.lit(not relaxed) & blank, "empty column").when(at("ID").contains("-") & filled, "a multiword token has other columns than form and misc")
+        .when(~at("HEAD").rlike(r"\A(_|\d+)\z"), "head is no number").when(F.lit(not relaxed) & (at("HEAD") == at("ID")), "word is its own head")
+    )
+
+
+def _lines(body: Column, columns: tuple[str, ...], relaxed: bool) -> Column:
+    """(token, fault) of each line, whose cells are split once."""
+    full = (lambda c: F.transform(c, lambda x: F.when(x == "", "_").otherwise(x))) if relaxed else lambda c: c
+    read = lambda line, cells: F.struct(_fields(cells, columns, relaxed).alias("token"), _faults(line, cells, columns, relaxed).alias("fault"))
+    return F.transform(body, lambda x: let(x, full(F.split(x, "\t")), then=read))
+
 
+def parse(blocks: DataFrame, columns: tuple[str, ...] = COLUMNS, strict: bool = False, relaxed: bool = False, drop_xpos: str | None = None) -> DataFrame:
+    """Sentences from blocks of lines (`value`): metadata, words, mwts, empties, errors; other columns of blocks stay.
 
-def parse(blocks: DataFrame, columns: tuple[str, ...] = COLUMNS, strict: bool = False) -> DataFrame:
-    """Sentences from blocks of lines (`value`): metadata, words, mwts, empties, errors; other columns of blocks stay."""
+    Errors are noted in `errors`; with `strict` they fail the job. `relaxed` reading takes an empty cell as `_` and a word that is its own head as a root, without an error.
+    Of comments that give the same thing twice (texts of a language, too) the last counts, with an error. With `drop_xpos`, words with this XPOS are left out and the
+    others are numbered anew (see `edit.renumbered`).
+    """
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, r"\r\z", "")), lambda x: F.trim(x) != "")
-    rows = blocks.withColumn("lines_", lines).where(F.exists("lines_", lambda x: ~x.startswith("#")))
-    rows = rows.withColumn("notes_", F.transform(F.filter("lines_", lambda x: x.startswith("#")), lambda x: F.trim(F.substring(x, F.lit(2), F.length(x)))))
+    rows = settled(blocks.withColumn("lines_", lines), "lines_").where(F.exists("lines_", lambda x: ~x.startswith("#")))
+    notes = F.transform(F.filter("lines_", lambda x: x.startswith("#")), lambda x: F.trim(F.substring(x, F.lit(2), F.length(x))))
     body = F.filter("lines_", lambda x: ~x.startswith("#"))
-    rows = rows.withColumn("tokens_", F.filter(F.transform(body, lambda x: _token(x, columns)), lambda t: t["id"].isNotNull() & (t["xpos"] != "NON-VU")))
-    rows = rows.withColumn("errors", F.filter(F.transform(body, lambda x, i: F.concat(F.lit("line "), (i + 1 + F.size("notes_")).cast("string"), F.lit(": "), _wrong(x, columns))), lambda e: e.isNotNull()))
-    if strict:
-        rows = rows.withColumn("errors", F.when(F.size("errors") > 0, F.raise_error(F.array_join("errors", "\n")).cast("array<string>")).otherwise(F.col("errors")))
-    note = lambda key: F.get(F.transform(F.filter("notes_", lambda x: x.rlike(rf"\A{key}\s*=")), lambda x: F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x)))), F.lit(0))
+    rows = settled(rows.withColumn("notes_", notes).withColumn("read_", _lines(body, columns, relaxed)), "notes_", "read_")
+    last = lambda found: F.element_at(found, -1)
+    said = lambda key: F.transform(F.filter("notes_", lambda x: x.rlike(rf"\A{key}\s*=")), lambda x: F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))))
+    note = lambda key: F.when(F.size(said(key)) > 0, last(said(key)))
     marker = lambda key: F.coalesce(note(key), note(f"{key} id"), F.when(F.exists("notes_", lambda x: x == key), ""))
     known = r"\A(newdoc|newpar|sent_id\s*=|text\s*=|translit\s*=|text_[a-zA-Z-]+\s*=|global\.columns)"
-    langs = F.filter("notes_", lambda x: x.rlike(r"\Atext_[a-zA-Z-]+\s*="))
-    kind = lambda k: F.array_sort(F.filter("tokens_", lambda t: t["kind"] == k), lambda a, b: F.when(a["id"] != b["id"], a["id"] - b["id"]).otherwise(a["subid"] - b["subid"]))
-    return rows.select(
+    langs = F.transform(F.filter("notes_", lambda x: x.rlike(r"\Atext_[a-zA-Z-]+\s*=")), lambda x: F.struct(F.regexp_extract(x, r"\Atext_([a-zA-Z-]+)", 1).alias("key"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("value")))
+    faults = F.transform("read_", lambda x, i: F.concat(F.lit("line "), (i + 1 + F.size("notes_")).cast("string"), F.lit(": "), x["fault"]))
+    twice = F.array(*(F.when(F.size(said(k)) > 1, f"{k} is given twice") for k in ("sent_id", "text", "translit")))
+    doubled = lambda langs: F.array(F.when(F.size(F.array_distinct(F.transform(langs, lambda x: x["key"]))) < F.size(langs), "a text of a language is given twice"))
+    rows = rows.withColumn("langs_", langs)
+    rows = rows.withColumn("errors", F.filter(F.concat(faults, twice, doubled(F.col("langs_"))), lambda e: e.isNotNull()))
+    if strict:
+        rows = rows.withColumn("errors", F.when(F.size("errors") > 0, F.raise_error(F.array_join("errors", "\n")).cast("array<string>")).otherwise(F.col("errors")))
+    order = lambda a, b: F.when(a["id"] != b["id"], a["id"] - b["id"]).otherwise(a["subid"] - b["subid"])
+    kind = lambda k: F.array_sort(F.filter(F.transform("read_", lambda x: x["token"]), lambda t: t["id"].isNotNull() & (t["kind"] == k)), order)
+    later = lambda e, i: F.exists(F.slice("langs_", i + 2, F.size("langs_")), lambda x: x["key"] == e["key"])
+    out = rows.select(
         *(c for c in blocks.columns if c != "value"), note("sent_id").alias("sent_id"), note("text").alias("text"), marker("newdoc").alias("newdoc"), marker("newpar").alias("newpar"), note("translit").alias("translit"),
-        F.map_from_entries(F.transform(langs, lambda x: F.struct(F.regexp_extract(x, r"\Atext_([a-zA-Z-]+)", 1), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x)))))).alias("translations"),
+        F.map_from_entries(F.filter("langs_", lambda e, i: ~later(e, i))).alias("translations"),
         F.filter("notes_", lambda x: ~x.rlike(known)).alias("comments"), kind("WORD").alias("words"), kind("MWT").alias("mwts"), kind("EMPTY").alias("empties"), "errors",
     )
+    out = settled(out, "words", "mwts", "empties")
+    if drop_xpos is not None:
+        done = renumbered(F.filter("words", lambda w: w["xpos"] != drop_xpos), F.col("mwts"), F.col("empties"))
+        out = settled(out.withColumn("done_", done), "done_").withColumns({c: F.col(f"done_.{c}") for c in ("words", "mwts", "empties")}).drop("done_")
+    return out
 
 
-def read_conllu(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    return parse(read_text(spark, path), strict=strict)
+def read_conllu(spark: SparkSession, path: str, strict: bool = False, relaxed: bool = False, crlf: bool = False, numbered: bool = False) -> DataFrame:
+    """Sentences of files, with source and, if `numbered`, sent_no (see `read_text` and `parse`)."""
+    return parse(read_text(spark, path, crlf, numbered), strict=strict, relaxed=relaxed)
 
 
 def plus_columns(spark: SparkSession, path: str) -> tuple[str, ...]:
@@ -95,8 +142,8 @@ def plus_columns(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(head.value.split("=", 1)[1].split()) if head and head.value.startswith("# global.columns") else COLUMNS
 
 
-def read_conllu_plus(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    return parse(read_text(spark, path), plus_columns(spark, path), strict)
+def read_conllu_plus(spark: SparkSession, path: str, strict: bool = False, relaxed: bool = False, crlf: bool = False, numbered: bool = False) -> DataFrame:
+    return parse(read_text(spark, path, crlf, numbered), plus_columns(spark, path), strict, relaxed)
 
 
 def _line(t: Column, columns: tuple[str, ...] = COLUMNS) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.let import settled
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -41,7 +43,7 @@ def orders(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame
             feats.alias("feats"), head.alias("head"), rel.alias("deprel"), F.when(tid > 2, F.concat(extra, more)).otherwise(extra).alias("deps"), F.when(x["p_size"] % 2 == 0, F.concat(misc, gloss)).otherwise(misc).alias("misc"),
         )
 
-    sents = sents.select("sent", F.transform("items", token).alias("words"))
+    sents = settled(sents.select("sent", F.transform("items", token).alias("words")), "words")
     none = F.array().cast(sents.schema["words"].dataType)
 
     def other(kind: str, tid, sub, form, upos: str):
