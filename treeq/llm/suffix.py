@@ -4,8 +4,10 @@ Of all suffixes (at words) those at content-selected positions are retained: the
 consecutive runs of SEED words. Two documents that share a passage of `words` words retain a suffix at the same
 place of it, with at least words - SPAN + 1 of the words still to come; hashes of so many words order the suffixes. The
 retained suffixes are sorted over all partitions, and neighbours of different documents with the same beginning
-match. Matches are then extended left and right: every window of `words` words that holds a match is looked up, and
-windows that occur in two documents make up the passages, so passages end exactly where sharing ends.
+match. A match is then extended: to the left word by word, up to where the passage can begin, and from each such place to
+the right by `words` words. These longer suffixes are sorted and compared with their neighbours in the same way, so nothing is joined by content and a
+passage that very many documents have is spread over as many tasks as it needs. What matches makes up the passages, which end exactly where
+sharing ends.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gram_hashes, mix64, small_batches, span_hashes, text_steps, words
+from ..functions.let import let
+from .common import cut, drop, gram_hashes, mix64, small_batches, span_hashes, text_steps, words
 
 SEED, SPAN = 8, 21
 
@@ -59,66 +62,83 @@ def retained(docs: DataFrame, least: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"h long, doc_id {dict(docs.dtypes)['doc_id']}, pos int")
 
 
-def matched(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, pos) of the retained suffixes whose beginning another document's suffix has too.
+#: Rows that are gone through at once.
+BULK = 1 << 17
+
+
+def _bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    some: list[pa.RecordBatch] = []
+    for b in batches:
+        some.append(b)
+        if sum(map(len, some)) >= BULK:
+            yield pa.Table.from_batches(some).combine_chunks()
+            some = []
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks()
+
+
+def matched(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, pos) of the suffixes (h, doc_id, pos) whose beginning h another document's suffix has too; and the table behind it.
 
     The sort is one range partitioning over (h, doc_id, pos), so suffixes of one beginning spread over as many
     tasks as they need. A run of rows of one document is compared with the runs before and after it; the first and the last
-    run of each partition are compared with those of its neighbours, from two rows a partition.
+    run of each partition are compared with those of its neighbours, from two runs a partition.
     """
-    spark = suffixes.sparkSession
     kind = dict(suffixes.dtypes)["doc_id"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = suffixes.repartitionByRange(parts, "h", "doc_id", "pos").sortWithinPartitions("h", "doc_id", "pos").withColumn("part", F.spark_partition_id())
+    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["h", "doc_id", "pos"]
+    ordered = suffixes.select(order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, before, first = None, None, True
-        for pdf in frames:
-            pdf = pd.concat([rest, pdf], ignore_index=True) if rest is not None else pdf
-            h, d = pdf.h.to_numpy(), pdf.doc_id.to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
-            last = new[-1]  # the last run may go on in the next batch
+        for t in _bulk(batches):
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            h, d = t.column("h").to_numpy(), t.column("doc_id")
+            other = pc.not_equal(d.slice(1), d.slice(0, len(d) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | other]))
+            last = int(new[-1])  # the last run may go on in the next rows
             if last:
-                yield _hits(pdf.iloc[:last], new[:-1], before, h[last], first, False)
+                yield from _hits(t.slice(0, last), new[:-1], before, h[last], first, False)
                 before, first = h[new[-2]], False
-            rest = pdf.iloc[last:]
+            rest = t.slice(last)
         if rest is not None and len(rest):
-            yield _hits(rest, np.zeros(1, int), before, None, first, True)
+            yield from _hits(rest, np.zeros(1, int), before, None, first, True)
 
-    marked = cut(ordered.mapInPandas(run, f"h long, doc_id {kind}, pos int, part int, hit boolean, edge int"))
+    marked = cut(ordered.mapInArrow(run, f"h long, doc_id {kind}, pos int, hit boolean"))
     # runs at the ends of partitions: a beginning that two of them have in different documents, or one of them has as a hit
-    both = marked.where("edge > 0").groupBy("h").agg(((F.min("doc_id") != F.max("doc_id")) | F.max("hit")).alias("shared")).where("shared").select("h")
-    ends = marked.where("edge > 0 and not hit").join(F.broadcast(both), "h", "left_semi")  # two runs a partition at most
-    return marked.where("hit").select("doc_id", "pos").unionByName(ends.select("doc_id", "pos"))
+    ends = marked.where("h is not null")
+    both = ends.groupBy("h").agg(((F.min("doc_id") != F.max("doc_id")) | F.max("hit")).alias("shared")).where("shared").select("h")
+    more = ends.where("not hit").join(F.broadcast(both), "h", "left_semi")  # two runs a partition at most
+    return marked.where("hit").select("doc_id", "pos").unionByName(more.select("doc_id", "pos")), marked
 
 
-def _hits(pdf: pd.DataFrame, new: np.ndarray, before, after, first: bool, last: bool) -> pd.DataFrame:
-    """The rows whose run has a neighbouring run with the same h, and all of the partition's first (edge 1) and last run (2)."""
-    key = pdf.h.to_numpy()[new]
+def _hits(t: pa.Table, new: np.ndarray, before, after, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose run has a neighbouring run with the same h, and all of the partition's first and last run: only these keep their h."""
+    key = t.column("h").to_numpy()[new]
     hit = np.zeros(len(new), bool)
     hit[1:] |= key[1:] == key[:-1]
     hit[:-1] |= key[1:] == key[:-1]
     hit[0] |= before is not None and key[0] == before
     hit[-1] |= after is not None and key[-1] == after
-    edge = np.zeros(len(new), np.int32)
-    if last:
-        edge[-1] = 2
-    if first:
-        edge[0] = 1
-    size = np.diff(np.append(new, len(pdf)))
-    out = pdf.assign(hit=np.repeat(hit, size), edge=np.repeat(edge, size))
-    return out[out.hit | (out.edge > 0)]
-
-
-def windows(docs: DataFrame, suffixes: DataFrame, least: int) -> DataFrame:
-    """(doc_id, start, g): hashes of the windows of `least` words to look up."""
-    kind = dict(docs.dtypes)["doc_id"]
-    found = suffixes.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))  # of one document's own words
+    edge = np.zeros(len(new), bool)
+    edge[-1] |= last
+    edge[0] |= first
+    size = np.diff(np.append(new, len(t)))
+    row_hit, row_edge = np.repeat(hit, size), np.repeat(edge, size)
+    keep = np.flatnonzero(row_hit | row_edge)
+    if len(keep):
+        out = t.take(pa.array(keep)).combine_chunks().to_batches()[0]
+        h = pa.array(out.column("h").to_numpy(zero_copy_only=False), pa.int64(), mask=~row_edge[keep])
+        yield pa.RecordBatch.from_arrays([h, out.column("doc_id"), out.column("pos"), pa.array(row_hit[keep])], ["h", "doc_id", "pos", "hit"])
+
+
+def windows(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(h, doc_id, pos): hashes of `least` words at the places to which matches extend on their left. `found` has doc_id and the places `at` of its matches."""
     both = docs.select("doc_id", "text").join(found, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pos, ids = b.column("pos"), b.column("doc_id")
+            pos, ids = b.column("at"), b.column("doc_id")
             for lo, hi, h, _, at in _hashed(b.column("text")):
                 g = gram_hashes(h, least)
                 take, start, value = [], [], []
@@ -133,9 +153,22 @@ def windows(docs: DataFrame, suffixes: DataFrame, least: int) -> DataFrame:
                     start.append(p.astype(np.int32))
                     value.append(g[p + at[i]])
                 if take and sum(map(len, take)):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(take))), pa.array(np.concatenate(start)), pa.array(np.concatenate(value).view(np.int64))], ["doc_id", "start", "g"])
+                    columns = [pa.array(np.concatenate(value).view(np.int64)), ids.take(pa.array(np.concatenate(take))), pa.array(np.concatenate(start))]
+                    yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "pos"])
+
+    return both.mapInArrow(run, f"h long, doc_id {dict(docs.dtypes)['doc_id']}, pos int")
+
+
+def _runs(starts: Column, least: int) -> Column:
+    """(start, end) of the runs of overlapping or touching windows, from their sorted starts."""
+    def of(starts: Column) -> Column:
+        step = lambda i: F.get(starts, i) - F.get(starts, i - 1)
+        heads = F.filter(F.sequence(F.lit(0), F.size(starts) - 1), lambda i: (i == 0) | (step(i) > least))
+        last = lambda heads, k: F.coalesce(F.get(heads, k + 1), F.size(starts)) - 1
+        span = lambda heads: F.transform(heads, lambda h, k: F.struct(F.get(starts, h).alias("start"), (F.get(starts, last(heads, k)) + least).alias("end")))
+        return let(heads, then=span)
 
-    return both.mapInArrow(run, f"doc_id {kind}, start int, g long")
+    return let(starts, then=of)
 
 
 def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
@@ -143,17 +176,17 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
 
     Words are lower-cased runs of characters other than blank and tab to carriage return; a document's passages are maximal. Documents
     without such a passage have no row. Repetition inside one document doesn't count, and rows of one id are one
-    document. Null ids, null and short texts take no part; other columns are left out; an empty table gives no rows.
+    document, repeated ones too. Null ids, null and short texts take no part; texts of any length are gone through whole; ties (equal beginnings of any number) are all
+    compared. Other columns are left out, whatever their names; an empty table gives no rows.
     """
     if least < SPAN + SEED + SPAN:
         raise ValueError(f"least must be {2 * SPAN + SEED} at least")
     small_batches(docs.sparkSession)
-    found = windows(docs, cut(matched(retained(docs, least))), least)
-    shared = found.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("g")
-    starts = found.join(shared, "g", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    # maximal runs of overlapping windows: a fold over a document's own starts
-    spans = F.aggregate(
-        "starts", F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"] >= s, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), (s + least).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s.alias("start"), (s + least).alias("end"))))),
-    )
-    return starts.select("doc_id", F.explode(spans).alias("x")).select("doc_id", "x.start", "x.end")
+    hits, first = matched(retained(docs, least))
+    # written, so that AQE can split the rows of an id that repeats
+    found = cut(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
+    drop(first)
+    hits, _ = matched(windows(docs, found, least))
+    drop(found)
+    starts = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))  # of one document's own words
+    return starts.select("doc_id", F.explode(_runs(F.col("starts"), least)).alias("x")).select("doc_id", "x.start", "x.end")
