@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from treeq.llm import mixing, packing, pii, queries, urls
 
@@ -168,3 +169,76 @@ def test_pipeline_repeated_rows(spark, docs):
     assert cp.once(rows).count() == len(set(DOCS)) and cp.drop_near_duplicates(spark, rows, "").where("doc_id = 1").count() == 1
     mixed = cp.mix_sources(spark, rows, "").collect()
     assert max(Counter(r.doc_id for r in mixed).values()) <= 4 and np.sum([len(r.text.split()) for r in mixed]) > 0
+
+
+def test_pipeline_clashing_columns(spark, small):
+    """Columns of any name keep their values through the stages."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    names = ["score", "predicted", "size", "part", "key", "row", "id", "text_key", "text_hash", "spans", "node", "n", "copies", "Target"]
+    more = docs.select("*", *(F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        kept = cp.cut(stage(spark, more, small))
+        assert kept.columns == more.columns, name
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names), name
+    assert cp.STAGES[-1][1](spark, more, small).count() >= 60
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_pack_any_ids(spark):
+    rows = [("x", "a b c " * 30, "s"), ("y", "d " * 130, "s"), (None, "e f", None), ("x", "a b c " * 30, "s"), ("x", "q " * 70, "s")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id string, text string, source string"), capacity=64).collect()
+    words = Counter()
+    for r in got:
+        words[r.doc_id] += r.n_words
+        assert r.bin_words <= 64
+    assert words == Counter({"x": 250, "y": 130, None: 2})
+    full = [r.bin for r in got if r.n_words == 64]
+    assert len(set(full)) == len(full) == 1 + 2 + 1 + 1
+    big = (1 << 60) + 1  # more than a floating point number holds
+    got = packing.pack(spark.createDataFrame([(big, "a", "s"), (None, "b", "s")], "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got} == {big, None}
+
+
+def test_many_copies(spark):
+    from treeq.llm.common import ranked, repeated
+
+    df = spark.createDataFrame([("a", 1), ("b", 5000), ("c", 1024)], "k string, n long")
+    got = Counter((r.k, r.i) for r in repeated(df, "n", "i").collect())
+    assert set(got.values()) == {1} and len(got) == 6025 and max(i for k, i in got if k == "b") == 5000
+    some = spark.range(500).selectExpr("pmod(hash(id), 1000) AS v")
+    rows = sorted((r["rank"], r.v) for r in ranked(some, F.col("v"), name="rank").collect())
+    assert [r for r, _ in rows] == list(range(1, 501)) and [v for _, v in rows] == sorted(v for _, v in rows)
+
+
+def test_mix_queue(docs):
+    """Word for word against the queue of finish times, gone through entry by entry."""
+    rows = mixing.mix(docs).collect()
+    target = {r.source: r.target for r in rows}
+    h = {(r.doc_id, r.text_key): (r.h0, r.h1) for r in docs.select("doc_id", F.xxhash64("text").alias("text_key")).select("doc_id", "text_key", *(F.xxhash64(F.lit(17), "doc_id", F.lit(p), "text_key").alias(f"h{p}") for p in (0, 1))).collect()}
+    entries = Counter((r.doc_id, r.text_key, r.source, r.size) for r in rows)
+    queue, upto = [], Counter()
+    for p in (0, 1):
+        for (i, k, s, size), n in sorted(entries.items(), key=lambda e: h[e[0][0], e[0][1]][p]):
+            upto[s] += size * n
+            queue.append((upto[s] / target[s] if target[s] else 0.0, h[i, k][p], i, k, s, size, n))
+    left, want = int(1.5 * sum(size * n for (_, _, _, size), n in entries.items())), Counter()
+    for _, _, i, k, s, size, n in sorted(queue, key=lambda e: e[:2]):
+        took = max(0, min(size * n, left))
+        left -= took
+        want[i, k, s] += took
+    got = Counter()
+    for r in rows:
+        got[r.doc_id, r.text_key, r.source] += r.taken
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_links_in_pages(spark):
+    """Take the components out and these verdicts change."""
+    base = [(1, "http://shop.net/es/a", ""), (2, "http://x.org/p?a=1&amp", ""), (3, "http://x.org/d/e.html", '<link rel="canonical" href="../q?b=1&amp;c=2">'), (4, "https://x.org/q?b=1&c=2", '<link rel="canonical" href="http://shop.net/es/a">'), (5, "https://www.x.org/q?b=1&utm_id=3&c=2#z", ""), (6, "http://y.org/k?p=1", '<link rel="canonical" href="?p=2">'), (7, "http://y.org/k?p=2", '<meta http-equiv="refresh" content="0;url=//shop.net/es/a">')]
+    rows = urls.judge(spark.createDataFrame([(*b, "v", "w") for b in base], "page_id long, url string, html string, _said string, way_ string")).collect()
+    assert {r.page_id: r.verdict for r in rows} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block"}
+    assert all((r["_said"], r["way_"]) == ("v", "w") for r in rows)
