@@ -22,8 +22,8 @@ from .vectors import matrix, with_node
 
 #: Vectors that centres are fitted on, at most; the angle (cosine) from which neighbours matter, which sets the weights.
 SAMPLE, COSINE = 16384, 0.2
-#: Queries and codes of a block (codes of up to WIDE dimensions; fewer of longer ones); per result asked for, candidates whose true cosines set a block's cut-off.
-QUERIES, CODES, WIDE, PASS = 512, 8192, 256, 24
+#: Queries and codes of a block (codes of up to WIDE dimensions; fewer of longer ones; codes are sent once per block of queries); per result asked for, candidates whose true cosines set a block's cut-off.
+QUERIES, CODES, WIDE, PASS = 2048, 8192, 256, 24
 #: More than the rounding of scores scanned in single precision (per subspace), and of cosines in double precision.
 SINGLE, DOUBLE = 1e-7, 1e-9
 
@@ -123,7 +123,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
     All other rows are candidates (a query's own row is not). Vectors that are null, empty, zero or have null or
     non-finite components, and rows without an id, take no part. Equal vectors are scanned once, and stand for the
     k + 1 smallest of their ids; ties go to the smaller id. Vectors of other lengths than the query's are no candidates. Rows that repeat an id with an
-    equal vector count as one. Other columns are left out; an empty table gives no rows.
+    equal vector count as one. Other columns are left out, whatever their names; an empty table gives no rows.
     """
     rows = cut(with_node(vectors.withColumn("asks", F.coalesce(queries, F.lit(False))).select("vec_id", "embedding", "asks")).withColumn("dim", F.size("embedding")))
     spark, found = vectors.sparkSession, None
