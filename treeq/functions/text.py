@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .let import let
@@ -111,3 +111,26 @@ def transliterate(text: Column, table: tuple[str, str] = CYRILLIC) -> Column:
     pairs = [(a, b) for a, b in zip(small, to, strict=True)]
     pairs += [(a.upper(), b.upper()) for a, b in pairs if a.upper() != a]
     return F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
+def by_rules(text: Column, rules: list[tuple[str, str]] | str, tables: dict[str, list[tuple[str, str]] | str] | None = None) -> Column:
+    """A text with replacements (pattern, replacement) made one after another, each in what the one before left. A blank stands behind the text meanwhile, so rules can
+    ask for the end of a word. A name stands for its list in `tables`, or for another name there."""
+    while isinstance(rules, str):
+        rules = (tables or {})[rules]
+    out = F.concat(text, F.lit(" "))
+    for pattern, to in rules:
+        out = F.regexp_replace(out, pattern, to)
+    return F.rtrim(out)
+
+
+def with_translit(sents: DataFrame, rules: list[tuple[str, str]] | str, tables: dict | None = None) -> DataFrame:
+    """sents whose words have Translit and LTranslit in MISC, where they differ from form and lemma, and whose `translit` is that of the text."""
+    def one(w: Column) -> Column:
+        names = {"Translit": w["form"], "LTranslit": w["lemma"]}
+        kept = F.filter(w["misc"], lambda m: ~m["key"].isin(list(names)))
+        new = F.array(*(F.struct(F.lit(n).alias("key"), by_rules(x, rules, tables).alias("val")) for n, x in names.items()))
+        old = F.create_map(*(y for n, x in names.items() for y in (F.lit(n), x)))
+        return w.withField("misc", F.concat(kept, F.filter(new, lambda m: m["val"] != F.try_element_at(old, m["key"]))))
+
+    return sents.withColumn("words", F.transform("words", one)).withColumn("translit", by_rules(F.col("text"), rules, tables))

@@ -113,3 +113,9 @@ def after(hits: DataFrame, position: str, current: int, backwards: bool = False)
 
 def nth(sents: DataFrame, position: str, n: int) -> DataFrame:
     return sents.where(F.col(position) == n)
+
+
+def tokens_listed(sents: DataFrame, values: DataFrame, field: str, *keys: str) -> DataFrame:
+    """Key columns and the fields of each word whose field is a `value` of a table: a join, so lists may be of any size."""
+    words = sents.select(*keys, F.inline("words"))
+    return words.join(values.select(F.col("value").alias(field)).distinct(), field, "left_semi").select(*keys, *(c for c in words.columns if c not in keys))

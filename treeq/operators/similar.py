@@ -4,16 +4,21 @@ The distance is optimal string alignment (insert, delete, replace, swap of neigh
 become equal when up to k characters are deleted from each, so what deletions leave is an equi-join key. Of long texts, which leave
 too many, pieces are: a swap touches two of the pieces that a text is cut into, other edits one, so of 2k + 1 disjoint pieces one at least
 survives k edits unchanged, moved by k places at most; the key is a piece, its number and the text's length. Only texts that share a key are verified.
+What is compared may also be lists, of tokens' lemmas or tags: then a token is to a list what a character is to a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import feats_text
+
 
-def osa(a: str, b: str, k: int) -> int:
+def osa(a: Sequence, b: Sequence, k: int) -> int:
     """The distance, or k + 1 if it is larger; a band of width 2k + 1 is filled."""
     if abs(len(a) - len(b)) > k:
         return k + 1
@@ -34,11 +39,18 @@ def osa(a: str, b: str, k: int) -> int:
 SHORT = 48
 
 
+def _kind(df: DataFrame, column: str):
+    """(length, slice) of a text or of a list."""
+    return (F.size, F.slice) if df.schema[column].dataType.typeName() == "array" else (F.length, F.substring)
+
+
 def _deletions(texts: DataFrame, t: str, k: int) -> DataFrame:
     """(t, rest) for what is left of a text after up to k deletions."""
+    length, part = _kind(texts, t)
     out = texts.select(t, F.col(t).alias("rest"))
+    without = lambda i: F.concat(part("rest", F.lit(1), i - 1), part("rest", i + 1, length("rest")))
     for _ in range(k):
-        shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.length("rest"), F.lit(1))), lambda i: F.concat(F.substring("rest", F.lit(1), i - 1), F.substring("rest", i + 1, F.length("rest"))))
+        shorter = F.when(length("rest") > 0, F.transform(F.sequence(F.lit(1), F.greatest(length("rest"), F.lit(1))), without)).otherwise(F.array("rest"))
         out = out.select(t, F.explode(F.array_distinct(F.concat(F.array("rest"), shorter))).alias("rest")).distinct()
     return out
 
@@ -56,15 +68,33 @@ def copies(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def similar(left: DataFrame, right: DataFrame | None, key: str, text: str, k: int) -> DataFrame:
-    """key1, key2, distance of texts within k edits: inside one table (key1 < key2), or between two. Texts are distinct first,
-    so copies are joined back and never compared twice; where there are many, use `copies`, and this on the distinct texts. Null texts match nothing."""
+    """key1, key2, distance of texts (or of lists) within k edits: inside one table (key1 < key2), or between two. Texts are distinct first,
+    so copies are joined back and never compared twice; where there are many, use `classes`, which makes no pairs of copies. Null texts match nothing."""
     own = right is None
     right = left if own else right
     names = [left.select(F.col(key).alias("key1"), F.col(text).alias("t1")).where("t1 is not null"), right.select(F.col(key).alias("key2"), F.col(text).alias("t2")).where("t2 is not null")]
     if k == 0:
         pairs = names[0].join(names[1], F.col("t1") == F.col("t2"))
         return (pairs.where("key1 < key2") if own else pairs).select("key1", "key2", F.lit(0).alias("distance"))
+    found = _near(names[0].select("t1").distinct(), names[1].select("t2").distinct(), own, k)
+    if own:
+        back = found.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "distance")
+        found = found.unionByName(back).unionByName(names[0].select("t1", F.col("t1").alias("t2"), F.lit(0).alias("distance")).distinct())
+    pairs = names[0].join(found, "t1").join(names[1], "t2")
+    return (pairs.where("key1 < key2") if own else pairs).select("key1", "key2", "distance")
+
+
+def classes(rows: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(first, n, text) of each different text, first being its smallest key, and (first1, first2, distance) of those within k edits. Copies are in no
+    pair: a group of m of them is one row."""
+    groups = rows.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias("first"), F.count("*").alias("n")).select("first", "n", text)
+    return groups, similar(groups, None, "first", text, k).select(F.col("key1").alias("first1"), F.col("key2").alias("first2"), "distance")
+
+
+def _near(one: DataFrame, two: DataFrame, own: bool, k: int) -> DataFrame:
+    """(t1, t2, distance) of different texts within k edits, from the distinct texts of two tables (t1 < t2 if they are the same table)."""
     parts = 2 * k + 1
+    length, part = _kind(one, "t1")
 
     def start(n: Column, p: Column) -> Column:
         base, more = _pieces(n, parts)
@@ -75,34 +105,30 @@ def similar(left: DataFrame, right: DataFrame | None, key: str, text: str, k: in
         return base + F.when(p < more, 1).otherwise(0)
 
     every = F.sequence(F.lit(0), F.lit(parts - 1))
-    texts = [n.select(f"t{i}").distinct() for i, n in enumerate(names, 1)]
-    small = [_deletions(x.where(F.length(f"t{i}") <= SHORT + k), f"t{i}", k) for i, x in enumerate(texts, 1)]
+    small = [_deletions(x.where(length(f"t{i}") <= SHORT + k), f"t{i}", k) for i, x in enumerate((one, two), 1)]
     short = small[0].join(small[1], "rest").select("t1", "t2")
-    index = texts[1].where(F.length("t2") > SHORT).withColumn("n", F.length("t2"))
-    index = index.select("t2", "n", F.explode(every).alias("p")).select("t2", "n", "p", F.expr("t2").alias("x"))
-    index = index.select("t2", "n", "p", F.substring("x", start(F.col("n"), F.col("p")) + 1, size(F.col("n"), F.col("p"))).alias("piece"))
-    probe = texts[0].where(F.length("t1") > SHORT).select("t1", F.explode(F.sequence(F.greatest(F.length("t1") - k, F.lit(0)), F.length("t1") + k)).alias("n"))
+    index = two.where(length("t2") > SHORT).withColumn("n", length("t2"))
+    index = index.select("t2", "n", F.explode(every).alias("p"))
+    index = index.select("t2", "n", "p", part("t2", start(F.col("n"), F.col("p")) + 1, size(F.col("n"), F.col("p"))).alias("piece"))
+    probe = one.where(length("t1") > SHORT).select("t1", F.explode(F.sequence(F.greatest(length("t1") - k, F.lit(0)), length("t1") + k)).alias("n"))
     probe = probe.select("t1", "n", F.explode(every).alias("p"))
     probe = probe.select("t1", "n", "p", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("shift")).withColumn("at", start(F.col("n"), F.col("p")) + F.col("shift"))
-    probe = probe.where("at >= 0").select("t1", "n", "p", F.substring("t1", F.col("at") + 1, size(F.col("n"), F.col("p"))).alias("piece"))
+    probe = probe.where("at >= 0").select("t1", "n", "p", part("t1", F.col("at") + 1, size(F.col("n"), F.col("p"))).alias("piece"))
     found = probe.join(index, ["n", "p", "piece"]).select("t1", "t2").unionByName(short)
     found = found.where(F.col("t1") < F.col("t2") if own else F.lit(True)).distinct()
-    found = found.where(F.levenshtein("t1", "t2", 2 * k) >= 0)  # a swap costs two Levenshtein edits
+    if length is F.length:
+        found = found.where(F.levenshtein("t1", "t2", 2 * k) >= 0)  # a swap costs two Levenshtein edits
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([osa(x, y, k) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    found = found.withColumn("distance", distance("t1", "t2")).where(F.col("distance") <= k)
-    if own:
-        found = found.unionByName(found.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "distance")).unionByName(names[0].select("t1", F.col("t1").alias("t2"), F.lit(0).alias("distance")).distinct())
-    pairs = names[0].join(found, "t1").join(names[1], "t2")
-    return (pairs.where("key1 < key2") if own else pairs).select("key1", "key2", "distance")
+    return found.withColumn("distance", distance("t1", "t2")).where(F.col("distance") <= k)
 
 
-def column_text(field: str) -> Column:
-    """A token column of a sentence as one text to compare: values joined by a separator that they don't hold."""
-    return F.array_join(F.transform("words", lambda w: w[field]), "\u001f")
+def column_tokens(field: str) -> Column:
+    """A token column of a sentence as the list to compare (FEATS as texts in order of name)."""
+    return F.transform("words", lambda w: feats_text(w[field]) if field == "feats" else w[field])
 
 
 def report(pairs: DataFrame, name: str) -> DataFrame:

@@ -93,3 +93,12 @@ def arc_heights() -> Column:
         return F.concat(acc, F.array(F.struct(a["id"], a["lo"], a["hi"], (F.coalesce(inner, F.lit(0)) + 1).alias("height"))))
 
     return F.aggregate(arcs, start, step)
+
+
+def subtree_lines(root: Column | int, columns: tuple[str, ...]) -> Column:
+    """The subtree at a word as token lines with these columns, among them ID and HEAD: what a search by example starts from."""
+    from ..sources.conllu import _line
+
+    if not {"ID", "HEAD"} <= set(columns):
+        raise ValueError("a query tree needs the columns ID and HEAD")
+    return F.array_join(F.transform(subtree(root), lambda w: _line(w, columns)), "\n")

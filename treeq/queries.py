@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,30 +11,9 @@ from .functions import conditions as c
 from .functions import text as tx
 from .functions import values as v
 from .operators import corpus, edit, grew, search, similar, stats, trees, validate
+from .registry import ALL, ORACLES, QUERIES, SYS, TOK, query
 from .sources import conllu, export, sdparse, views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-TOK = views.ORDERS_SQL
-#: All tokens of the orders view, words, multiword and empty tokens, with a kind.
-ALL = TOK + """, alltok AS (
-  SELECT sent, id, 'WORD' AS kind FROM tok
-  UNION ALL SELECT DISTINCT sent, 1, 'MWT' FROM tok WHERE sent % 3 = 0 AND n > 2
-  UNION ALL SELECT DISTINCT sent, 1, 'EMPTY' FROM tok WHERE sent % 5 = 0)
-"""
-#: The system's version of the orders view.
-SYS = TOK + """, sys AS (
-  SELECT sent, id, form, lemma, xpos, size, disc, line, brand, psize, CASE WHEN part % 7 = 0 THEN 'X' ELSE upos END AS upos,
-    CASE WHEN part % 11 = 0 AND head > 1 THEN head - 1 ELSE head END AS head, CASE WHEN id = 1 THEN 'root' WHEN part % 13 = 0 THEN 'dep9' ELSE deprel END AS deprel FROM tok)
-"""
-
-
-def query(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = run
-    if sql is not None:
-        ORACLES[name] = sql
-
-
 def tokens(name: str, cond: c.Cond, where: str) -> None:
     """A condition over the words of the orders view; `where` is the same over rows t of tok."""
     query(name, lambda s, d: c.tokens_where(views.orders(s, d), cond, "sent").select("sent", "id"), f"{TOK} SELECT sent, id FROM tok t WHERE {where}")
@@ -51,7 +29,6 @@ tokens("cond_upos", c.upos("R"), "t.upos = 'R'")
 tokens("cond_xpos", c.xpos("O|Q"), "t.xpos = 'O'")
 tokens("cond_lemma", c.lemma("S.*|ECON.*Y"), "regexp_full_match(t.lemma, 'S.*|ECON.*Y')")
 tokens("cond_form", c.form(".* ring"), "regexp_full_match(t.form, '.* ring')")
-tokens("scan_wordlist", c.form(["red widget", "small ring", "blue bolt"]), "t.form IN ('red widget', 'small ring', 'blue bolt')")
 tokens("cond_deprel", c.deprel("dep[12]"), "t.deprel IN ('dep1', 'dep2')")
 tokens("cond_feat", c.feat("size", "2"), "t.size = '2'")
 tokens("cond_feat_any", c.feat("Disc"), "t.disc IS NOT NULL")
@@ -118,7 +95,6 @@ pattern("grew_order", grew.Pattern({"A": c.upos("A"), "B": c.upos("R")}, order=[
 pattern("grew_order_before", grew.Pattern({"A": c.feat("Size", "1"), "B": c.feat("Size", "3")}, order=[("A", "B", False)]), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.id > a.id WHERE a.size = '1' AND b.size = '3'")
 pattern("grew_attr_cmp", grew.Pattern({"A": c.upos("N")}, [("A", "B")], agree=[("A", c.value("lemma"), "B", c.value("lemma"), True)]), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id WHERE a.upos = 'N' AND a.lemma = b.lemma")
 pattern("grew_without_edge", grew.Pattern({"V": c.upos("N")}, without=[[("V", c.upos("R"), ["dep1"])]]), "SELECT sent, id AS v FROM tok t WHERE upos = 'N' AND NOT " + CHILD.format("c.upos = 'R' AND c.deprel = 'dep1'"))
-pattern("grew_without_node", grew.Pattern({"V": c.upos("N") & ~c.lemma("PROMO")}), "SELECT sent, id AS v FROM tok WHERE upos = 'N' AND lemma <> 'PROMO'")
 pattern("grew_inject", grew.Pattern({"A": c.lemma("PROMO"), "B": c.lemma("PROMO")}), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.id <> a.id WHERE a.lemma = 'PROMO' AND b.lemma = 'PROMO'")
 pattern("grew_global_tree", grew.Pattern({"R": c.deprel("root")}, tests=[grew.tree()]), "SELECT sent, id AS r FROM tok WHERE deprel = 'root'")
 query("grew_output", lambda s, d: grew.match(views.orders(s, d), grew.Pattern({"X": c.upos("R"), "B": c.upos("N")}, [("X", "B")]), "sent").select("sent", F.array_join(F.transform("ids", lambda i: i.cast("string")), "-").alias("ids")), f"{TOK} SELECT h.sent AS sent, least(h.id, d.id) || '-' || greatest(h.id, d.id) AS ids FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'R' AND d.upos = 'N'")
@@ -140,18 +116,12 @@ tokens("find_subtree", search.example(E_(c.upos("N"), [E_(c.upos("R") & c.deprel
 query("find_expression", lambda s, d: search.first_token(views.orders(s, d), c.is_empty | c.upos("R"), "sent").select("sent", "kind", "id"), f"{ALL} SELECT sent, kind, id FROM (SELECT a.sent, a.kind, a.id, row_number() OVER (PARTITION BY a.sent ORDER BY CASE a.kind WHEN 'WORD' THEN 0 ELSE 1 END, a.id) AS k FROM alltok a LEFT JOIN tok t ON t.sent = a.sent AND t.id = a.id WHERE a.kind = 'EMPTY' OR (a.kind = 'WORD' AND t.upos = 'R')) WHERE k = 1")
 query("find_highlight", lambda s, d: edit.highlight(views.orders(s, d), c.upos("R") & c.feat("Disc")).where(F.size("highlighted") > 0).select("sent", F.size("highlighted").cast("long").alias("n")), f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE upos = 'R' AND disc = 'Yes' GROUP BY sent")
 query("nav_cursor", lambda s, d: search.after(c.sentences_where(views.orders(s, d), c.upos("R") & c.head(c.upos("N"))), "sent", 100).select("sent"), f"{TOK} SELECT min(t.sent) AS sent FROM tok t WHERE t.sent > 100 AND t.upos = 'R' AND " + HEAD.format("h.upos = 'N'"))
-query("read_nth", lambda s, d: search.nth(views.orders(s, d), "sent", 42).select("sent", F.explode("words").alias("w")).select("sent", "w.id", "w.form"), f"{TOK} SELECT sent, id, form FROM tok WHERE sent = 42")
 query("find_comment", lambda s, d: search.by_comment(views.read(s, d, "conversations").select("conv_id", "turn", F.array(F.concat(F.lit("role = "), "role")).alias("comments")), "assist").select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE contains(role, 'assist')")
 
 # order, folds, merging
-query("slice_first_last", lambda s, d: corpus.between(views.orders(s, d), "sent", 11, 60).select("sent", F.size("words").cast("long").alias("n")), f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE sent + 1 BETWEEN 11 AND 60 GROUP BY sent")
 query("shuffle", lambda s, d: corpus.shuffled(views.orders(s, d), 7, "sent").select("sent"), f"{TOK} SELECT DISTINCT sent FROM tok")
 query("crossval", lambda s, d: corpus.folds(views.orders(s, d), "sent", 5).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("sent").alias("sum_sent")), f"{TOK}, u AS (SELECT DISTINCT sent FROM tok), f AS (SELECT CAST(range AS INTEGER) AS fold FROM range(5)) SELECT fold, CASE WHEN (sent + fold) % 5 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, CAST(sum(sent) AS BIGINT) AS sum_sent FROM u, f GROUP BY ALL")
 query("sort_feats", lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.feats_text(F.col("feats")).alias("feats")), f"{TOK} SELECT sent, id, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size AS feats FROM tok")
-query("merge_all", lambda s, d: corpus.merged(views.orders(s, d).withColumn("grp", F.floor(F.col("sent") / 100)), "grp", "sent").select("grp", F.inline("words")).groupBy("grp").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("head").alias("heads")), f"""{TOK}, m AS (SELECT sent // 100 AS grp, row_number() OVER (PARTITION BY sent // 100 ORDER BY sent, id) AS nid, id, head FROM tok)
- SELECT grp, count(*) AS n, CAST(sum(nid) AS BIGINT) AS ids, CAST(sum(CASE WHEN head > 0 THEN head + nid - id ELSE head END) AS BIGINT) AS heads FROM m GROUP BY grp""")
-query("seq_line_numbers", lambda s, d: corpus.line_numbers(views.orders(s, d).select((F.col("sent") % 64).alias("file"), "sent", F.size("words").alias("lines")), "file", "sent", "lines").select("sent", "first_line", "last_line"), f"{TOK}, l AS (SELECT sent, sent % 64 AS file, count(*) AS lines FROM tok GROUP BY sent), f AS (SELECT sent, lines, CAST(coalesce(sum(lines + 1) OVER (PARTITION BY file ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS first_line FROM l) SELECT sent, first_line, first_line + lines - 1 AS last_line FROM f")
-query("line_lookup", lambda s, d: corpus.at_line(corpus.line_numbers(views.orders(s, d).select((F.col("sent") % 64).alias("file"), "sent", F.size("words").alias("lines")), "file", "sent", "lines"), 9).select("file", "sent"), f"{TOK}, l AS (SELECT sent, sent % 64 AS file, count(*) AS lines FROM tok GROUP BY sent), f AS (SELECT file, sent, lines, coalesce(sum(lines + 1) OVER (PARTITION BY file ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS first_line FROM l) SELECT file, sent FROM f WHERE 9 BETWEEN first_line AND first_line + lines")
 
 # statistics
 query("stats_counts", lambda s, d: stats.counts(views.orders(s, d)), f"{TOK}, u AS (SELECT sent, count(*) AS n FROM tok GROUP BY sent) SELECT count(*) AS sentences, CAST(sum(n) AS BIGINT) AS syntactic_words, CAST(sum(CASE WHEN sent % 3 = 0 AND n > 2 THEN 1 ELSE 0 END) AS BIGINT) AS mwts, CAST(sum(CASE WHEN sent % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_words, CAST(sum(n - CASE WHEN sent % 3 = 0 AND n > 2 THEN 1 ELSE 0 END) AS BIGINT) AS surface_words FROM u")
@@ -165,7 +135,6 @@ query("identical_groups", lambda s, d: stats.identical_groups(views.lines(s, d),
 query("feat_profile", lambda s, d: stats.feature_profile(views.orders(s, d), 30).select("upos", "name", "n", "tokens", F.round("rate", 4).alias("rate"), "place", "keep"), f"{FEATS}, p AS (SELECT upos, name, count(*) AS n FROM fe GROUP BY ALL), a AS (SELECT upos, count(*) AS tokens FROM tok GROUP BY upos) SELECT upos, name, n, tokens, round(n * 100.0 / tokens, 4) AS rate, CAST(row_number() OVER (PARTITION BY upos ORDER BY n DESC, name) AS INTEGER) AS place, n * 100.0 / tokens >= 30 AS keep FROM p JOIN a USING (upos)")
 query("topk_feats", lambda s, d: stats.feature_profile(views.orders(s, d)).where("place = 1").select("upos", "name", "n"), f"{FEATS} SELECT upos, name, count(*) AS n FROM fe WHERE name = 'Size' GROUP BY ALL")
 query("feat_values", lambda s, d: stats.feature_values(views.orders(s, d)), f"{FEATS} SELECT name, string_agg(DISTINCT value, '|' ORDER BY value) AS vals FROM fe GROUP BY name")
-query("feats_json", lambda s, d: stats.features_json(views.orders(s, d)))
 BOTH = SYS + ", b AS (SELECT g.sent, g.id, g.lemma = s.lemma AS lemma, g.upos = s.upos AS upos, g.head = s.head AS head, g.head = s.head AND g.deprel = s.deprel AS las, g.deprel = s.deprel AS deprel FROM tok g JOIN sys s USING (sent, id))"
 query("score_sentences", lambda s, d: stats.scores(views.orders(s, d), views.orders(s, d, changed=True), "sent", ("lemma", "upos", "head", "las", "deprel")).select("sent", *(F.round(x, 6).alias(x) for x in ("lemma", "upos", "head", "las", "deprel"))), f"{BOTH} SELECT sent, " + ", ".join(f"round(avg(CAST({x} AS INTEGER)), 6) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM b GROUP BY sent")
 query("score_corpus", lambda s, d: stats.corpus_scores(views.orders(s, d), views.orders(s, d, changed=True), "sent", ("lemma", "upos", "head", "las", "deprel")), f"{BOTH}, u AS (SELECT sent, " + ", ".join(f"avg(CAST({x} AS INTEGER)) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM b GROUP BY sent) SELECT " + ", ".join(f"round(avg({x}) * 100, 2) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM u")
@@ -176,9 +145,7 @@ query("maxdist", lambda s, d: views.orders(s, d).select("sent", trees.longest_ar
 # sequences
 query("seq_prec_next", lambda s, d: views.orders(s, d).select("sent", F.inline(F.transform("words", lambda w: F.struct(w["id"].alias("id"), F.get("words", w["id"] - 2)["form"].alias("before"), F.get("words", w["id"])["form"].alias("after"))))), f"{TOK} SELECT sent, id, lag(form) OVER w AS before, lead(form) OVER w AS after FROM tok WINDOW w AS (PARTITION BY sent ORDER BY id)")
 query("seq_offsets", lambda s, d: views.orders(s, d).select("sent", F.inline(tx.offsets())).select("sent", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop")), f"{TOK}, o AS (SELECT sent, id, form, CAST(coalesce(sum(length(form) + 1) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tok) SELECT sent, id, start, start + length(form) AS stop FROM o")
-query("seq_renumber", lambda s, d: views.orders(s, d).select("sent", F.inline(edit.renumber(F.filter("words", lambda w: w["xpos"] == "O")))).select("sent", "id", "form", "head"), f"{TOK}, r AS (SELECT *, row_number() OVER (PARTITION BY sent ORDER BY id) AS nid FROM tok WHERE xpos = 'O') SELECT r.sent AS sent, r.nid AS id, r.form AS form, CASE WHEN r.head = 0 THEN 0 ELSE coalesce(h.nid, 0) END AS head FROM r LEFT JOIN r h ON h.sent = r.sent AND h.id = r.head")
 query("seq_position", lambda s, d: views.orders(s, d).select("sent", F.explode(F.transform(F.array_sort(F.transform(F.concat("words", "empties"), lambda t: F.struct(t["id"], t["subid"], t["form"].alias("form")))), lambda t, i: F.struct((i + 1).alias("pos"), t["form"].alias("form")))).alias("x")).select("sent", "x.pos", "x.form"), f"{TOK}, e AS (SELECT sent, id, -1 AS sub, form FROM tok UNION ALL SELECT DISTINCT sent, 1, 1, 'gap' FROM tok WHERE sent % 5 = 0) SELECT sent, row_number() OVER (PARTITION BY sent ORDER BY id, sub) AS pos, form FROM e")
-query("seq_arc_height", lambda s, d: views.orders(s, d).select("sent", F.inline(trees.arc_heights())).select("sent", "id", "height"))
 
 # similarity
 query("sim_identical", lambda s, d: similar.copies(views.lines(s, d).select(F.concat_ws(":", "doc_id", "line_no").alias("id"), "text"), "id", "text"), "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), k AS (SELECT doc_id || ':' || line_no AS id, text FROM l WHERE trim(text) <> '') SELECT id, min(id) OVER w AS first, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY text) QUALIFY n > 1")
@@ -186,21 +153,6 @@ query("sim_char", lambda s, d: similar.similar(views.read(s, d, "supplier"), Non
 query("sim_two_groups", lambda s, d: similar.similar(views.read(s, d, "part").select("p_name").distinct(), views.read(s, d, "part").select("p_name").distinct(), "p_name", "p_name", 1), "WITH p AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS key1, b.p_name AS key2, CAST(damerau_levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM p a, p b WHERE damerau_levenshtein(a.p_name, b.p_name) <= 1")
 
 
-def _letters(column: str) -> F.Column:
-    """A sentence's token column as one letter per token, by its value: a dictionary of the few values."""
-    return F.array_join(F.transform("words", lambda w: w[column]), "")
-
-
-def _sim_token(s: SparkSession, d: str) -> DataFrame:
-    """Tag sequences within one edit, between the distinct sequences of the orders view; the tags are letters already."""
-    seqs = views.orders(s, d).select(_letters("upos").alias("tags")).distinct()
-    return similar.similar(seqs.withColumn("key", F.col("tags")), None, "key", "tags", 1).groupBy("distance").agg(F.count("*").alias("n"))
-
-
-query("sim_token", _sim_token, f"{TOK}, q AS (SELECT DISTINCT tags FROM (SELECT string_agg(upos, '' ORDER BY id) AS tags FROM tok GROUP BY sent)) SELECT CAST(1 AS INTEGER) AS distance, count(*) AS n FROM q a JOIN q b ON a.tags < b.tags WHERE abs(length(a.tags) - length(b.tags)) <= 1 AND damerau_levenshtein(a.tags, b.tags) = 1 HAVING count(*) > 0")
-query("sim_lengthcut", lambda s, d: similar.similar(views.read(s, d, "customer"), None, "c_custkey", "c_name", 2).groupBy("distance").agg(F.count("*").alias("n")))
-query("sim_json", lambda s, d: similar.report(similar.similar(views.read(s, d, "supplier"), None, "s_suppkey", "s_name", 1), "FORM"))
-
 # functions
 
 
@@ -223,7 +175,6 @@ query("fn_text_diff", lambda s, d: validate.text_mismatch(views.orders(s, d), "s
 query("fn_feats_parse", lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.feats_text(tx.feats_of(F.concat(F.lit("size=9|"), tx.feats_text(F.col("feats"))))).alias("feats")), f"{TOK} SELECT sent, id, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size AS feats FROM tok")
 query("fn_misc_parse", lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.misc_text(tx.misc_of(F.concat(tx.misc_text(F.col("misc")), F.lit("|Flag")))).alias("misc")), f"{TOK} SELECT sent, id, 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END || '|Flag' AS misc FROM tok")
 query("fn_deps_parse", lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.deps_text(tx.deps_of(tx.deps_text(F.col("deps")))).alias("deps")), f"{TOK} SELECT sent, id, head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END AS deps FROM tok")
-query("fn_translit", lambda s, d: views.read(s, d, "nation").select("n_nationkey", tx.transliterate(F.concat(F.lit("Щука "), "n_name")).alias("t")), "SELECT n_nationkey, 'Ŝuka ' || n_name AS t FROM nation")
 query("fn_subphrase", lambda s, d: views.orders(s, d).select("sent", tx.subphrase(["dep1", "dep2"]).alias("phrase")), f"{TOK}, b AS (SELECT sent, min(id) AS a, max(id) AS z FROM tok WHERE deprel IN ('dep1', 'dep2') GROUP BY sent), u AS (SELECT DISTINCT sent FROM tok) SELECT u.sent AS sent, coalesce((SELECT string_agg(t.form, ' ' ORDER BY t.id) FROM tok t JOIN b ON b.sent = t.sent WHERE t.sent = u.sent AND t.id BETWEEN b.a AND b.z), '') AS phrase FROM u")
 
 # trees
@@ -266,37 +217,16 @@ query("edit_head", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(
 query("edit_eud", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"eud": "-1:conj"}), edit.Rule(c.upos("N"), {"eud": "_"})]).select("sent", F.inline("words")).select("sent", "id", tx.deps_text(F.col("deps")).alias("deps")), f"{TOK} SELECT sent, id, CASE WHEN upos = 'N' THEN '_' ELSE head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END || CASE WHEN upos = 'A' THEN '|' || (id - 1) || ':conj' ELSE '' END END AS deps FROM tok")
 
 
-def _edit_field(s: SparkSession, d: str) -> DataFrame:
-    edits = views.read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sent"), F.lit(1).alias("id"), F.col("o_orderpriority").alias("value"))
-    return edit.edit_fields(views.orders(s, d), edits, "sent", "lemma").select("sent", F.inline("words")).select("sent", "id", "lemma")
-
-
-query("edit_field", _edit_field, f"{TOK} SELECT t.sent AS sent, t.id AS id, CASE WHEN t.id = 1 AND o.o_orderkey IS NOT NULL THEN o.o_orderpriority ELSE t.lemma END AS lemma FROM tok t LEFT JOIN orders o ON o.o_orderkey = t.sent AND o.o_orderstatus = 'F'")
 query("edit_reattach", lambda s, d: edit.reattach(views.orders(s, d), 2, 4, "moved").select("sent", F.explode("words").alias("w"), "warning").select("sent", "w.id", "w.head", "w.deprel", "warning"), f"{UP}, why AS (SELECT t.sent, CASE WHEN t.n < 4 THEN 'head is outside the sentence' WHEN EXISTS (SELECT 1 FROM up u WHERE u.sent = t.sent AND u.id = 4 AND u.anc = 2) THEN 'head is below the word' END AS warning FROM tok t WHERE t.id = 2) SELECT t.sent AS sent, t.id AS id, CASE WHEN t.id = 2 AND w.warning IS NULL THEN 4 ELSE t.head END AS head, CASE WHEN t.id = 2 AND w.warning IS NULL THEN 'moved' ELSE t.deprel END AS deprel, w.warning AS warning FROM tok t LEFT JOIN why w ON w.sent = t.sent")
 query("edit_ed", lambda s, d: edit.drop_enhanced(edit.add_enhanced(views.orders(s, d), 3, 2, "new"), 3, 1, "ext").select("sent", F.explode("words").alias("w")).select("sent", F.col("w.id").alias("id"), tx.deps_text(F.col("w.deps")).alias("deps")), f"{TOK} SELECT sent, id, head || ':' || deprel || CASE WHEN id > 2 AND id <> 3 THEN '|' || (id - 2) || ':ext' WHEN id = 3 THEN '|2:new' ELSE '' END AS deps FROM tok")
-query("tok_delete", lambda s, d: edit.delete_word(views.orders(s, d), 2).select("sent", F.inline("words")).select("sent", "id", "form", "head"), f"{TOK}, g AS (SELECT sent, head AS ghead FROM tok WHERE id = 2), k AS (SELECT t.sent, t.id, t.form, CASE WHEN t.head = 2 THEN g.ghead ELSE t.head END AS head, row_number() OVER (PARTITION BY t.sent ORDER BY t.id) AS nid FROM tok t LEFT JOIN g ON g.sent = t.sent WHERE t.id <> 2) SELECT k.sent AS sent, k.nid AS id, k.form AS form, CASE WHEN k.head = 0 THEN 0 ELSE h.nid END AS head FROM k LEFT JOIN k h ON h.sent = k.sent AND h.id = k.head")
-query("tok_insert", lambda s, d: edit.insert_word(views.orders(s, d), 1, "new").select("sent", F.inline("words")).select("sent", "id", "form", "head"), f"{TOK}, k AS (SELECT sent, CASE WHEN id > 1 THEN id + 1 ELSE id END AS id, form, CASE WHEN head > 1 THEN head + 1 ELSE head END AS head FROM tok UNION ALL SELECT DISTINCT sent, 2, 'new', 1 FROM tok) SELECT * FROM k")
-query("tok_join", lambda s, d: edit.join_words(views.orders(s, d), 1).select("sent", F.inline("words")).select("sent", "id", "form", "head"), f"{TOK}, k AS (SELECT sent, CASE WHEN id > 1 THEN id - 1 ELSE id END AS id, CASE WHEN id = 1 AND n > 1 THEN form || ' ' ELSE form END AS form0, form, CASE WHEN head > 1 THEN head - 1 ELSE head END AS head, id AS old, n FROM tok), f2 AS (SELECT sent, form AS second FROM tok WHERE id = 2) SELECT k.sent AS sent, k.id AS id, CASE WHEN k.old = 1 AND n > 1 THEN k.form || f2.second ELSE k.form END AS form, k.head AS head FROM k LEFT JOIN f2 ON f2.sent = k.sent WHERE k.old <> 2")
-query("tok_split", lambda s, d: edit.split_word(views.orders(s, d), 1, 3).select("sent", F.inline("words")).select("sent", "id", "form", "head"), f"{TOK} SELECT sent, CASE WHEN id > 1 THEN id + 1 ELSE id END AS id, CASE WHEN id = 1 THEN substring(form, 1, 3) ELSE form END AS form, CASE WHEN head > 1 THEN head + 1 ELSE head END AS head FROM tok UNION ALL SELECT sent, 2, substring(form, 4), 1 FROM tok WHERE id = 1")
 query("mwt_compose", lambda s, d: edit.compose_mwt(views.orders(s, d), 2, 3).select("sent", F.inline("mwts")).select("sent", "id", "subid", "form"), f"{TOK}, f AS (SELECT sent, n, max(CASE WHEN id = 1 THEN form END) AS a, max(CASE WHEN id = 2 THEN form END) AS b, max(CASE WHEN id = 3 THEN form END) AS c FROM tok GROUP BY ALL) SELECT sent, CAST(1 AS BIGINT) AS id, 2 AS subid, a || b AS form FROM f WHERE sent % 3 = 0 AND n > 2 UNION ALL SELECT sent, 2, 3, b || c FROM f WHERE sent % 3 <> 0 AND n > 2")
 query("mwt_edit", lambda s, d: edit.drop_mwt(views.orders(s, d), 1).select("sent", F.size("mwts").cast("long").alias("n")), f"{TOK} SELECT DISTINCT sent, CAST(0 AS BIGINT) AS n FROM tok")
 query("tok_empty_insert", lambda s, d: edit.insert_empty(views.orders(s, d), 1, "e").select("sent", F.inline("empties")).select("sent", "id", "subid", "form"), f"{TOK}, u AS (SELECT DISTINCT sent FROM tok) SELECT sent, 1 AS id, 1 AS subid, 'gap' AS form FROM u WHERE sent % 5 = 0 UNION ALL SELECT sent, 1, CASE WHEN sent % 5 = 0 THEN 2 ELSE 1 END, 'e' FROM u")
 query("tok_empty_delete", lambda s, d: edit.drop_empty(views.orders(s, d), 1, 1).select("sent", F.size("empties").cast("long").alias("n")), f"{TOK} SELECT DISTINCT sent, CAST(0 AS BIGINT) AS n FROM tok")
-query("sent_split", lambda s, d: edit.split_sentence(views.orders(s, d), 3).select("sent", F.col("part").cast("long").alias("part"), F.explode("words").alias("w")).select("sent", "part", "w.id", "w.head"), f"{TOK} SELECT sent, CASE WHEN id > 3 THEN 2 ELSE 1 END AS part, CASE WHEN id > 3 THEN id - 3 ELSE id END AS id, CASE WHEN id > 3 THEN CASE WHEN head > 3 THEN head - 3 ELSE 0 END ELSE head END AS head FROM tok")
-query("sent_join", lambda s, d: edit.join_sentences(views.orders(s, d).withColumn("file", F.lit(0)), "file", "sent").select("pair", F.inline("words")).groupBy("pair").agg(F.count("*").alias("n"), F.sum("head").alias("heads")), f"{TOK}, m AS (SELECT sent // 2 AS pair, row_number() OVER (PARTITION BY sent // 2 ORDER BY sent, id) AS nid, id, head FROM tok) SELECT pair, count(*) AS n, CAST(sum(CASE WHEN head > 0 THEN head + nid - id ELSE head END) AS BIGINT) AS heads FROM m GROUP BY pair")
-query("meta_edit", lambda s, d: edit.set_metadata(views.orders(s, d).select("sent", "text"), views.read(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("sent"), F.col("o_orderpriority").alias("text")), "sent", "text").select("sent", "text"), f"{TOK}, x AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS text FROM tok GROUP BY sent) SELECT x.sent AS sent, coalesce(o.o_orderpriority, x.text) AS text FROM x LEFT JOIN orders o ON o.o_orderkey = x.sent AND o.o_orderstatus = 'P'")
 query("highlight_from_validator", lambda s, d: edit.highlights_from_messages(views.read(s, d, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("Sent "), "l_orderkey", F.lit(" Node "), "l_linenumber", F.lit(" bad")).alias("message"))), "WITH m AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45) SELECT CAST(l_orderkey AS VARCHAR) AS sent_id, 'highlight tokens = ' || string_agg(CAST(l_linenumber AS VARCHAR), ' ' ORDER BY l_linenumber) AS comment FROM m GROUP BY 1")
 query("undo_redo", lambda s, d: edit.latest(views.read(s, d, "events"), "user_id", "event_id", "event_type", undo=1).select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k = least(2, n)")
 
 
-def _lock(s: SparkSession, d: str) -> DataFrame:
-    current = views.read(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("version"), F.col("o_orderstatus").alias("value"))
-    edits = views.read(s, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_orderkey") % 2).alias("version"), F.lit("E").alias("value"))
-    return edit.merge_if_current(current, edits, "o_orderkey", "version", "value")
-
-
-query("optimistic_lock", _lock, "SELECT o_orderkey, o_orderkey % 4 + CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = o_orderkey % 2 THEN 1 ELSE 0 END AS version, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = o_orderkey % 2 THEN 'E' ELSE o_orderstatus END AS value, o_orderstatus = 'F' AND o_orderkey % 4 <> o_orderkey % 2 AS refused FROM orders")
-
 # validation
 IMPLIES = [(c.upos("R"), c.head(c.upos("N")) | c.token_id(1)), (c.feat("Disc"), c.xpos("O"))]
 query("valid_rules", lambda s, d: validate.implications(views.orders(s, d), IMPLIES, "sent"), f"{TOK} SELECT sent, 1 AS rule, id FROM tok t WHERE upos = 'R' AND id <> 1 AND NOT {HEAD.format(chr(104) + '.upos = ' + chr(39) + 'N' + chr(39))} UNION ALL SELECT sent, 2, id FROM tok WHERE disc IS NOT NULL AND xpos <> 'O'")
@@ -322,36 +252,36 @@ query("valid_feats", _valid_feats, f"{FEATS} SELECT sent, id, name, CASE WHEN up
 # sinks and sources as columns
 
 
-def _blocks(s: SparkSession, d: str) -> DataFrame:
-    """The orders view written as CoNLL-U text, one block per sentence."""
-    sents = views.orders(s, d).withColumns({"sent_id": F.col("sent").cast("string"), "newdoc": F.lit(None).cast("string"), "newpar": F.lit(None).cast("string"), "translit": F.lit(None).cast("string"), "translations": F.create_map().cast("map<string,string>"), "comments": F.array().cast("array<string>")})
-    return sents.select("sent", conllu.block().alias("value"))
+def blocks(s: SparkSession, d: str, sentences: bool = False) -> DataFrame:
+    """The orders view written as CoNLL-U text, one block per sentence; or the sentences that are written."""
+    none = F.lit(None).cast("string")
+    sents = views.orders(s, d).withColumns({
+        "sent_id": F.col("sent").cast("string"), "newdoc": none, "newpar": none, "translit": none,
+        "translations": F.create_map().cast("map<string,string>"), "comments": F.array().cast("array<string>"),
+    })
+    return sents if sentences else sents.select("sent", conllu.block().alias("value"))
 
 
-query("sink_conllu", lambda s, d: _blocks(s, d).select("sent", F.sha2("value", 256).alias("sha")), f"""{TOK}, l AS (SELECT sent, id, 1 AS k, concat_ws(chr(9), id, form, lemma, upos, xpos, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size, head, deprel, head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END, 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END) AS line FROM tok
+query("sink_conllu", lambda s, d: blocks(s, d).select("sent", F.sha2("value", 256).alias("sha")), f"""{TOK}, l AS (SELECT sent, id, 1 AS k, concat_ws(chr(9), id, form, lemma, upos, xpos, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size, head, deprel, head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END, 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END) AS line FROM tok
  UNION ALL SELECT sent, 1, 0, concat_ws(chr(9), '1-2', string_agg(form, '' ORDER BY id), '_', '_', '_', '_', '_', '_', '_', '_') FROM tok WHERE sent % 3 = 0 AND n > 2 AND id <= 2 GROUP BY sent
  UNION ALL SELECT DISTINCT sent, 1, 2, concat_ws(chr(9), '1.1', 'gap', '_', 'E', '_', '_', '_', '_', '_', '_') FROM tok WHERE sent % 5 = 0),
  x AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent)
  SELECT x.sent AS sent, sha256('# sent_id = ' || x.sent || chr(10) || '# text = ' || any_value(x.txt) || chr(10) || string_agg(l.line, chr(10) ORDER BY l.id, l.k)) AS sha FROM x JOIN l ON l.sent = x.sent GROUP BY x.sent""")
-query("scan_conllu", lambda s, d: conllu.parse(_blocks(s, d)).select("sent", F.inline("words")).select("sent", "id", "form", "upos", "head", "deprel"), f"{TOK} SELECT sent, id, form, upos, head, deprel FROM tok")
-query("scan_token_line", lambda s, d: conllu.parse(_blocks(s, d).withColumn("value", F.when(F.col("sent") % 7 == 0, F.regexp_replace("value", "\tA\t", "\t")).otherwise(F.col("value")))).select("sent", F.size("errors").cast("long").alias("n")).where("n > 0"), f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE sent % 7 = 0 AND upos = 'A' GROUP BY sent")
-query("sink_conllu_plus", lambda s, d: conllu.convert_columns(_blocks(s, d), conllu.COLUMNS, ("ID", "FORM", "SEM:NE", "UPOS")).select("sent", F.explode(F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & ~F.split(x, "\t")[0].rlike("[-.]"))).alias("line")), f"{TOK} SELECT sent, concat_ws(chr(9), id, form, '_', upos) AS line FROM tok")
+query("scan_sentence_block", lambda s, d: conllu.parse(blocks(s, d)).select("sent", F.inline("words")).select("sent", "id", "form", "upos", "head", "deprel"), f"{TOK} SELECT sent, id, form, upos, head, deprel FROM tok")
+query("scan_token_line", lambda s, d: conllu.parse(blocks(s, d).withColumn("value", F.when(F.col("sent") % 7 == 0, F.regexp_replace("value", "\tA\t", "\t")).otherwise(F.col("value")))).select("sent", F.size("errors").cast("long").alias("n")).where("n > 0"), f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE sent % 7 = 0 AND upos = 'A' GROUP BY sent")
+query("sink_conllu_plus", lambda s, d: conllu.convert_columns(blocks(s, d), conllu.COLUMNS, ("ID", "FORM", "SEM:NE", "UPOS")).select("sent", F.explode(F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & ~F.split(x, "\t")[0].rlike("[-.]"))).alias("line")), f"{TOK} SELECT sent, concat_ws(chr(9), id, form, '_', upos) AS line FROM tok")
 query("sink_text", lambda s, d: views.orders(s, d).select("sent", tx.surface().alias("line")), ORACLES["fn_surface"].replace("AS text FROM p", "AS line FROM p"))
 query("sink_sdparse", lambda s, d: views.orders(s, d).select("sent", export.sd_parse().alias("sd")), f"""{TOK}, a AS (SELECT t.sent, string_agg(t.deprel || '(' || h.form || '-' || h.id || ', ' || t.form || '-' || t.id || ')', chr(10) ORDER BY t.id) AS arcs FROM tok t JOIN tok h ON h.sent = t.sent AND h.id = t.head GROUP BY t.sent), x AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent)
  SELECT x.sent AS sent, txt || chr(10) || coalesce(arcs, '') AS sd FROM x LEFT JOIN a ON a.sent = x.sent""")
-query("sink_spacy_json", lambda s, d: views.orders(s, d).select("sent", export.spacy_json().alias("json")))
-query("sink_tree_json", lambda s, d: views.orders(s, d).select("sent", export.tree_json().alias("json")))
-query("sink_latex", lambda s, d: views.orders(s, d).select("sent", export.latex().alias("tex")))
 query("lines_length", lambda s, d: views.lines(s, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.size("words").cast("long").alias("n")), "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) SELECT doc_id, line_no, CAST(len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS BIGINT) AS n FROM l WHERE trim(text) <> ''")
-query("scan_string", lambda s, d: conllu.parse(_blocks(s, d).groupBy(F.floor(F.col("sent") / 50).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n\n").alias("text")).select("file", F.explode(F.split("text", "\n\n")).alias("value"))).select(F.col("sent_id").cast("long").alias("sent"), F.size("words").cast("long").alias("n")), f"{TOK} SELECT sent, count(*) AS n FROM tok GROUP BY sent")
+query("scan_string", lambda s, d: conllu.parse(blocks(s, d).groupBy(F.floor(F.col("sent") / 50).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n\n").alias("text")).select("file", F.explode(F.split("text", "\n\n")).alias("value"))).select(F.col("sent_id").cast("long").alias("sent"), F.size("words").cast("long").alias("n")), f"{TOK} SELECT sent, count(*) AS n FROM tok GROUP BY sent")
 query("scan_sdparse", lambda s, d: sdparse.parse(views.orders(s, d).withColumn("words", F.transform("words", lambda w: w.withField("form", F.replace(w["form"], F.lit(" "), F.lit("_"))))).select("sent", export.sd_parse().alias("value"))).select("sent", F.inline("words")).select("sent", "id", "form", "head", "deprel"), f"{TOK} SELECT sent, id, replace(form, ' ', '_') AS form, head, deprel FROM tok")
-query("scan_conllu_plus", lambda s, d: conllu.parse(conllu.convert_columns(_blocks(s, d), conllu.COLUMNS, ("ID", "FORM", "UPOS", "SEM:NE")), ("ID", "FORM", "UPOS", "SEM:NE")).select("sent", F.inline("words")).select("sent", "id", "form", "upos"), f"{TOK} SELECT sent, id, form, upos FROM tok")
 query("find_grew", lambda s, d: search.after(grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D", ["dep1"])]), "sent").select("sent").distinct(), "sent", 200, backwards=True), f"{TOK} SELECT max(h.sent) AS sent FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.sent < 200 AND h.upos = 'N' AND d.upos = 'R' AND d.deprel = 'dep1'")
 query("fn_surface_list", lambda s, d: views.orders(s, d).select("sent", F.explode(tx.surface_pieces()).alias("id", "piece")), f"{TOK} SELECT sent, id, form || ' ' AS piece FROM tok")
 query("fn_spaces", lambda s, d: views.read(s, d, "nation").select("n_nationkey", tx.spaces(F.array(F.struct(F.when(F.col("n_nationkey") % 2 == 0, "SpaceAfter").otherwise("SpacesAfter").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, "No").otherwise(r"\s\t").alias("val")))).alias("after")), "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ' ' || chr(9) END AS after FROM nation")
 query("edit_feat", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"Feat_Case": "Nom", "Feat_disc": ""}), edit.Rule(c.upos("N"), {"feats": "_"})]).select("sent", F.inline("words")).select("sent", "id", tx.feats_text(F.col("feats")).alias("feats")), f"{TOK} SELECT sent, id, CASE WHEN upos = 'N' THEN '_' ELSE CASE WHEN upos = 'A' THEN 'Case=Nom|' WHEN disc IS NOT NULL THEN 'Disc=Yes|' ELSE '' END || 'Size=' || size END AS feats FROM tok")
 query("edit_misc", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"Misc_Line": v.this("Xpos"), "Misc_Gloss": ""}), edit.Rule(c.upos("N"), {"misc": "_"})]).select("sent", F.inline("words")).select("sent", "id", tx.misc_text(F.col("misc")).alias("misc")), f"{TOK} SELECT sent, id, CASE WHEN upos = 'N' THEN '_' WHEN upos = 'A' THEN 'Line=' || xpos ELSE 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END END AS misc FROM tok")
 query("edit_replace_next", lambda s, d: edit.replace_next(views.orders(s, d), edit.Rule(c.upos("R") & c.xpos("O"), {"Lemma": v.upper(v.this("Form"))}), "sent", 300).select("sent", F.inline("words")).select("sent", "id", "lemma"), f"{TOK}, x AS (SELECT min(sent) AS sent FROM tok WHERE sent > 300 AND upos = 'R' AND xpos = 'O') SELECT t.sent AS sent, id, CASE WHEN upos = 'R' AND xpos = 'O' THEN upper(form) ELSE lemma END AS lemma FROM tok t JOIN x ON x.sent = t.sent")
-query("tok_compact", lambda s, d: edit.compact(views.orders(s, d), ["red widget", "red widget"]).select("sent", F.size("words").cast("long").alias("n")), f"{TOK}, h AS (SELECT DISTINCT a.sent FROM tok a JOIN tok b ON b.sent = a.sent AND b.id = a.id + 1 WHERE a.form = 'red widget' AND b.form = 'red widget') SELECT t.sent AS sent, count(*) - CASE WHEN any_value(h.sent) IS NULL THEN 0 ELSE 1 END AS n FROM tok t LEFT JOIN h ON h.sent = t.sent GROUP BY t.sent")
 query("comment_edit", lambda s, d: edit.set_comments(views.orders(s, d).select("sent", F.array(F.lit("old")).alias("comments")), views.read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sent"), F.concat(F.lit("a\n"), "o_orderpriority").alias("comment")), "sent").select("sent", F.array_join("comments", "+").alias("comments")), f"{TOK}, u AS (SELECT DISTINCT sent FROM tok) SELECT sent, CASE WHEN o_orderkey IS NULL THEN 'old' ELSE 'a+' || o_orderpriority END AS comments FROM u LEFT JOIN orders ON o_orderkey = sent AND o_orderstatus = 'F'")
-query("valid_text", QUERIES["fn_text_diff"], ORACLES["fn_text_diff"])
+
+from . import queries_files, queries_structure  # noqa: E402, F401 - they register more

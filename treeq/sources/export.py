@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.trees import ancestors
+
 
 def sd_parse() -> Column:
     """A token line, then rel(head-n, dep-n) for each word that has a head."""
@@ -13,26 +15,63 @@ def sd_parse() -> Column:
     return F.concat_ws("\n", F.array_join(F.transform("words", lambda w: w["form"]), " "), F.array_join(arcs, "\n"))
 
 
-def spacy_json(*keys: str) -> Column:
-    """{"tokens": [...]} with heads relative to the word; tag holds the label."""
-    token = lambda w: F.struct(
-        (w["id"] - 1).alias("id"), F.when(w["head"] > 0, w["head"] - w["id"]).otherwise(0).alias("head"), w["deprel"].alias("dep"), w["deprel"].alias("tag"), w["form"].alias("orth"), w["lemma"].alias("lemma"), w["upos"].alias("pos")
-    )
-    return F.to_json(F.struct(F.transform("words", token).alias("tokens")))
+def _spacy_tokens() -> Column:
+    head = lambda w: F.when(w["head"] > 0, w["head"] - w["id"]).otherwise(0)
+    return F.transform("words", lambda w: F.struct(
+        (w["id"] - 1).alias("id"), head(w).alias("head"), w["deprel"].alias("dep"), w["deprel"].alias("tag"), w["form"].alias("orth"), w["lemma"].alias("lemma"), w["upos"].alias("pos")
+    ))
+
+
+def spacy_json() -> Column:
+    """{"tokens": [...]}, a sentence, with heads relative to the word; tag holds the label."""
+    return F.to_json(F.struct(_spacy_tokens().alias("tokens")))
 
 
-def tree_json() -> Column:
-    """Nodes with their children's ids: a flat form of the tree, since Spark's types don't recurse."""
+def spacy_documents(sents: DataFrame, document: str, paragraph: str, position: str) -> DataFrame:
+    """(document, json): {"id": ..., "paragraphs": [{"sentences": [{"tokens": [...]}]}]}, sentences in order of position; a document is a row."""
+    rows = sents.select(document, paragraph, position, _spacy_tokens().alias("tokens"))
+    first = lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
+    parts = rows.groupBy(document, paragraph).agg(F.min(position).alias("at"), F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), "tokens")), first).alias("s"))
+    parts = parts.select(document, "at", F.transform("s", lambda x: F.struct(x["tokens"].alias("tokens"))).alias("sentences"))
+    docs = parts.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("at", "sentences")), first).alias("p"))
+    body = F.transform("p", lambda x: F.struct(x["sentences"].alias("sentences")))
+    return docs.select(document, F.to_json(F.struct(F.col(document).alias("id"), body.alias("paragraphs"))).alias("json"))
+
+
+def tree_json(tokens: Column | None = None, labels: Column | None = None) -> Column:
+    """Nodes with their children's ids: a flat form of the tree, since Spark's types don't recurse. A node says `error` where its head is beyond the sentence or it is
+    on a cycle; `tokens` and `labels` are arrays of ids whose nodes say that they, or their labels, are highlighted."""
+    marked = lambda ids, w: F.lit(False) if ids is None else F.array_contains(ids, w["id"])
     kids = lambda w: F.transform(F.filter("words", lambda c: c["head"] == w["id"]), lambda c: c["id"])
-    return F.to_json(F.transform("words", lambda w: F.struct(w["id"].alias("id"), w["form"].alias("form"), w["upos"].alias("upos"), w["deprel"].alias("deprel"), w["head"].alias("parent"), kids(w).alias("children"))))
+    wrong = lambda w: F.when(w["head"] > F.size("words"), "head beyond the sentence").when(F.array_contains(ancestors(w), w["id"]), "cycle")
+    node = lambda w: F.struct(
+        w["id"].alias("id"), w["form"].alias("form"), w["upos"].alias("upos"), w["deprel"].alias("deprel"), w["head"].alias("parent"), kids(w).alias("children"),
+        wrong(w).alias("error"), F.when(marked(tokens, w), True).alias("highlight"), F.when(marked(labels, w), True).alias("highlight_deprel"),
+    )
+    return F.to_json(F.transform("words", node))
 
 
-def latex() -> Column:
-    """A dependency environment of tikz-dependency: forms, tags, then edges."""
+def latex(enhanced: bool = False, rows: tuple[str, ...] = (), mwts: bool = True, right_to_left: bool = False) -> Column:
+    """A dependency environment of tikz-dependency: forms, tags and more rows (MISC keys such as Gloss or Translit), edges, multiword tokens as groups of words, enhanced
+    edges below. Right to left, words stand in reverse order."""
     safe = lambda x: F.regexp_replace(x, r"([&%$#_{}])", r"\\$1")
-    row = lambda f: F.concat(F.array_join(F.transform("words", lambda w: safe(w[f])), r" \& "), F.lit(r" \\"))
-    edge = lambda w: F.when(w["head"] > 0, F.format_string(r"\depedge{%d}{%d}{%s}", w["head"], w["id"], safe(w["deprel"]))).otherwise(F.format_string(r"\deproot{%d}{%s}", w["id"], safe(w["deprel"])))
-    return F.concat_ws("\n", F.lit(r"\begin{dependency}"), F.lit(r"\begin{deptext}"), row("form"), row("upos"), F.lit(r"\end{deptext}"), F.array_join(F.transform("words", edge), "\n"), F.lit(r"\end{dependency}"))
+    at = (lambda i: F.size("words") + 1 - i) if right_to_left else lambda i: i
+    words = F.reverse("words") if right_to_left else F.col("words")
+    misc = lambda w, k: F.coalesce(F.get(F.transform(F.filter(w["misc"], lambda m: m["key"] == k), lambda m: m["val"]), F.lit(0)), F.lit(""))
+    row = lambda value: F.concat(F.array_join(F.transform(words, lambda w: safe(value(w))), r" \& "), F.lit(r" \\"))
+    field = lambda f: (lambda w: w[f])
+    key = lambda k: (lambda w: misc(w, k))
+    arc = lambda how, h, d, rel: F.when(h > 0, F.format_string(rf"\depedge{how}{{%d}}{{%d}}{{%s}}", at(h), at(d), safe(rel))).otherwise(F.format_string(rf"\deproot{how}{{%d}}{{%s}}", at(d), safe(rel)))
+    lines = [F.lit(r"\begin{dependency}"), F.lit(r"\begin{deptext}"), row(field("form")), row(field("upos")), *(row(key(k)) for k in rows), F.lit(r"\end{deptext}")]
+    lines.append(F.array_join(F.transform("words", lambda w: arc("", w["head"], w["id"], w["deprel"])), "\n"))
+    if enhanced:
+        extra = lambda w: F.filter(w["deps"], lambda d: (d["headsubid"] < 0) & ((d["headid"] != w["head"]) | (d["deprel"] != w["deprel"])))
+        below = F.flatten(F.transform("words", lambda w: F.transform(extra(w), lambda d: arc("[edge below]", d["headid"], w["id"], d["deprel"]))))
+        lines.append(F.nullif(F.array_join(below, "\n"), F.lit("")))
+    if mwts:
+        group = lambda m: F.format_string(r"\wordgroup{1}{%d}{%d}{w%d}", F.least(at(m["id"]), at(m["subid"])), F.greatest(at(m["id"]), at(m["subid"])), m["id"])
+        lines.append(F.nullif(F.array_join(F.transform("mwts", group), "\n"), F.lit("")))
+    return F.concat_ws("\n", *lines, F.lit(r"\end{dependency}"))
 
 
 def plain_text(sents: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +40,15 @@ def labels_of_json(spark: SparkSession, path: str, lang: str) -> DataFrame:
     kind = "map<string,map<string,map<string,struct<permitted:int>>>>"
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("j"))
     return rows.select(F.explode(F.try_element_at(F.try_element_at("j", F.lit("deprels")), F.lit(lang))).alias("value", "f")).where("f.permitted = 1").select("value")
+
+
+def listed(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """The values of a list file for a condition, such as form(listed(spark, path)); none if the file can't be read. A list of more than `most` values is
+    an error: join it instead (`search.tokens_listed`)."""
+    try:
+        rows = values(spark, path).limit(most + 1).collect()
+    except AnalysisException:
+        return []
+    if len(rows) > most:
+        raise ValueError(f"{path} has more than {most} values")
+    return sorted(r.value for r in rows)
