@@ -59,7 +59,11 @@ tokens("nav_child", c.child(c.upos("R")), CHILD.format("c.upos = 'R'"))
 tokens("nav_not_child", ~c.child(c.upos("R")), "NOT " + CHILD.format("c.upos = 'R'"))
 tokens("nav_prec", c.prec(c.upos("A") & c.xpos("O")), PREC.format("p.upos = 'A' AND p.xpos = 'O'"))
 tokens("nav_next", c.next_(c.lemma("PROMO")), NEXT.format("x.lemma = 'PROMO'"))
-tokens("nav_nested", c.head(c.next_(c.upos("A"))) & ~c.child(c.head(c.xpos("F"))), "EXISTS (SELECT 1 FROM tok h JOIN tok x ON x.sent = h.sent AND x.id = h.id + 1 WHERE h.sent = t.sent AND h.id = t.head AND x.upos = 'A') AND NOT (t.xpos = 'F' AND " + CHILD.format("true") + ")")
+tokens(
+    "nav_nested",
+    c.head(c.next_(c.upos("A"))) & ~c.child(c.head(c.xpos("F"))),
+    "EXISTS (SELECT 1 FROM tok h JOIN tok x ON x.sent = h.sent AND x.id = h.id + 1 WHERE h.sent = t.sent AND h.id = t.head AND x.upos = 'A') AND NOT (t.xpos = 'F' AND " + CHILD.format("true") + ")",
+)
 tokens("nav_get_child", c.same(c.value("lemma"), c.of_child(c.value("lemma"))), CHILD.format("c.lemma = t.lemma"))
 tokens("nav_get_prec", c.same(c.value("xpos"), c.of_prec(c.value("xpos"))), PREC.format("p.xpos = t.xpos"))
 
@@ -71,10 +75,29 @@ def _eud_join(s: SparkSession, d: str) -> DataFrame:
     return edges.join(heads, ["sent", "headid"]).groupBy("rel", "head_upos").agg(F.count("*").alias("n"))
 
 
-query("eud_join", _eud_join, f"{TOK}, e AS (SELECT sent, id, head AS headid, deprel AS rel FROM tok UNION ALL SELECT sent, id, id - 2, 'ext' FROM tok WHERE id > 2) SELECT e.rel AS rel, h.upos AS head_upos, count(*) AS n FROM e JOIN tok h ON h.sent = e.sent AND h.id = e.headid GROUP BY ALL")
-query("mwt_join", lambda s, d: views.orders(s, d).select("sent", F.explode(F.filter("words", lambda w: F.exists("mwts", lambda m: w["id"].between(m["id"], m["subid"])))).alias("w")).select("sent", "w.id"), f"{TOK} SELECT sent, id FROM tok WHERE sent % 3 = 0 AND n > 2 AND id <= 2")
-query("filter_corpus", lambda s, d: search.by_text_or_tag(views.orders(s, d), "red .*widget").select("sent"), f"{TOK} SELECT sent FROM (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent) WHERE regexp_matches(txt, 'red .*widget')")
-query("filter_sid", lambda s, d: search.by_exact_id(views.orders(s, d), "77", "sent").select("sent", F.size("words").cast("long").alias("n")), f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE sent = 77 GROUP BY sent")
+query(
+    "eud_join",
+    _eud_join,
+    f"""{TOK}, e AS (SELECT sent, id, head AS headid, deprel AS rel FROM tok UNION ALL SELECT sent, id, id - 2, 'ext' FROM tok WHERE id > 2)
+   SELECT e.rel AS rel, h.upos AS head_upos, count(*) AS n FROM e JOIN tok h ON h.sent = e.sent AND h.id = e.headid GROUP BY ALL""",
+)
+query(
+    "mwt_join",
+    lambda s, d: (views.orders(s, d)
+    .select("sent", F.explode(F.filter("words", lambda w: F.exists("mwts", lambda m: w["id"].between(m["id"], m["subid"])))).alias("w"))
+    .select("sent", "w.id")),
+    f"{TOK} SELECT sent, id FROM tok WHERE sent % 3 = 0 AND n > 2 AND id <= 2",
+)
+query(
+    "filter_corpus",
+    lambda s, d: search.by_text_or_tag(views.orders(s, d), "red .*widget").select("sent"),
+    f"""{TOK} SELECT sent FROM (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent) WHERE regexp_matches(txt, 'red .*widget')""",
+)
+query(
+    "filter_sid",
+    lambda s, d: search.by_exact_id(views.orders(s, d), "77", "sent").select("sent", F.size("words").cast("long").alias("n")),
+    f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE sent = 77 GROUP BY sent",
+)
 
 # graph patterns
 
@@ -85,72 +108,284 @@ def pattern(name: str, p: grew.Pattern, sql: str) -> None:
     query(name, lambda s, d: grew.match(views.orders(s, d), p, "sent").select("sent", *(F.col(n)["id"].alias(n.lower()) for n in names)), f"{TOK} {sql}")
 
 
-pattern("grew_match", grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")]), "SELECT h.sent AS sent, h.id AS h, d.id AS d FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'N' AND d.upos = 'R'")
-pattern("grew_node", grew.Pattern({"N": c.upos(["A", "R"]) & c.feat("Size", "4") & ~c.feat("Disc")}), "SELECT sent, id AS n FROM tok WHERE upos IN ('A', 'R') AND size = '4' AND disc IS NULL")
+pattern(
+    "grew_match",
+    grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")]),
+    """SELECT h.sent AS sent, h.id AS h, d.id AS d FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'N' AND d.upos = 'R'""",
+)
+pattern(
+    "grew_node",
+    grew.Pattern({"N": c.upos(["A", "R"]) & c.feat("Size", "4") & ~c.feat("Disc")}),
+    "SELECT sent, id AS n FROM tok WHERE upos IN ('A', 'R') AND size = '4' AND disc IS NULL",
+)
 pattern("grew_node_neg", grew.Pattern({"N": ~c.upos("A") & c.feat("Size") & ~c.feat("Size", "4")}), "SELECT sent, id AS n FROM tok WHERE upos <> 'A' AND size <> '4'")
-pattern("grew_edge_label", grew.Pattern({}, [("A", "B", ["dep1", "dep3"])]), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id WHERE b.deprel IN ('dep1', 'dep3')")
-pattern("grew_edge_not", grew.Pattern({"A": c.upos("A")}, [("A", "B", ["dep1", "dep3"], True)]), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id WHERE a.upos = 'A' AND b.deprel NOT IN ('dep1', 'dep3')")
-pattern("grew_edge_chain", grew.Pattern({"A": c.upos("N"), "C": c.xpos("O")}, [("A", "B"), ("B", "C", ["dep2"])]), "SELECT a.sent AS sent, a.id AS a, b.id AS b, x.id AS c FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id JOIN tok x ON x.sent = a.sent AND x.head = b.id WHERE a.upos = 'N' AND x.xpos = 'O' AND x.deprel = 'dep2'")
-pattern("grew_order", grew.Pattern({"A": c.upos("A"), "B": c.upos("R")}, order=[("A", "B", True)]), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.id = a.id + 1 WHERE a.upos = 'A' AND b.upos = 'R'")
-pattern("grew_order_before", grew.Pattern({"A": c.feat("Size", "1"), "B": c.feat("Size", "3")}, order=[("A", "B", False)]), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.id > a.id WHERE a.size = '1' AND b.size = '3'")
-pattern("grew_attr_cmp", grew.Pattern({"A": c.upos("N")}, [("A", "B")], agree=[("A", c.value("lemma"), "B", c.value("lemma"), True)]), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id WHERE a.upos = 'N' AND a.lemma = b.lemma")
-pattern("grew_without_edge", grew.Pattern({"V": c.upos("N")}, without=[[("V", c.upos("R"), ["dep1"])]]), "SELECT sent, id AS v FROM tok t WHERE upos = 'N' AND NOT " + CHILD.format("c.upos = 'R' AND c.deprel = 'dep1'"))
-pattern("grew_inject", grew.Pattern({"A": c.lemma("PROMO"), "B": c.lemma("PROMO")}), "SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.id <> a.id WHERE a.lemma = 'PROMO' AND b.lemma = 'PROMO'")
+pattern(
+    "grew_edge_label",
+    grew.Pattern({}, [("A", "B", ["dep1", "dep3"])]),
+    """SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id WHERE b.deprel IN ('dep1', 'dep3')""",
+)
+pattern(
+    "grew_edge_not",
+    grew.Pattern({"A": c.upos("A")}, [("A", "B", ["dep1", "dep3"], True)]),
+    """SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id
+   WHERE a.upos = 'A' AND b.deprel NOT IN ('dep1', 'dep3')""",
+)
+pattern(
+    "grew_edge_chain",
+    grew.Pattern({"A": c.upos("N"), "C": c.xpos("O")}, [("A", "B"), ("B", "C", ["dep2"])]),
+    """SELECT a.sent AS sent, a.id AS a, b.id AS b, x.id AS c FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id
+   JOIN tok x ON x.sent = a.sent AND x.head = b.id WHERE a.upos = 'N' AND x.xpos = 'O' AND x.deprel = 'dep2'""",
+)
+pattern(
+    "grew_order",
+    grew.Pattern({"A": c.upos("A"), "B": c.upos("R")}, order=[("A", "B", True)]),
+    """SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.id = a.id + 1 WHERE a.upos = 'A' AND b.upos = 'R'""",
+)
+pattern(
+    "grew_order_before",
+    grew.Pattern({"A": c.feat("Size", "1"), "B": c.feat("Size", "3")}, order=[("A", "B", False)]),
+    """SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.id > a.id WHERE a.size = '1' AND b.size = '3'""",
+)
+pattern(
+    "grew_attr_cmp",
+    grew.Pattern({"A": c.upos("N")}, [("A", "B")], agree=[("A", c.value("lemma"), "B", c.value("lemma"), True)]),
+    """SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id WHERE a.upos = 'N' AND a.lemma = b.lemma""",
+)
+pattern(
+    "grew_without_edge",
+    grew.Pattern({"V": c.upos("N")}, without=[[("V", c.upos("R"), ["dep1"])]]),
+    "SELECT sent, id AS v FROM tok t WHERE upos = 'N' AND NOT " + CHILD.format("c.upos = 'R' AND c.deprel = 'dep1'"),
+)
+pattern(
+    "grew_inject",
+    grew.Pattern({"A": c.lemma("PROMO"), "B": c.lemma("PROMO")}),
+    """SELECT a.sent AS sent, a.id AS a, b.id AS b FROM tok a JOIN tok b ON b.sent = a.sent AND b.id <> a.id WHERE a.lemma = 'PROMO' AND b.lemma = 'PROMO'""",
+)
 pattern("grew_global_tree", grew.Pattern({"R": c.deprel("root")}, tests=[grew.tree()]), "SELECT sent, id AS r FROM tok WHERE deprel = 'root'")
-query("grew_output", lambda s, d: grew.match(views.orders(s, d), grew.Pattern({"X": c.upos("R"), "B": c.upos("N")}, [("X", "B")]), "sent").select("sent", F.array_join(F.transform("ids", lambda i: i.cast("string")), "-").alias("ids")), f"{TOK} SELECT h.sent AS sent, least(h.id, d.id) || '-' || greatest(h.id, d.id) AS ids FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'R' AND d.upos = 'N'")
-query("grew_count", lambda s, d: grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")]), "sent").groupBy("sent").agg(F.count("*").alias("n")), f"{TOK} SELECT h.sent AS sent, count(*) AS n FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'N' AND d.upos = 'R' GROUP BY h.sent")
-query("grew_filter", lambda s, d: grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")]), "sent").select("sent").distinct(), f"{TOK} SELECT DISTINCT h.sent AS sent FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'N' AND d.upos = 'R'")
+query(
+    "grew_output",
+    lambda s, d: (grew.match(views.orders(s, d), grew.Pattern({"X": c.upos("R"), "B": c.upos("N")}, [("X", "B")]), "sent")
+    .select("sent", F.array_join(F.transform("ids", lambda i: i.cast("string")), "-").alias("ids"))),
+    f"""{TOK} SELECT h.sent AS sent, least(h.id, d.id) || '-' || greatest(h.id, d.id) AS ids FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id
+   WHERE h.upos = 'R' AND d.upos = 'N'""",
+)
+query(
+    "grew_count",
+    lambda s, d: grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")]), "sent").groupBy("sent").agg(F.count("*").alias("n")),
+    f"""{TOK} SELECT h.sent AS sent, count(*) AS n FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'N' AND d.upos = 'R'
+   GROUP BY h.sent""",
+)
+query(
+    "grew_filter",
+    lambda s, d: grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")]), "sent").select("sent").distinct(),
+    f"""{TOK} SELECT DISTINCT h.sent AS sent FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'N' AND d.upos = 'R'""",
+)
 
 # other searches
-query("find_sentid", lambda s, d: search.by_id(views.orders(s, d), "^1.*7$", "sent").select("sent"), f"{TOK} SELECT DISTINCT sent FROM tok WHERE regexp_matches(CAST(sent AS VARCHAR), '^1.*7$')")
-query("find_word", lambda s, d: search.surface_hits(views.orders(s, d), "widget red", "sent").select("sent", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids")), f"""{TOK}, txt AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent),
+query(
+    "find_sentid",
+    lambda s, d: search.by_id(views.orders(s, d), "^1.*7$", "sent").select("sent"),
+    f"{TOK} SELECT DISTINCT sent FROM tok WHERE regexp_matches(CAST(sent AS VARCHAR), '^1.*7$')",
+)
+query(
+    "find_word",
+    lambda s, d: (search.surface_hits(views.orders(s, d), "widget red", "sent")
+    .select("sent", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))),
+    f"""{TOK}, txt AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent),
  pos AS (SELECT sent, instr(txt, 'widget red') - 1 AS at FROM txt WHERE instr(txt, 'widget red') > 0),
- off AS (SELECT sent, id, form, coalesce(sum(length(form) + 1) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM tok)
- SELECT o.sent AS sent, string_agg(CAST(o.id AS VARCHAR), ',' ORDER BY o.id) AS ids FROM off o JOIN pos p ON o.sent = p.sent WHERE o.start < p.at + 10 AND o.start + length(o.form) > p.at GROUP BY o.sent""")
-query("find_seq", lambda s, d: search.sequence_of(views.orders(s, d), [c.upos("A"), c.upos("N"), c.upos("R")], "sent"), f"{TOK} SELECT a.sent AS sent, a.id AS start FROM tok a JOIN tok b ON b.sent = a.sent AND b.id = a.id + 1 JOIN tok x ON x.sent = a.sent AND x.id = a.id + 2 WHERE a.upos = 'A' AND b.upos = 'N' AND x.upos = 'R'")
-query("find_multi", lambda s, d: search.sequence_of(views.orders(s, d), [c.upos("A") & c.xpos("O"), c.lemma("PROMO|SMALL") & c.feat("Size", "[1-3]")], "sent"), f"{TOK} SELECT a.sent AS sent, a.id AS start FROM tok a JOIN tok b ON b.sent = a.sent AND b.id = a.id + 1 WHERE a.upos = 'A' AND a.xpos = 'O' AND b.lemma IN ('PROMO', 'SMALL') AND b.size BETWEEN '1' AND '3'")
-tokens("find_deprel", search.deprel_path("dep1", (">", "dep2"), ("<", "dep3")), "t.deprel = 'dep1' AND EXISTS (SELECT 1 FROM tok h JOIN tok k ON k.sent = h.sent AND k.head = h.id WHERE h.sent = t.sent AND h.id = t.head AND h.deprel = 'dep2' AND k.deprel = 'dep3')")
-tokens("deprel_path", search.deprel_path("dep1", ("=", "dep2")), "t.deprel = 'dep1' AND t.head > 0 AND EXISTS (SELECT 1 FROM tok k WHERE k.sent = t.sent AND k.head = t.head AND k.id <> t.id AND k.deprel = 'dep2')")
+ off AS (SELECT sent, id, form, coalesce(sum(length(form) + 1) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+   FROM tok)
+SELECT o.sent AS sent, string_agg(CAST(o.id AS VARCHAR), ',' ORDER BY o.id) AS ids FROM off o JOIN pos p ON o.sent = p.sent
+   WHERE o.start < p.at + 10 AND o.start + length(o.form) > p.at GROUP BY o.sent""",
+)
+query(
+    "find_seq",
+    lambda s, d: search.sequence_of(views.orders(s, d), [c.upos("A"), c.upos("N"), c.upos("R")], "sent"),
+    f"""{TOK} SELECT a.sent AS sent, a.id AS start FROM tok a JOIN tok b ON b.sent = a.sent AND b.id = a.id + 1
+   JOIN tok x ON x.sent = a.sent AND x.id = a.id + 2 WHERE a.upos = 'A' AND b.upos = 'N' AND x.upos = 'R'""",
+)
+query(
+    "find_multi",
+    lambda s, d: search.sequence_of(views.orders(s, d), [c.upos("A") & c.xpos("O"), c.lemma("PROMO|SMALL") & c.feat("Size", "[1-3]")], "sent"),
+    f"""{TOK} SELECT a.sent AS sent, a.id AS start FROM tok a JOIN tok b ON b.sent = a.sent AND b.id = a.id + 1
+   WHERE a.upos = 'A' AND a.xpos = 'O' AND b.lemma IN ('PROMO', 'SMALL') AND b.size BETWEEN '1' AND '3'""",
+)
+tokens(
+    "find_deprel",
+    search.deprel_path("dep1", (">", "dep2"), ("<", "dep3")),
+    """t.deprel = 'dep1' AND EXISTS (SELECT 1 FROM tok h JOIN tok k ON k.sent = h.sent AND k.head = h.id
+   WHERE h.sent = t.sent AND h.id = t.head AND h.deprel = 'dep2' AND k.deprel = 'dep3')""",
+)
+tokens(
+    "deprel_path",
+    search.deprel_path("dep1", ("=", "dep2")),
+    """t.deprel = 'dep1' AND t.head > 0 AND EXISTS (SELECT 1 FROM tok k WHERE k.sent = t.sent AND k.head = t.head AND k.id <> t.id AND k.deprel = 'dep2')""",
+)
 E_ = search.Example
-tokens("find_subtree", search.example(E_(c.upos("N"), [E_(c.upos("R") & c.deprel("dep1")), E_(c.xpos("O"), [E_(c.Cond(lambda t: F.lit(True)))])])), "t.upos = 'N' AND " + CHILD.format("c.upos = 'R' AND c.deprel = 'dep1'") + " AND " + CHILD.format("c.xpos = 'O' AND EXISTS (SELECT 1 FROM tok g WHERE g.sent = c.sent AND g.head = c.id)"))
-query("find_expression", lambda s, d: search.first_token(views.orders(s, d), c.is_empty | c.upos("R"), "sent").select("sent", "kind", "id"), f"{ALL} SELECT sent, kind, id FROM (SELECT a.sent, a.kind, a.id, row_number() OVER (PARTITION BY a.sent ORDER BY CASE a.kind WHEN 'WORD' THEN 0 ELSE 1 END, a.id) AS k FROM alltok a LEFT JOIN tok t ON t.sent = a.sent AND t.id = a.id WHERE a.kind = 'EMPTY' OR (a.kind = 'WORD' AND t.upos = 'R')) WHERE k = 1")
-query("find_highlight", lambda s, d: edit.highlight(views.orders(s, d), c.upos("R") & c.feat("Disc")).where(F.size("highlighted") > 0).select("sent", F.size("highlighted").cast("long").alias("n")), f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE upos = 'R' AND disc = 'Yes' GROUP BY sent")
-query("nav_cursor", lambda s, d: search.after(c.sentences_where(views.orders(s, d), c.upos("R") & c.head(c.upos("N"))), "sent", 100).select("sent"), f"{TOK} SELECT min(t.sent) AS sent FROM tok t WHERE t.sent > 100 AND t.upos = 'R' AND " + HEAD.format("h.upos = 'N'"))
-query("find_comment", lambda s, d: search.by_comment(views.read(s, d, "conversations").select("conv_id", "turn", F.array(F.concat(F.lit("role = "), "role")).alias("comments")), "assist").select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE contains(role, 'assist')")
+tokens(
+    "find_subtree",
+    search.example(E_(c.upos("N"), [E_(c.upos("R") & c.deprel("dep1")), E_(c.xpos("O"), [E_(c.Cond(lambda t: F.lit(True)))])])),
+    "t.upos = 'N' AND " + CHILD.format("c.upos = 'R' AND c.deprel = 'dep1'") + " AND " + CHILD.format("c.xpos = 'O' AND EXISTS (SELECT 1 FROM tok g WHERE g.sent = c.sent AND g.head = c.id)"),
+)
+query(
+    "find_expression",
+    lambda s, d: search.first_token(views.orders(s, d), c.is_empty | c.upos("R"), "sent").select("sent", "kind", "id"),
+    f"""{ALL} SELECT sent, kind, id
+   FROM (SELECT a.sent, a.kind, a.id, row_number() OVER (PARTITION BY a.sent ORDER BY CASE a.kind WHEN 'WORD' THEN 0 ELSE 1 END, a.id) AS k
+   FROM alltok a LEFT JOIN tok t ON t.sent = a.sent AND t.id = a.id WHERE a.kind = 'EMPTY' OR (a.kind = 'WORD' AND t.upos = 'R')) WHERE k = 1""",
+)
+query(
+    "find_highlight",
+    lambda s, d: (edit.highlight(views.orders(s, d), c.upos("R") & c.feat("Disc"))
+    .where(F.size("highlighted") > 0)
+    .select("sent", F.size("highlighted").cast("long").alias("n"))),
+    f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE upos = 'R' AND disc = 'Yes' GROUP BY sent",
+)
+query(
+    "nav_cursor",
+    lambda s, d: search.after(c.sentences_where(views.orders(s, d), c.upos("R") & c.head(c.upos("N"))), "sent", 100).select("sent"),
+    f"{TOK} SELECT min(t.sent) AS sent FROM tok t WHERE t.sent > 100 AND t.upos = 'R' AND " + HEAD.format("h.upos = 'N'"),
+)
+query(
+    "find_comment",
+    lambda s, d: (search.by_comment(views.read(s, d, "conversations")
+    .select("conv_id", "turn", F.array(F.concat(F.lit("role = "), "role")).alias("comments")), "assist")
+    .select("conv_id", "turn")),
+    "SELECT conv_id, turn FROM conversations WHERE contains(role, 'assist')",
+)
 
 # order, folds, merging
 query("shuffle", lambda s, d: corpus.shuffled(views.orders(s, d), 7, "sent").select("sent"), f"{TOK} SELECT DISTINCT sent FROM tok")
-query("crossval", lambda s, d: corpus.folds(views.orders(s, d), "sent", 5).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("sent").alias("sum_sent")), f"{TOK}, u AS (SELECT DISTINCT sent FROM tok), f AS (SELECT CAST(range AS INTEGER) AS fold FROM range(5)) SELECT fold, CASE WHEN (sent + fold) % 5 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, CAST(sum(sent) AS BIGINT) AS sum_sent FROM u, f GROUP BY ALL")
-query("sort_feats", lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.feats_text(F.col("feats")).alias("feats")), f"{TOK} SELECT sent, id, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size AS feats FROM tok")
+query(
+    "crossval",
+    lambda s, d: corpus.folds(views.orders(s, d), "sent", 5).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("sent").alias("sum_sent")),
+    f"""{TOK}, u AS (SELECT DISTINCT sent FROM tok), f AS (SELECT CAST(range AS INTEGER) AS fold FROM range(5))
+   SELECT fold, CASE WHEN (sent + fold) % 5 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, CAST(sum(sent) AS BIGINT) AS sum_sent FROM u, f
+   GROUP BY ALL""",
+)
+query(
+    "sort_feats",
+    lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.feats_text(F.col("feats")).alias("feats")),
+    f"{TOK} SELECT sent, id, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size AS feats FROM tok",
+)
 
 # statistics
-query("stats_counts", lambda s, d: stats.counts(views.orders(s, d)), f"{TOK}, u AS (SELECT sent, count(*) AS n FROM tok GROUP BY sent) SELECT count(*) AS sentences, CAST(sum(n) AS BIGINT) AS syntactic_words, CAST(sum(CASE WHEN sent % 3 = 0 AND n > 2 THEN 1 ELSE 0 END) AS BIGINT) AS mwts, CAST(sum(CASE WHEN sent % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_words, CAST(sum(n - CASE WHEN sent % 3 = 0 AND n > 2 THEN 1 ELSE 0 END) AS BIGINT) AS surface_words FROM u")
+query(
+    "stats_counts",
+    lambda s, d: stats.counts(views.orders(s, d)),
+    f"""{TOK}, u AS (SELECT sent, count(*) AS n FROM tok GROUP BY sent)
+   SELECT count(*) AS sentences, CAST(sum(n) AS BIGINT) AS syntactic_words, CAST(sum(CASE WHEN sent % 3 = 0 AND n > 2 THEN 1 ELSE 0 END) AS BIGINT) AS mwts, CAST(sum(CASE WHEN sent % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_words, CAST(sum(n - CASE WHEN sent % 3 = 0 AND n > 2 THEN 1 ELSE 0 END) AS BIGINT) AS surface_words
+   FROM u""",
+)
 query("stats_upos", lambda s, d: stats.by_field(views.orders(s, d), "upos"), f"{TOK} SELECT upos, count(*) AS n FROM tok GROUP BY upos")
 query("stats_deprel", lambda s, d: stats.by_field(views.orders(s, d), "deprel"), f"{TOK} SELECT deprel, count(*) AS n FROM tok GROUP BY deprel")
 query("stats_deprel_upos", lambda s, d: stats.by_field(views.orders(s, d), "deprel", "upos"), f"{TOK} SELECT deprel, upos, count(*) AS n FROM tok GROUP BY ALL")
 FEATS = TOK + ", fe AS (SELECT sent, id, upos, 'Size' AS name, size AS value FROM tok UNION ALL SELECT sent, id, upos, 'Disc', disc FROM tok WHERE disc IS NOT NULL)"
 query("stats_feat_upos", lambda s, d: stats.by_feature(views.orders(s, d)), f"{FEATS} SELECT upos, name, value, count(*) AS n FROM fe GROUP BY ALL")
-query("hist_sentlen", lambda s, d: stats.length_histogram(views.orders(s, d)).select(F.col("length").cast("long").alias("length"), "n"), f"{TOK}, u AS (SELECT sent, count(*) + CASE WHEN sent % 5 = 0 THEN 1 ELSE 0 END AS length FROM tok GROUP BY sent) SELECT length, count(*) AS n FROM u GROUP BY length")
-query("identical_groups", lambda s, d: stats.identical_groups(views.lines(s, d), "doc_id").select("text", "n", "first"), "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) SELECT text, count(*) AS n, min(doc_id) AS first FROM l WHERE trim(text) <> '' GROUP BY text HAVING count(*) > 1")
-query("feat_profile", lambda s, d: stats.feature_profile(views.orders(s, d), 30).select("upos", "name", "n", "tokens", F.round("rate", 4).alias("rate"), "place", "keep"), f"{FEATS}, p AS (SELECT upos, name, count(*) AS n FROM fe GROUP BY ALL), a AS (SELECT upos, count(*) AS tokens FROM tok GROUP BY upos) SELECT upos, name, n, tokens, round(n * 100.0 / tokens, 4) AS rate, CAST(row_number() OVER (PARTITION BY upos ORDER BY n DESC, name) AS INTEGER) AS place, n * 100.0 / tokens >= 30 AS keep FROM p JOIN a USING (upos)")
-query("topk_feats", lambda s, d: stats.feature_profile(views.orders(s, d)).where("place = 1").select("upos", "name", "n"), f"{FEATS} SELECT upos, name, count(*) AS n FROM fe WHERE name = 'Size' GROUP BY ALL")
-query("feat_values", lambda s, d: stats.feature_values(views.orders(s, d)), f"{FEATS} SELECT name, string_agg(DISTINCT value, '|' ORDER BY value) AS vals FROM fe GROUP BY name")
+query(
+    "hist_sentlen",
+    lambda s, d: stats.length_histogram(views.orders(s, d)).select(F.col("length").cast("long").alias("length"), "n"),
+    f"""{TOK}, u AS (SELECT sent, count(*) + CASE WHEN sent % 5 = 0 THEN 1 ELSE 0 END AS length FROM tok GROUP BY sent) SELECT length, count(*) AS n FROM u
+   GROUP BY length""",
+)
+query(
+    "identical_groups",
+    lambda s, d: stats.identical_groups(views.lines(s, d), "doc_id").select("text", "n", "first"),
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) SELECT text, count(*) AS n, min(doc_id) AS first FROM l
+   WHERE trim(text) <> '' GROUP BY text HAVING count(*) > 1""",
+)
+query(
+    "feat_profile",
+    lambda s, d: stats.feature_profile(views.orders(s, d), 30).select("upos", "name", "n", "tokens", F.round("rate", 4).alias("rate"), "place", "keep"),
+    f"""{FEATS}, p AS (SELECT upos, name, count(*) AS n FROM fe GROUP BY ALL), a AS (SELECT upos, count(*) AS tokens FROM tok GROUP BY upos)
+   SELECT upos, name, n, tokens, round(n * 100.0 / tokens, 4) AS rate, CAST(row_number() OVER (PARTITION BY upos ORDER BY n DESC, name) AS INTEGER) AS place, n * 100.0 / tokens >= 30 AS keep
+   FROM p JOIN a USING (upos)""",
+)
+query(
+    "topk_feats",
+    lambda s, d: stats.feature_profile(views.orders(s, d)).where("place = 1").select("upos", "name", "n"),
+    f"{FEATS} SELECT upos, name, count(*) AS n FROM fe WHERE name = 'Size' GROUP BY ALL",
+)
+query(
+    "feat_values",
+    lambda s, d: stats.feature_values(views.orders(s, d)),
+    f"{FEATS} SELECT name, string_agg(DISTINCT value, '|' ORDER BY value) AS vals FROM fe GROUP BY name",
+)
 BOTH = SYS + ", b AS (SELECT g.sent, g.id, g.lemma = s.lemma AS lemma, g.upos = s.upos AS upos, g.head = s.head AS head, g.head = s.head AND g.deprel = s.deprel AS las, g.deprel = s.deprel AS deprel FROM tok g JOIN sys s USING (sent, id))"
-query("score_sentences", lambda s, d: stats.scores(views.orders(s, d), views.orders(s, d, changed=True), "sent", ("lemma", "upos", "head", "las", "deprel")).select("sent", *(F.round(x, 6).alias(x) for x in ("lemma", "upos", "head", "las", "deprel"))), f"{BOTH} SELECT sent, " + ", ".join(f"round(avg(CAST({x} AS INTEGER)), 6) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM b GROUP BY sent")
-query("score_corpus", lambda s, d: stats.corpus_scores(views.orders(s, d), views.orders(s, d, changed=True), "sent", ("lemma", "upos", "head", "las", "deprel")), f"{BOTH}, u AS (SELECT sent, " + ", ".join(f"avg(CAST({x} AS INTEGER)) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM b GROUP BY sent) SELECT " + ", ".join(f"round(avg({x}) * 100, 2) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM u")
-query("diff_tokens", lambda s, d: stats.different_words(views.orders(s, d), views.orders(s, d, changed=True), "sent"), f"{SYS} SELECT g.sent AS sent, g.id AS id FROM tok g JOIN sys s USING (sent, id) WHERE g.upos <> s.upos OR g.head <> s.head OR g.deprel <> s.deprel")
-query("annotation_errors", lambda s, d: stats.annotation_errors(views.orders(s, d, changed=True), ["A", "N", "R"], ["root", "dep0", "dep1", "dep2", "dep3", "dep4"]), f"{SYS} SELECT CAST(sum(CASE WHEN upos = 'X' THEN 1 ELSE 0 END) AS BIGINT) AS upos, CAST(sum(CASE WHEN deprel = 'dep9' THEN 1 ELSE 0 END) AS BIGINT) AS deprels, CAST(0 AS BIGINT) AS extra_roots, CAST(sum(CASE WHEN (head = 0) <> (deprel = 'root') THEN 1 ELSE 0 END) AS BIGINT) AS root_labels FROM sys")
-query("maxdist", lambda s, d: views.orders(s, d).select("sent", trees.longest_arc().cast("long").alias("longest")), f"{TOK} SELECT sent, max(CASE WHEN head > 0 THEN id - head ELSE 0 END) AS longest FROM tok GROUP BY sent")
+query(
+    "score_sentences",
+    lambda s, d: (stats.scores(views.orders(s, d), views.orders(s, d, changed=True), "sent", ("lemma", "upos", "head", "las", "deprel"))
+    .select("sent", *(F.round(x, 6).alias(x) for x in ("lemma", "upos", "head", "las", "deprel")))),
+    f"{BOTH} SELECT sent, " + ", ".join(f"round(avg(CAST({x} AS INTEGER)), 6) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM b GROUP BY sent",
+)
+query(
+    "score_corpus",
+    lambda s, d: stats.corpus_scores(views.orders(s, d), views.orders(s, d, changed=True), "sent", ("lemma", "upos", "head", "las", "deprel")),
+    f"{BOTH}, u AS (SELECT sent, " + ", ".join(f"avg(CAST({x} AS INTEGER)) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM b GROUP BY sent) SELECT " + ", ".join(f"round(avg({x}) * 100, 2) AS {x}" for x in ("lemma", "upos", "head", "las", "deprel")) + " FROM u",
+)
+query(
+    "diff_tokens",
+    lambda s, d: stats.different_words(views.orders(s, d), views.orders(s, d, changed=True), "sent"),
+    f"""{SYS} SELECT g.sent AS sent, g.id AS id FROM tok g JOIN sys s USING (sent, id) WHERE g.upos <> s.upos OR g.head <> s.head OR g.deprel <> s.deprel""",
+)
+query(
+    "annotation_errors",
+    lambda s, d: stats.annotation_errors(views.orders(s, d, changed=True), ["A", "N", "R"], ["root", "dep0", "dep1", "dep2", "dep3", "dep4"]),
+    f"""{SYS}
+   SELECT CAST(sum(CASE WHEN upos = 'X' THEN 1 ELSE 0 END) AS BIGINT) AS upos, CAST(sum(CASE WHEN deprel = 'dep9' THEN 1 ELSE 0 END) AS BIGINT) AS deprels, CAST(0 AS BIGINT) AS extra_roots, CAST(sum(CASE WHEN (head = 0) <> (deprel = 'root') THEN 1 ELSE 0 END) AS BIGINT) AS root_labels
+   FROM sys""",
+)
+query(
+    "maxdist",
+    lambda s, d: views.orders(s, d).select("sent", trees.longest_arc().cast("long").alias("longest")),
+    f"{TOK} SELECT sent, max(CASE WHEN head > 0 THEN id - head ELSE 0 END) AS longest FROM tok GROUP BY sent",
+)
 
 # sequences
-query("seq_prec_next", lambda s, d: views.orders(s, d).select("sent", F.inline(F.transform("words", lambda w: F.struct(w["id"].alias("id"), F.get("words", w["id"] - 2)["form"].alias("before"), F.get("words", w["id"])["form"].alias("after"))))), f"{TOK} SELECT sent, id, lag(form) OVER w AS before, lead(form) OVER w AS after FROM tok WINDOW w AS (PARTITION BY sent ORDER BY id)")
-query("seq_offsets", lambda s, d: views.orders(s, d).select("sent", F.inline(tx.offsets())).select("sent", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop")), f"{TOK}, o AS (SELECT sent, id, form, CAST(coalesce(sum(length(form) + 1) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tok) SELECT sent, id, start, start + length(form) AS stop FROM o")
-query("seq_position", lambda s, d: views.orders(s, d).select("sent", F.explode(F.transform(F.array_sort(F.transform(F.concat("words", "empties"), lambda t: F.struct(t["id"], t["subid"], t["form"].alias("form")))), lambda t, i: F.struct((i + 1).alias("pos"), t["form"].alias("form")))).alias("x")).select("sent", "x.pos", "x.form"), f"{TOK}, e AS (SELECT sent, id, -1 AS sub, form FROM tok UNION ALL SELECT DISTINCT sent, 1, 1, 'gap' FROM tok WHERE sent % 5 = 0) SELECT sent, row_number() OVER (PARTITION BY sent ORDER BY id, sub) AS pos, form FROM e")
+query(
+    "seq_prec_next",
+    lambda s, d: (views.orders(s, d)
+    .select("sent", F.inline(F.transform("words", lambda w: F.struct(w["id"].alias("id"), F.get("words", w["id"] - 2)["form"].alias("before"), F.get("words", w["id"])["form"].alias("after")))))),
+    f"""{TOK} SELECT sent, id, lag(form) OVER w AS before, lead(form) OVER w AS after FROM tok WINDOW w AS (PARTITION BY sent ORDER BY id)""",
+)
+query(
+    "seq_offsets",
+    lambda s, d: (views.orders(s, d)
+    .select("sent", F.inline(tx.offsets()))
+    .select("sent", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))),
+    f"""{TOK}, o AS (SELECT sent, id, form, CAST(coalesce(sum(length(form) + 1) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+   FROM tok) SELECT sent, id, start, start + length(form) AS stop FROM o""",
+)
+query(
+    "seq_position",
+    lambda s, d: (views.orders(s, d)
+    .select("sent", F.explode(F.transform(F.array_sort(F.transform(F.concat("words", "empties"), lambda t: F.struct(t["id"], t["subid"], t["form"].alias("form")))), lambda t, i: F.struct((i + 1).alias("pos"), t["form"].alias("form")))).alias("x"))
+    .select("sent", "x.pos", "x.form")),
+    f"""{TOK}, e AS (SELECT sent, id, -1 AS sub, form FROM tok UNION ALL SELECT DISTINCT sent, 1, 1, 'gap' FROM tok WHERE sent % 5 = 0)
+   SELECT sent, row_number() OVER (PARTITION BY sent ORDER BY id, sub) AS pos, form FROM e""",
+)
 
 # similarity
-query("sim_identical", lambda s, d: similar.copies(views.lines(s, d).select(F.concat_ws(":", "doc_id", "line_no").alias("id"), "text"), "id", "text"), "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), k AS (SELECT doc_id || ':' || line_no AS id, text FROM l WHERE trim(text) <> '') SELECT id, min(id) OVER w AS first, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY text) QUALIFY n > 1")
-query("sim_char", lambda s, d: similar.similar(views.read(s, d, "supplier"), None, "s_suppkey", "s_name", 1), "SELECT a.s_suppkey AS key1, b.s_suppkey AS key2, CAST(damerau_levenshtein(a.s_name, b.s_name) AS INTEGER) AS distance FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE damerau_levenshtein(a.s_name, b.s_name) <= 1")
-query("sim_two_groups", lambda s, d: similar.similar(views.read(s, d, "part").select("p_name").distinct(), views.read(s, d, "part").select("p_name").distinct(), "p_name", "p_name", 1), "WITH p AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS key1, b.p_name AS key2, CAST(damerau_levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM p a, p b WHERE damerau_levenshtein(a.p_name, b.p_name) <= 1")
+query(
+    "sim_identical",
+    lambda s, d: similar.copies(views.lines(s, d).select(F.concat_ws(":", "doc_id", "line_no").alias("id"), "text"), "id", "text"),
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+   FROM documents), k AS (SELECT doc_id || ':' || line_no AS id, text FROM l WHERE trim(text) <> '')
+   SELECT id, min(id) OVER w AS first, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY text) QUALIFY n > 1""",
+)
+query(
+    "sim_char",
+    lambda s, d: similar.similar(views.read(s, d, "supplier"), None, "s_suppkey", "s_name", 1),
+    """SELECT a.s_suppkey AS key1, b.s_suppkey AS key2, CAST(damerau_levenshtein(a.s_name, b.s_name) AS INTEGER) AS distance FROM supplier a
+   JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE damerau_levenshtein(a.s_name, b.s_name) <= 1""",
+)
+query(
+    "sim_two_groups",
+    lambda s, d: similar.similar(views.read(s, d, "part").select("p_name").distinct(), views.read(s, d, "part").select("p_name").distinct(), "p_name", "p_name", 1),
+    """WITH p AS (SELECT DISTINCT p_name FROM part)
+   SELECT a.p_name AS key1, b.p_name AS key2, CAST(damerau_levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM p a, p b
+   WHERE damerau_levenshtein(a.p_name, b.p_name) <= 1""",
+)
 
 
 # functions
@@ -170,27 +405,98 @@ value("fn_replace", v.replace(v.this("Form"), "([aeiou])n", "$1N"), "regexp_repl
 value("fn_upper", v.upper(v.this("Form")), "upper(t.form)")
 value("fn_lower", v.lower(v.this("Lemma")), "lower(t.lemma)")
 value("fn_cap", v.capitalised(v.this("Lemma")), "upper(substring(t.lemma, 1, 1)) || lower(substring(t.lemma, 2))")
-query("fn_surface", lambda s, d: views.orders(s, d).select("sent", tx.surface().alias("text")), f"{TOK}, p AS (SELECT sent, id, CASE WHEN sent % 3 = 0 AND n > 2 AND id = 1 THEN form || lead(form) OVER (PARTITION BY sent ORDER BY id) || ' ' WHEN sent % 3 = 0 AND n > 2 AND id = 2 THEN '' ELSE form || ' ' END AS piece FROM tok) SELECT sent, rtrim(string_agg(piece, '' ORDER BY id)) AS text FROM p GROUP BY sent")
-query("fn_text_diff", lambda s, d: validate.text_mismatch(views.orders(s, d), "sent").select("sent", F.col("at").cast("long").alias("at")), f"{TOK} SELECT sent, CAST(length(form) AS BIGINT) AS at FROM tok WHERE id = 1 AND sent % 3 = 0 AND n > 2")
-query("fn_feats_parse", lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.feats_text(tx.feats_of(F.concat(F.lit("size=9|"), tx.feats_text(F.col("feats"))))).alias("feats")), f"{TOK} SELECT sent, id, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size AS feats FROM tok")
-query("fn_misc_parse", lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.misc_text(tx.misc_of(F.concat(tx.misc_text(F.col("misc")), F.lit("|Flag")))).alias("misc")), f"{TOK} SELECT sent, id, 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END || '|Flag' AS misc FROM tok")
-query("fn_deps_parse", lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.deps_text(tx.deps_of(tx.deps_text(F.col("deps")))).alias("deps")), f"{TOK} SELECT sent, id, head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END AS deps FROM tok")
-query("fn_subphrase", lambda s, d: views.orders(s, d).select("sent", tx.subphrase(["dep1", "dep2"]).alias("phrase")), f"{TOK}, b AS (SELECT sent, min(id) AS a, max(id) AS z FROM tok WHERE deprel IN ('dep1', 'dep2') GROUP BY sent), u AS (SELECT DISTINCT sent FROM tok) SELECT u.sent AS sent, coalesce((SELECT string_agg(t.form, ' ' ORDER BY t.id) FROM tok t JOIN b ON b.sent = t.sent WHERE t.sent = u.sent AND t.id BETWEEN b.a AND b.z), '') AS phrase FROM u")
+query(
+    "fn_surface",
+    lambda s, d: views.orders(s, d).select("sent", tx.surface().alias("text")),
+    f"""{TOK}, p AS (SELECT sent, id, CASE WHEN sent % 3 = 0 AND n > 2 AND id = 1 THEN form || lead(form) OVER (PARTITION BY sent ORDER BY id) || ' ' WHEN sent % 3 = 0 AND n > 2 AND id = 2 THEN '' ELSE form || ' ' END AS piece
+   FROM tok) SELECT sent, rtrim(string_agg(piece, '' ORDER BY id)) AS text FROM p GROUP BY sent""",
+)
+query(
+    "fn_text_diff",
+    lambda s, d: validate.text_mismatch(views.orders(s, d), "sent").select("sent", F.col("at").cast("long").alias("at")),
+    f"{TOK} SELECT sent, CAST(length(form) AS BIGINT) AS at FROM tok WHERE id = 1 AND sent % 3 = 0 AND n > 2",
+)
+query(
+    "fn_feats_parse",
+    lambda s, d: (views.orders(s, d)
+    .select("sent", F.inline("words"))
+    .select("sent", "id", tx.feats_text(tx.feats_of(F.concat(F.lit("size=9|"), tx.feats_text(F.col("feats"))))).alias("feats"))),
+    f"{TOK} SELECT sent, id, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size AS feats FROM tok",
+)
+query(
+    "fn_misc_parse",
+    lambda s, d: (views.orders(s, d)
+    .select("sent", F.inline("words"))
+    .select("sent", "id", tx.misc_text(tx.misc_of(F.concat(tx.misc_text(F.col("misc")), F.lit("|Flag")))).alias("misc"))),
+    f"""{TOK} SELECT sent, id, 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END || '|Flag' AS misc FROM tok""",
+)
+query(
+    "fn_deps_parse",
+    lambda s, d: views.orders(s, d).select("sent", F.inline("words")).select("sent", "id", tx.deps_text(tx.deps_of(tx.deps_text(F.col("deps")))).alias("deps")),
+    f"""{TOK} SELECT sent, id, head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END AS deps FROM tok""",
+)
+query(
+    "fn_subphrase",
+    lambda s, d: views.orders(s, d).select("sent", tx.subphrase(["dep1", "dep2"]).alias("phrase")),
+    f"""{TOK}, b AS (SELECT sent, min(id) AS a, max(id) AS z FROM tok WHERE deprel IN ('dep1', 'dep2') GROUP BY sent), u AS (SELECT DISTINCT sent FROM tok)
+   SELECT u.sent AS sent, coalesce((SELECT string_agg(t.form, ' ' ORDER BY t.id) FROM tok t JOIN b ON b.sent = t.sent
+   WHERE t.sent = u.sent AND t.id BETWEEN b.a AND b.z), '') AS phrase FROM u""",
+)
 
 # trees
 UP = TOK.replace("WITH raw", "WITH RECURSIVE raw") + ", up AS (SELECT sent, id, head AS anc, 1 AS dist FROM tok WHERE head > 0 UNION ALL SELECT u.sent, u.id, t.head, u.dist + 1 FROM up u JOIN tok t ON t.sent = u.sent AND t.id = u.anc WHERE t.head > 0)"
-query("tree_ancestors", lambda s, d: trees.with_ancestors(views.orders(s, d)).select("sent", F.posexplode("up").alias("i", "up")).select("sent", (F.col("i") + 1).cast("long").alias("id"), F.size("up").cast("long").alias("depth"), F.aggregate("up", F.lit(0), lambda a, x: a + x).cast("long").alias("sum_up")), f"{UP} SELECT t.sent AS sent, t.id AS id, count(u.anc) AS depth, CAST(coalesce(sum(u.anc), 0) AS BIGINT) AS sum_up FROM tok t LEFT JOIN up u ON u.sent = t.sent AND u.id = t.id GROUP BY ALL")
-query("tree_dominates", lambda s, d: views.orders(s, d).select("sent", F.size(trees.dominated(2)).cast("long").alias("n")).where("n > 0"), f"{UP} SELECT sent, count(*) AS n FROM up WHERE anc = 2 GROUP BY sent")
-query("tree_subtree", lambda s, d: views.orders(s, d).select("sent", F.inline(trees.subtree(2))).select("sent", "id", "form", "head"), f"""{UP}, k AS (SELECT t.sent, t.id, t.form, t.head, row_number() OVER (PARTITION BY t.sent ORDER BY t.id) AS nid FROM tok t WHERE t.id = 2 OR EXISTS (SELECT 1 FROM up u WHERE u.sent = t.sent AND u.id = t.id AND u.anc = 2))
- SELECT k.sent AS sent, k.nid AS id, k.form AS form, CASE WHEN k.id = 2 THEN 0 ELSE h.nid END AS head FROM k LEFT JOIN k h ON h.sent = k.sent AND h.id = k.head""")
-query("tree_is_span", lambda s, d: views.orders(s, d).where(trees.is_span(2, 4)).select("sent"), f"{TOK} SELECT sent FROM tok WHERE id BETWEEN 2 AND 4 AND head NOT BETWEEN 2 AND 4 GROUP BY sent HAVING count(*) = 1")
-query("tree_projective", lambda s, d: views.orders(s, d).where(~trees.is_projective()).select("sent"), f"{UP} SELECT DISTINCT t.sent AS sent FROM tok t JOIN tok x ON x.sent = t.sent AND x.id > least(t.id, t.head) AND x.id < greatest(t.id, t.head) WHERE t.head > 0 AND abs(t.id - t.head) > 2 AND NOT EXISTS (SELECT 1 FROM up u WHERE u.sent = x.sent AND u.id = x.id AND u.anc = t.head)")
+query(
+    "tree_ancestors",
+    lambda s, d: (trees.with_ancestors(views.orders(s, d))
+    .select("sent", F.posexplode("up").alias("i", "up"))
+    .select("sent", (F.col("i") + 1).cast("long").alias("id"), F.size("up").cast("long").alias("depth"), F.aggregate("up", F.lit(0), lambda a, x: a + x).cast("long").alias("sum_up"))),
+    f"""{UP} SELECT t.sent AS sent, t.id AS id, count(u.anc) AS depth, CAST(coalesce(sum(u.anc), 0) AS BIGINT) AS sum_up FROM tok t LEFT
+   JOIN up u ON u.sent = t.sent AND u.id = t.id GROUP BY ALL""",
+)
+query(
+    "tree_dominates",
+    lambda s, d: views.orders(s, d).select("sent", F.size(trees.dominated(2)).cast("long").alias("n")).where("n > 0"),
+    f"{UP} SELECT sent, count(*) AS n FROM up WHERE anc = 2 GROUP BY sent",
+)
+query(
+    "tree_subtree",
+    lambda s, d: views.orders(s, d).select("sent", F.inline(trees.subtree(2))).select("sent", "id", "form", "head"),
+    f"""{UP}, k AS (SELECT t.sent, t.id, t.form, t.head, row_number() OVER (PARTITION BY t.sent ORDER BY t.id) AS nid FROM tok t
+   WHERE t.id = 2 OR EXISTS (SELECT 1 FROM up u WHERE u.sent = t.sent AND u.id = t.id AND u.anc = 2))
+SELECT k.sent AS sent, k.nid AS id, k.form AS form, CASE WHEN k.id = 2 THEN 0 ELSE h.nid END AS head FROM k LEFT
+   JOIN k h ON h.sent = k.sent AND h.id = k.head""",
+)
+query(
+    "tree_is_span",
+    lambda s, d: views.orders(s, d).where(trees.is_span(2, 4)).select("sent"),
+    f"{TOK} SELECT sent FROM tok WHERE id BETWEEN 2 AND 4 AND head NOT BETWEEN 2 AND 4 GROUP BY sent HAVING count(*) = 1",
+)
+query(
+    "tree_projective",
+    lambda s, d: views.orders(s, d).where(~trees.is_projective()).select("sent"),
+    f"""{UP} SELECT DISTINCT t.sent AS sent FROM tok t JOIN tok x ON x.sent = t.sent AND x.id > least(t.id, t.head) AND x.id < greatest(t.id, t.head)
+   WHERE t.head > 0 AND abs(t.id - t.head) > 2 AND NOT EXISTS (SELECT 1 FROM up u WHERE u.sent = x.sent AND u.id = x.id AND u.anc = t.head)""",
+)
 pattern("grew_global_projective", grew.Pattern({"N": c.upos("N") & c.feat("Size", "0")}, tests=[grew.projective()]), "")
 ORACLES["grew_global_projective"] = f"{UP}, bad AS (SELECT DISTINCT t.sent AS sent FROM tok t JOIN tok x ON x.sent = t.sent AND x.id > least(t.id, t.head) AND x.id < greatest(t.id, t.head) WHERE t.head > 0 AND abs(t.id - t.head) > 2 AND NOT EXISTS (SELECT 1 FROM up u WHERE u.sent = x.sent AND u.id = x.id AND u.anc = t.head)) SELECT sent, id AS n FROM tok t WHERE upos = 'N' AND size = '0' AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.sent = t.sent)"
 query("tree_is_tree", lambda s, d: views.orders(s, d).where(grew.tree()()).select("sent"), f"{TOK} SELECT sent FROM tok WHERE head = 0 GROUP BY sent HAVING count(*) = 1")
-query("tree_build_check", lambda s, d: views.orders(s, d).withColumn("words", F.transform("words", lambda w: F.when((w["id"] == 1) & (F.col("sent") % 4 == 1), w.withField("head", F.lit(2))).when((w["id"] == 2) & (F.col("sent") % 4 == 3), w.withField("head", F.lit(99))).otherwise(w))).select("sent", F.array_join(trees.problems(), "+").alias("problems")).where("problems <> ''"), f"""{TOK}, u AS (SELECT sent, count(*) AS n FROM tok GROUP BY sent)
- SELECT sent, CASE WHEN sent % 4 = 1 AND n = 1 THEN 'head beyond the sentence+no root' WHEN sent % 4 = 1 THEN 'no root+cycle' ELSE 'head beyond the sentence' END AS problems FROM u WHERE sent % 4 = 1 OR (sent % 4 = 3 AND n > 1)""")
-query("tree_children_label", lambda s, d: views.orders(s, d).select("sent", F.explode(F.transform("words", lambda w: F.struct(w["id"].alias("id"), F.size(trees.children_with(w, "dep[12]")).cast("long").alias("n")))).alias("x")).select("sent", "x.id", "x.n").where("n > 0"), f"{TOK} SELECT sent, head AS id, count(*) AS n FROM tok WHERE head > 0 AND deprel IN ('dep1', 'dep2') GROUP BY ALL")
+query(
+    "tree_build_check",
+    lambda s, d: (views.orders(s, d).withColumn("words", F.transform("words", lambda w: F.when((w["id"] == 1) & (F.col("sent") % 4 == 1), w.withField("head", F.lit(2))).when((w["id"] == 2) & (F.col("sent") % 4 == 3), w.withField("head", F.lit(99))).otherwise(w)))
+    .select("sent", F.array_join(trees.problems(), "+").alias("problems"))
+    .where("problems <> ''")),
+    f"""{TOK}, u AS (SELECT sent, count(*) AS n FROM tok GROUP BY sent)
+SELECT sent, CASE WHEN sent % 4 = 1 AND n = 1 THEN 'head beyond the sentence+no root' WHEN sent % 4 = 1 THEN 'no root+cycle' ELSE 'head beyond the sentence' END AS problems
+   FROM u WHERE sent % 4 = 1 OR (sent % 4 = 3 AND n > 1)""",
+)
+query(
+    "tree_children_label",
+    lambda s, d: (views.orders(s, d)
+    .select("sent", F.explode(F.transform("words", lambda w: F.struct(w["id"].alias("id"), F.size(trees.children_with(w, "dep[12]")).cast("long").alias("n")))).alias("x"))
+    .select("sent", "x.id", "x.n")
+    .where("n > 0")),
+    f"{TOK} SELECT sent, head AS id, count(*) AS n FROM tok WHERE head > 0 AND deprel IN ('dep1', 'dep2') GROUP BY ALL",
+)
 
 # updates
 RULES = [edit.Rule(c.upos("R") & c.head(c.upos("N")), {"Xpos": v.concat(v.this("Xpos"), v.literal("+"), v.head("Lemma")), "Feat_Disc": ""}), edit.Rule(c.feat("Size", "2"), {"Deprel": "big", "Misc_Note": v.lower(v.this("Lemma"))})]
@@ -201,9 +507,15 @@ def _edit_rules(s: SparkSession, d: str) -> DataFrame:
     return out.select("sent", F.inline("words")).select("sent", "id", "xpos", "deprel", tx.feats_text(F.col("feats")).alias("feats"), tx.misc_text(F.col("misc")).alias("misc"))
 
 
-query("edit_rules", _edit_rules, f"""{TOK}, q AS (SELECT t.*, t.upos = 'R' AND coalesce(h.upos = 'N', false) AS r1, h.lemma AS hl FROM tok t LEFT JOIN tok h ON h.sent = t.sent AND h.id = t.head)
- SELECT sent, id, CASE WHEN r1 THEN xpos || '+' || hl ELSE xpos END AS xpos, CASE WHEN size = '2' THEN 'big' ELSE deprel END AS deprel, CASE WHEN disc IS NOT NULL AND NOT r1 THEN 'Disc=Yes|' ELSE '' END || 'Size=' || size AS feats,
- 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END || CASE WHEN size = '2' THEN '|Note=' || lower(lemma) ELSE '' END AS misc FROM q""")
+query(
+    "edit_rules",
+    _edit_rules,
+    f"""{TOK}, q AS (SELECT t.*, t.upos = 'R' AND coalesce(h.upos = 'N', false) AS r1, h.lemma AS hl FROM tok t LEFT
+   JOIN tok h ON h.sent = t.sent AND h.id = t.head)
+SELECT sent, id, CASE WHEN r1 THEN xpos || '+' || hl ELSE xpos END AS xpos, CASE WHEN size = '2' THEN 'big' ELSE deprel END AS deprel, CASE WHEN disc IS NOT NULL AND NOT r1 THEN 'Disc=Yes|' ELSE '' END || 'Size=' || size AS feats,
+ 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END || CASE WHEN size = '2' THEN '|Note=' || lower(lemma) ELSE '' END AS misc
+   FROM q""",
+)
 
 
 def _changes(s: SparkSession, d: str) -> DataFrame:
@@ -212,24 +524,98 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
     return mass_edit(views.orders(s, d), RULES)[1].withColumn("rule", F.col("rule").cast("long"))
 
 
-query("edit_changes", _changes, f"{TOK}, q AS (SELECT t.upos = 'R' AND coalesce(h.upos = 'N', false) AS r1, t.size = '2' AS r2 FROM tok t LEFT JOIN tok h ON h.sent = t.sent AND h.id = t.head) SELECT CAST(1 AS BIGINT) AS rule, count(*) AS changes FROM q WHERE r1 UNION ALL SELECT 2, count(*) FROM q WHERE r2")
-query("edit_head", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"HeadId": "+1"})]).select("sent", F.inline("words")).select("sent", "id", "head"), f"{UP} SELECT t.sent AS sent, t.id AS id, CASE WHEN t.upos = 'A' AND t.id < t.n AND NOT EXISTS (SELECT 1 FROM up u WHERE u.sent = t.sent AND u.id = t.id + 1 AND u.anc = t.id) THEN t.id + 1 ELSE t.head END AS head FROM tok t")
-query("edit_eud", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"eud": "-1:conj"}), edit.Rule(c.upos("N"), {"eud": "_"})]).select("sent", F.inline("words")).select("sent", "id", tx.deps_text(F.col("deps")).alias("deps")), f"{TOK} SELECT sent, id, CASE WHEN upos = 'N' THEN '_' ELSE head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END || CASE WHEN upos = 'A' THEN '|' || (id - 1) || ':conj' ELSE '' END END AS deps FROM tok")
-
-
-query("edit_reattach", lambda s, d: edit.reattach(views.orders(s, d), 2, 4, "moved").select("sent", F.explode("words").alias("w"), "warning").select("sent", "w.id", "w.head", "w.deprel", "warning"), f"{UP}, why AS (SELECT t.sent, CASE WHEN t.n < 4 THEN 'head is outside the sentence' WHEN EXISTS (SELECT 1 FROM up u WHERE u.sent = t.sent AND u.id = 4 AND u.anc = 2) THEN 'head is below the word' END AS warning FROM tok t WHERE t.id = 2) SELECT t.sent AS sent, t.id AS id, CASE WHEN t.id = 2 AND w.warning IS NULL THEN 4 ELSE t.head END AS head, CASE WHEN t.id = 2 AND w.warning IS NULL THEN 'moved' ELSE t.deprel END AS deprel, w.warning AS warning FROM tok t LEFT JOIN why w ON w.sent = t.sent")
-query("edit_ed", lambda s, d: edit.drop_enhanced(edit.add_enhanced(views.orders(s, d), 3, 2, "new"), 3, 1, "ext").select("sent", F.explode("words").alias("w")).select("sent", F.col("w.id").alias("id"), tx.deps_text(F.col("w.deps")).alias("deps")), f"{TOK} SELECT sent, id, head || ':' || deprel || CASE WHEN id > 2 AND id <> 3 THEN '|' || (id - 2) || ':ext' WHEN id = 3 THEN '|2:new' ELSE '' END AS deps FROM tok")
-query("mwt_compose", lambda s, d: edit.compose_mwt(views.orders(s, d), 2, 3).select("sent", F.inline("mwts")).select("sent", "id", "subid", "form"), f"{TOK}, f AS (SELECT sent, n, max(CASE WHEN id = 1 THEN form END) AS a, max(CASE WHEN id = 2 THEN form END) AS b, max(CASE WHEN id = 3 THEN form END) AS c FROM tok GROUP BY ALL) SELECT sent, CAST(1 AS BIGINT) AS id, 2 AS subid, a || b AS form FROM f WHERE sent % 3 = 0 AND n > 2 UNION ALL SELECT sent, 2, 3, b || c FROM f WHERE sent % 3 <> 0 AND n > 2")
-query("mwt_edit", lambda s, d: edit.drop_mwt(views.orders(s, d), 1).select("sent", F.size("mwts").cast("long").alias("n")), f"{TOK} SELECT DISTINCT sent, CAST(0 AS BIGINT) AS n FROM tok")
-query("tok_empty_insert", lambda s, d: edit.insert_empty(views.orders(s, d), 1, "e").select("sent", F.inline("empties")).select("sent", "id", "subid", "form"), f"{TOK}, u AS (SELECT DISTINCT sent FROM tok) SELECT sent, 1 AS id, 1 AS subid, 'gap' AS form FROM u WHERE sent % 5 = 0 UNION ALL SELECT sent, 1, CASE WHEN sent % 5 = 0 THEN 2 ELSE 1 END, 'e' FROM u")
-query("tok_empty_delete", lambda s, d: edit.drop_empty(views.orders(s, d), 1, 1).select("sent", F.size("empties").cast("long").alias("n")), f"{TOK} SELECT DISTINCT sent, CAST(0 AS BIGINT) AS n FROM tok")
-query("highlight_from_validator", lambda s, d: edit.highlights_from_messages(views.read(s, d, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("Sent "), "l_orderkey", F.lit(" Node "), "l_linenumber", F.lit(" bad")).alias("message"))), "WITH m AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45) SELECT CAST(l_orderkey AS VARCHAR) AS sent_id, 'highlight tokens = ' || string_agg(CAST(l_linenumber AS VARCHAR), ' ' ORDER BY l_linenumber) AS comment FROM m GROUP BY 1")
-query("undo_redo", lambda s, d: edit.latest(views.read(s, d, "events"), "user_id", "event_id", "event_type", undo=1).select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k = least(2, n)")
+query(
+    "edit_changes",
+    _changes,
+    f"""{TOK}, q AS (SELECT t.upos = 'R' AND coalesce(h.upos = 'N', false) AS r1, t.size = '2' AS r2 FROM tok t LEFT
+   JOIN tok h ON h.sent = t.sent AND h.id = t.head) SELECT CAST(1 AS BIGINT) AS rule, count(*) AS changes FROM q WHERE r1 UNION ALL SELECT 2, count(*)
+   FROM q WHERE r2""",
+)
+query(
+    "edit_head",
+    lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"HeadId": "+1"})]).select("sent", F.inline("words")).select("sent", "id", "head"),
+    f"""{UP} SELECT t.sent AS sent, t.id AS id, CASE WHEN t.upos = 'A' AND t.id < t.n AND NOT EXISTS (SELECT 1 FROM up u
+   WHERE u.sent = t.sent AND u.id = t.id + 1 AND u.anc = t.id) THEN t.id + 1 ELSE t.head END AS head FROM tok t""",
+)
+query(
+    "edit_eud",
+    lambda s, d: (edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"eud": "-1:conj"}), edit.Rule(c.upos("N"), {"eud": "_"})])
+    .select("sent", F.inline("words"))
+    .select("sent", "id", tx.deps_text(F.col("deps")).alias("deps"))),
+    f"""{TOK}
+   SELECT sent, id, CASE WHEN upos = 'N' THEN '_' ELSE head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END || CASE WHEN upos = 'A' THEN '|' || (id - 1) || ':conj' ELSE '' END END AS deps
+   FROM tok""",
+)
+
+
+query(
+    "edit_reattach",
+    lambda s, d: (edit.reattach(views.orders(s, d), 2, 4, "moved")
+    .select("sent", F.explode("words").alias("w"), "warning")
+    .select("sent", "w.id", "w.head", "w.deprel", "warning")),
+    f"""{UP}, why AS (SELECT t.sent, CASE WHEN t.n < 4 THEN 'head is outside the sentence' WHEN EXISTS (SELECT 1 FROM up u
+   WHERE u.sent = t.sent AND u.id = 4 AND u.anc = 2) THEN 'head is below the word' END AS warning FROM tok t WHERE t.id = 2)
+   SELECT t.sent AS sent, t.id AS id, CASE WHEN t.id = 2 AND w.warning IS NULL THEN 4 ELSE t.head END AS head, CASE WHEN t.id = 2 AND w.warning IS NULL THEN 'moved' ELSE t.deprel END AS deprel, w.warning AS warning
+   FROM tok t LEFT JOIN why w ON w.sent = t.sent""",
+)
+query(
+    "edit_ed",
+    lambda s, d: (edit.drop_enhanced(edit.add_enhanced(views.orders(s, d), 3, 2, "new"), 3, 1, "ext")
+    .select("sent", F.explode("words").alias("w"))
+    .select("sent", F.col("w.id").alias("id"), tx.deps_text(F.col("w.deps")).alias("deps"))),
+    f"""{TOK}
+   SELECT sent, id, head || ':' || deprel || CASE WHEN id > 2 AND id <> 3 THEN '|' || (id - 2) || ':ext' WHEN id = 3 THEN '|2:new' ELSE '' END AS deps
+   FROM tok""",
+)
+query(
+    "mwt_compose",
+    lambda s, d: edit.compose_mwt(views.orders(s, d), 2, 3).select("sent", F.inline("mwts")).select("sent", "id", "subid", "form"),
+    f"""{TOK}, f AS (SELECT sent, n, max(CASE WHEN id = 1 THEN form END) AS a, max(CASE WHEN id = 2 THEN form END) AS b, max(CASE WHEN id = 3 THEN form END) AS c
+   FROM tok GROUP BY ALL) SELECT sent, CAST(1 AS BIGINT) AS id, 2 AS subid, a || b AS form FROM f WHERE sent % 3 = 0 AND n > 2 UNION ALL
+   SELECT sent, 2, 3, b || c FROM f WHERE sent % 3 <> 0 AND n > 2""",
+)
+query(
+    "mwt_edit",
+    lambda s, d: edit.drop_mwt(views.orders(s, d), 1).select("sent", F.size("mwts").cast("long").alias("n")),
+    f"{TOK} SELECT DISTINCT sent, CAST(0 AS BIGINT) AS n FROM tok",
+)
+query(
+    "tok_empty_insert",
+    lambda s, d: edit.insert_empty(views.orders(s, d), 1, "e").select("sent", F.inline("empties")).select("sent", "id", "subid", "form"),
+    f"""{TOK}, u AS (SELECT DISTINCT sent FROM tok) SELECT sent, 1 AS id, 1 AS subid, 'gap' AS form FROM u WHERE sent % 5 = 0 UNION ALL
+   SELECT sent, 1, CASE WHEN sent % 5 = 0 THEN 2 ELSE 1 END, 'e' FROM u""",
+)
+query(
+    "tok_empty_delete",
+    lambda s, d: edit.drop_empty(views.orders(s, d), 1, 1).select("sent", F.size("empties").cast("long").alias("n")),
+    f"{TOK} SELECT DISTINCT sent, CAST(0 AS BIGINT) AS n FROM tok",
+)
+query(
+    "highlight_from_validator",
+    lambda s, d: (edit.highlights_from_messages(views.read(s, d, "lineitem")
+    .where("l_quantity > 45")
+    .select(F.concat(F.lit("Sent "), "l_orderkey", F.lit(" Node "), "l_linenumber", F.lit(" bad")).alias("message")))),
+    """WITH m AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45)
+   SELECT CAST(l_orderkey AS VARCHAR) AS sent_id, 'highlight tokens = ' || string_agg(CAST(l_linenumber AS VARCHAR), ' ' ORDER BY l_linenumber) AS comment
+   FROM m GROUP BY 1""",
+)
+query(
+    "undo_redo",
+    lambda s, d: edit.latest(views.read(s, d, "events"), "user_id", "event_id", "event_type", undo=1).select("user_id", "event_id", "event_type"),
+    """SELECT user_id, event_id, event_type
+   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+   WHERE k = least(2, n)""",
+)
 
 
 # validation
 IMPLIES = [(c.upos("R"), c.head(c.upos("N")) | c.token_id(1)), (c.feat("Disc"), c.xpos("O"))]
-query("valid_rules", lambda s, d: validate.implications(views.orders(s, d), IMPLIES, "sent"), f"{TOK} SELECT sent, 1 AS rule, id FROM tok t WHERE upos = 'R' AND id <> 1 AND NOT {HEAD.format(chr(104) + '.upos = ' + chr(39) + 'N' + chr(39))} UNION ALL SELECT sent, 2, id FROM tok WHERE disc IS NOT NULL AND xpos <> 'O'")
+query(
+    "valid_rules",
+    lambda s, d: validate.implications(views.orders(s, d), IMPLIES, "sent"),
+    f"""{TOK} SELECT sent, 1 AS rule, id FROM tok t WHERE upos = 'R' AND id <> 1 AND NOT {HEAD.format(chr(104) + '.upos = ' + chr(39) + 'N' + chr(39))}
+   UNION ALL SELECT sent, 2, id FROM tok WHERE disc IS NOT NULL AND xpos <> 'O'""",
+)
 
 
 def _check(s: SparkSession, d: str) -> DataFrame:
@@ -238,8 +624,19 @@ def _check(s: SparkSession, d: str) -> DataFrame:
     return check(views.orders(s, d), IMPLIES, "sent")
 
 
-query("valid_summary", _check, f"{TOK}, b AS (SELECT sent, 1 AS rule, id FROM tok t WHERE upos = 'R' AND id <> 1 AND NOT {HEAD.format(chr(104) + '.upos = ' + chr(39) + 'N' + chr(39))} UNION ALL SELECT sent, 2, id FROM tok WHERE disc IS NOT NULL AND xpos <> 'O') SELECT rule, count(*) AS violations, count(DISTINCT sent) AS sentences FROM b GROUP BY rule")
-query("valid_lists", lambda s, d: validate.permitted(views.orders(s, d, changed=True), ["A", "N", "R"], ["F", "O"], ["root", "dep0", "dep1", "dep2", "dep3", "dep4"], "sent"), f"{SYS} SELECT sent, id, CASE WHEN upos = 'X' AND deprel = 'dep9' THEN 'upos+deprel' WHEN upos = 'X' THEN 'upos' ELSE 'deprel' END AS wrong FROM sys WHERE upos = 'X' OR deprel = 'dep9'")
+query(
+    "valid_summary",
+    _check,
+    f"""{TOK}, b AS (SELECT sent, 1 AS rule, id FROM tok t WHERE upos = 'R' AND id <> 1 AND NOT {HEAD.format(chr(104) + '.upos = ' + chr(39) + 'N' + chr(39))}
+   UNION ALL SELECT sent, 2, id FROM tok WHERE disc IS NOT NULL AND xpos <> 'O')
+   SELECT rule, count(*) AS violations, count(DISTINCT sent) AS sentences FROM b GROUP BY rule""",
+)
+query(
+    "valid_lists",
+    lambda s, d: validate.permitted(views.orders(s, d, changed=True), ["A", "N", "R"], ["F", "O"], ["root", "dep0", "dep1", "dep2", "dep3", "dep4"], "sent"),
+    f"""{SYS} SELECT sent, id, CASE WHEN upos = 'X' AND deprel = 'dep9' THEN 'upos+deprel' WHEN upos = 'X' THEN 'upos' ELSE 'deprel' END AS wrong FROM sys
+   WHERE upos = 'X' OR deprel = 'dep9'""",
+)
 
 
 def _valid_feats(s: SparkSession, d: str) -> DataFrame:
@@ -247,7 +644,12 @@ def _valid_feats(s: SparkSession, d: str) -> DataFrame:
     return validate.feature_codes(views.orders(s, d), allowed, "sent")
 
 
-query("valid_feats", _valid_feats, f"{FEATS} SELECT sent, id, name, CASE WHEN upos = 'R' OR (name = 'Disc' AND upos <> 'A') THEN 1 ELSE 2 END AS code FROM fe WHERE upos = 'R' OR (name = 'Disc' AND upos <> 'A') OR (name = 'Size' AND value NOT IN ('0', '1', '2', '3'))")
+query(
+    "valid_feats",
+    _valid_feats,
+    f"""{FEATS} SELECT sent, id, name, CASE WHEN upos = 'R' OR (name = 'Disc' AND upos <> 'A') THEN 1 ELSE 2 END AS code FROM fe
+   WHERE upos = 'R' OR (name = 'Disc' AND upos <> 'A') OR (name = 'Size' AND value NOT IN ('0', '1', '2', '3'))""",
+)
 
 # sinks and sources as columns
 
@@ -262,26 +664,122 @@ def blocks(s: SparkSession, d: str, sentences: bool = False) -> DataFrame:
     return sents if sentences else sents.select("sent", conllu.block().alias("value"))
 
 
-query("sink_conllu", lambda s, d: blocks(s, d).select("sent", F.sha2("value", 256).alias("sha")), f"""{TOK}, l AS (SELECT sent, id, 1 AS k, concat_ws(chr(9), id, form, lemma, upos, xpos, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size, head, deprel, head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END, 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END) AS line FROM tok
- UNION ALL SELECT sent, 1, 0, concat_ws(chr(9), '1-2', string_agg(form, '' ORDER BY id), '_', '_', '_', '_', '_', '_', '_', '_') FROM tok WHERE sent % 3 = 0 AND n > 2 AND id <= 2 GROUP BY sent
- UNION ALL SELECT DISTINCT sent, 1, 2, concat_ws(chr(9), '1.1', 'gap', '_', 'E', '_', '_', '_', '_', '_', '_') FROM tok WHERE sent % 5 = 0),
+query(
+    "sink_conllu",
+    lambda s, d: blocks(s, d).select("sent", F.sha2("value", 256).alias("sha")),
+    f"""{TOK}, l AS (SELECT sent, id, 1 AS k, concat_ws(chr(9), id, form, lemma, upos, xpos, CASE WHEN disc IS NULL THEN '' ELSE 'Disc=Yes|' END || 'Size=' || size, head, deprel, head || ':' || deprel || CASE WHEN id > 2 THEN '|' || (id - 2) || ':ext' ELSE '' END, 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END) AS line
+   FROM tok
+UNION ALL SELECT sent, 1, 0, concat_ws(chr(9), '1-2', string_agg(form, '' ORDER BY id), '_', '_', '_', '_', '_', '_', '_', '_') FROM tok
+   WHERE sent % 3 = 0 AND n > 2 AND id <= 2 GROUP BY sent
+UNION ALL SELECT DISTINCT sent, 1, 2, concat_ws(chr(9), '1.1', 'gap', '_', 'E', '_', '_', '_', '_', '_', '_') FROM tok WHERE sent % 5 = 0),
  x AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent)
- SELECT x.sent AS sent, sha256('# sent_id = ' || x.sent || chr(10) || '# text = ' || any_value(x.txt) || chr(10) || string_agg(l.line, chr(10) ORDER BY l.id, l.k)) AS sha FROM x JOIN l ON l.sent = x.sent GROUP BY x.sent""")
-query("scan_sentence_block", lambda s, d: conllu.parse(blocks(s, d)).select("sent", F.inline("words")).select("sent", "id", "form", "upos", "head", "deprel"), f"{TOK} SELECT sent, id, form, upos, head, deprel FROM tok")
-query("scan_token_line", lambda s, d: conllu.parse(blocks(s, d).withColumn("value", F.when(F.col("sent") % 7 == 0, F.regexp_replace("value", "\tA\t", "\t")).otherwise(F.col("value")))).select("sent", F.size("errors").cast("long").alias("n")).where("n > 0"), f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE sent % 7 = 0 AND upos = 'A' GROUP BY sent")
-query("sink_conllu_plus", lambda s, d: conllu.convert_columns(blocks(s, d), conllu.COLUMNS, ("ID", "FORM", "SEM:NE", "UPOS")).select("sent", F.explode(F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & ~F.split(x, "\t")[0].rlike("[-.]"))).alias("line")), f"{TOK} SELECT sent, concat_ws(chr(9), id, form, '_', upos) AS line FROM tok")
+SELECT x.sent AS sent, sha256('# sent_id = ' || x.sent || chr(10) || '# text = ' || any_value(x.txt) || chr(10) || string_agg(l.line, chr(10) ORDER BY l.id, l.k)) AS sha
+   FROM x JOIN l ON l.sent = x.sent GROUP BY x.sent""",
+)
+query(
+    "scan_sentence_block",
+    lambda s, d: conllu.parse(blocks(s, d)).select("sent", F.inline("words")).select("sent", "id", "form", "upos", "head", "deprel"),
+    f"{TOK} SELECT sent, id, form, upos, head, deprel FROM tok",
+)
+query(
+    "scan_token_line",
+    lambda s, d: (conllu.parse(blocks(s, d).withColumn("value", F.when(F.col("sent") % 7 == 0, F.regexp_replace("value", "\tA\t", "\t")).otherwise(F.col("value"))))
+    .select("sent", F.size("errors").cast("long").alias("n"))
+    .where("n > 0")),
+    f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE sent % 7 = 0 AND upos = 'A' GROUP BY sent",
+)
+query(
+    "sink_conllu_plus",
+    lambda s, d: (conllu.convert_columns(blocks(s, d), conllu.COLUMNS, ("ID", "FORM", "SEM:NE", "UPOS"))
+    .select("sent", F.explode(F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & ~F.split(x, "\t")[0].rlike("[-.]"))).alias("line"))),
+    f"{TOK} SELECT sent, concat_ws(chr(9), id, form, '_', upos) AS line FROM tok",
+)
 query("sink_text", lambda s, d: views.orders(s, d).select("sent", tx.surface().alias("line")), ORACLES["fn_surface"].replace("AS text FROM p", "AS line FROM p"))
-query("sink_sdparse", lambda s, d: views.orders(s, d).select("sent", export.sd_parse().alias("sd")), f"""{TOK}, a AS (SELECT t.sent, string_agg(t.deprel || '(' || h.form || '-' || h.id || ', ' || t.form || '-' || t.id || ')', chr(10) ORDER BY t.id) AS arcs FROM tok t JOIN tok h ON h.sent = t.sent AND h.id = t.head GROUP BY t.sent), x AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent)
- SELECT x.sent AS sent, txt || chr(10) || coalesce(arcs, '') AS sd FROM x LEFT JOIN a ON a.sent = x.sent""")
-query("lines_length", lambda s, d: views.lines(s, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.size("words").cast("long").alias("n")), "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) SELECT doc_id, line_no, CAST(len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS BIGINT) AS n FROM l WHERE trim(text) <> ''")
-query("scan_string", lambda s, d: conllu.parse(blocks(s, d).groupBy(F.floor(F.col("sent") / 50).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n\n").alias("text")).select("file", F.explode(F.split("text", "\n\n")).alias("value"))).select(F.col("sent_id").cast("long").alias("sent"), F.size("words").cast("long").alias("n")), f"{TOK} SELECT sent, count(*) AS n FROM tok GROUP BY sent")
-query("scan_sdparse", lambda s, d: sdparse.parse(views.orders(s, d).withColumn("words", F.transform("words", lambda w: w.withField("form", F.replace(w["form"], F.lit(" "), F.lit("_"))))).select("sent", export.sd_parse().alias("value"))).select("sent", F.inline("words")).select("sent", "id", "form", "head", "deprel"), f"{TOK} SELECT sent, id, replace(form, ' ', '_') AS form, head, deprel FROM tok")
-query("find_grew", lambda s, d: search.after(grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D", ["dep1"])]), "sent").select("sent").distinct(), "sent", 200, backwards=True), f"{TOK} SELECT max(h.sent) AS sent FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.sent < 200 AND h.upos = 'N' AND d.upos = 'R' AND d.deprel = 'dep1'")
-query("fn_surface_list", lambda s, d: views.orders(s, d).select("sent", F.explode(tx.surface_pieces()).alias("id", "piece")), f"{TOK} SELECT sent, id, form || ' ' AS piece FROM tok")
-query("fn_spaces", lambda s, d: views.read(s, d, "nation").select("n_nationkey", tx.spaces(F.array(F.struct(F.when(F.col("n_nationkey") % 2 == 0, "SpaceAfter").otherwise("SpacesAfter").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, "No").otherwise(r"\s\t").alias("val")))).alias("after")), "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ' ' || chr(9) END AS after FROM nation")
-query("edit_feat", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"Feat_Case": "Nom", "Feat_disc": ""}), edit.Rule(c.upos("N"), {"feats": "_"})]).select("sent", F.inline("words")).select("sent", "id", tx.feats_text(F.col("feats")).alias("feats")), f"{TOK} SELECT sent, id, CASE WHEN upos = 'N' THEN '_' ELSE CASE WHEN upos = 'A' THEN 'Case=Nom|' WHEN disc IS NOT NULL THEN 'Disc=Yes|' ELSE '' END || 'Size=' || size END AS feats FROM tok")
-query("edit_misc", lambda s, d: edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"Misc_Line": v.this("Xpos"), "Misc_Gloss": ""}), edit.Rule(c.upos("N"), {"misc": "_"})]).select("sent", F.inline("words")).select("sent", "id", tx.misc_text(F.col("misc")).alias("misc")), f"{TOK} SELECT sent, id, CASE WHEN upos = 'N' THEN '_' WHEN upos = 'A' THEN 'Line=' || xpos ELSE 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END END AS misc FROM tok")
-query("edit_replace_next", lambda s, d: edit.replace_next(views.orders(s, d), edit.Rule(c.upos("R") & c.xpos("O"), {"Lemma": v.upper(v.this("Form"))}), "sent", 300).select("sent", F.inline("words")).select("sent", "id", "lemma"), f"{TOK}, x AS (SELECT min(sent) AS sent FROM tok WHERE sent > 300 AND upos = 'R' AND xpos = 'O') SELECT t.sent AS sent, id, CASE WHEN upos = 'R' AND xpos = 'O' THEN upper(form) ELSE lemma END AS lemma FROM tok t JOIN x ON x.sent = t.sent")
-query("comment_edit", lambda s, d: edit.set_comments(views.orders(s, d).select("sent", F.array(F.lit("old")).alias("comments")), views.read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sent"), F.concat(F.lit("a\n"), "o_orderpriority").alias("comment")), "sent").select("sent", F.array_join("comments", "+").alias("comments")), f"{TOK}, u AS (SELECT DISTINCT sent FROM tok) SELECT sent, CASE WHEN o_orderkey IS NULL THEN 'old' ELSE 'a+' || o_orderpriority END AS comments FROM u LEFT JOIN orders ON o_orderkey = sent AND o_orderstatus = 'F'")
+query(
+    "sink_sdparse",
+    lambda s, d: views.orders(s, d).select("sent", export.sd_parse().alias("sd")),
+    f"""{TOK}, a AS (SELECT t.sent, string_agg(t.deprel || '(' || h.form || '-' || h.id || ', ' || t.form || '-' || t.id || ')', chr(10) ORDER BY t.id) AS arcs
+   FROM tok t JOIN tok h ON h.sent = t.sent AND h.id = t.head GROUP BY t.sent), x AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok
+   GROUP BY sent)
+SELECT x.sent AS sent, txt || chr(10) || coalesce(arcs, '') AS sd FROM x LEFT JOIN a ON a.sent = x.sent""",
+)
+query(
+    "lines_length",
+    lambda s, d: views.lines(s, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.size("words").cast("long").alias("n")),
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+   FROM documents) SELECT doc_id, line_no, CAST(len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS BIGINT) AS n FROM l
+   WHERE trim(text) <> ''""",
+)
+query(
+    "scan_string",
+    lambda s, d: (conllu.parse(blocks(s, d)
+    .groupBy(F.floor(F.col("sent") / 50).alias("file"))
+    .agg(F.array_join(F.array_sort(F.collect_list("value")), "\n\n").alias("text"))
+    .select("file", F.explode(F.split("text", "\n\n")).alias("value")))
+    .select(F.col("sent_id").cast("long").alias("sent"), F.size("words").cast("long").alias("n"))),
+    f"{TOK} SELECT sent, count(*) AS n FROM tok GROUP BY sent",
+)
+query(
+    "scan_sdparse",
+    lambda s, d: (sdparse.parse(views.orders(s, d).withColumn("words", F.transform("words", lambda w: w.withField("form", F.replace(w["form"], F.lit(" "), F.lit("_")))))
+    .select("sent", export.sd_parse().alias("value")))
+    .select("sent", F.inline("words"))
+    .select("sent", "id", "form", "head", "deprel")),
+    f"{TOK} SELECT sent, id, replace(form, ' ', '_') AS form, head, deprel FROM tok",
+)
+query(
+    "find_grew",
+    lambda s, d: (search.after(grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D", ["dep1"])]), "sent")
+    .select("sent").distinct(), "sent", 200, backwards=True)),
+    f"""{TOK} SELECT max(h.sent) AS sent FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id
+   WHERE h.sent < 200 AND h.upos = 'N' AND d.upos = 'R' AND d.deprel = 'dep1'""",
+)
+query(
+    "fn_surface_list",
+    lambda s, d: views.orders(s, d).select("sent", F.explode(tx.surface_pieces()).alias("id", "piece")),
+    f"{TOK} SELECT sent, id, form || ' ' AS piece FROM tok",
+)
+query(
+    "fn_spaces",
+    lambda s, d: (views.read(s, d, "nation")
+    .select("n_nationkey", tx.spaces(F.array(F.struct(F.when(F.col("n_nationkey") % 2 == 0, "SpaceAfter").otherwise("SpacesAfter").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, "No").otherwise(r"\s\t").alias("val")))).alias("after"))),
+    "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ' ' || chr(9) END AS after FROM nation",
+)
+query(
+    "edit_feat",
+    lambda s, d: (edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"Feat_Case": "Nom", "Feat_disc": ""}), edit.Rule(c.upos("N"), {"feats": "_"})])
+    .select("sent", F.inline("words"))
+    .select("sent", "id", tx.feats_text(F.col("feats")).alias("feats"))),
+    f"""{TOK}
+   SELECT sent, id, CASE WHEN upos = 'N' THEN '_' ELSE CASE WHEN upos = 'A' THEN 'Case=Nom|' WHEN disc IS NOT NULL THEN 'Disc=Yes|' ELSE '' END || 'Size=' || size END AS feats
+   FROM tok""",
+)
+query(
+    "edit_misc",
+    lambda s, d: (edit.apply_rules(views.orders(s, d), [edit.Rule(c.upos("A"), {"Misc_Line": v.this("Xpos"), "Misc_Gloss": ""}), edit.Rule(c.upos("N"), {"misc": "_"})])
+    .select("sent", F.inline("words"))
+    .select("sent", "id", tx.misc_text(F.col("misc")).alias("misc"))),
+    f"""{TOK}
+   SELECT sent, id, CASE WHEN upos = 'N' THEN '_' WHEN upos = 'A' THEN 'Line=' || xpos ELSE 'Line=' || line || CASE WHEN psize % 2 = 0 THEN '|Gloss=' || brand ELSE '' END END AS misc
+   FROM tok""",
+)
+query(
+    "edit_replace_next",
+    lambda s, d: (edit.replace_next(views.orders(s, d), edit.Rule(c.upos("R") & c.xpos("O"), {"Lemma": v.upper(v.this("Form"))}), "sent", 300)
+    .select("sent", F.inline("words"))
+    .select("sent", "id", "lemma")),
+    f"""{TOK}, x AS (SELECT min(sent) AS sent FROM tok WHERE sent > 300 AND upos = 'R' AND xpos = 'O')
+   SELECT t.sent AS sent, id, CASE WHEN upos = 'R' AND xpos = 'O' THEN upper(form) ELSE lemma END AS lemma FROM tok t JOIN x ON x.sent = t.sent""",
+)
+query(
+    "comment_edit",
+    lambda s, d: (edit.set_comments(views.orders(s, d)
+    .select("sent", F.array(F.lit("old")).alias("comments")), views.read(s, d, "orders")
+    .where("o_orderstatus = 'F'")
+    .select(F.col("o_orderkey").alias("sent"), F.concat(F.lit("a\n"), "o_orderpriority").alias("comment")), "sent")
+    .select("sent", F.array_join("comments", "+").alias("comments"))),
+    f"""{TOK}, u AS (SELECT DISTINCT sent FROM tok) SELECT sent, CASE WHEN o_orderkey IS NULL THEN 'old' ELSE 'a+' || o_orderpriority END AS comments FROM u
+   LEFT JOIN orders ON o_orderkey = sent AND o_orderstatus = 'F'""",
+)
 
 from . import queries_files, queries_structure  # noqa: E402, F401 - they register more

@@ -216,9 +216,10 @@ query(
 
 
 def bindings(name: str, p: grew.Pattern, sql: str) -> None:
-    names = list(p.nodes)
-    ids = [F.concat_ws(".", F.col(n)["id"], F.when(F.col(n)["subid"] > 0, F.col(n)["subid"])).alias(n.lower()) for n in names]
-    query(name, lambda s, d: grew.match(views.orders(s, d), p, "sent").select("sent", *ids), f"{TOK} {sql}")
+    def full_id(n: str) -> F.Column:
+        return F.concat_ws(".", F.col(n)["id"], F.when(F.col(n)["subid"] > 0, F.col(n)["subid"])).alias(n.lower())
+
+    query(name, lambda s, d: grew.match(views.orders(s, d), p, "sent").select("sent", *map(full_id, p.nodes)), f"{TOK} {sql}")
 
 
 bindings("grew_domain", grew.Pattern({"E": c.upos("E"), "W": c.xpos("O")}, order=[("E", "W", True)]), "SELECT sent, '1.1' AS e, CAST(id AS VARCHAR) AS w FROM tok WHERE sent % 5 = 0 AND id = 2 AND xpos = 'O'")
