@@ -85,7 +85,7 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", keep_good), ("ngram_jaccard_join", drop_near_duplicates), ("pii", redact_pii), ("mixing", mix_sources), ("best_fit_packing", pack_bins)]
 
-#: SQL can express neither the network nor the trees; tests hold run() against its stages called one by one, and each stage's operator (but not run()'s rows) against brute force.
+#: SQL can express neither the network nor the trees; tests hold run()'s rows against plain Python, given the classifier's decisions and the fitted model of personal data.
 ORACLE_SQL = None
 
 

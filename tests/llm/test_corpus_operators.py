@@ -242,3 +242,66 @@ def test_links_in_pages(spark):
     rows = urls.judge(spark.createDataFrame([(*b, "v", "w") for b in base], "page_id long, url string, html string, _said string, way_ string")).collect()
     assert {r.page_id: r.verdict for r in rows} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block"}
     assert all((r["_said"], r["way_"]) == ("v", "w") for r in rows)
+
+
+def test_pipeline_brute_force(spark, small):
+    """run() against plain Python, given which documents the classifier keeps and the model of personal data: near duplicates by comparing all
+    pairs, redaction span by span, the mixture's queue entry by entry, and for packing the rules of a bin."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    good = {r.doc_id for r in cp.keep_good(spark, docs, small).collect()}
+    texts = {r.doc_id: (r.text or "", r.source) for r in docs.collect() if r.doc_id in good}
+    sets = {}
+    for i, (t, _) in texts.items():
+        w = t.lower().split()
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and top(a) != top(b):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    kept = {i for i in sets if top(i) == i}
+    model = pii.fit(docs.where(F.col("doc_id").isin(list(kept))))
+
+    def redacted(t):
+        out, at = "", 0
+        for kind, s, e, *_ in sorted(pii.spans(t, model), key=lambda x: (x[1], -x[2])):
+            if s >= at:
+                out += t[at:s] + f"<{kind.upper()}>"
+            at = max(at, e)
+        return out + t[at:]
+
+    texts = {i: (redacted(texts[i][0]), texts[i][1]) for i in kept}
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
+    h = {r.doc_id: (r.h0, r.h1) for r in frame.select("doc_id", *(F.xxhash64(F.lit(17), "doc_id", F.lit(p), "text_key").alias(f"h{p}") for p in (0, 1))).collect()}
+    size = {i: len(t.split()) for i, (t, _) in texts.items()}
+    total = Counter()
+    for i, (_, s) in texts.items():
+        total[s] += size[i]
+    target, upto, queue = levels(total), Counter(), []
+    for p in (0, 1):
+        for i in sorted(size, key=lambda i: h[i][p]):
+            s = texts[i][1]
+            upto[s] += size[i]
+            queue.append((upto[s] / target[s] if target[s] else 0.0, h[i][p], i))
+    left, want = int(1.5 * sum(size.values())), Counter()
+    for _, _, i in sorted(queue):
+        took = min(size[i], left)
+        left -= took
+        want[i] += took
+    rows, got, bins = cp.run(spark, small).collect(), Counter(), defaultdict(list)
+    for r in rows:
+        got[r.doc_id] += r.n_words
+        if r.bin:
+            bins[r.bin].append(r)
+    assert {i: n for i, n in got.items() if n} == {i: n for i, n in want.items() if n}
+    for inside in bins.values():
+        assert sum(r.n_words for r in inside) == inside[0].bin_words <= 1024
+        assert len({r.source for r in inside}) == len(inside) == len({r.cluster for r in inside})
