@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Cond, tokens_where
-from ..sources.conllu import parse
+from ..sources.conllu import BLANK, TOKEN_LINE, parse
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentences of CoNLL-U files as they arrive in a folder."""
-    return parse(spark.readStream.text(folder, lineSep="\n\n"))
+    """Sentences of CoNLL-U files as they arrive in a folder, with LF or CRLF line ends."""
+    rows = spark.readStream.text(folder, lineSep="\n\n").select(F.explode(F.split("value", BLANK)).alias("value"))
+    return parse(rows.where(F.col("value").rlike(TOKEN_LINE)))
 
 
 def matches(stream: DataFrame, c: Cond, *keys: str) -> DataFrame:
