@@ -168,9 +168,9 @@ def test_pruning():
     a, b = (covertree.Tree(v, covertree._levels(v)) for v in (x, y))
     for tree in (a, b):  # one root; nested centres; true covering radii within the level's; centres of a level apart
         assert len(tree.nodes[0]) == 1 and all(set(u) <= set(v) for u, v in zip(tree.nodes, tree.nodes[1:], strict=False))
-        for level, radius in enumerate(covertree.RADII):
+        for level in range(covertree.DEPTH):
             away = np.linalg.norm(tree.x - tree.x[tree.below[level]], axis=1)
-            assert away.max() <= radius + 1e-3 and tree.radius[level].max() <= away.max() + 1e-6
+            assert away.max() <= tree.radius[0][0] / 2**level + 1e-3 and abs(tree.radius[level].max() - away.max()) < 1e-6
     for left, right, same in ((a, a, True), (a, b, False)):
         seen = []
         covertree.dual(left, right, 0.9, same, seen)

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by cosine: cover trees and a dual traversal with exact results.
 
 On unit vectors a cosine is a chord length, a metric. Vectors are dealt to blocks around pivots; each block gets a cover tree, from
-one root down: nested centres whose radii halve (2, which holds everything, 1, 1/2, ...), each vector within a level's radius of its
+one root down: nested centres whose radii halve from level to level (the root's holds everything), each vector within a level's radius of its
 centre, and centres of a level further apart than that. Two blocks are compared by walking their trees together from the two roots, level by level:
 a pair of nodes goes on only if its centres are nearer than the threshold plus both covering radii (the true largest distances below
 the nodes), so whole pairs of subtrees fall away; a pair that lies within the threshold whatever its members is counted whole. The last
@@ -24,11 +24,11 @@ from .components import components
 from .neardup import _forest
 from .vectors import matrix, usable, with_node
 
-#: Vectors of a block, about; pivots at most; radii of the levels (chords; the first is the root's).
-BLOCK, PIVOTS, RADII = 4096, 512, (2.0, 1.0, 0.5, 0.25, 0.125)
+#: Vectors of a block, about; pivots at most; levels of a tree from its root (the vectors themselves are one more).
+BLOCK, PIVOTS, DEPTH = 3072, 512, 5
 _EPS = 1e-7
-#: Node pairs of two parents from which on they are taken as a matrix product, and rows of such a product.
-DENSE, ROWS = 4096, 1024
+#: Node pairs of two parents from which on they are taken as a matrix product; partners of a node likewise; rows of such a product.
+DENSE, MANY, ROWS = 4096, 1024, 1024
 
 
 def _levels(x: np.ndarray) -> np.ndarray:
@@ -36,8 +36,10 @@ def _levels(x: np.ndarray) -> np.ndarray:
     n = len(x)
     small = x.astype(np.float32)
     gram = small @ small.T
-    out = np.zeros((len(RADII), n), np.int64)  # the root is the first vector
-    for level, radius in enumerate(RADII[1:], 1):
+    out = np.zeros((DEPTH, n), np.int64)  # the root is the first vector
+    root = np.sqrt(max(0.0, 2 - 2 * float(gram[0].min())))
+    for level in range(1, DEPTH):
+        radius = root / 2**level
         parent, near = out[level - 1], gram >= 1 - radius * radius / 2
         alone = near.sum(1) == 1
         centre, covered = alone.copy(), alone.copy()
@@ -113,7 +115,24 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool, seen: list[int] | None = N
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
     whole: list[tuple[int, int, int]] = []
     chord = lambda g: np.sqrt(np.maximum(0, 2 - 2 * g))
-    p, q, last = np.zeros(1, np.int64), np.zeros(1, np.int64), len(a.nodes) - 1
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def sure(level: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that are to be looked into: without those of two single vectors, which are done, and those all of whose rows link."""
+        r, size = a.radius[level][p] + b.radius[level][q], a.size[level][p] * b.size[level][q]
+        done.append((a.nodes[level][p[size == 1]], b.nodes[level][q[size == 1]]))
+        all_ = (r < limit) & (size > 1)
+        at = np.flatnonzero(all_)
+        for lo in range(0, len(at), 1 << 16):
+            some = at[lo : lo + (1 << 16)]
+            d = chord(np.einsum("ij,ij->i", a.x[a.nodes[level][p[some]]], b.x[b.nodes[level][q[some]]]))
+            all_[some] = d + r[some] < limit - _EPS
+        whole.extend((level, int(x), int(y)) for x, y in zip(p[all_], q[all_], strict=True))
+        rest = ~all_ & (size > 1)
+        return p[rest], q[rest]
+
+    last = len(a.nodes) - 1
+    p, q = sure(0, np.zeros(1, np.int64), np.zeros(1, np.int64))
     for level in range(1, last + 1):
         keep_p, keep_q, looked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         (oa, ta), (ob, tb) = a.children[level - 1], b.children[level - 1]
@@ -126,6 +145,23 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool, seen: list[int] | None = N
             keep_p.append(u[ok])
             keep_q.append(v[ok])
         p, q = p[count < DENSE], q[count < DENSE]
+        for left in (True, False):  # nodes with many partners: their children against all the partners' children
+            one, other = (p, q) if left else (q, p)
+            alone = np.ones(len(p), bool)
+            order = np.argsort(one, kind="stable")
+            often = np.bincount(one, minlength=1)
+            ends = np.cumsum(often)
+            for x in np.flatnonzero(often >= MANY):
+                at = order[ends[x] - often[x] : ends[x]]
+                at = at[p[at] != q[at]] if same else at
+                alone[at] = False
+                mine = oa[ta[x] : ta[x + 1]] if left else ob[tb[x] : tb[x + 1]]
+                its = (b if left else a).expand(level - 1, other[at])[1]
+                looked += len(mine) * len(its)
+                u, v = _near(a, b, level, mine, its, limit) if left else _near(a, b, level, its, mine, limit)
+                keep_p.append(u)
+                keep_q.append(v)
+            p, q = p[alone], q[alone]
         for lo in range(0, len(p), 1 << 14):
             some, other = p[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
             k, i = a.expand(level - 1, some)
@@ -145,12 +181,9 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool, seen: list[int] | None = N
         if seen is not None:
             seen.append(looked)
         if level < last:
-            d = np.concatenate([np.zeros(0), *(chord(np.einsum("ij,ij->i", a.x[a.nodes[level][p[lo : lo + (1 << 16)]]], b.x[b.nodes[level][q[lo : lo + (1 << 16)]]])) for lo in range(0, len(p), 1 << 16))])
-            r = a.radius[level][p] + b.radius[level][q]
-            sure = (d + r < limit - _EPS) & (a.size[level][p] * b.size[level][q] > 1)
-            whole += [(level, int(x), int(y)) for x, y in zip(p[sure], q[sure], strict=True)]
-            p, q = p[~sure], q[~sure]
-    i, j = a.nodes[-1][p], b.nodes[-1][q]
+            p, q = sure(level, p, q)
+    done.append((a.nodes[-1][p], b.nodes[-1][q]))
+    i, j = (np.concatenate(x) for x in zip(*done, strict=True))
     ok = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", a.x[i[lo : lo + (1 << 16)]], b.x[j[lo : lo + (1 << 16)]]) >= cosine for lo in range(0, len(i), 1 << 16))])
     if same:
         ok &= i != j
@@ -233,13 +266,13 @@ def _compare(classes: DataFrame, want: int, cosine: float, block: int) -> DataFr
         centre = _levels(matrix(pdf.embedding))
         return pdf[["node", "copies", "embedding", "cell", "block"]].assign(**{f"c{k}": c.astype(np.int32) for k, c in enumerate(centre)}, row=np.arange(len(pdf), dtype=np.int32))
 
-    at = "".join(f", c{k} int" for k in range(len(RADII)))
+    at = "".join(f", c{k} int" for k in range(DEPTH))
     trees = cut(dealt.groupBy("cell", "block").applyInPandas(grow, f"node binary, copies long, embedding {kind}, cell int, block int{at}, row int"))
     to = spark.createDataFrame([(s, t, blocks[t]) for s, t in pairs], "cell int, other int, others int")  # PIVOTS squared at most
     sent = trees.join(F.broadcast(to), "cell").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     mine, its = F.struct("cell", "block"), F.struct(F.col("other").alias("cell"), F.col("o").alias("block"))
     sent = sent.withColumn("p", F.least(mine, its)).withColumn("q", F.greatest(mine, its))
-    sent = sent.select(F.col("p.cell").alias("pc"), F.col("p.block").alias("pb"), F.col("q.cell").alias("qc"), F.col("q.block").alias("qb"), "cell", "block", "node", "copies", "embedding", "row", *(f"c{k}" for k in range(len(RADII))))
+    sent = sent.select(F.col("p.cell").alias("pc"), F.col("p.block").alias("pb"), F.col("q.cell").alias("qc"), F.col("q.block").alias("qb"), "cell", "block", "node", "copies", "embedding", "row", *(f"c{k}" for k in range(DEPTH)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", kind="stable")
@@ -248,7 +281,7 @@ def _compare(classes: DataFrame, want: int, cosine: float, block: int) -> DataFr
         sides = [pdf[(pdf.cell == pc) & (pdf.block == pb)]] + ([] if same else [pdf[(pdf.cell == qc) & (pdf.block == qb)]])
         if not all(map(len, sides)):
             return pd.DataFrame({"node": [], "root": [], "links": []})
-        t = [Tree(matrix(s.embedding), np.stack([s[f"c{k}"].to_numpy(np.int64) for k in range(len(RADII))])) for s in sides]
+        t = [Tree(matrix(s.embedding), np.stack([s[f"c{k}"].to_numpy(np.int64) for k in range(DEPTH)])) for s in sides]
         copies = [s.copies.to_numpy() for s in sides]
         na, nb, i, j = links(t[0], t[-1], copies[0], copies[-1], cosine, same)
         n = len(sides[0])
