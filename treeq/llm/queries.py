@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, covertree, langid, mixing, neardup, packing, pii, quality, suffix, urls
+from . import align, ann, covertree, langid, mixing, neardup, packing, pii, quality, suffix, urls
 from .common import crc_mod
 
 
@@ -61,7 +61,17 @@ def op10_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_cover_tree_near_dedup, op4_ngram_jaccard_join, op5_pii, op6_anisotropic_ann, op7_sparse_suffix_dedup, op8_url_filter, op9_language_id, op10_weighted_mixing)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = align.align(_read(spark, sf_dir, "documents"))
+    text = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return docs.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", text.alias("groups_sha256"))
+
+
+_ALL = (
+    op1_best_fit_packing, op2_quality_classifier, op3_cover_tree_near_dedup, op4_ngram_jaccard_join, op5_pii, op6_anisotropic_ann, op7_sparse_suffix_dedup,
+    op8_url_filter, op9_language_id, op10_weighted_mixing, op13_token_alignment,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: Reachability over a table link(a, b) that has both directions: least(node, root).
 _REACH = """reach AS (SELECT a AS node, a AS root FROM link UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node),
