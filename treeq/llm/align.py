@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import cut, drop, small_batches, span_hashes, text_steps
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that share one list of pieces, pieces that a Python worker remembers, and the most pairs of ids that are broadcast: those that make
 #: up a HOT-th of all links or more, of which there can be no more than HOT.
-BLOCK, KNOWN, HOT = 4 << 20, 1 << 18, 1 << 17
+BLOCK, KNOWN, HOT = 1 << 20, 1 << 18, 1 << 17
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,22 +53,50 @@ class Tokenizers:
         if any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in self.b_bytes):
             raise ValueError("a piece of the vocabulary goes on over a blank, so texts can't be cut there")
         self.a_size, self.b_size = (np.array([len(x) for x in v], np.int32) for v in (self.a_bytes, self.b_bytes))
-        self.known: dict[bytes, tuple[list[int], list[int]] | None] = {}
-
-    def tokens(self, pieces: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of each piece, which a blank precedes, by either tokenizer; None where the tokens' bytes aren't the blank and the piece."""
-        if len(self.known) > KNOWN:
-            self.known = {}
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
+        self.forget()
+
+    def forget(self) -> None:
+        """No piece is known: `place` numbers the known ones, whose ids by either tokenizer end at `ends` of `ids`."""
+        self.place: dict[bytes, int] = {}
+        self.ids, self.ends = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
+        self.good = array("b")
+
+    def number(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of pieces, each read with a blank before it; new ones are tokenised. They are not good, and have no tokens, where the tokens'
+        bytes aren't the blank and the piece."""
+        if len(self.place) > KNOWN:
+            self.forget()
+        new = [p for p in dict.fromkeys(pieces) if p not in self.place]
+        for lo in range(0, len(new), 1024):
+            some = new[lo : lo + 1024]
             texts = [p.decode() for p in some]
-            left = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            left = (e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False))
             for p, x, y in zip(some, left, self.b.encode(texts, num_threads=1), strict=True):
                 whole = b" " + p
                 same = b"".join([self.a_bytes[i] for i in x]) == whole == b"".join([self.b_bytes[i] for i in y])
-                self.known[p] = (x, y) if same else None
-        return [self.known[p] for p in pieces]
+                self.place[p] = len(self.good)
+                self.good.append(same)
+                for ids, ends, found in zip(self.ids, self.ends, (x, y)):
+                    ids.extend(found if same else [])
+                    ends.append(len(ids))
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+
+    def lists(self, side: int, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Ids of these pieces by tokenizer A (0) or B (1), and where their tokens' bytes end in the piece, as lists."""
+        ids, ends = np.frombuffer(self.ids[side], np.int32), np.frombuffer(self.ends[side], np.int64)
+        first, n = ends[number], ends[number + 1] - ends[number]
+        offsets = np.append(0, np.cumsum(n))
+        ids = ids[np.repeat(first - offsets[:-1], n) + np.arange(offsets[-1])]
+        total = np.append(0, np.cumsum((self.b_size if side else self.a_size)[ids].astype(np.int64)))
+        where = pa.array(offsets.astype(np.int32))
+        close = total[1:] - np.repeat(total[offsets[:-1]], n)
+        return pa.ListArray.from_arrays(where, pa.array(ids)), pa.ListArray.from_arrays(where, pa.array(close.astype(np.int32)))
+
+
+@lru_cache(1)
+def _tools(byte_level: str, pieces: bytes) -> Tokenizers:
+    """One pair a Python worker, which goes on knowing pieces from task to task."""
+    return Tokenizers(byte_level, pieces)
 
 
 def piece_edges(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,17 +116,6 @@ def piece_edges(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.sort(np.concatenate([offs[:-1][some], p + 1])), np.sort(np.concatenate([offs[1:][some], p]))
 
 
-def _nested(lists: list[list[int]], size: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Ids, and byte ends of their tokens, as lists."""
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    offsets = np.concatenate([[0], np.cumsum(n)])
-    ids = np.fromiter(chain.from_iterable(lists), np.int32, offsets[-1])
-    total = np.concatenate([[0], np.cumsum(size[ids].astype(np.int64))])
-    ends = total[1:] - np.repeat(total[offsets[:-1]], n)
-    where = pa.array(offsets.astype(np.int32))
-    return pa.ListArray.from_arrays(where, pa.array(ids)), pa.ListArray.from_arrays(where, pa.array(ends.astype(np.int32)))
-
-
 def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """(docs, pieces) of blocks of documents: of each document its id and the numbers of its pieces in order, of each piece how
     often the block has it, and its ids and ends by either tokenizer. Documents that can't be aligned have no pieces."""
@@ -106,23 +124,22 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         files = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))  # two vocabularies, whose size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Tokenizers(*files.value)
+        both = _tools(*files.value)
         for b in batches:
             for lo, hi, data, offs in text_steps(b.column("text"), limit=BLOCK):
                 starts, ends = piece_edges(data, offs)
                 doc = np.searchsorted(offs, starts, "right") - 1
                 _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
                 raw = data.tobytes()
-                tokens = both.tokens([raw[starts[i] : ends[i]] for i in first])
-                bad = np.fromiter((t is None for t in tokens), bool, len(tokens))
+                known = both.number([raw[starts[i] : ends[i]] for i in first])
+                bad = np.frombuffer(both.good, np.int8)[known] == 0
                 fine = np.ones(hi - lo, bool)
                 fine[doc[bad[number]]] = False
                 number, doc = number[fine[doc]], doc[fine[doc]]
                 n = np.bincount(number, minlength=len(first))
                 used = np.flatnonzero(n)
                 number = (np.cumsum(n > 0) - 1)[number]
-                a, a_ends = _nested([tokens[i][0] for i in used], both.a_size)
-                z, z_ends = _nested([tokens[i][1] for i in used], both.b_size)
+                (a, a_ends), (z, z_ends) = both.lists(0, known[used]), both.lists(1, known[used])
                 list_of = lambda x, at: pa.ListArray.from_arrays(pa.array(np.asarray(at, np.int32)), x)
                 seq = list_of(pa.array(number.astype(np.int32)), np.searchsorted(doc, np.arange(hi - lo + 1)))
                 rows = pa.StructArray.from_arrays([b.column("doc_id").slice(lo, hi - lo), seq], ["doc_id", "seq"])

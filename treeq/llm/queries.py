@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, covertree, langid, mixing, neardup, packing, pii, quality, suffix, urls
+from . import align, ann, covertree, langid, mixing, neardup, packing, pii, quality, relative, suffix, treaps, urls
 from .common import crc_mod
 
 
@@ -61,6 +61,15 @@ def op10_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = relative.remove_copied(_read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = align.align(_read(spark, sf_dir, "documents"))
     text = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
@@ -69,7 +78,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_best_fit_packing, op2_quality_classifier, op3_cover_tree_near_dedup, op4_ngram_jaccard_join, op5_pii, op6_anisotropic_ann, op7_sparse_suffix_dedup,
-    op8_url_filter, op9_language_id, op10_weighted_mixing, op13_token_alignment,
+    op8_url_filter, op9_language_id, op10_weighted_mixing, op11_treap_search, op12_relative_lz_dedup, op13_token_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -96,6 +105,25 @@ ORACLES: dict[str, str] = {
  k AS (SELECT doc_id, s, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM h),
  p AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS z FROM k GROUP BY doc_id, k)
  SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_words, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM p GROUP BY doc_id""",
+    "op11_treap_search": r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+ q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+ n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+ a AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, a GROUP BY term),
+ s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+   FROM qt JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), a GROUP BY ALL),
+ r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op12_relative_lz_dedup": r"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+ g AS (SELECT doc_id, i AS s, md5(array_to_string(w[i : i + 12], ' ')) AS g FROM w, LATERAL unnest(range(1, len(w) - 11)) t(i)),
+ m AS (SELECT g, min(doc_id) AS m FROM g GROUP BY g),
+ gone AS (SELECT DISTINCT doc_id, s + k AS i FROM (SELECT doc_id, s FROM g JOIN m USING (g) WHERE doc_id > m), LATERAL unnest(range(0, 13)) x(k)),
+ word AS (SELECT doc_id, w[i] AS word, i FROM w, LATERAL unnest(range(1, len(w) + 1)) t(i)),
+ k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+ SELECT w.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
     # of links in pages, canonical ones that are whole addresses
     "op8_url_filter": rf"""WITH RECURSIVE u AS (SELECT page_id, url, coalesce(html, '') AS html, {_HOST.format("url")} AS host,
    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
