@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the same texts: groups of tokens that cover the same bytes, and links between overlapping tokens.
 
 Python only tokenises. Neither tokenizer has a token that goes on over a single blank between two other characters, so a text
-is the same as its pieces between such blanks, and a piece that many documents have is tokenised once in a block of documents. All that follows is
-Spark's higher-order functions: ends that both tokenizations have (array_intersect) cut a piece into groups, and every stretch between
+is the same as its pieces between such blanks, and a piece that many documents have is tokenised once in a block of documents: as
+many as come to a task until KNOWN different pieces have been seen. All that follows is Spark's higher-order functions: ends that both tokenizations have (array_intersect) cut a piece into groups, and every stretch between
 two ends of either (array_union) is one link. Counts of links are summed over pieces with their numbers, and what a
 document has is folded from its pieces.
 """
@@ -17,16 +17,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from ..functions.let import let
+from ..functions.let import let, settled
 from .common import cut, drop, small_batches, span_hashes, text_steps
 
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text that share one list of pieces, pieces that a Python worker remembers, and the most pairs of ids that are broadcast: those that make
+#: Bytes of text that are cut up at once, different pieces of a block, and the most pairs of ids that are broadcast: those that make
 #: up a HOT-th of all links or more, of which there can be no more than HOT.
-BLOCK, KNOWN, HOT = 1 << 20, 1 << 18, 1 << 17
+STEP, KNOWN, HOT = 1 << 20, 1 << 18, 1 << 17
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,8 +67,6 @@ class Tokenizers:
     def number(self, pieces: list[bytes]) -> np.ndarray:
         """Numbers of pieces, each read with a blank before it; new ones are tokenised. They are not good, and have no tokens, where the tokens'
         bytes aren't the blank and the piece."""
-        if len(self.place) > KNOWN:
-            self.forget()
         new = [p for p in dict.fromkeys(pieces) if p not in self.place]
         for lo in range(0, len(new), 1024):
             some = new[lo : lo + 1024]
@@ -95,7 +96,7 @@ class Tokenizers:
 
 @lru_cache(1)
 def _tools(byte_level: str, pieces: bytes) -> Tokenizers:
-    """One pair a Python worker, which goes on knowing pieces from task to task."""
+    """One pair a Python worker."""
     return Tokenizers(byte_level, pieces)
 
 
@@ -117,37 +118,55 @@ def piece_edges(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """(docs, pieces) of blocks of documents: of each document its id and the numbers of its pieces in order, of each piece how
-    often the block has it, and its ids and ends by either tokenizer. Documents that can't be aligned have no pieces."""
+    """Rows of two kinds. (block, docs): documents, each with its id, its numbers of tokens and the numbers of its pieces in order; documents
+    that can't be aligned have none. (block, at, n, a, a_ends, b, b_ends): a piece, its number in the block, how often the block's documents
+    have it, and its ids and ends by either tokenizer."""
     kind = dict(docs.dtypes)["doc_id"]
     with open(byte_level, encoding="utf-8") as f, open(pieces, "rb") as g:
         files = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))  # two vocabularies, whose size is fixed
+    ints = pa.list_(pa.int32())
+
+    def listed(block: int, both: Tokenizers, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(n), 8192):
+            some = np.arange(lo, min(lo + 8192, len(n)))
+            columns = [pa.array(np.full(len(some), block)), pa.nulls(len(some), docs_kind), pa.array(some.astype(np.int32)), pa.array(n[some]), *both.lists(0, some), *both.lists(1, some)]
+            yield pa.RecordBatch.from_arrays(columns, NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = _tools(*files.value)
+        both, count = _tools(*files.value), np.zeros(0, np.int64)
+        both.forget()
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            for lo, hi, data, offs in text_steps(b.column("text"), limit=BLOCK):
+            for lo, hi, data, offs in text_steps(b.column("text"), limit=STEP):
                 starts, ends = piece_edges(data, offs)
                 doc = np.searchsorted(offs, starts, "right") - 1
                 _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
                 raw = data.tobytes()
                 known = both.number([raw[starts[i] : ends[i]] for i in first])
-                bad = np.frombuffer(both.good, np.int8)[known] == 0
                 fine = np.ones(hi - lo, bool)
-                fine[doc[bad[number]]] = False
-                number, doc = number[fine[doc]], doc[fine[doc]]
-                n = np.bincount(number, minlength=len(first))
-                used = np.flatnonzero(n)
-                number = (np.cumsum(n > 0) - 1)[number]
-                (a, a_ends), (z, z_ends) = both.lists(0, known[used]), both.lists(1, known[used])
-                list_of = lambda x, at: pa.ListArray.from_arrays(pa.array(np.asarray(at, np.int32)), x)
-                seq = list_of(pa.array(number.astype(np.int32)), np.searchsorted(doc, np.arange(hi - lo + 1)))
-                rows = pa.StructArray.from_arrays([b.column("doc_id").slice(lo, hi - lo), seq], ["doc_id", "seq"])
-                found = pa.StructArray.from_arrays([pa.array(n[used]), a, a_ends, z, z_ends], ["n", "a", "a_ends", "b", "b_ends"])
-                yield pa.RecordBatch.from_arrays([list_of(rows, [0, hi - lo]), list_of(found, [0, len(used)])], ["docs", "pieces"])
-
-    tokens = "a: array<int>, a_ends: array<int>, b: array<int>, b_ends: array<int>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"docs array<struct<doc_id: {kind}, seq: array<int>>>, pieces array<struct<n: bigint, {tokens}>>")
+                fine[doc[np.frombuffer(both.good, np.int8)[known][number] == 0]] = False
+                number, doc = known[number[fine[doc]]], doc[fine[doc]]
+                count = np.append(count, np.zeros(len(both.good) - len(count), np.int64))
+                count += np.bincount(number, minlength=len(count))
+                at = np.searchsorted(doc, np.arange(hi - lo + 1))
+                sizes = [np.diff(np.append(0, np.cumsum(np.diff(np.frombuffer(e, np.int64))[number]))[at]) for e in both.ends]
+                seq = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(number.astype(np.int32)))
+                rows = pa.StructArray.from_arrays([b.column("doc_id").slice(lo, hi - lo), *map(pa.array, sizes), seq], ["doc_id", "n_a", "n_b", "seq"])
+                columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), rows), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), *(pa.nulls(1, ints) for _ in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
+                if len(count) > KNOWN:
+                    yield from listed(block, both, count)
+                    both.forget()
+                    block, count = block + 1, np.zeros(0, np.int64)
+        yield from listed(block, both, count)
+
+    said = f"array<struct<doc_id: {kind}, n_a: bigint, n_b: bigint, seq: array<int>>>"
+    docs_kind = to_arrow_type(StructType.fromDDL(f"x {said}")["x"].dataType)
+    tokens = "a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, docs {said}, at int, n long, {tokens}")
+
+
+NAMES = ["block", "docs", "at", "n", "a", "a_ends", "b", "b_ends"]
 
 
 def _owner(ends: Column) -> Column:
@@ -155,26 +174,24 @@ def _owner(ends: Column) -> Column:
     return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
 
 
-def _aligned(p: Column) -> Column:
-    """A piece's groups as text, their number and its links, as pairs of ids in one number each."""
+def _aligned() -> Column:
+    """Of a piece its groups as text, their number, and its links as pairs of ids in one number each."""
     def build(a: Column, b: Column, cuts: Column, own_a: Column, own_b: Column) -> Column:
         def side(ids: Column, own: Column, lo: Column, hi: Column) -> Column:
-            first = F.get(own, lo)
-            return F.array_join(F.slice(ids, first + 1, F.get(own, hi - 1) - first + 1), ",")
-
-        def group(i: Column) -> Column:
-            lo, hi = F.coalesce(F.get(cuts, i - 1), F.lit(0)), F.get(cuts, i)
-            return F.concat(side(a, own_a, lo, hi), F.lit("|"), side(b, own_b, lo, hi))
+            to = F.get(own, hi - 1) + 1
+            return F.array_join(let(F.get(own, lo), then=lambda first: F.slice(ids, first + 1, to - first)), ",")
 
-        link = lambda e: pair(F.get(p["a"], F.get(own_a, e - 1)), F.get(p["b"], F.get(own_b, e - 1)))
+        group = lambda lo, hi: F.concat(side(a, own_a, lo, hi), F.lit("|"), side(b, own_b, lo, hi))
+        each = F.transform(cuts, lambda hi, i: group(F.coalesce(F.get(cuts, i - 1), F.lit(0)), hi))
+        whole = F.concat(F.array_join(a, ","), F.lit("|"), F.array_join(b, ","))
+        link = lambda e: pair(F.get("a", F.get(own_a, e - 1)), F.get("b", F.get(own_b, e - 1)))
         return F.struct(
-            p["n"].alias("n"), F.size(a).alias("n_a"), F.size(b).alias("n_b"), F.size(cuts).alias("n_groups"),
-            F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts) - 1), group), ";").alias("groups"),
-            F.transform(F.array_union(p["a_ends"], p["b_ends"]), link).alias("links"),
+            F.when(F.size(cuts) == 1, whole).otherwise(F.array_join(each, ";")).alias("groups"), F.size(cuts).cast("long").alias("n_groups"),
+            F.transform(F.array_union("a_ends", "b_ends"), link).alias("links"),
         )
 
-    texts = (p["a"].cast("array<string>"), p["b"].cast("array<string>"))
-    return let(*texts, F.array_intersect(p["a_ends"], p["b_ends"]), _owner(p["a_ends"]), _owner(p["b_ends"]), then=build)
+    texts = F.col("a").cast("array<string>"), F.col("b").cast("array<string>")
+    return let(*texts, F.array_intersect("a_ends", "b_ends"), _owner(F.col("a_ends")), _owner(F.col("b_ends")), then=build)
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -183,7 +200,7 @@ def pair(a: Column, b: Column) -> Column:
 
 def pair_counts(pieces: DataFrame) -> DataFrame:
     """(pair, count, best): how many links hold the pair, and whether no pair with its B id has more."""
-    links = pieces.select("n", F.explode("links").alias("pair"))
+    links = pieces.where("n > 0").select("n", F.explode("links").alias("pair"))
     counts = cut(links.groupBy("pair").agg(F.sum("n").alias("count")))
     b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b")
     most = counts.groupBy(b).agg(F.max("count").alias("most"))
@@ -193,17 +210,16 @@ def pair_counts(pieces: DataFrame) -> DataFrame:
 
 
 def _figures(pieces: DataFrame, counts: DataFrame) -> DataFrame:
-    """(block, figures): of each piece of a block, in order, its links that are best and the sum of its links' counts.
+    """(block, at, best, count): of each piece its links that are best and the sum of its links' counts.
 
     Pairs of a HOT-th of all links are joined by broadcast, so what is shuffled by pair has none that is hot."""
     total = counts.agg(F.sum("count")).first()[0] or 0
     often = F.col("count") * HOT >= total
-    links = pieces.select("block", "at", F.explode("links").alias("pair"))
+    links = pieces.where("n > 0").select("block", "at", F.explode("links").alias("pair"))
     known = F.broadcast(counts.where(often))
     found = links.join(known, "pair").select("block", "at", "count", "best")
     rare = links.join(known, "pair", "left_anti").join(counts.where(~often), "pair").select("block", "at", "count", "best")
-    each = found.unionByName(rare).groupBy("block", "at").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
-    return each.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "best", "count"))).alias("figures"))
+    return found.unionByName(rare).groupBy("block", "at").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
 
 
 def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
@@ -215,19 +231,24 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -
     best. Other columns are left out, whatever their names; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    made = blocks(docs, byte_level, pieces).withColumn("block", F.monotonically_increasing_id())
-    made = cut(made.select("block", "docs", F.transform("pieces", _aligned).alias("pieces")))
-    each = made.select("block", F.posexplode("pieces").alias("at", "p")).select("block", "at", "p.n", "p.links")
+    made = cut(blocks(docs, byte_level, pieces))
+    each = settled(made.where("at is not null").select("block", "at", "n", _aligned().alias("p")), "p")
+    each = cut(each.select("block", "at", "n", "p.groups", "p.n_groups", "p.links"))
     counts = pair_counts(each)
-    rows = made.withColumn("pieces", F.transform("pieces", lambda p: p.dropFields("links").withField("n_links", F.size(p["links"]))))
-    rows = cut(rows.join(_figures(each, counts), "block", "left"))
-    drop(made, counts)
+    # written, so that AQE knows its size
+    found = cut(_figures(each, counts))
+    drop(counts)
+    known = each.select("block", "at", "groups", "n_groups").join(found, ["block", "at"], "left")
+    # every number from 0 on has a piece, so a piece's number is its place
+    listed = F.array_sort(F.collect_list(F.struct("at", "n_groups", "best", "count", "groups")))
+    known = known.groupBy("block").agg(listed.alias("known"))
+    rows = made.where("docs is not null").select("block", "docs").join(known, "block", "left")
 
     def document(d: Column) -> Column:
-        total = lambda of, name: F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, i: s + F.get(of, i)[name])
-        figures = [total("pieces", c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links")]
-        figures += [total("figures", "best").alias("n_best"), total("figures", "count").alias("count_sum")]
-        text = F.array_join(F.transform(d["seq"], lambda i: F.get("pieces", i)["groups"]), ";")
-        return F.struct(d["doc_id"].alias("doc_id"), *figures, text.alias("groups"))
+        total = lambda name: F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, i: s + F.get("known", i)[name])
+        text = F.array_join(F.transform(d["seq"], lambda i: F.get("known", i)["groups"]), ";")
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), *(total(c).alias(c) for c in ("n_groups", "best", "count")), text.alias("groups"))
 
-    return rows.select(F.inline(F.transform("docs", document)))
+    out = rows.select(F.inline(F.transform("docs", document)))
+    links = F.col("n_a") + F.col("n_b") - F.col("n_groups")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", links.alias("n_links"), F.col("best").alias("n_best"), F.col("count").alias("count_sum"), "groups")
