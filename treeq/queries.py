@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import conditions as c
 from .functions import text as tx
 from .functions import values as v
-from .operators import corpus, edit, grew, search, similar, stats, trees, validate
+from .operators import corpus, edit, grew, history, search, similar, stats, trees, validate
 from .registry import ALL, ORACLES, QUERIES, SYS, TOK, query
 from .sources import conllu, export, sdparse, views
 
@@ -169,15 +169,30 @@ query(
     f"""{TOK} SELECT h.sent AS sent, least(h.id, d.id) || '-' || greatest(h.id, d.id) AS ids FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id
    WHERE h.upos = 'R' AND d.upos = 'N'""",
 )
+LINK = grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")])
 query(
     "grew_count",
-    lambda s, d: grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")]), "sent").groupBy("sent").agg(F.count("*").alias("n")),
+    lambda s, d: grew.counted(views.orders(s, d), LINK, "sent"),
     f"""{TOK} SELECT h.sent AS sent, count(*) AS n FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'N' AND d.upos = 'R'
    GROUP BY h.sent""",
 )
+query(
+    "grew_count_tree",
+    lambda s, d: grew.counted(views.orders(s, d), grew.Pattern({"A": c.upos(["N", "A"])}, [("A", "B"), ("A", "C"), ("C", "E"), ("C", "G", ["dep1", "dep2"])]), "sent"),
+    f"""{TOK} SELECT a.sent AS sent, count(*) AS n FROM tok a JOIN tok b ON b.sent = a.sent AND b.head = a.id JOIN tok c ON c.sent = a.sent AND c.head = a.id AND c.id <> b.id
+   JOIN tok e ON e.sent = a.sent AND e.head = c.id JOIN tok g ON g.sent = a.sent AND g.head = c.id AND g.id <> e.id AND g.deprel IN ('dep1', 'dep2')
+   WHERE a.upos IN ('N', 'A') GROUP BY a.sent""",
+)
+query(
+    "grew_count_order",
+    lambda s, d: grew.counted(views.orders(s, d), grew.Pattern({"A": c.upos("A"), "C": c.xpos("O")}, [("B", "C")], order=[("A", "C", False)], without=[[("A", "X")]]), "sent"),
+    f"""{TOK}, node AS (SELECT sent, id FROM tok UNION ALL SELECT DISTINCT sent, 0 FROM tok)
+   SELECT a.sent AS sent, count(*) AS n FROM tok a JOIN tok k ON k.sent = a.sent AND k.id > a.id JOIN node b ON b.sent = k.sent AND b.id = k.head AND b.id <> a.id
+   WHERE a.upos = 'A' AND k.xpos = 'O' AND NOT EXISTS (SELECT 1 FROM tok x WHERE x.sent = a.sent AND x.head = a.id) GROUP BY a.sent""",
+)
 query(
     "grew_filter",
-    lambda s, d: grew.match(views.orders(s, d), grew.Pattern({"H": c.upos("N"), "D": c.upos("R")}, [("H", "D")]), "sent").select("sent").distinct(),
+    lambda s, d: grew.matching(views.orders(s, d), LINK, "sent"),
     f"""{TOK} SELECT DISTINCT h.sent AS sent FROM tok h JOIN tok d ON d.sent = h.sent AND d.head = h.id WHERE h.upos = 'N' AND d.upos = 'R'""",
 )
 
@@ -600,7 +615,7 @@ query(
    FROM m GROUP BY 1""",
 )
 query(
-    "undo_redo",
+    "version_before",
     lambda s, d: edit.latest(views.read(s, d, "events"), "user_id", "event_id", "event_type", undo=1).select("user_id", "event_id", "event_type"),
     """SELECT user_id, event_id, event_type
    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
@@ -608,6 +623,28 @@ query(
 )
 
 
+
+#: Of the events of a user, errors and purchases undo, signups redo, others are edits.
+def _log(s: SparkSession, d: str) -> DataFrame:
+    command = F.when(F.col("event_type").isin("error", "purchase"), "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
+    return views.read(s, d, "events").select("user_id", "event_id", command.alias("command"), F.col("event_id").alias("value"))
+
+
+query(
+    "undo_redo",
+    lambda s, d: history.replay(_log(s, d), "user_id", "event_id", depth=4, each=True),
+    """WITH RECURSIVE c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+   CASE WHEN event_type IN ('error', 'purchase') THEN 'undo' WHEN event_type = 'signup' THEN 'redo' ELSE 'edit' END AS what FROM events),
+ r AS (SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS now, CAST([] AS BIGINT[]) AS past, CAST([] AS BIGINT[]) AS future FROM events
+   UNION ALL SELECT r.user_id, c.event_id, c.k,
+     CASE WHEN what = 'edit' THEN c.event_id WHEN what = 'undo' AND len(past) > 0 THEN past[-1] WHEN what = 'redo' AND len(future) > 0 THEN future[-1] ELSE now END,
+     CASE WHEN what = 'undo' THEN past[:len(past) - 1] WHEN what = 'edit' OR len(future) > 0 THEN list_append(past, now)[greatest(1, len(past) - 2):] ELSE past END,
+     CASE WHEN what = 'edit' THEN [] WHEN what = 'redo' THEN future[:len(future) - 1] WHEN len(past) > 0 THEN list_append(future, now)[greatest(1, len(future) - 2):] ELSE future END
+   FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1)
+ SELECT user_id, event_id, now AS value, len(past) AS undo, len(future) AS redo FROM r WHERE k > 0""",
+)
+
+
 # validation
 IMPLIES = [(c.upos("R"), c.head(c.upos("N")) | c.token_id(1)), (c.feat("Disc"), c.xpos("O"))]
 query(
