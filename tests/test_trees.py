@@ -79,3 +79,30 @@ def test_long_sentences(spark, shape):
     df.unpersist()
     assert row.n == n - 1 and row.p == (shape != "random")
     assert took < 10  # about a second on a free machine; the square would take minutes
+
+
+def test_nested_json(spark):
+    """The text parsed back is the tree built by recursion; cycles are opened at their smallest word."""
+    from test_patterns import TOKEN
+
+    from treeq.sources.export import nested_json
+
+    heads = cases()
+    token = lambda i, h: ("WORD", i, -1, f'w"{i}}}', "l", "X", "_", {"A": "}"} if i % 2 else {}, h, "dep", [(h, 2, "e")] if i == 1 else [], [("k", None)] if i == 2 else [])
+    df = spark.createDataFrame([(k, [token(i, h) for i, h in enumerate(hs, 1)]) for k, hs in enumerate(heads)], f"k int, words array<{TOKEN}>")
+
+    def tree(hs, i, top):
+        n = len(hs)
+        out = {"id": i, "form": f'w"{i}}}', "lemma": "l", "upos": "X", "xpos": "_", "deprel": "dep"}
+        out |= {"feats": {"A": "}"}} if i % 2 else {}
+        out |= {"deps": [{"id": f"{hs[0]}.2", "deprel": "e"}]} if i == 1 else {}
+        out |= {"misc": [{"name": "k"}]} if i == 2 else {}
+        out |= {"highlight": True} if i == 3 else {}
+        wrong = "head outside the sentence" if hs[i - 1] > n else "cycle" if i in up(hs, i) else None
+        out |= {"error": wrong} if wrong else {}
+        return out | {"children": [tree(hs, c, top) for c in range(1, n + 1) if hs[c - 1] == i and c not in top]}
+
+    for r in df.select("k", nested_json(F.array(F.lit(3)), multiword=False).alias("json")).collect():
+        hs = heads[r.k]
+        top = [i for i in range(1, len(hs) + 1) if not 1 <= hs[i - 1] <= len(hs) or (i in up(hs, i) and i == min(up(hs, i)))]
+        assert json.loads(r.json) == [tree(hs, i, top) for i in top]

@@ -128,7 +128,7 @@ query(
  SELECT pos // 40 AS doc, CAST(to_json({{'id': pos // 40, 'paragraphs': list(p ORDER BY pos)}}) AS VARCHAR) AS json FROM p GROUP BY 1""",
 )
 query(
-    "sink_tree_json", lambda s, d: views.orders(s, d).select("sent", export.tree_json(F.array(F.lit(1)), F.array(F.lit(2))).alias("json")),
+    "sink_tree_json_flat", lambda s, d: views.orders(s, d).select("sent", export.tree_json(F.array(F.lit(1)), F.array(F.lit(2))).alias("json")),
     f"""{TOK}, k AS (SELECT sent, head AS id, list(id ORDER BY id) AS kids FROM tok GROUP BY ALL),
  j AS (SELECT t.sent, t.id, left(to_json({{'id': t.id, 'form': form, 'upos': upos, 'deprel': deprel, 'parent': head, 'children': coalesce(kids, [])}}), -1)
    || CASE t.id WHEN 1 THEN ',"highlight":true}}' WHEN 2 THEN ',"highlight_deprel":true}}' ELSE '}}' END AS node FROM tok t LEFT JOIN k ON k.sent = t.sent AND k.id = t.id)
@@ -136,6 +136,18 @@ query(
 )
 ARCS = r"""string_agg(CASE WHEN head > 0 THEN '\depedge{' || head || '}{' || id || '}{' || deprel || '}' ELSE '\deproot{' || id || '}{' || deprel || '}' END, chr(10) ORDER BY id)"""
 HEAD_ = r"""'\begin{dependency}' || chr(10) || '\begin{deptext}' || chr(10) || string_agg(form, ' \& ' ORDER BY id) || ' \\' || chr(10) || string_agg(upos, ' \& ' ORDER BY id) || ' \\' || chr(10)"""
+query(
+    "sink_tree_json", lambda s, d: views.orders(s, d).select("sent", export.nested_json(F.array(F.lit(1)), F.array(F.lit(2))).alias("json")),
+    f"""{TOK.replace("WITH raw", "WITH RECURSIVE raw")}, path AS (SELECT sent, id, [id] AS p FROM tok WHERE head = 0 UNION ALL SELECT t.sent, t.id, list_append(path.p, t.id) FROM path JOIN tok t ON t.sent = path.sent AND t.head = path.id),
+ n AS (SELECT t.*, p, len(p) AS depth, row_number() OVER (PARTITION BY t.sent, t.head ORDER BY t.id) AS k, lead(len(p), 1, 1) OVER (PARTITION BY t.sent ORDER BY p) AS then_,
+   CASE WHEN t.sent % 3 = 0 AND t.n > 2 AND t.id = 1 THEN lead(form) OVER (PARTITION BY t.sent ORDER BY t.id) END AS next_form FROM tok t JOIN path USING (sent, id)),
+ j AS (SELECT sent, p, CASE WHEN k > 1 THEN ',' ELSE '' END || '{{"id":' || id || ',"form":"' || form || '","lemma":"' || lemma || '","upos":"' || upos || '","xpos":"' || xpos
+   || '","feats":{{"Size":"' || size || '"' || CASE WHEN disc IS NOT NULL THEN ',"Disc":"Yes"' ELSE '' END || '}},"misc":[{{"name":"Line","val":"' || line || '"}}' || CASE WHEN psize % 2 = 0 THEN ',{{"name":"Gloss","val":"' || brand || '"}}' ELSE '' END
+   || '],"deps":[{{"id":"' || head || '","deprel":"' || deprel || '"}}' || CASE WHEN id > 2 THEN ',{{"id":"' || (id - 2) || '","deprel":"ext"}}' ELSE '' END || ']'
+   || CASE WHEN next_form IS NOT NULL THEN ',"mwe":{{"fromid":1,"toid":2,"form":"' || form || next_form || '"}}' ELSE '' END || ',"deprel":"' || deprel || '"'
+   || CASE id WHEN 1 THEN ',"highlight":true' WHEN 2 THEN ',"highlight_deprel":true' ELSE '' END || ',"children":[' || repeat(']}}', CAST(depth - then_ + 1 AS BIGINT)) AS text FROM n)
+ SELECT sent, '[' || string_agg(text, '' ORDER BY p) || ']' AS json FROM j GROUP BY sent""",
+)
 query("sink_latex", lambda s, d: views.orders(s, d).select("sent", export.latex(enhanced=True, rows=("Gloss",)).alias("tex")), TOK + f""" SELECT sent, {HEAD_}
  || string_agg(CASE WHEN psize % 2 = 0 THEN replace(brand, '#', '\\#') ELSE '' END, ' \\& ' ORDER BY id) || ' \\\\' || chr(10) || '\\end{{deptext}}' || chr(10) || {ARCS}
  || coalesce(chr(10) || string_agg(CASE WHEN id > 2 THEN '\\depedge[edge below]{{' || (id - 2) || '}}{{' || id || '}}{{ext}}' END, chr(10) ORDER BY id), '')

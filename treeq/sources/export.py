@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+from ..operators import trees
 from ..operators.trees import ancestors
 
 
@@ -51,6 +53,43 @@ def tree_json(tokens: Column | None = None, labels: Column | None = None) -> Col
     return F.to_json(F.transform("words", node))
 
 
+def _open(text: Column) -> Column:
+    """A JSON object without the brace that closes it."""
+    return let(text, then=lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+
+
+def nested_json(tokens: Column | None = None, labels: Column | None = None, multiword: bool = True) -> Column:
+    """Trees as nested JSON: an array of roots, each a node whose `children` are nodes, in order of id.
+
+    A node has id, form, lemma, upos, xpos, and, unless they are empty, feats, misc (name, val), deps (id, deprel), mwe (fromid, toid, form of the multiword token that
+    begins there; `multiword` says that sentences have them), deprel, and the marks error (head outside the sentence; cycle, where a cycle is opened at its smallest word), highlight
+    and highlight_deprel for the ids in `tokens` and `labels`. Types don't recurse, so the text is put together along a walk around the trees: what stands before a word's
+    children at its entry, what closes it at its exit."""
+    marked = lambda ids, w: F.lit(None) if ids is None else F.when(F.array_contains(ids, w["id"]), True)
+    some = lambda x: F.when(F.size(x) > 0, x)
+    misc = lambda w: F.transform(w["misc"], lambda m: F.struct(m["key"].alias("name"), m["val"].alias("val")))
+    source = lambda d: F.concat(d["headid"].cast("string"), F.when(d["headsubid"] >= 0, F.concat(F.lit("."), d["headsubid"].cast("string"))).otherwise(""))
+    deps = lambda w: F.transform(w["deps"], lambda d: F.struct(source(d).alias("id"), d["deprel"].alias("deprel")))
+    token = lambda w: F.get(F.transform(F.filter("mwts", lambda m: m["id"] == w["id"]), lambda m: F.struct(m["id"].alias("fromid"), m["subid"].alias("toid"), m["form"].alias("form"))), F.lit(0))
+
+    def node(w: Column, m: Column) -> Column:
+        wrong = F.when(w["head"] > F.size("words"), "head outside the sentence").when(m["cycle"].isNotNull(), "cycle")
+        mwe = [token(w).alias("mwe")] if multiword else []
+        whole = F.struct(
+            w["id"].alias("id"), w["form"].alias("form"), w["lemma"].alias("lemma"), w["upos"].alias("upos"), w["xpos"].alias("xpos"), some(w["feats"]).alias("feats"),
+            some(misc(w)).alias("misc"), some(deps(w)).alias("deps"), *mwe, w["deprel"].alias("deprel"), wrong.alias("error"),
+            marked(tokens, w).cast("boolean").alias("highlight"), marked(labels, w).cast("boolean").alias("highlight_deprel"),
+        )
+        return F.concat(F.when(m["prior"].isNotNull(), ",").otherwise(""), _open(F.to_json(whole)), F.lit(',"children":['))
+
+    def walk(marks: Column) -> Column:
+        ends = lambda w, i: let(F.get(marks, i), then=lambda m: F.array(F.struct(m["entry"].alias("at"), node(w, m).alias("text")), F.struct(m["exit"].alias("at"), F.lit("]}").alias("text"))))
+        steps = F.array_sort(F.flatten(F.transform("words", ends)))
+        return F.concat(F.lit("["), F.array_join(F.transform(steps, lambda s: s["text"]), ""), F.lit("]"))
+
+    return let(trees.labels(), then=walk)
+
+
 def latex(enhanced: bool = False, rows: tuple[str, ...] = (), mwts: bool = True, right_to_left: bool = False) -> Column:
     """A dependency environment of tikz-dependency: forms, tags and more rows (MISC keys such as Gloss or Translit), edges, multiword tokens as groups of words, enhanced
     edges below. Right to left, words stand in reverse order."""
