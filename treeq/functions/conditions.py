@@ -13,26 +13,40 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Getter = Callable[[Column], Column]
+class Got:
+    """A list of values of a token, null where there is nothing to take one from; `parts` as those of a condition."""
+
+    def __init__(self, get: Callable[[Column], Column], parts: tuple = ()):
+        self.get, self.parts = get, parts
+
+    def __call__(self, token: Column) -> Column:
+        return self.get(token)
+
+
+#: A function of the token alone will do, too.
+Getter = Got | Callable[[Column], Column]
 
 
 class Cond:
-    """A predicate on a token (a struct column) of the sentence row it is evaluated in."""
+    """A predicate on a token (a struct column) of the sentence row it is evaluated in.
+
+    `parts` says how it is made of others, (name, ...): with them `operators.tokens` evaluates it over a table of tokens. Without parts it looks at
+    the token alone."""
 
-    def __init__(self, test: Callable[[Column], Column]):
-        self.test = test
+    def __init__(self, test: Callable[[Column], Column], parts: tuple = ()):
+        self.test, self.parts = test, parts
 
     def __call__(self, token: Column) -> Column:
         return F.coalesce(self.test(token), F.lit(False))
 
     def __and__(self, other: Cond) -> Cond:
-        return Cond(lambda t: self(t) & other(t))
+        return Cond(lambda t: self(t) & other(t), ("and", self, other))
 
     def __or__(self, other: Cond) -> Cond:
-        return Cond(lambda t: self(t) | other(t))
+        return Cond(lambda t: self(t) | other(t), ("or", self, other))
 
     def __invert__(self) -> Cond:
-        return Cond(lambda t: ~self(t))
+        return Cond(lambda t: ~self(t), ("not", self))
 
 
 def full(value: Column, pattern: str) -> Column:
@@ -92,60 +106,60 @@ _is_word = lambda t: t["kind"] == "WORD"
 
 def head(c: Cond) -> Cond:
     """The head is a word for which c holds; false for roots, multiword and empty tokens."""
-    return Cond(lambda t: (t["head"] > 0) & _is_word(t) & F.get("words", t["head"] - 1).isNotNull() & c(F.get("words", t["head"] - 1)))
+    return Cond(lambda t: (t["head"] > 0) & _is_word(t) & F.get("words", t["head"] - 1).isNotNull() & c(F.get("words", t["head"] - 1)), ("head", c))
 
 
 def child(c: Cond) -> Cond:
     """Some dependent satisfies c."""
-    return Cond(lambda t: _is_word(t) & F.exists("words", lambda w: (w["head"] == t["id"]) & c(w)))
+    return Cond(lambda t: _is_word(t) & F.exists("words", lambda w: (w["head"] == t["id"]) & c(w)), ("child", c))
 
 
 def prec(c: Cond) -> Cond:
     """c holds for the word before."""
-    return Cond(lambda t: (t["id"] > 1) & F.get("words", t["id"] - 2).isNotNull() & c(F.get("words", t["id"] - 2)))
+    return Cond(lambda t: (t["id"] > 1) & F.get("words", t["id"] - 2).isNotNull() & c(F.get("words", t["id"] - 2)), ("prec", c))
 
 
 def next_(c: Cond) -> Cond:
     """c holds for the word after."""
-    return Cond(lambda t: F.get("words", t["id"]).isNotNull() & c(F.get("words", t["id"])))
+    return Cond(lambda t: F.get("words", t["id"]).isNotNull() & c(F.get("words", t["id"])), ("next", c))
 
 
 # values for comparisons: lists, null where there is nothing to take one from
 
 
 def value(field: str) -> Getter:
-    return lambda t: F.array(t[field])
+    return Got(lambda t: F.array(t[field]))
 
 
 def feat_value(name: str) -> Getter:
-    return lambda t: F.when(feature(t, name).isNotNull(), F.array(feature(t, name)))
+    return Got(lambda t: F.when(feature(t, name).isNotNull(), F.array(feature(t, name))))
 
 
 def of_head(g: Getter) -> Getter:
-    return lambda t: F.when((t["head"] > 0) & F.get("words", t["head"] - 1).isNotNull(), g(F.get("words", t["head"] - 1)))
+    return Got(lambda t: F.when((t["head"] > 0) & F.get("words", t["head"] - 1).isNotNull(), g(F.get("words", t["head"] - 1))), ("head", g))
 
 
 def of_prec(g: Getter) -> Getter:
-    return lambda t: F.when((t["id"] > 1) & F.get("words", t["id"] - 2).isNotNull(), g(F.get("words", t["id"] - 2)))
+    return Got(lambda t: F.when((t["id"] > 1) & F.get("words", t["id"] - 2).isNotNull(), g(F.get("words", t["id"] - 2))), ("prec", g))
 
 
 def of_next(g: Getter) -> Getter:
-    return lambda t: F.when(F.get("words", t["id"]).isNotNull(), g(F.get("words", t["id"])))
+    return Got(lambda t: F.when(F.get("words", t["id"]).isNotNull(), g(F.get("words", t["id"]))), ("next", g))
 
 
 def of_child(g: Getter) -> Getter:
-    return lambda t: F.flatten(F.filter(F.transform(F.filter("words", lambda w: w["head"] == t["id"]), g), lambda x: x.isNotNull()))
+    return Got(lambda t: F.flatten(F.filter(F.transform(F.filter("words", lambda w: w["head"] == t["id"]), g.__call__), lambda x: x.isNotNull())), ("child", g))
 
 
 def same(a: Getter, b: Getter) -> Cond:
     """Some value of a equals some value of b; `_` equals nothing."""
-    return Cond(lambda t: F.arrays_overlap(F.array_remove(a(t), "_"), F.array_remove(b(t), "_")))
+    return Cond(lambda t: F.arrays_overlap(F.array_remove(a(t), "_"), F.array_remove(b(t), "_")), ("same", a, b))
 
 
 def compatible(a: Getter, b: Getter) -> Cond:
     """No value to compare on one side, an undefined one (`_`), or an equal pair."""
     either = lambda x, y: F.array_contains(x, "_") | F.array_contains(y, "_") | F.arrays_overlap(x, y)
-    return Cond(lambda t: F.when(a(t).isNull() | b(t).isNull(), True).otherwise(either(a(t), b(t))))
+    return Cond(lambda t: F.when(a(t).isNull() | b(t).isNull(), True).otherwise(either(a(t), b(t))), ("compatible", a, b))
 
 
 def tokens_where(sents: DataFrame, c: Cond, *keys: str, kinds: tuple[str, ...] = ("words",)) -> DataFrame:

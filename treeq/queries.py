@@ -11,11 +11,13 @@ from .functions import conditions as c
 from .functions import text as tx
 from .functions import values as v
 from .operators import corpus, edit, grew, history, search, similar, stats, trees, validate
-from .registry import ALL, ORACLES, QUERIES, SYS, TOK, query
+from .operators.tokens import Tokens
+from .registry import ALL, CONDITIONS, ORACLES, PATTERNS, QUERIES, SYS, TOK, query
 from .sources import conllu, export, sdparse, views
 
 def tokens(name: str, cond: c.Cond, where: str) -> None:
     """A condition over the words of the orders view; `where` is the same over rows t of tok."""
+    CONDITIONS[name] = cond
     query(name, lambda s, d: c.tokens_where(views.orders(s, d), cond, "sent").select("sent", "id"), f"{TOK} SELECT sent, id FROM tok t WHERE {where}")
 
 
@@ -99,11 +101,43 @@ query(
     f"{TOK} SELECT sent, count(*) AS n FROM tok WHERE sent = 77 GROUP BY sent",
 )
 
+# tables of tokens: the orders of a thousand keys each as one long sentence
+
+
+def _long(s: SparkSession, d: str) -> Tokens:
+    sents = views.orders(s, d).select(F.floor(F.col("sent") / 1000).alias("grp"), "sent", "words", "mwts", "empties")
+    return Tokens(corpus.merged_tokens(sents, "grp", "sent").drop("sent"), "grp")
+
+
+LONG = TOK + """, long AS (SELECT sent // 1000 AS grp, row_number() OVER (PARTITION BY sent // 1000 ORDER BY sent, id) AS gid, * FROM tok),
+ t AS (SELECT l.*, CASE WHEN l.head = 0 THEN 0 ELSE l.gid - l.id + l.head END AS ghead FROM long l)"""
+query(
+    "table_navigation",
+    lambda s, d: _long(s, d).where(c.head(c.next_(c.upos("A"))) & ~c.child(c.head(c.xpos("F"))) & ~c.prec(c.lemma("PROMO.*"))).where("kind = 'WORD'").select("grp", "id"),
+    f"""{LONG} SELECT t.grp AS grp, t.gid AS id FROM t WHERE EXISTS (SELECT 1 FROM t h JOIN t x ON x.grp = h.grp AND x.gid = h.gid + 1 WHERE h.grp = t.grp AND h.gid = t.ghead AND x.upos = 'A')
+   AND NOT (t.xpos = 'F' AND EXISTS (SELECT 1 FROM t k WHERE k.grp = t.grp AND k.ghead = t.gid))
+   AND NOT EXISTS (SELECT 1 FROM t p WHERE p.grp = t.grp AND p.gid = t.gid - 1 AND starts_with(p.lemma, 'PROMO'))""",
+)
+query(
+    "table_values",
+    lambda s, d: _long(s, d).where(c.same(c.value("lemma"), c.of_child(c.value("lemma"))) | ~c.compatible(c.feat_value("Disc"), c.of_prec(c.feat_value("Disc")))).where("kind = 'WORD'").select("grp", "id"),
+    f"{LONG} SELECT grp, gid AS id FROM t WHERE EXISTS (SELECT 1 FROM t k WHERE k.grp = t.grp AND k.ghead = t.gid AND k.lemma = t.lemma)",
+)
+query(
+    "table_pattern",
+    lambda s, d: (_long(s, d).match(grew.Pattern({"A": c.upos("N"), "C": c.xpos("O")}, [("A", "B"), ("B", "C")], order=[("A", "C", False)], without=[[("C", c.upos("R"), ["dep1"])], [("B", "X"), grew.Is("X", c.lemma("PROMO.*"))]]))
+    .select("grp", F.col("A.id").alias("a"), F.col("B.id").alias("b"), F.col("C.id").alias("c"))),
+    f"""{LONG} SELECT a.grp AS grp, a.gid AS a, b.gid AS b, k.gid AS c FROM t a JOIN t b ON b.grp = a.grp AND b.ghead = a.gid JOIN t k ON k.grp = a.grp AND k.ghead = b.gid
+   WHERE a.upos = 'N' AND k.xpos = 'O' AND a.gid < k.gid AND NOT EXISTS (SELECT 1 FROM t x WHERE x.grp = k.grp AND x.ghead = k.gid AND x.upos = 'R' AND x.deprel = 'dep1')
+   AND NOT EXISTS (SELECT 1 FROM t x WHERE x.grp = b.grp AND x.ghead = b.gid AND starts_with(x.lemma, 'PROMO'))""",
+)
+
 # graph patterns
 
 
 def pattern(name: str, p: grew.Pattern, sql: str) -> None:
     """Bindings of a pattern: the sentence and the id of each node, in order of name."""
+    PATTERNS[name] = p
     names = list(p.nodes)
     query(name, lambda s, d: grew.match(views.orders(s, d), p, "sent").select("sent", *(F.col(n)["id"].alias(n.lower()) for n in names)), f"{TOK} {sql}")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import conditions as c
 from .functions import text as tx
 from .operators import corpus, edit, grew
-from .registry import TOK, query
+from .registry import PATTERNS, TOK, query
 from .sources import views
 
 
@@ -219,6 +219,7 @@ def bindings(name: str, p: grew.Pattern, sql: str) -> None:
     def full_id(n: str) -> F.Column:
         return F.concat_ws(".", F.col(n)["id"], F.when(F.col(n)["subid"] > 0, F.col(n)["subid"])).alias(n.lower())
 
+    PATTERNS[name] = p
     query(name, lambda s, d: grew.match(views.orders(s, d), p, "sent").select("sent", *map(full_id, p.nodes)), f"{TOK} {sql}")
 
 

@@ -12,6 +12,8 @@ from .sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The conditions and patterns of queries, by name, so that tests can try every form of them.
+CONDITIONS, PATTERNS = {}, {}
 TOK = views.ORDERS_SQL
 #: All tokens of the orders view, words, multiword and empty tokens, with a kind.
 ALL = TOK + """, alltok AS (
