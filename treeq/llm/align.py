@@ -29,7 +29,7 @@ from .common import cut, drop, small_batches, span_hashes, text_steps
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are cut up at once, different pieces of a block, and the most pairs of ids that are broadcast: those that make
 #: up a HOT-th of all links or more, of which there can be no more than HOT.
-STEP, KNOWN, HOT = 1 << 20, 1 << 18, 1 << 17
+STEP, KNOWN, HOT = 1 << 20, 1 << 19, 1 << 17
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -238,16 +238,17 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -
     # written, so that AQE knows its size
     found = cut(_figures(each, counts))
     drop(counts)
-    known = each.select("block", "at", "groups", "n_groups").join(found, ["block", "at"], "left")
-    # every number from 0 on has a piece, so a piece's number is its place
-    listed = F.array_sort(F.collect_list(F.struct("at", "n_groups", "best", "count", "groups")))
-    known = known.groupBy("block").agg(listed.alias("known"))
-    rows = made.where("docs is not null").select("block", "docs").join(known, "block", "left")
+    # every number from 0 on has a row, so a piece's number is its place; pieces that no aligned document has are without figures
+    found = found.unionByName(each.where("n = 0").select("block", "at", F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("count")))
+    by_block = lambda rows, *names: rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", *names))).alias("known"))
+    figures = by_block(found, "best", "count").withColumnRenamed("known", "figures")
+    rows = made.where("docs is not null").select("block", "docs").join(by_block(each, "n_groups", "groups"), "block", "left").join(figures, "block", "left")
 
     def document(d: Column) -> Column:
-        total = lambda name: F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, i: s + F.get("known", i)[name])
+        total = lambda of, name: F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, i: s + F.get(of, i)[name])
+        sums = total("known", "n_groups").alias("n_groups"), total("figures", "best").alias("best"), total("figures", "count").alias("count")
         text = F.array_join(F.transform(d["seq"], lambda i: F.get("known", i)["groups"]), ";")
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), *(total(c).alias(c) for c in ("n_groups", "best", "count")), text.alias("groups"))
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), *sums, text.alias("groups"))
 
     out = rows.select(F.inline(F.transform("docs", document)))
     links = F.col("n_a") + F.col("n_b") - F.col("n_groups")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches, span_hashes, text_steps, words
 
 #: Bytes of text a block, terms of items that are searched for at once, ranges that are split at once, documents of a range that isn't split any more.
-BLOCK, QUERY_TERMS, STEP, LEAF = 4 << 20, 200_000, 256, 16
+BLOCK, QUERY_TERMS, STEP, LEAF = 4 << 20, 200_000, 256, 200
 #: What separates terms: all ASCII that is neither letter nor digit. Only A to Z are lower-cased.
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -148,6 +148,30 @@ class Forest:
             left, node, at = left[more], node[more], at[more]
         return (out.reshape(nodes.shape) * weight).sum(1)
 
+    def outermost(self, nodes: np.ndarray, edge: np.ndarray, first: bool) -> np.ndarray:
+        """The first node with a document from `edge` on, or the last one before it, at or below each of these nodes, which are such themselves."""
+        out, left = nodes.copy(), np.arange(len(nodes))
+        node = nodes
+        while len(left):
+            inside = (self.doc[node] >= edge) == first
+            out[left[inside]] = node[inside]
+            node = np.where(inside == first, self.left[node], self.right[node])
+            some = node >= 0
+            left, node, edge = left[some], node[some], edge[some]
+        return out
+
+    def whole(self, nodes: np.ndarray, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, score) of all documents of small ranges: nodes are numbered in search order, so those of a range follow each other."""
+        base = np.append(0, np.cumsum(hi - lo))
+        row, term = np.nonzero(nodes >= 0)
+        top = nodes[row, term]
+        first, last = self.outermost(top, lo[row], True), self.outermost(top, hi[row], False)
+        n = last - first + 1
+        node = np.repeat(first - np.append(0, np.cumsum(n)[:-1])[: len(n)], n) + np.arange(n.sum())
+        score = np.zeros(base[-1], np.int64)
+        np.add.at(score, np.repeat((base[:-1] - lo)[row], n) + self.doc[node], self.impact[node] * np.repeat(weight[term], n))
+        return np.repeat(lo - base[:-1], hi - lo) + np.arange(base[-1]), score
+
     def search(self, term: np.ndarray, weight: np.ndarray, k: int, best: list[tuple[int, object]]) -> list[tuple[int, object]]:
         """The k best (score, id) of `best` and this block."""
         nodes = np.array([[self.root(t) for t in term]])
@@ -169,13 +193,10 @@ class Forest:
             now, first, end, part = nodes[:STEP], lo[:STEP], hi[:STEP], part[:STEP]
             nodes, lo, hi = nodes[STEP:], lo[STEP:], hi[STEP:]
             small = end - first <= LEAF
-            n = (end - first)[small]
-            each = np.repeat(np.flatnonzero(small), n)
-            within = np.repeat(first[small] - np.append(0, np.cumsum(n)[:-1])[: len(n)], n) + np.arange(n.sum())
-            now, first, end, part, leaves = now[~small], first[~small], end[~small], part[~small], now[each]
+            within, each = self.whole(now[small], first[small], end[small], weight)
+            now, first, end, part = now[~small], first[~small], end[~small], part[~small]
             at = self.doc[now[np.arange(len(now)), part.argmax(1)]]
-            s = self.scores(np.concatenate([now, leaves]), np.append(at, within), weight)
-            score, found = np.append(score, s), np.append(found, np.append(at, within))
+            score, found = np.concatenate([score, each, self.scores(now, at, weight)]), np.concatenate([found, within, at])
             total = np.append(before, score)
             if len(total) >= k:
                 top = int(np.partition(total, len(total) - k)[len(total) - k])
