@@ -263,6 +263,21 @@ def test_pages_of_digits(model):
     assert time.time() - began < 30
 
 
+def test_long_chains(model):
+    """Time grows with the text: a chain of labels is proposed up to the length of a domain name, and a number by its digits, in any groups."""
+    import time
+
+    began = time.time()
+    for text in ("x @ " + "ab." * 400_000, "x @ " + "com " * 400_000, "y" * 1_000_000 + " (at) a.b.c.d.com", "x (at) b dot c " * 5000):
+        pii.spans(text, model)
+    assert time.time() - began < 20
+    labels = ["ab"] * 84 + ["com"]  # 84 * 3 + 3 characters and one more are too long for a name
+    ends = [e for _, _, e in pii.candidates("x @ " + ".".join(labels))]
+    assert ends == [4 + 3 * k - 1 for k in range(2, 85)]
+    card = "4.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1"
+    assert ("card", 0, len(card)) in pii.candidates(card)
+
+
 def test_long_parts():
     local, host = "x" * 90, ".".join("abcdefgh")
     assert ("email", 0, len(local) + 5 + len(host)) in pii.candidates(f"{local} (at){host}".replace(" (at)", " (at)"))

@@ -84,8 +84,8 @@ DOT = re.compile(r"(?i)\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\sdot\s|\.")
 LABEL = re.compile(r"[A-Za-z0-9-]+")
 RUN = re.compile(r"(?<![0-9A-Za-z])[+(\[]?[0-9](?:[\x20().\-/\[\] ‐-–]{0,3}[0-9])+")
 GROUP = re.compile("[0-9]+")
-#: Groups of digits that a number is written in, at most, where it isn't a base span.
-GROUPS = 10
+#: Characters of a domain name at most (RFC 1035), and those of a span, from its end, that its format is read from: so many labels, written out, and more.
+NAME, FORMAT = 253, 2048
 #: Groups of digits that a span of digits leaves outside, right beside it.
 LEFT_OF, RIGHT_OF = re.compile(r"([0-9]+)([\x20().\-/\[\] ‐-–]{1,3})\Z"), re.compile(r"([\x20().\-/\[\] ‐-–]{1,3})([0-9]+)")
 MARK = re.compile(r"(?i)[(\[{<]\s?dot|\sdot\s|[(\[{<]\s?at\s?[)\]}>]|@")
@@ -101,20 +101,22 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             while left > last and text[left - 1] in LOCAL:
                 left -= 1
             last = m.end()  # what is left of the next mark begins behind this one
-            right, end, labels = LABEL.match(text, m.end()), 0, 0
-            while right:
-                end, labels = right.end(), labels + 1
+            right, end, labels, name = LABEL.match(text, m.end()), 0, 0, -1
+            while right and left < m.start():
+                end, labels, name = right.end(), labels + 1, name + 1 + right.end() - right.start()
+                if name > NAME:  # no name goes on so far
+                    break
                 d = DOT.match(text, end)
                 right = LABEL.match(text, d.end()) if d else None
                 if labels >= 2:
-                    out.append(("email", left, end)) if left < m.start() else None
+                    out.append(("email", left, end))
     if DIGIT.search(text):
         for m in RUN.finditer(text):
             groups = [g.span() for g in GROUP.finditer(text, *m.span())]
             for i, (start, _) in enumerate(groups):
                 start -= start > m.start() and text[start - 1] in "+(["
                 n = 0
-                for j in range(i, min(len(groups), i + GROUPS)):
+                for j in range(i, len(groups)):  # 20 at most: a number has 19 digits
                     n += groups[j][1] - groups[j][0]
                     if n > 19:
                         break
@@ -140,7 +142,7 @@ def _near(text: str, start: int, end: int) -> list[str]:
 
 def features(text: str, kind: str, start: int, end: int, cues: dict[str, dict[str, float]]) -> list[float]:
     """Format and context of a span; `cues` holds how much a word speaks for a kind."""
-    span, before, after = text[start:end], text[max(0, start - 32) : start].lower(), text[end : end + 24].lower()
+    span, before, after = text[max(start, end - FORMAT) : end], text[max(0, start - 32) : start].lower(), text[end : end + 24].lower()
     digits, groups = _digits(span), re.findall("[0-9]+", span)
     tail = re.findall("[A-Za-z0-9-]+", span)[-1:] or [""]
     inner = re.findall(r"(?<=[0-9])[^0-9A-Za-z]+(?=[0-9])", span) if kind != "email" else []
@@ -155,7 +157,7 @@ def features(text: str, kind: str, start: int, end: int, cues: dict[str, dict[st
         *(x for m, gap, k in ((left, gaps[0], 1), (right, gaps[1], 2)) for x in (float(len(m[k]) if m else 0), float(bool(gap) and gap in inner), float(" " in gap), float(len(gap)))),
         float(len(set(inner))), float(sum(" " in g for g in inner)), float(max(map(len, inner), default=0)), *map(float, lens), float(len(groups[-1]) if groups else 0),
         float(lens[:3] == [3, 3, 4] and len(groups) == 3), float(len(groups) == 3 and lens[0] == 4 and lens[1] <= 2 and lens[2] <= 2),
-        *(float(kind == k) for k in KINDS), float(len(span)), float(len(digits)), float(len(groups)), float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
+        *(float(kind == k) for k in KINDS), float(end - start), float(len(digits)), float(len(groups)), float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
         float(sum(map(span.count, ".[]"))), float(span.count("-")), float(sum(map(span.count, "  "))), float(span.count("/")), float(span[:1] in "+("), float(sum(map(span.count, "()"))),
         float(len(digits) > 14 and luhn(digits)), float(len(groups) == 4 and all(_byte(g) for g in groups)), float(tail[0].lower() in TLDS), float(bool(re.search(r"[(\[{<]\s?(at|@)", span, re.I))), float(bool(re.search(r"[(\[{<]\s?dot|\sdot\s", span, re.I))),
         max(said, default=0.0), min(said, default=0.0), float(before[-1:].isalnum() or before[-1:] in (".", ",") and before[-2:-1].isdigit()), float(after[:1].isalnum() or after[:1] == "%"), float(digits.startswith(("19", "20"))), float(digits.startswith("00")),
@@ -163,21 +165,22 @@ def features(text: str, kind: str, start: int, end: int, cues: dict[str, dict[st
     ]
 
 
-#: Documents that are fitted on, at most; spans and look-alikes of one of them; characters beside a span; lines made of them.
-FIT_DOCS, PER_DOC, BESIDE, LINES = 3000, 8, 48, 6000
+#: Documents that are fitted on, at most; spans and look-alikes of one of them, and their length; characters beside a span; lines made of them. The first three bound
+#: the labelled rows of a fit and are parameters of it.
+FIT_DOCS, PER_DOC, LONGEST, BESIDE, LINES = 3000, 8, 192, 48, 6000
 
 
-def pieces(text: str) -> list[tuple[str, bool, str, str, str]]:
+def pieces(text: str, per_doc: int = PER_DOC, longest: int = LONGEST) -> list[tuple[str, bool, str, str, str]]:
     """(kind, whether it is a base span, text before it, it, text behind it) of some spans of a document: base spans, and
-    numbers that a base pattern takes as a whole and whose test fails, or that fit none. At most PER_DOC of either, evenly spaced."""
+    numbers that a base pattern takes as a whole and whose test fails, or that fit none. At most `per_doc` of either, evenly spaced, of `longest` characters at most."""
     base = base_spans(text)
     fails = [("card", *m.span()) for m in CARD.finditer(text)] + [("ip", *m.span()) for m in IP.finditer(text)]
     fails = _outside([x for x in fails if len(_digits(text[x[1] : x[2]])) > 3], [x[1:] for x in base])
     out = []
     for real, some in ((True, base), (False, fails)):
         some = sorted(some, key=lambda x: x[1])
-        some = [some[i * len(some) // PER_DOC] for i in range(PER_DOC)] if len(some) > PER_DOC else some
-        out += [(k, real, text[max(0, s - BESIDE) : s], text[s:e], text[e : e + BESIDE]) for k, s, e in some if e - s <= 4 * BESIDE]
+        some = [some[i * len(some) // per_doc] for i in range(per_doc)] if len(some) > per_doc else some
+        out += [(k, real, text[max(0, s - BESIDE) : s], text[s:e], text[e : e + BESIDE]) for k, s, e in some if e - s <= longest]
     return out
 
 
@@ -319,7 +322,7 @@ def fit_rows(rows: list[tuple[bool, str, bool, str, str, str]], lines: int = LIN
     return Model(boost, cues, tuple(cut))
 
 
-def sample(docs: DataFrame, limit: int = FIT_DOCS) -> DataFrame:
+def sample(docs: DataFrame, limit: int = FIT_DOCS, per_doc: int = PER_DOC, longest: int = LONGEST) -> DataFrame:
     """(held, kind, real, before, span, after): `pieces` of at most `limit` different texts that may have some, by a hash of the text."""
     docs = docs.select("text").where(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9][0-9\x20().-]{5,}[0-9]"))
     keyed = docs.select("text", F.xxhash64("text").alias("key"))
@@ -329,16 +332,17 @@ def sample(docs: DataFrame, limit: int = FIT_DOCS) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(int(key), *p) for text, key in zip(pdf.text, pdf.key, strict=True) for p in pieces(text)]
+            rows = [(int(key), *p) for text, key in zip(pdf.text, pdf.key, strict=True) for p in pieces(text, per_doc, longest)]
             yield pd.DataFrame(rows, columns=["key", "kind", "real", "before", "span", "after"])
 
     found = kept.mapInPandas(run, "key long, kind string, real boolean, before string, span string, after string")
     return found.distinct().select((F.pmod("key", F.lit(3)) == 0).alias("held"), "kind", "real", "before", "span", "after")
 
 
-def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Model:
-    """A model fitted on the driver on the bounded sample of docs; the same for the same texts, however they are stored."""
-    return fit_rows(sorted(map(tuple, sample(docs, limit).collect())))
+def fit(docs: DataFrame, limit: int = FIT_DOCS, per_doc: int = PER_DOC, longest: int = LONGEST) -> Model:
+    """A model fitted on the driver on at most `limit` texts of docs with `per_doc` spans and look-alikes each, of `longest` characters at most; the same for the
+    same texts, however they are stored. Texts are searched whole, whatever was fitted on."""
+    return fit_rows(sorted(map(tuple, sample(docs, limit, per_doc, longest).collect())))
 
 
 def _outside(some: list[tuple[str, int, int]], base: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
