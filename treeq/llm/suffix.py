@@ -182,11 +182,13 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     if least < SPAN + SEED + SPAN:
         raise ValueError(f"least must be {2 * SPAN + SEED} at least")
     small_batches(docs.sparkSession)
-    hits, first = matched(retained(docs, least))
+    # once each, whatever ids repeat: equal keys could not be dealt to several tasks
+    distinct = lambda suffixes: suffixes.dropDuplicates(["h", "doc_id", "pos"])
+    hits, first = matched(distinct(retained(docs, least)))
     # written, so that AQE can split the rows of an id that repeats
     found = cut(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
     drop(first)
-    hits, _ = matched(windows(docs, found, least))
+    hits, _ = matched(distinct(windows(docs, found, least)))
     drop(found)
     starts = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))  # of one document's own words
     return starts.select("doc_id", F.explode(_runs(F.col("starts"), least)).alias("x")).select("doc_id", "x.start", "x.end")
