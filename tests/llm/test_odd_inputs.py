@@ -61,6 +61,23 @@ def test_urls(spark):
     assert sorted((r.page_id, r.verdict) for r in rows) == [(1, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "block")] and all(r.node == "own" for r in rows)
 
 
+def test_links_that_are_no_markup(spark):
+    link = '<link rel="alternate canonical" href="http://a.net/es/1">'
+    hidden = [f"<!-- {link} -->", f"<script>{link}</script>", f"<textarea>{link}", f"<STYLE x>{link}</style >", link.replace("alternate canonical", "canonical-ish")]
+    shown = [link, f"<!-- a -->{link}<!-- b", link.replace('"alternate canonical"', "canonical"), link.replace('"alternate canonical"', "'canonical next'")]
+    rows = [(i, f"http://q{i}.org/a", x) for i, x in enumerate(hidden + shown)] + [(len(hidden + shown), "http://a.net/es/1", None)]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id for r in found if r.verdict == "block"} == set(range(len(hidden), len(rows)))
+
+
+def test_passages_repeated_rows(spark):
+    """An id that has most rows is one document, and its rows are one key each; an empty table gives none."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(20_000).selectExpr("if(id < 19998, 7, id) as doc_id", f"if(id = 19999, 'other', '{text}') as text")
+    assert sorted(map(tuple, suffix.repeated_passages(rows).collect())) == [(7, 0, 60), (19998, 0, 60)]
+    assert suffix.repeated_passages(rows.limit(0)).count() == 0
+
+
 def test_vectors(spark):
     x = np.random.default_rng(1).normal(size=(40, 8)).round(3).tolist()
     rows = [(i, v) for i, v in enumerate(x)] + [(0, x[0]), (50, x[1]), (51, None), (None, x[2]), (52, [0.0] * 8)]

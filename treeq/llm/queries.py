@@ -130,7 +130,7 @@ ORACLES: dict[str, str] = {
  r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(v, h, p)),
  j AS (SELECT page_id, host, path, url, html, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS said
    FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
- c AS (SELECT url, regexp_extract(regexp_extract(html, '(?i)<link\s(?:[^>]*\s)?rel\s*=\s*["'']?canonical["'']?[^>]*>'), '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM j WHERE contains(url, '://')),
+ c AS (SELECT url, regexp_extract(regexp_extract(regexp_replace(html, '{urls.HIDDEN}', '', 'g'), '{urls.CANONICAL.replace("'", "''")}'), '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM j WHERE contains(url, '://')),
  l AS (SELECT url, replace(href, '&amp;', '&') AS href FROM c WHERE contains(href, '://')),
  w0 AS (SELECT DISTINCT url AS a, regexp_replace(url, '(?s)#.*', '') AS x FROM (SELECT url FROM j UNION ALL SELECT href FROM l) WHERE contains(url, '://')),
  w1 AS (SELECT a, split_part(x, '?', 1) || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(x, '(?s)^[^?]*\?(.*)', 1), '&'),

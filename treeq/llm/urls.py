@@ -19,7 +19,12 @@ from .components import components
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"""(?i)<link\s(?:[^>]*\s)?rel\s*=\s*["']?canonical["']?[^>]*>"""
+#: What a browser doesn't read as markup: comments and the contents of some elements.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<textarea\b.*?(?:</textarea\s*>|\z)"
+#: A link whose rel is canonical, or has it among others.
+CANONICAL = (
+    r"""(?i)<link\s(?:[^>]*\s)?rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"[^>]*|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'[^>]*|canonical(?:[\s/][^>]*)?)>"""
+)
 REFRESH = r"""(?i)<meta\s(?:[^>]*\s)?http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
 HREF = r"""(?i)\shref\s*=\s*["']?([^"'\s>]+)"""
 TO = r"""(?i)url\s*=\s*["']?([^"'\s>]+)"""
@@ -106,16 +111,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages without html, with host, path, rule and verdict, and `alias` (the last form of the address).
 
     A null address, or one without ://, has empty host and path, no aliases, and the verdict allow; a null html has no links, and
-    of a text of any length the first canonical link and the first refresh count. Repeated rows are judged alike; nulls in other columns and an empty table
+    of a text of any length the first canonical link and the first refresh count that are not in comments, scripts, styles or text areas. Repeated rows are judged alike; nulls in other columns and an empty table
     are fine; columns of the five names are replaced, columns of any other name stay.
     """
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
     named = lambda word: F.contains(F.lower(html), F.lit(word))
+    seen = F.regexp_replace(html, HIDDEN, "")
     way, link, jump, said = (free(pages, x) for x in ("way_", "link_", "jump_", "said_"))
     rows = pages.withColumns({
         "host": host_of(url), "path": path_of(url), way: redirects(url),
-        link: F.when(named("canonical"), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)),
-        jump: F.when(named("refresh"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TO, 1)),
+        link: F.when(named("canonical"), F.regexp_extract(F.regexp_extract(seen, CANONICAL, 0), HREF, 1)),
+        jump: F.when(named("refresh"), F.regexp_extract(F.regexp_extract(seen, REFRESH, 0), TO, 1)),
     }).drop("html")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = cut(rows.withColumns({"rule": name, "verdict": verdict, "alias": F.get(way, F.lit(3))}))
