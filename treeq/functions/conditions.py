@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .let import the_words
+
 class Got:
     """A list of values of a token, null where there is nothing to take one from; `parts` as those of a condition."""
 
@@ -106,22 +108,22 @@ _is_word = lambda t: t["kind"] == "WORD"
 
 def head(c: Cond) -> Cond:
     """The head is a word for which c holds; false for roots, multiword and empty tokens."""
-    return Cond(lambda t: (t["head"] > 0) & _is_word(t) & F.get("words", t["head"] - 1).isNotNull() & c(F.get("words", t["head"] - 1)), ("head", c))
+    return Cond(lambda t: (t["head"] > 0) & _is_word(t) & F.get(the_words(), t["head"] - 1).isNotNull() & c(F.get(the_words(), t["head"] - 1)), ("head", c))
 
 
 def child(c: Cond) -> Cond:
     """Some dependent satisfies c."""
-    return Cond(lambda t: _is_word(t) & F.exists("words", lambda w: (w["head"] == t["id"]) & c(w)), ("child", c))
+    return Cond(lambda t: _is_word(t) & F.exists(the_words(), lambda w: (w["head"] == t["id"]) & c(w)), ("child", c))
 
 
 def prec(c: Cond) -> Cond:
     """c holds for the word before."""
-    return Cond(lambda t: (t["id"] > 1) & F.get("words", t["id"] - 2).isNotNull() & c(F.get("words", t["id"] - 2)), ("prec", c))
+    return Cond(lambda t: (t["id"] > 1) & F.get(the_words(), t["id"] - 2).isNotNull() & c(F.get(the_words(), t["id"] - 2)), ("prec", c))
 
 
 def next_(c: Cond) -> Cond:
     """c holds for the word after."""
-    return Cond(lambda t: F.get("words", t["id"]).isNotNull() & c(F.get("words", t["id"])), ("next", c))
+    return Cond(lambda t: F.get(the_words(), t["id"]).isNotNull() & c(F.get(the_words(), t["id"])), ("next", c))
 
 
 # values for comparisons: lists, null where there is nothing to take one from
@@ -136,19 +138,19 @@ def feat_value(name: str) -> Getter:
 
 
 def of_head(g: Getter) -> Getter:
-    return Got(lambda t: F.when((t["head"] > 0) & F.get("words", t["head"] - 1).isNotNull(), g(F.get("words", t["head"] - 1))), ("head", g))
+    return Got(lambda t: F.when((t["head"] > 0) & F.get(the_words(), t["head"] - 1).isNotNull(), g(F.get(the_words(), t["head"] - 1))), ("head", g))
 
 
 def of_prec(g: Getter) -> Getter:
-    return Got(lambda t: F.when((t["id"] > 1) & F.get("words", t["id"] - 2).isNotNull(), g(F.get("words", t["id"] - 2))), ("prec", g))
+    return Got(lambda t: F.when((t["id"] > 1) & F.get(the_words(), t["id"] - 2).isNotNull(), g(F.get(the_words(), t["id"] - 2))), ("prec", g))
 
 
 def of_next(g: Getter) -> Getter:
-    return Got(lambda t: F.when(F.get("words", t["id"]).isNotNull(), g(F.get("words", t["id"]))), ("next", g))
+    return Got(lambda t: F.when(F.get(the_words(), t["id"]).isNotNull(), g(F.get(the_words(), t["id"]))), ("next", g))
 
 
 def of_child(g: Getter) -> Getter:
-    return Got(lambda t: F.flatten(F.filter(F.transform(F.filter("words", lambda w: w["head"] == t["id"]), g.__call__), lambda x: x.isNotNull())), ("child", g))
+    return Got(lambda t: F.flatten(F.filter(F.transform(F.filter(the_words(), lambda w: w["head"] == t["id"]), g.__call__), lambda x: x.isNotNull())), ("child", g))
 
 
 def same(a: Getter, b: Getter) -> Cond:

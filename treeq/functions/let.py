@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,3 +27,22 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in names]
     return df.select(*rest, F.inline(F.array(F.struct(*names)))).select(df.columns)
+
+
+_WORDS: ContextVar[Column | None] = ContextVar("words", default=None)
+
+
+def the_words() -> Column:
+    """The words that conditions and values look at: the column of the sentence, or those of `looking_at`."""
+    words = _WORDS.get()
+    return F.col("words") if words is None else words
+
+
+@contextmanager
+def looking_at(words: Column) -> Iterator[None]:
+    """Conditions and values that are built inside look at these words instead of the sentence's."""
+    token = _WORDS.set(words)
+    try:
+        yield
+    finally:
+        _WORDS.reset(token)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .conditions import feature
+from .let import the_words
 
 Value = Callable[[Column], Column]
 
@@ -32,7 +33,7 @@ def head(name: str, up: int = 1) -> Value:
     """A column of the head, or of the head's head (up=2), and so on."""
     def get(t: Column) -> Column:
         for _ in range(up):
-            t = F.get("words", t["head"] - 1)
+            t = F.get(the_words(), t["head"] - 1)
         return F.coalesce(_read(t, name), F.lit(""))
 
     return get

@@ -1,6 +1,7 @@
 """Updates: rules over all tokens, edits by key, and structural edits. All return new sentence rows; nothing mutates.
 
-A rule sees the sentence as it was before the rule (a snapshot), the next rule sees what the last one made.
+A rule sees the sentence as it was before the rule (a snapshot), or, in sequence, what it has made of the words before; the next rule
+sees what the last one made.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Cond
-from ..functions.let import let, settled
+from ..functions.let import let, looking_at, settled, the_words
 from ..functions.text import surface
 from ..functions.values import Value, literal
 from .trees import ancestors
@@ -44,9 +45,9 @@ def new_head(t: Column, wanted: Column) -> tuple[Column, Column]:
     """(head, warning) for a wanted head, absolute or signed: unchanged, with a warning, if outside, itself or below the token."""
     n = wanted.try_cast("int")
     to = F.when(wanted.rlike(r"\A[+-]"), t["id"] + n).otherwise(n)
-    below = F.array_contains(ancestors(F.get("words", to - 1)), t["id"])
+    below = F.array_contains(ancestors(F.get(the_words(), to - 1)), t["id"])
     why = (
-        F.when(to.isNull(), "head is no number").when((to < 0) | (to > F.size("words")), "head is outside the sentence")
+        F.when(to.isNull(), "head is no number").when((to < 0) | (to > F.size(the_words())), "head is outside the sentence")
         .when(to == t["id"], "head is the word itself").when((to > 0) & F.coalesce(below, F.lit(False)), "head is below the word")
     )
     return F.when(why.isNull(), to).otherwise(t["head"]), why
@@ -87,10 +88,20 @@ def _applied(t: Column, rule: Rule) -> Column:
     return out
 
 
-def apply_rules(sents: DataFrame, rules: list[Rule], kind: str = "words") -> DataFrame:
-    """sents after all rules, and `changes`: how many tokens the rules' conditions held for, by rule."""
+def apply_rules(sents: DataFrame, rules: list[Rule], kind: str = "words", sequential: bool = False) -> DataFrame:
+    """sents after all rules, and `changes`: how many tokens the rules' conditions held for, by rule.
+
+    With `sequential` a rule goes through the words from left to right, and its condition and values see the words before as the rule has left them; that is a
+    fold over the words whose state is the sentence."""
+    if sequential and kind != "words":
+        raise ValueError("only words are gone through in sequence")
     hits = []
     for k, rule in enumerate(rules):
+        if sequential:
+            sents = settled(sents.withColumn(f"hit{k}_", _in_sequence(rule)), f"hit{k}_")
+            sents = sents.withColumn("words", F.col(f"hit{k}_.words"))
+            hits.append(F.col(f"hit{k}_.n"))
+            continue
         sents = sents.withColumn(f"hit{k}_", F.transform(kind, rule.cond.__call__))
         sents = sents.withColumn(kind, F.transform(kind, _where(f"hit{k}_", rule)))
         hits.append(F.size(F.filter(f"hit{k}_", lambda x: x)))
@@ -98,6 +109,23 @@ def apply_rules(sents: DataFrame, rules: list[Rule], kind: str = "words") -> Dat
     return out.drop(*(f"hit{k}_" for k in range(len(rules))))
 
 
+def _in_sequence(rule: Rule) -> Column:
+    """(words, n): the words after the rule has gone through them one by one, and how many it held for."""
+    def step(acc: Column, i: Column) -> Column:
+        words = acc["words"]
+
+        def one(t: Column) -> Column:
+            with looking_at(words):
+                hit, new = rule.cond(t), _applied(t, rule)
+            put = F.concat(F.slice(words, F.lit(1), i - 1), F.array(new), F.slice(words, i + 1, F.size(words)))
+            return F.when(hit, F.struct(put.alias("words"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+
+        return let(F.get(words, i - 1), then=one)
+
+    start = F.struct(F.col("words").alias("words"), F.lit(0).alias("n"))
+    return F.when(F.size("words") > 0, F.aggregate(F.sequence(F.lit(1), F.size("words")), start, step)).otherwise(start)
+
+
 def edit_fields(sents: DataFrame, edits: DataFrame, key: str, field: str, order: str | None = None) -> DataFrame:
     """Sets a field of words named by an edits table (key, id, value): one join, edits of a sentence in one map. Of several edits of one
     word the last counts: the one with the largest `order`, or, without such a column, with the largest value."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Cond, full
+from ..functions.let import let
 
 
 def by_id(sents: DataFrame, pattern: str, column: str = "sent_id") -> DataFrame:
@@ -98,6 +99,49 @@ def any_example(trees: Iterable[Example]) -> Cond:
     return out
 
 
+def example_words(tree: Example) -> Callable[[Column], Column]:
+    """For a word the ids of all words that stand for some node of the query tree with it at the top, sorted; null if it doesn't match."""
+    def seen(t: Column, node: Example) -> Column:
+        return F.when(node.cond(t), _together(t, [_witnesses("words", lambda w: w["head"] == t["id"], below(c)) for c in node.children]))
+
+    def below(c: Example) -> Callable[[Column], Column]:
+        return lambda w: seen(w, c)
+
+    return lambda t: F.array_sort(F.array_distinct(seen(t, tree)))
+
+
+def path_words(start: str, *steps: tuple[str, str]) -> Callable[[Column], Column]:
+    """For a word the ids of all words on some path of labels from it, as `deprel_path` goes, itself included, sorted; null if there is none."""
+    def on(t: Column, left: tuple) -> Column:
+        if not left:
+            return F.array(t["id"])
+        (way, label), rest = left[0], left[1:]
+        near = {
+            ">": lambda w: (w["id"] == t["head"]), "<": lambda w: w["head"] == t["id"],
+            "=": lambda w: (w["head"] == t["head"]) & (w["id"] != t["id"]) & (t["head"] > 0),
+        }[way]
+        return _together(t, [_witnesses("words", lambda w: near(w) & (w["deprel"] == label), lambda w: on(w, rest))])
+
+    return lambda t: F.array_sort(F.array_distinct(F.when(t["deprel"] == start, on(t, steps))))
+
+
+def _witnesses(words: str, near: Callable[[Column], Column], seen: Callable[[Column], Column]) -> Column:
+    """The ids that `seen` gives for the words nearby; null if it gives none."""
+    found = F.filter(F.transform(F.filter(words, near), seen), lambda x: x.isNotNull())
+    return let(found, then=lambda found: F.when(F.size(found) > 0, F.flatten(found)))
+
+
+def _together(t: Column, parts: list[Column]) -> Column:
+    """The word's id with those of all parts; null if a part is."""
+    return F.concat(F.array(t["id"]), *parts) if parts else F.array(t["id"])
+
+
+def hits(sents: DataFrame, words: Callable[[Column], Column], *keys: str) -> DataFrame:
+    """(keys, id, ids): each word for which `example_words` or `path_words` finds something, with the ids to highlight."""
+    found = F.transform("words", lambda w: F.struct(w["id"].alias("id"), words(w).alias("ids")))
+    return sents.select(*keys, F.inline(F.filter(found, lambda x: x["ids"].isNotNull())))
+
+
 def first_token(sents: DataFrame, c: Cond, *keys: str, kinds: tuple[str, ...] = ("words", "empties", "mwts")) -> DataFrame:
     """key and the first token that satisfies c: words first, then empty words, then multiword tokens."""
     found = F.filter(F.concat(*(F.col(k) for k in kinds)), lambda t: c(t))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.let import let, settled
+from ..functions.let import let, settled, the_words
 
 
 def _doubled(start: Column, rounds: Column, step) -> Column:
@@ -121,10 +121,10 @@ def ancestors(token: Column) -> Column:
     start = F.struct(token["head"].alias("at"), F.array().cast("array<int>").alias("up"))
 
     def step(acc: Column, _: Column) -> Column:
-        on = (acc["at"] > 0) & F.get("words", acc["at"] - 1).isNotNull() & ~F.array_contains(acc["up"], acc["at"])
-        return F.struct(F.when(on, F.get("words", acc["at"] - 1)["head"]).otherwise(F.lit(0)).alias("at"), F.when(on, F.concat(acc["up"], F.array(acc["at"]))).otherwise(acc["up"]).alias("up"))
+        on = (acc["at"] > 0) & F.get(the_words(), acc["at"] - 1).isNotNull() & ~F.array_contains(acc["up"], acc["at"])
+        return F.struct(F.when(on, F.get(the_words(), acc["at"] - 1)["head"]).otherwise(F.lit(0)).alias("at"), F.when(on, F.concat(acc["up"], F.array(acc["at"]))).otherwise(acc["up"]).alias("up"))
 
-    return F.aggregate("words", start, step, lambda acc: acc["up"])
+    return F.aggregate(the_words(), start, step, lambda acc: acc["up"])
 
 
 def _climbed(token: Column, depth: Column) -> Column:

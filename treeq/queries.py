@@ -276,6 +276,23 @@ tokens(
     search.example(E_(c.upos("N"), [E_(c.upos("R") & c.deprel("dep1")), E_(c.xpos("O"), [E_(c.Cond(lambda t: F.lit(True)))])])),
     "t.upos = 'N' AND " + CHILD.format("c.upos = 'R' AND c.deprel = 'dep1'") + " AND " + CHILD.format("c.xpos = 'O' AND EXISTS (SELECT 1 FROM tok g WHERE g.sent = c.sent AND g.head = c.id)"),
 )
+query(
+    "find_subtree_words",
+    lambda s, d: (search.hits(views.orders(s, d), search.example_words(E_(c.upos("N"), [E_(c.upos("R") & c.deprel("dep1")), E_(c.xpos("O"), [E_(c.Cond(lambda t: F.lit(True)))])])), "sent")
+    .select("sent", "id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))),
+    f"""{TOK}, b AS (SELECT t.sent AS sent, t.id AS id, k.id AS k, o.id AS o, g.id AS g FROM tok t JOIN tok k ON k.sent = t.sent AND k.head = t.id AND k.upos = 'R' AND k.deprel = 'dep1'
+   JOIN tok o ON o.sent = t.sent AND o.head = t.id AND o.xpos = 'O' JOIN tok g ON g.sent = t.sent AND g.head = o.id WHERE t.upos = 'N'),
+ w AS (SELECT DISTINCT sent, id, unnest([id, k, o, g]) AS w FROM b)
+ SELECT sent, id, string_agg(CAST(w AS VARCHAR), ',' ORDER BY w) AS ids FROM w GROUP BY sent, id""",
+)
+query(
+    "find_deprel_words",
+    lambda s, d: (search.hits(views.orders(s, d), search.path_words("dep1", (">", "dep2"), ("<", "dep3")), "sent")
+    .select("sent", "id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))),
+    f"""{TOK}, w AS (SELECT DISTINCT t.sent AS sent, t.id AS id, unnest([t.id, h.id, k.id]) AS w FROM tok t JOIN tok h ON h.sent = t.sent AND h.id = t.head AND h.deprel = 'dep2'
+   JOIN tok k ON k.sent = h.sent AND k.head = h.id AND k.deprel = 'dep3' WHERE t.deprel = 'dep1')
+ SELECT sent, id, string_agg(CAST(w AS VARCHAR), ',' ORDER BY w) AS ids FROM w GROUP BY sent, id""",
+)
 query(
     "find_expression",
     lambda s, d: search.first_token(views.orders(s, d), c.is_empty | c.upos("R"), "sent").select("sent", "kind", "id"),
@@ -567,6 +584,23 @@ SELECT sent, id, CASE WHEN r1 THEN xpos || '+' || hl ELSE xpos END AS xpos, CASE
 )
 
 
+def _edit_in_sequence(s: SparkSession, d: str) -> DataFrame:
+    rules = [edit.Rule(c.prec(c.xpos("F")), {"Xpos": "F", "Misc_Was": v.this("Xpos")}), edit.Rule(c.prec(c.deprel("dep[34]")) & c.upos("A"), {"Deprel": "dep4"})]
+    out = edit.apply_rules(views.orders(s, d), rules, sequential=True)
+    words = out.select("sent", F.col("changes")[0].alias("n"), F.inline("words"))
+    return words.select("sent", "id", "xpos", "deprel", F.col("n").cast("long").alias("n"))
+
+
+query(
+    "edit_rules_sequential",
+    _edit_in_sequence,
+    f"""{TOK.replace("WITH raw", "WITH RECURSIVE raw")}, r AS (SELECT sent, id, deprel FROM tok WHERE id = 1 UNION ALL SELECT t.sent, t.id, CASE WHEN t.upos = 'A' AND r.deprel IN ('dep3', 'dep4') THEN 'dep4' ELSE t.deprel END
+   FROM r JOIN tok t ON t.sent = r.sent AND t.id = r.id + 1),
+ f AS (SELECT sent, id, coalesce(max(CASE WHEN xpos = 'F' THEN 1 END) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hit, xpos FROM tok)
+ SELECT f.sent AS sent, f.id AS id, CASE WHEN hit = 1 THEN 'F' ELSE xpos END AS xpos, r.deprel AS deprel, CAST(sum(hit) OVER (PARTITION BY f.sent) AS BIGINT) AS n FROM f JOIN r USING (sent, id)""",
+)
+
+
 def _changes(s: SparkSession, d: str) -> DataFrame:
     from .plans.rules import mass_edit
 

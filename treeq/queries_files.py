@@ -42,6 +42,21 @@ query(
 )
 
 
+def _corpus(s: SparkSession, d: str) -> DataFrame:
+    """Three sources, shuffled, written in order as several files each, and read back."""
+    path = scratch(s)
+    sents = blocks(s, d, sentences=True).withColumn("source", F.concat(F.lit("part "), F.col("sent") % 3, F.lit("/a=b")))
+    conllu.write_corpus(corpus.shuffled(sents, 1, "sent"), path, position="sent", per_file=2000)
+    return conllu.read_corpus(s, path).select("source", "sent_no", "sent_id", F.size("words").cast("long").alias("n"))
+
+
+query(
+    "sink_corpus", _corpus,
+    f"""{TOK} SELECT 'part ' || (sent % 3) || '/a=b' AS source, row_number() OVER (PARTITION BY sent % 3 ORDER BY sent) - 1 AS sent_no, CAST(sent AS VARCHAR) AS sent_id, any_value(n) AS n
+   FROM tok GROUP BY sent""",
+)
+
+
 def _plus(s: SparkSession, d: str) -> DataFrame:
     columns = ("ID", "FORM", "SEM:NE", "UPOS")
     path = _write(s, d, "# global.columns = " + " ".join(columns) + "\n", columns)

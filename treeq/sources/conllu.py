@@ -39,7 +39,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     splits = rows.groupBy("source", "split_").agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
     earlier = W.partitionBy("source").orderBy("split_").rowsBetween(W.unboundedPreceding, -1)  # a row per split
     splits = splits.withColumn("before_", F.coalesce(F.sum("n_").over(earlier), F.lit(0))).drop("n_")
-    out = rows.join(splits, ["source", "split_"])
+    here = splits.select(F.col("source").alias("source_"), F.col("split_").alias("split_of_"), "first_", "before_")
+    out = rows.join(here, F.col("source").eqNullSafe(F.col("source_")) & (F.col("split_") == F.col("split_of_")))
     return out.select("value", "source", (F.col("before_") + F.col("at_") - F.col("first_")).alias("sent_no"))
 
 
@@ -171,6 +172,24 @@ def write_conllu(sents: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS
     sents.select(F.concat(block(columns), F.lit("\n")).alias("value")).write.text(path)
 
 
+def write_corpus(sents: DataFrame, path: str, source: str = "source", position: str = "sent_no", columns: tuple[str, ...] = COLUMNS, per_file: int = 100_000) -> None:
+    """A folder for each source with its sentences in order of position, in files that follow each other by name.
+
+    Sentences are dealt by ranges of (source, position), as many as about `per_file` of them make necessary, so a source of any size is several tasks and
+    files, and small sources share a task. Rows of one position keep no order among them; null sources share Spark's default folder."""
+    tasks = max(1, -(-sents.count() // per_file))
+    rows = sents.select(F.col(source).alias("source"), F.col(position).alias("at_"), F.concat(block(columns), F.lit("\n")).alias("value"))
+    rows = rows.repartitionByRange(tasks, "source", "at_").sortWithinPartitions("source", "at_")
+    rows.select("value", "source").write.partitionBy("source").text(path)
+
+
+def read_corpus(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS, strict: bool = False) -> DataFrame:
+    """What `write_corpus` wrote: sentences with source and sent_no, from 0 in each source."""
+    rows = spark.read.text(path, lineSep="\n\n").withColumn("source", F.col("source").cast("string"))
+    rows = rows.select("value", "source", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("split_"))
+    return parse(_numbered(rows.where(F.col("value").rlike(TOKEN_LINE))), columns, strict)
+
+
 def convert_columns(blocks: DataFrame, old: tuple[str, ...], new: tuple[str, ...]) -> DataFrame:
     """Lines with other columns: comments pass, missing columns are _; nothing is checked."""
     def one(x: Column) -> Column:
