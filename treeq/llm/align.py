@@ -231,9 +231,10 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -
     best. Other columns are left out, whatever their names; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    made = cut(blocks(docs, byte_level, pieces))
-    each = settled(made.where("at is not null").select("block", "at", "n", _aligned().alias("p")), "p")
-    each = cut(each.select("block", "at", "n", "p.groups", "p.n_groups", "p.links"))
+    made = blocks(docs, byte_level, pieces)
+    made = settled(made.select("block", "docs", "at", "n", F.when(F.col("at").isNotNull(), _aligned()).alias("p")), "p")
+    made = cut(made.select("block", "docs", "at", "n", "p.groups", "p.n_groups", "p.links"))
+    each = made.where("at is not null").drop("docs")
     counts = pair_counts(each)
     # written, so that AQE knows its size
     found = cut(_figures(each, counts))
