@@ -30,14 +30,39 @@ def permitted(sents: DataFrame, uposs: list[str], xposs: list[str], deprels: lis
 
 
 def feature_codes(sents: DataFrame, allowed: DataFrame, *keys: str) -> DataFrame:
-    """key, id, name, code: 1 for a feature name that is not allowed with the UPOS, 2 for a value that is not; allowed ones
-    (upos, name, value) are left out. A join on the pair, so the list may be of any size."""
-    feats = sents.select(*keys, F.inline(F.transform("words", lambda w: F.struct(w["id"].alias("id"), w["upos"].alias("upos"), w["feats"].alias("feats")))))
-    feats = feats.select(*keys, "id", "upos", F.explode("feats").alias("name", "value"))
-    sets = allowed.groupBy("upos", "name").agg(F.collect_set("value").alias("vals"))
-    rows = feats.join(sets, ["upos", "name"], "left")
-    code = F.when(F.col("vals").isNull(), 1).when(~F.array_contains("vals", F.col("value")), 2).otherwise(0)
-    return rows.withColumn("code", code).where("code > 0").select(*keys, "id", "name", "code")
+    """key, id, name, code: 1 for a feature name that is not allowed, at all or with the word's UPOS or XPOS, 2 for a value that is not; allowed
+    ones are left out. `allowed` has (upos, name, value), where the UPOS `*` stands for every one, or (scope, tag, name, value) as `lists.feature_rules` gives them: then
+    a tag without a list of its own has no restriction. Joins by name and by tag, so lists may be of any size."""
+    token = lambda w: F.struct(*(w[f].alias(f) for f in ("id", "upos", "xpos", "feats")))
+    feats = sents.select(*keys, F.inline(F.transform("words", token))).select(*keys, "id", "upos", "xpos", F.explode("feats").alias("name", "value"))
+    code = _codes_by_scope(feats, allowed) if "scope" in allowed.columns else _codes_by_upos(feats, allowed)
+    return code.where("code > 0").select(*keys, "id", "name", "code")
+
+
+def _codes_by_upos(feats: DataFrame, allowed: DataFrame) -> DataFrame:
+    sets = allowed.where("upos <> '*'").groupBy("upos", "name").agg(F.collect_set("value").alias("vals_"))
+    every = allowed.where("upos = '*'").groupBy("name").agg(F.collect_set("value").alias("every_"))
+    rows = feats.join(sets, ["upos", "name"], "left").join(every, "name", "left")
+    none = F.array().cast("array<string>")
+    vals = F.concat(F.coalesce("vals_", none), F.coalesce("every_", none))
+    return rows.withColumn("code", F.when(F.col("vals_").isNull() & F.col("every_").isNull(), 1).when(~F.array_contains(vals, F.col("value")), 2).otherwise(0))
+
+
+def _codes_by_scope(feats: DataFrame, rules: DataFrame) -> DataFrame:
+    """By specificity: the name's values, then what the UPOS and the XPOS may have."""
+    values = rules.where("scope = 'any'").groupBy("name").agg(F.collect_set("value").alias("vals_"))
+    free = rules.where("tag = '*'").select("name", F.lit(True).alias("free_")).distinct()
+    rows = feats.join(values, "name", "left").join(free, "name", "left")
+    code = F.when(F.col("vals_").isNull(), 1).when(~F.array_contains("vals_", F.col("value")), 2)
+    for scope in ("upos", "xpos"):
+        own = rules.where((F.col("scope") == scope) & (F.col("tag") != "*"))
+        # what a tag may have: a row for each of its names, and one that says that it has a list
+        names = own.groupBy(F.col("tag").alias(scope), "name").agg(F.collect_set("value").alias(f"{scope}_vals_"), F.lit(True).alias(f"{scope}_has_"))
+        rows = rows.join(names, [scope, "name"], "left").join(own.select(F.col("tag").alias(scope), F.lit(True).alias(f"{scope}_list_")).distinct(), scope, "left")
+        missing = F.col(f"{scope}_list_").isNotNull() & F.col(f"{scope}_has_").isNull() & F.col("free_").isNull()
+        other = (F.size(f"{scope}_vals_") > 0) & ~F.array_contains(f"{scope}_vals_", F.col("value"))
+        code = code.when(missing, 1).when(other, 2)
+    return rows.withColumn("code", code.otherwise(0))
 
 
 def text_mismatch(sents: DataFrame, *keys: str) -> DataFrame:

@@ -124,6 +124,35 @@ def _validlists(s: SparkSession, d: str) -> DataFrame:
 query("scan_validlists", _validlists, ORACLES["valid_lists"])
 
 
+#: Lists of features in text, and the same kind of rules as JSON for one language.
+FEATURES = ["# values", "Size=0", "Size=1", "Size=2", "Size=3", "Disc=Yes", "", "U:A Size Disc", "U:N\tSize", "X:F Size"]
+FEATURES_JSON = """{"features": {"xx": {"Size": {"type": "universal", "doc": "global", "permitted": 1, "uvalues": ["0", "1"], "lvalues": ["2"], "unused_uvalues": ["4"], "byupos": {"A": {"0": 1, "1": 0}, "N": {"1": 1}}},
+ "Disc": {"type": "lspec", "doc": "local", "permitted": 1, "uvalues": [], "lvalues": ["Yes"]}}, "yy": {"Size": {"type": "universal", "doc": "global", "permitted": 1, "uvalues": ["3"], "lvalues": ["9"], "unused_uvalues": ["5"]}}}}"""
+
+
+def _features(s: SparkSession, d: str, lines: list[str], suffix: str, lang: str | None = None) -> DataFrame:
+    path = scratch(s) + suffix
+    s.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return validate.feature_codes(views.orders(s, d), lists.feature_rules(s, [path], lang), "sent").withColumn("code", F.col("code").cast("long"))
+
+
+FE = f"{TOK}, fe AS (SELECT sent, id, upos, xpos, 'Size' AS name, size AS value FROM tok UNION ALL SELECT sent, id, upos, xpos, 'Disc', disc FROM tok WHERE disc IS NOT NULL)"
+query(
+    "valid_feats_lists", lambda s, d: _features(s, d, FEATURES, ".txt"),
+    f"""{FE}, k AS (SELECT *, CASE WHEN name = 'Size' AND value NOT IN ('0', '1', '2', '3') THEN 2 WHEN name = 'Disc' AND (upos = 'N' OR xpos = 'F') THEN 1 ELSE 0 END AS code FROM fe)
+   SELECT sent, id, name, code FROM k WHERE code > 0""",
+)
+query(
+    "valid_feats_json", lambda s, d: _features(s, d, [FEATURES_JSON.replace("\n", "")], ".json", "xx"),
+    f"""{FE}, k AS (SELECT *, CASE WHEN name = 'Size' AND (value NOT IN ('0', '1', '2') OR (upos = 'A' AND value <> '0') OR (upos = 'N' AND value <> '1')) THEN 2 ELSE 0 END AS code FROM fe)
+   SELECT sent, id, name, code FROM k WHERE code > 0""",
+)
+query(
+    "valid_feats_universal", lambda s, d: _features(s, d, [FEATURES_JSON.replace("\n", "")], ".json"),
+    f"{FE} SELECT sent, id, name, CASE WHEN name = 'Disc' THEN 1 ELSE 2 END AS code FROM fe WHERE name = 'Disc' OR value NOT IN ('0', '1', '3', '4', '5')",
+)
+
+
 def _valid_text(s: SparkSession, d: str) -> DataFrame:
     """Texts changed in one place of some sentences, so that they differ from the forms there or at a multiword token."""
     rows = views.orders(s, d).withColumn("text", F.when(F.col("sent") % 7 == 0, F.overlay("text", F.lit("#"), F.lit(2))).otherwise(F.col("text")))
