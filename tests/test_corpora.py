@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeq.functions import conditions as c
+from treeq.functions import text as tx
 from treeq.functions import values as v
 from treeq.operators import edit, search
 from treeq.sources import conllu
@@ -71,3 +72,14 @@ def test_words_of_hits(sent):
     assert found == {3: [3, 4, 5]}
     found = {r.id: r.ids for r in search.hits(sent, search.path_words("c", (">", "b"), (">", "a"), ("<", "d")), "k").collect()}
     assert found == {5: [2, 4, 5, 6]}
+
+
+def test_places_in_the_surface_text(spark):
+    lines = ["1\tno\t_\tX\t_\t_\t0\troot\t_\tSpaceAfter=No", "2-3\tdel\t_\t_\t_\t_\t_\t_\t_\t_", "2\tde\t_\tX\t_\t_\t1\ta\t_\tSpaceAfter=No", "3\tel\t_\tX\t_\t_\t1\ta\t_\t_", "4\tano\t_\tX\t_\t_\t1\ta\t_\tSpacesAfter=\\s\\s", "5\tno\t_\tX\t_\t_\t1\ta\t_\t_"]
+    df = conllu.parse(spark.createDataFrame([("\n".join(lines), 1)], "value string, k int"))
+    r = df.select(tx.surface().alias("text"), tx.offsets().alias("at")).first()
+    assert r.text == "nodel ano  no"
+    assert [tuple(x) for x in r.at] == [(1, 0, 2), (2, 2, 5), (3, 2, 5), (4, 6, 9), (5, 11, 13)]
+    assert [(x.at, x.ids) for x in search.surface_hits(df, "no", "k").collect()] == [(0, [1]), (7, [4]), (11, [5])]
+    assert [(x.at, x.ids) for x in search.surface_hits(df, "od", "k").collect()] == [(1, [1, 2, 3])]
+    assert search.surface_hits(df, "de el", "k").count() == 0

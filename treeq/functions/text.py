@@ -15,10 +15,15 @@ def spaces(misc: Column) -> Column:
     return F.when(get("SpaceAfter") == "No", "").otherwise(F.coalesce(written, F.lit(" ")))
 
 
+def _covering(w: Column) -> Column:
+    """The multiword token over a word; null if there is none."""
+    return F.get(F.filter("mwts", lambda x: w["id"].between(x["id"], x["subid"])), F.lit(0))
+
+
 def surface() -> Column:
     """The sentence's text from its forms: a multiword token stands for the words it covers; trailing blanks go."""
     def piece(w: Column) -> Column:
-        m = F.get(F.filter("mwts", lambda x: w["id"].between(x["id"], x["subid"])), F.lit(0))
+        m = _covering(w)
         own = F.concat(w["form"], spaces(w["misc"]))
         whole = F.concat(m["form"], spaces(m["misc"]))
         return F.when(m.isNull(), own).when(m["id"] == w["id"], whole).otherwise("")
@@ -32,14 +37,25 @@ def surface_pieces() -> Column:
 
 
 def offsets() -> Column:
-    """start and end of each word in the text of forms joined by blanks: a running sum inside the sentence."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<id:int,start:int,end:int>>").alias("out"))
-
-    def step(a: Column, w: Column) -> Column:
-        n = F.length(w["form"])
-        return F.struct((a["at"] + n + 1).alias("at"), F.concat(a["out"], F.array(F.struct(w["id"].alias("id"), a["at"].alias("start"), (a["at"] + n).alias("end")))).alias("out"))
-
-    return F.aggregate("words", start, step, lambda a: a["out"])
+    """(id, start, end) of each word in the text that `surface` gives, from 0: what stands after a token counts as MISC says, and words that a multiword
+    token covers have its place. A running sum inside the sentence."""
+    def part(w: Column) -> Column:  # the word's number, the token's length, and how far the text goes on with it
+        m = _covering(w)
+        size = lambda t: F.length(t["form"])
+        on = lambda t: size(t) + F.length(spaces(t["misc"]))
+        return F.struct(
+            w["id"].alias("id"), F.coalesce(size(m), size(w)).alias("size"), F.when(m.isNull(), on(w)).when(m["id"] == w["id"], on(m)).otherwise(0).alias("on"),
+            F.coalesce(m["id"] < w["id"], F.lit(False)).alias("inside"),
+        )
+
+    none = F.array().cast("array<struct<id:int,start:int,end:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("last"), none.alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        here = F.when(p["inside"], a["last"]).otherwise(a["at"])
+        return F.struct((a["at"] + p["on"]).alias("at"), here.alias("last"), F.concat(a["out"], F.array(F.struct(p["id"].alias("id"), here.alias("start"), (here + p["size"]).alias("end")))).alias("out"))
+
+    return F.aggregate(F.transform("words", part), start, step, lambda a: a["out"])
 
 
 def first_difference(a: Column, b: Column) -> Column:

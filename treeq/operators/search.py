@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Cond, full
-from ..functions.let import let
+from ..functions.let import let, settled
+from ..functions.text import offsets, surface
 
 
 def by_id(sents: DataFrame, pattern: str, column: str = "sent_id") -> DataFrame:
@@ -31,14 +32,17 @@ def by_text_or_tag(sents: DataFrame, pattern: str) -> DataFrame:
 
 
 def surface_hits(sents: DataFrame, needle: str, *keys: str) -> DataFrame:
-    """key, ids: the words that the first occurrence of a string in the sentence's text touches (forms joined by a blank)."""
-    forms = F.transform("words", lambda w: w["form"])
-    starts = F.transform("words", lambda w: F.aggregate(F.slice(forms, F.lit(1), w["id"] - 1), F.lit(0), lambda a, f: a + F.length(f) + 1))
-    at = F.instr(F.array_join(forms, " "), needle.strip("\"'")) - 1
-    rows = sents.select(*keys, "words", at.alias("at"), starts.alias("starts")).where("at >= 0")
-    end = F.col("at") + len(needle.strip("\"'"))
-    ids = F.transform(F.filter("words", lambda w: (F.get("starts", w["id"] - 1) < end) & (F.get("starts", w["id"] - 1) + F.length(w["form"]) > F.col("at"))), lambda w: w["id"])
-    return rows.select(*keys, ids.alias("ids"))
+    """(keys, at, ids): every place (from 0) of a string in the sentence's surface text, and the words that it touches. Multiword tokens stand for their
+    words, blanks are as MISC says; hits may overlap."""
+    needle = needle.strip("\"'")
+    if not needle:
+        raise ValueError("nothing to look for")
+    n = len(needle)
+    places = lambda text: F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(n)) == needle)
+    rows = sents.withColumn("text_", surface()).where(F.contains("text_", F.lit(needle)))
+    rows = settled(rows.withColumn("places_", let(F.col("text_"), then=places)).withColumn("spans_", offsets()), "places_", "spans_")
+    ids = F.transform(F.filter("spans_", lambda s: (s["start"] < F.col("at") + n) & (s["end"] > F.col("at"))), lambda s: s["id"])
+    return rows.select(*keys, "spans_", F.explode("places_").alias("at")).select(*keys, "at", ids.alias("ids"))
 
 
 def sequence_of(sents: DataFrame, conds: list[Cond], *keys: str) -> DataFrame:

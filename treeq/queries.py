@@ -236,16 +236,30 @@ query(
     lambda s, d: search.by_id(views.orders(s, d), "^1.*7$", "sent").select("sent"),
     f"{TOK} SELECT DISTINCT sent FROM tok WHERE regexp_matches(CAST(sent AS VARCHAR), '^1.*7$')",
 )
+
+
+def _spaced(s: SparkSession, d: str) -> DataFrame:
+    """The orders view, where of even orders every third word from the first on has nothing behind it."""
+    no = F.array(F.struct(F.lit("SpaceAfter").alias("key"), F.lit("No").alias("val")))
+    joined = lambda w: F.when((F.col("sent") % 2 == 0) & (w["id"] % 3 == 1), w.withField("misc", F.concat(w["misc"], no))).otherwise(w)
+    return views.settled(views.orders(s, d).withColumn("words", F.transform("words", joined)), "words")
+
+
+#: Its words in the surface text: what stands for each, the gap behind, where it begins and ends.
+SPACED = TOK + """, f AS (SELECT *, sent % 3 = 0 AND n > 2 AND id <= 2 AS inside, lead(form) OVER (PARTITION BY sent ORDER BY id) AS after_ FROM tok),
+ p AS (SELECT sent, id, CASE WHEN inside AND id = 1 THEN form || after_ WHEN inside THEN '' ELSE form END AS piece,
+   CASE WHEN inside AND id = 1 THEN ' ' WHEN inside OR (sent % 2 = 0 AND id % 3 = 1) THEN '' ELSE ' ' END AS gap, inside FROM f),
+ o AS (SELECT *, CAST(coalesce(sum(length(piece || gap)) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM p),
+ off AS (SELECT o.sent, o.id, CASE WHEN o.inside THEN 0 ELSE o.at END AS start, CASE WHEN o.inside THEN length(one.piece) ELSE o.at + length(o.piece) END AS stop
+   FROM o JOIN o one ON one.sent = o.sent AND one.id = 1)"""
 query(
     "find_word",
-    lambda s, d: (search.surface_hits(views.orders(s, d), "widget red", "sent")
-    .select("sent", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))),
-    f"""{TOK}, txt AS (SELECT sent, string_agg(form, ' ' ORDER BY id) AS txt FROM tok GROUP BY sent),
- pos AS (SELECT sent, instr(txt, 'widget red') - 1 AS at FROM txt WHERE instr(txt, 'widget red') > 0),
- off AS (SELECT sent, id, form, coalesce(sum(length(form) + 1) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-   FROM tok)
-SELECT o.sent AS sent, string_agg(CAST(o.id AS VARCHAR), ',' ORDER BY o.id) AS ids FROM off o JOIN pos p ON o.sent = p.sent
-   WHERE o.start < p.at + 10 AND o.start + length(o.form) > p.at GROUP BY o.sent""",
+    lambda s, d: (search.surface_hits(_spaced(s, d), "t r", "sent")
+    .select("sent", F.col("at").cast("long").alias("at"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))),
+    f"""{SPACED}, txt AS (SELECT sent, rtrim(string_agg(piece || gap, '' ORDER BY id)) AS txt FROM p GROUP BY sent),
+ pos AS (SELECT sent, i AS at FROM txt, LATERAL unnest(range(0, length(txt) - 2)) x(i) WHERE substr(txt, i + 1, 3) = 't r')
+SELECT o.sent AS sent, pos.at AS at, string_agg(CAST(o.id AS VARCHAR), ',' ORDER BY o.id) AS ids FROM off o JOIN pos ON o.sent = pos.sent
+   WHERE o.start < pos.at + 3 AND o.stop > pos.at GROUP BY o.sent, pos.at""",
 )
 query(
     "find_seq",
@@ -416,11 +430,10 @@ query(
 )
 query(
     "seq_offsets",
-    lambda s, d: (views.orders(s, d)
+    lambda s, d: (_spaced(s, d)
     .select("sent", F.inline(tx.offsets()))
     .select("sent", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))),
-    f"""{TOK}, o AS (SELECT sent, id, form, CAST(coalesce(sum(length(form) + 1) OVER (PARTITION BY sent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-   FROM tok) SELECT sent, id, start, start + length(form) AS stop FROM o""",
+    f"{SPACED} SELECT sent, id, start, stop FROM off",
 )
 query(
     "seq_position",
