@@ -45,7 +45,7 @@ def test_read(spark):
     assert [(e.id, e.subid) for e in a.empties] == [(3, 1)] and [(m.id, m.subid) for m in a.mwts] == [(1, 2)]
     assert [(d.headid, d.headsubid, d.deprel) for d in a.words[3].deps] == [(3, -1, "amod"), (3, 1, "obl:de")]
     assert rows["s2"].newdoc == "" and rows["s2"].errors == [] and rows["s2"].words[3].misc[0].val == r"\s\t"
-    assert rows["s3"].words[0].form == "12345" and len(rows["s3"].errors) == 2
+    assert rows["s3"].words[0].form == "12#345" and len(rows["s3"].errors) == 2
 
 
 def test_round_trip(spark, tmp_path):
@@ -205,3 +205,15 @@ def test_running_sums(spark):
     rows = spark.range(1000).selectExpr("id", "id % 3 AS g", "id % 7 AS n")
     got = {r.id: r.s for r in corpus.running(rows, "g", "id", F.col("n"), "s", chunk=64).collect()}
     assert got == {i: sum(j % 7 for j in range(i % 3, i, 3)) for i in range(1000)}
+
+
+def test_ids_heads_and_thousands(spark):
+    line = "{}\t{}\t_\tX\t_\t_\t{}\tdep\t_\t_"
+    texts = {"fine": [(1, "a", 2), (2, "b", 0)], "holes": [(3, "a", 4), (4, "b", 0)], "order": [(2, "a", 0), (1, "b", 2)], "head": [(1, "a", 3), (2, "1#000", 0)]}
+    rows = [(k, "\n".join(line.format(*w) for w in ws)) for k, ws in texts.items()]
+    blocks = spark.createDataFrame(rows, "k string, value string")
+    got = {r.k: r for r in conllu.parse(blocks).collect()}
+    ids, out = "word ids are not 1, 2, ... in order", "a head is outside the sentence"
+    assert {k: r.errors for k, r in got.items()} == {"fine": [], "holes": [ids, out], "order": [ids], "head": [out]}
+    assert got["head"].words[1].form == "1#000"
+    assert {r.k: r.words[1].form for r in conllu.parse(blocks, thousands=True).collect()}["head"] == "1000"

@@ -55,7 +55,7 @@ def _cell(cells: Column, columns: tuple[str, ...], name: str, default: str = "_"
     return F.coalesce(F.get(cells, F.lit(columns.index(name))), F.lit(default)) if name in columns else F.lit(default)
 
 
-def _fields(cells: Column, columns: tuple[str, ...], relaxed: bool) -> Column:
+def _fields(cells: Column, columns: tuple[str, ...], relaxed: bool, thousands: bool) -> Column:
     at = lambda name: _cell(cells, columns, name)
     tid = at("ID")
     head = F.coalesce(at("HEAD").try_cast("int"), F.lit(-1))
@@ -67,7 +67,7 @@ def _fields(cells: Column, columns: tuple[str, ...], relaxed: bool) -> Column:
     more = F.create_map(*(x for c in extra for x in (F.lit(c), F.filter(F.split(at(c), r"\|"), lambda v: ~v.isin("_", "*"))))) if extra else F.create_map().cast("map<string,array<string>>")
     return F.struct(
         kind.alias("kind"), F.regexp_extract(tid, r"\A(\d+)", 1).try_cast("int").alias("id"), F.coalesce(sub.try_cast("int"), F.lit(-1)).alias("subid"),
-        F.regexp_replace(at("FORM"), r"(?<=\d)#(?=\d{3})", "").alias("form"), at("LEMMA").alias("lemma"), at("UPOS").alias("upos"), at("XPOS").alias("xpos"), feats_of(at("FEATS")).alias("feats"),
+        (F.regexp_replace(at("FORM"), r"(?<=\d)#(?=\d{3})", "") if thousands else at("FORM")).alias("form"), at("LEMMA").alias("lemma"), at("UPOS").alias("upos"), at("XPOS").alias("xpos"), feats_of(at("FEATS")).alias("feats"),
         head.alias("head"), at("DEPREL").alias("deprel"), deps_of(at("DEPS")).alias("deps"), misc_of(at("MISC")).alias("misc"), more.alias("extra"),
     )
 
@@ -85,25 +85,26 @@ def _faults(line: Column, cells: Column, columns: tuple[str, ...], relaxed: bool
     )
 
 
-def _lines(body: Column, columns: tuple[str, ...], relaxed: bool) -> Column:
+def _lines(body: Column, columns: tuple[str, ...], relaxed: bool, thousands: bool) -> Column:
     """(token, fault) of each line, whose cells are split once."""
     full = (lambda c: F.transform(c, lambda x: F.when(x == "", "_").otherwise(x))) if relaxed else lambda c: c
-    read = lambda line, cells: F.struct(_fields(cells, columns, relaxed).alias("token"), _faults(line, cells, columns, relaxed).alias("fault"))
+    read = lambda line, cells: F.struct(_fields(cells, columns, relaxed, thousands).alias("token"), _faults(line, cells, columns, relaxed).alias("fault"))
     return F.transform(body, lambda x: let(x, full(F.split(x, "\t")), then=read))
 
 
-def parse(blocks: DataFrame, columns: tuple[str, ...] = COLUMNS, strict: bool = False, relaxed: bool = False, drop_xpos: str | None = None) -> DataFrame:
+def parse(blocks: DataFrame, columns: tuple[str, ...] = COLUMNS, strict: bool = False, relaxed: bool = False, drop_xpos: str | None = None, thousands: bool = False) -> DataFrame:
     """Sentences from blocks of lines (`value`): metadata, words, mwts, empties, errors; other columns of blocks stay.
 
     Errors are noted in `errors`; with `strict` they fail the job. `relaxed` reading takes an empty cell as `_` and a word that is its own head as a root, without an error.
     Of comments that give the same thing twice (texts of a language, too) the last counts, with an error. With `drop_xpos`, words with this XPOS are left out and the
-    others are numbered anew (see `edit.renumbered`).
+    others are numbered anew (see `edit.renumbered`). Words whose ids aren't 1, 2, ... in order, and heads outside the sentence, are errors: what looks heads up by their ids
+    can't find them. `thousands` reads a # between digits and three more as a mark of thousands, which goes (`1#000` becomes `1000`).
     """
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, r"\r\z", "")), lambda x: F.trim(x) != "")
     rows = settled(blocks.withColumn("lines_", lines), "lines_").where(F.exists("lines_", lambda x: ~x.startswith("#")))
     notes = F.transform(F.filter("lines_", lambda x: x.startswith("#")), lambda x: F.trim(F.substring(x, F.lit(2), F.length(x))))
     body = F.filter("lines_", lambda x: ~x.startswith("#"))
-    rows = settled(rows.withColumn("notes_", notes).withColumn("read_", _lines(body, columns, relaxed)), "notes_", "read_")
+    rows = settled(rows.withColumn("notes_", notes).withColumn("read_", _lines(body, columns, relaxed, thousands)), "notes_", "read_")
     last = lambda found: F.element_at(found, -1)
     said = lambda key: F.transform(F.filter("notes_", lambda x: x.rlike(rf"\A{key}\s*=")), lambda x: F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))))
     note = lambda key: F.when(F.size(said(key)) > 0, last(said(key)))
@@ -114,7 +115,12 @@ def parse(blocks: DataFrame, columns: tuple[str, ...] = COLUMNS, strict: bool =
     twice = F.array(*(F.when(F.size(said(k)) > 1, f"{k} is given twice") for k in ("sent_id", "text", "translit")))
     doubled = lambda langs: F.array(F.when(F.size(F.array_distinct(F.transform(langs, lambda x: x["key"]))) < F.size(langs), "a text of a language is given twice"))
     rows = rows.withColumn("langs_", langs)
-    rows = rows.withColumn("errors", F.filter(F.concat(faults, twice, doubled(F.col("langs_"))), lambda e: e.isNotNull()))
+    heads = F.transform(F.filter("read_", lambda x: (x["token"]["kind"] == "WORD") & x["token"]["id"].isNotNull()), lambda x: F.struct(x["token"]["id"].alias("id"), x["token"]["head"].alias("head")))
+    numbered = lambda heads: F.array(
+        F.when(F.exists(F.transform(heads, lambda h, i: h["id"] != i + 1), lambda x: x), "word ids are not 1, 2, ... in order"),
+        F.when(F.exists(heads, lambda h: h["head"] > F.size(heads)), "a head is outside the sentence"),
+    )
+    rows = rows.withColumn("errors", F.filter(F.concat(faults, twice, doubled(F.col("langs_")), let(heads, then=numbered)), lambda e: e.isNotNull()))
     if strict:
         rows = rows.withColumn("errors", F.when(F.size("errors") > 0, F.raise_error(F.array_join("errors", "\n")).cast("array<string>")).otherwise(F.col("errors")))
     order = lambda a, b: F.when(a["id"] != b["id"], a["id"] - b["id"]).otherwise(a["subid"] - b["subid"])
