@@ -83,3 +83,9 @@ def test_places_in_the_surface_text(spark):
     assert [(x.at, x.ids) for x in search.surface_hits(df, "no", "k").collect()] == [(0, [1]), (7, [4]), (11, [5])]
     assert [(x.at, x.ids) for x in search.surface_hits(df, "od", "k").collect()] == [(1, [1, 2, 3])]
     assert search.surface_hits(df, "de el", "k").count() == 0
+
+
+def test_last_comment_counts(spark, sent):
+    edits = spark.createDataFrame([(1, "zzz", 1), (1, "first\nsecond", 2), (1, None, 3)], "k int, comment string, at int")
+    assert edit.set_comments(sent, edits, "k", "at").first().comments == ["first", "second"]
+    assert edit.set_comments(sent, edits, "k").first().comments == ["zzz"]

@@ -472,7 +472,9 @@ def compact(sents: DataFrame, forms: list[str], joint: str = "_") -> DataFrame:
     return _restructured(sents, let(first, then=joined), first.isNotNull())
 
 
-def set_comments(sents: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """Comments from an edits table (key, comment: lines), where it has some."""
-    e = edits.groupBy(key).agg(F.max("comment").alias("new_"))
+def set_comments(sents: DataFrame, edits: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Comments from an edits table (key, comment: lines), where it has some; of several edits of one sentence the last one with a comment counts
+    (by the column `order`, or the largest comment)."""
+    last = F.max_by("comment", F.when(F.col("comment").isNotNull(), F.col(order))) if order else F.max("comment")
+    e = edits.groupBy(key).agg(last.alias("new_"))
     return sents.join(e, key, "left").withColumn("comments", F.coalesce(F.split("new_", "\n"), "comments")).drop("new_")
