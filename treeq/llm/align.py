@@ -24,12 +24,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..functions.let import let, settled
-from .common import cut, drop, small_batches, span_hashes, text_steps
+from .common import cut, cut_by, drop, small_batches, span_hashes, text_steps
 
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are cut up at once, different pieces of a block, and the most pairs of ids that are broadcast: those that make
 #: up a HOT-th of all links or more, of which there can be no more than HOT.
 STEP, KNOWN, HOT = 1 << 20, 1 << 19, 1 << 17
+#: Least number of buckets for blocks; spark.sql.shuffle.partitions if that is more.
+BUCKETS = 128
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -175,7 +177,7 @@ def _owner(ends: Column) -> Column:
 
 
 def _aligned() -> Column:
-    """Of a piece its groups as text, their number, and its links as pairs of ids in one number each."""
+    """Of a piece its groups as text, their number, and its links as pairs of ids."""
     def build(a: Column, b: Column, cuts: Column, own_a: Column, own_b: Column) -> Column:
         def side(ids: Column, own: Column, lo: Column, hi: Column) -> Column:
             to = F.get(own, hi - 1) + 1
@@ -184,7 +186,7 @@ def _aligned() -> Column:
         group = lambda lo, hi: F.concat(side(a, own_a, lo, hi), F.lit("|"), side(b, own_b, lo, hi))
         each = F.transform(cuts, lambda hi, i: group(F.coalesce(F.get(cuts, i - 1), F.lit(0)), hi))
         whole = F.concat(F.array_join(a, ","), F.lit("|"), F.array_join(b, ","))
-        link = lambda e: pair(F.get("a", F.get(own_a, e - 1)), F.get("b", F.get(own_b, e - 1)))
+        link = lambda e: F.struct(F.get("a", F.get(own_a, e - 1)).alias("a"), F.get("b", F.get(own_b, e - 1)).alias("b"))
         return F.struct(
             F.when(F.size(cuts) == 1, whole).otherwise(F.array_join(each, ";")).alias("groups"), F.size(cuts).cast("long").alias("n_groups"),
             F.transform(F.array_union("a_ends", "b_ends"), link).alias("links"),
@@ -194,14 +196,16 @@ def _aligned() -> Column:
     return let(*texts, F.array_intersect("a_ends", "b_ends"), _owner(F.col("a_ends")), _owner(F.col("b_ends")), then=build)
 
 
-def pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+def _links(pieces: DataFrame) -> DataFrame:
+    """(block, at, n, pair): the links of pieces, a pair of ids in one number; a piece without tokens has one row without a pair."""
+    links = pieces.select("block", "at", "n", F.explode_outer("links").alias("link"))
+    both = F.shiftleft(F.col("link.a").cast("long"), 32).bitwiseOR(F.col("link.b").cast("long"))
+    return links.select("block", "at", "n", both.alias("pair"))
 
 
 def pair_counts(pieces: DataFrame) -> DataFrame:
     """(pair, count, best): how many links hold the pair, and whether no pair with its B id has more."""
-    links = pieces.where("n > 0").select("n", F.explode("links").alias("pair"))
-    counts = cut(links.groupBy("pair").agg(F.sum("n").alias("count")))
+    counts = cut(_links(pieces.where("n > 0")).groupBy("pair").agg(F.sum("n").alias("count")))
     b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b")
     most = counts.groupBy(b).agg(F.max("count").alias("most"))
     out = cut(counts.withColumn("b", b).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best")))
@@ -209,17 +213,34 @@ def pair_counts(pieces: DataFrame) -> DataFrame:
     return out
 
 
-def _figures(pieces: DataFrame, counts: DataFrame) -> DataFrame:
-    """(block, at, best, count): of each piece its links that are best and the sum of its links' counts.
+def _figures(pieces: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """(block, figures): of each piece of a block, in order, its links that are best and the sum of its links' counts. Written, in buckets.
 
-    Pairs of a HOT-th of all links are joined by broadcast, so what is shuffled by pair has none that is hot."""
+    Pairs of a HOT-th of all links are joined by broadcast, inside the bucket of the block; only links of rarer pairs are shuffled, by pair,
+    where none is hot, and their sums back to the bucket. Every number from 0 on has a row, so a piece's number is its place."""
     total = counts.agg(F.sum("count")).first()[0] or 0
-    often = F.col("count") * HOT >= total
-    links = pieces.where("n > 0").select("block", "at", F.explode("links").alias("pair"))
+    often, key = F.col("count") * HOT >= total, ["block", "at"]
     known = F.broadcast(counts.where(often))
-    found = links.join(known, "pair").select("block", "at", "count", "best")
-    rare = links.join(known, "pair", "left_anti").join(counts.where(~often), "pair").select("block", "at", "count", "best")
-    return found.unionByName(rare).groupBy("block", "at").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
+    sums = lambda rows, *names: rows.groupBy(*key).agg(*(F.sum(c).alias(n) for c, n in zip(("best", "count"), names)))
+    found = sums(_links(pieces).join(known, "pair", "left"), "best", "count")
+    links = _links(pieces.where("n > 0")).drop("n")
+    rare = sums(links.join(known, "pair", "left_anti").join(counts.where(~often), "pair"), "more_best", "more_count")
+    whole = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
+    each = found.hint("merge").join(rare.repartition(buckets, "block"), key, "left").select(*key, whole("best"), whole("count"))
+    per = _by_block(each, "figures", "best", "count")
+    per = per.select("block", F.transform("figures", lambda f: F.struct(f["best"].alias("best"), f["count"].alias("count"))).alias("figures"))
+    # both sides of the join are in the block's bucket, which Spark takes for a reason not to shuffle only without this setting
+    conf, name = pieces.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut_by(per, "block", buckets)
+    finally:
+        conf.set(name, before)
+
+
+def _by_block(rows: DataFrame, name: str, *values: str) -> DataFrame:
+    return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", *values))).alias(name))
 
 
 def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
@@ -233,17 +254,13 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -
     small_batches(docs.sparkSession)
     made = blocks(docs, byte_level, pieces)
     made = settled(made.select("block", "docs", "at", "n", F.when(F.col("at").isNotNull(), _aligned()).alias("p")), "p")
-    made = cut(made.select("block", "docs", "at", "n", "p.groups", "p.n_groups", "p.links"))
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = cut_by(made.select("block", "docs", "at", "n", "p.groups", "p.n_groups", "p.links"), "block", buckets)
     each = made.where("at is not null").drop("docs")
     counts = pair_counts(each)
-    # written, so that AQE knows its size
-    found = cut(_figures(each, counts))
+    known, figures = _by_block(each, "known", "n_groups", "groups"), _figures(each, counts, buckets)
     drop(counts)
-    # every number from 0 on has a row, so a piece's number is its place; pieces that no aligned document has are without figures
-    found = found.unionByName(each.where("n = 0").select("block", "at", F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("count")))
-    by_block = lambda rows, *names: rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", *names))).alias("known"))
-    figures = by_block(found, "best", "count").withColumnRenamed("known", "figures")
-    rows = made.where("docs is not null").select("block", "docs").join(by_block(each, "n_groups", "groups"), "block", "left").join(figures, "block", "left")
+    rows = made.where("docs is not null").select("block", "docs").hint("merge").join(known, "block", "left").hint("merge").join(figures, "block", "left")
 
     def document(d: Column) -> Column:
         total = lambda of, name: F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, i: s + F.get(of, i)[name])

@@ -52,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As `cut`, but in buckets of a key: what groups or joins by the key over as many partitions needs no exchange."""
+    spark, name = df.sparkSession, f"treeq_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: a table with a path of its own keeps its files
+    _PATHS[out] = path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes the files of tables that `cut` wrote and that nothing will read again."""
     for df in tables:
