@@ -214,7 +214,7 @@ def pair_counts(pieces: DataFrame) -> DataFrame:
 
 
 def _figures(pieces: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
-    """(block, figures): of each piece of a block, in order, its links that are best and the sum of its links' counts. Written, in buckets.
+    """(block, best, count): of each piece of a block, in order, its links that are best and the sum of its links' counts. Written, in buckets.
 
     Pairs of a HOT-th of all links are joined by broadcast, inside the bucket of the block; only links of rarer pairs are shuffled, by pair,
     where none is hot, and their sums back to the bucket. Every number from 0 on has a row, so a piece's number is its place."""
@@ -227,8 +227,7 @@ def _figures(pieces: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
     rare = sums(links.join(known, "pair", "left_anti").join(counts.where(~often), "pair"), "more_best", "more_count")
     whole = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
     each = found.hint("merge").join(rare.repartition(buckets, "block"), key, "left").select(*key, whole("best"), whole("count"))
-    per = _by_block(each, "figures", "best", "count")
-    per = per.select("block", F.transform("figures", lambda f: F.struct(f["best"].alias("best"), f["count"].alias("count"))).alias("figures"))
+    per = _by_block(each, best="int", count="long")
     # both sides of the join are in the block's bucket, which Spark takes for a reason not to shuffle only without this setting
     conf, name = pieces.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     before = conf.get(name)
@@ -239,8 +238,10 @@ def _figures(pieces: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
         conf.set(name, before)
 
 
-def _by_block(rows: DataFrame, name: str, *values: str) -> DataFrame:
-    return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", *values))).alias(name))
+def _by_block(rows: DataFrame, **values: str) -> DataFrame:
+    """(block, values): of the pieces of each block, in order, one array a value of the type given."""
+    each = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", *values))).alias("each"))
+    return each.select("block", *(F.col("each")[c].cast(f"array<{kind}>").alias(c) for c, kind in values.items()))
 
 
 def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
@@ -258,15 +259,15 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -
     made = cut_by(made.select("block", "docs", "at", "n", "p.groups", "p.n_groups", "p.links"), "block", buckets)
     each = made.where("at is not null").drop("docs")
     counts = pair_counts(each)
-    known, figures = _by_block(each, "known", "n_groups", "groups"), _figures(each, counts, buckets)
+    # written before they are joined: a task that puts a block's arrays together has nothing else in its memory
+    known, figures = cut_by(_by_block(each, groups="string", n_groups="int"), "block", buckets), _figures(each, counts, buckets)
     drop(counts)
     rows = made.where("docs is not null").select("block", "docs").hint("merge").join(known, "block", "left").hint("merge").join(figures, "block", "left")
 
     def document(d: Column) -> Column:
-        total = lambda of, name: F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, i: s + F.get(of, i)[name])
-        sums = total("known", "n_groups").alias("n_groups"), total("figures", "best").alias("best"), total("figures", "count").alias("count")
-        text = F.array_join(F.transform(d["seq"], lambda i: F.get("known", i)["groups"]), ";")
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), *sums, text.alias("groups"))
+        total = lambda of: F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, i: s + F.get(of, i)).alias(of)
+        text = F.array_join(F.transform(d["seq"], lambda i: F.get("groups", i)), ";").alias("groups")
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total("n_groups"), total("best"), total("count"), text)
 
     out = rows.select(F.inline(F.transform("docs", document)))
     links = F.col("n_a") + F.col("n_b") - F.col("n_groups")
