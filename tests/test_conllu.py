@@ -73,6 +73,12 @@ def test_trees_and_patterns(spark):
     assert [list(r.ids) for r in grew.match(sents, p, "sent_id").collect()] == [[2, 3, 4]]
 
 
+def test_sdparse_reads_each_line_once(spark):
+    df = sdparse.parse(spark.createDataFrame([("a b\nr(b-2, a-1)",)], "value string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(value") == 1 and plan.count("[^\\s(]+") <= 2
+
+
 def test_sdparse(spark):
     r = sdparse.parse(spark.createDataFrame([("the/DET dog barks\ndet(dog-2, the-1)\nnsubj(barks, dog)",), ("a b\nr(z-9, a-1)",)], "value string")).collect()
     assert [(w.form, w.upos, w.head, w.deprel) for w in r[0].words] == [("the", "DET", 2, "det"), ("dog", "_", 3, "nsubj"), ("barks", "_", 0, "root")]

@@ -13,8 +13,9 @@ from ..operators.trees import ancestors
 def sd_parse() -> Column:
     """A token line, then rel(head-n, dep-n) for each word that has a head."""
     named = lambda w: F.concat(w["form"], F.lit("-"), w["id"].cast("string"))
-    arcs = F.transform(F.filter("words", lambda w: w["head"] > 0), lambda w: F.concat(w["deprel"], F.lit("("), named(F.get("words", w["head"] - 1)), F.lit(", "), named(w), F.lit(")")))
-    return F.concat_ws("\n", F.array_join(F.transform("words", lambda w: w["form"]), " "), F.array_join(arcs, "\n"))
+    arc = lambda words: lambda w: F.concat(w["deprel"], F.lit("("), named(F.get(words, w["head"] - 1)), F.lit(", "), named(w), F.lit(")"))
+    arcs = lambda words: F.transform(F.filter(words, lambda w: w["head"] > 0), arc(words))
+    return let(F.col("words"), then=lambda words: F.concat_ws("\n", F.array_join(F.transform(words, lambda w: w["form"]), " "), F.array_join(arcs(words), "\n")))
 
 
 def _spacy_tokens() -> Column:
