@@ -89,3 +89,16 @@ def test_last_comment_counts(spark, sent):
     edits = spark.createDataFrame([(1, "zzz", 1), (1, "first\nsecond", 2), (1, None, 3)], "k int, comment string, at int")
     assert edit.set_comments(sent, edits, "k", "at").first().comments == ["first", "second"]
     assert edit.set_comments(sent, edits, "k").first().comments == ["zzz"]
+
+
+def test_corpora_of_several_files_with_heads(spark, small, monkeypatch):
+    """A corpus of several files keeps its order, and each file has the line of columns."""
+    from treeq import queries_files
+
+    monkeypatch.setattr(queries_files, "PART", 200, raising=False)
+    path = queries_files._write(spark, small, "# global.columns = ID FORM\n", ("ID", "FORM"))
+    files = spark.read.text(path, wholetext=True).collect()
+    assert len(files) > 8 and all(f.value.startswith("# global.columns = ID FORM\n") for f in files)
+    rows = conllu.parse(queries_files._text(spark, path), conllu.plus_columns(spark, path)).selectExpr("file", "sent_no", "cast(sent_id as long) AS sent", "words[0].form AS form").orderBy("file", "sent").collect()
+    want = [sum(r.file == x.file for x in rows[:i]) for i, r in enumerate(rows)]
+    assert [r.sent_no for r in rows] == want and all(r.sent % 8 == r.file and r.form != "_" for r in rows)
