@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from treeq.llm import treaps
+from treeq.llm import common, treaps
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,3 +105,15 @@ def test_treaps_find_the_best(postings, k, weights):
                     assert f.impact[c] <= f.impact[v] and (f.doc[c] - f.doc[v]) * side > 0
                     tree.append(c)
     assert f.search(term, weight, k, []) == sorted(((s, d) for d, s in total.items()), key=lambda x: (-x[0], x[1]))[:k]
+
+
+def test_blocks_of_a_file_are_few(spark, monkeypatch):
+    """A reader holds the rows of a file that are next to each other, thousands of them, so a file has few blocks."""
+    monkeypatch.setattr(treaps, "BLOCK", 64)
+    kept = []
+    monkeypatch.setattr(treaps, "cut", lambda df, *a: kept.append(common.cut(df, *a)) or kept[-1])
+    docs = spark.createDataFrame([(i, f"word{i} other words of a text {i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    found = treaps.search(docs, spark.createDataFrame([(1, "word7")], "item_id long, text string"), 3).collect()
+    assert [r.doc_id for r in found] == [7]
+    sizes = kept[0].groupBy("_metadata.file_path").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) <= treaps.PER_FILE

@@ -23,6 +23,8 @@ from .common import cut, small_batches, span_hashes, text_steps, words
 
 #: Bytes of text a block, terms of items that are searched for at once, ranges that are split at once, documents of a range that isn't split any more.
 BLOCK, QUERY_TERMS, STEP, LEAF = 4 << 20, 200_000, 256, 200
+#: Blocks a file: all of a file's are in memory when one of them is read.
+PER_FILE = 4
 #: What separates terms: all ASCII that is neither letter nor digit. Only A to Z are lower-cased.
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -241,7 +243,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = cut(index(docs))
+    blocks = cut(index(docs), PER_FILE)
     size = blocks.agg(F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("terms")).first()
     n, length = int(size.docs or 0), int(size.terms or 0)
     asked = cut(item_terms(items))
