@@ -58,3 +58,20 @@ def test_one_long_sentence(spark):
     assert Tokens(rows, "sent").match(pattern).count() == 99_999
     with pytest.raises(ValueError):
         Tokens(rows, "sent").match(grew.Pattern({}, [("A", "B")], tests=[grew.tree()]))
+
+
+@pytest.mark.parametrize("name", ["table_values", "table_pattern", "table_navigation"])
+def test_a_table_of_tokens_is_made_once(spark, small, name):
+    plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "collect_list" not in plan
+
+
+def test_own_values_are_compared_in_the_row(spark):
+    rows = spark.createDataFrame([("s", i, "WORD", -1, h, [v]) for i, h, v in [(1, 0, "a"), (2, 1, "b"), (3, 1, "a"), (4, 2, "_"), (5, 4, "_")]], "s string, id int, kind string, subid int, head int, v array<string>")
+    value = lambda t: t["v"]
+    table, (a, b) = Tokens(rows, "s"), (value, value)
+    found = lambda x, y: {r.id for r in table.where(c.same(x, y)).collect()}
+    assert found(a, c.of_child(value)) == found(c.of_child(value), b) == {1}
+    assert found(a, b) == {1, 2, 3}
+    assert found(c.of_head(value), c.of_child(value)) == set()
+    assert table.where(c.same(a, b))._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0

@@ -95,9 +95,9 @@ class Tokens:
         """Whether the values come as a list that may be empty but is never missing."""
         return (getattr(g, "parts", ()) or ("",))[0] == "child"
 
-    def _values(self, rows: DataFrame, g: Getter) -> DataFrame:
-        """(keys, kind, id, subid, head, v): a row for each value of each token."""
-        own = [*self.keys, *AT, "head"]
+    def _values(self, rows: DataFrame, g: Getter, *more: Column) -> DataFrame:
+        """(keys, kind, id, subid, head, more, v): a row for each value of each token."""
+        own = [*(F.col(c) for c in (*self.keys, *AT, "head")), *more]
         way, *inner = getattr(g, "parts", ()) or ("",)
         if not way:
             return rows.select(*own, F.explode(g(self.token())).alias("v_"))
@@ -105,15 +105,26 @@ class Tokens:
         near = {"head": F.col("id"), "child": F.col("head"), "prec": F.col("id") + 1, "next": F.col("id") - 1}[way]
         values = values.select(*(F.col(k).alias(f"{k}_v") for k in self.keys), near.alias("near_"), "v_")
         at = F.col("head") if way == "head" else F.col("id")
+        rows = rows.select(*own)
         on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_v")) for k in self.keys), at == F.col("near_"))
-        return rows.select(own).join(values, on).select(*own, "v_")
+        return rows.join(values, on).select(*rows.columns, "v_")
 
     def _overlap(self, rows: DataFrame, a: Getter, b: Getter) -> tuple[DataFrame, Column]:
-        """Whether some value of a, other than `_`, is one of b: a join on the value, however many a token has."""
+        """Whether some value of a, other than `_`, is one of b: a join on the value, however many a token has. A token's own values are looked at in its row."""
         at = f"same{len(rows.columns)}_"
         names = [*self.keys, *AT]
-        one, other = (self._values(rows, g).where("v_ <> '_'").select(*(F.col(c).alias(f"{c}_{at}") for c in names), "v_").distinct() for g in (a, b))
-        shared = one.intersect(other).drop("v_").distinct().withColumn(at, F.lit(True))
+        plain = [g for g in (a, b) if not getattr(g, "parts", ())]
+        known = lambda g: F.filter(g(self.token()), lambda x: x != "_")
+        if len(plain) == 2:
+            return rows, F.coalesce(F.arrays_overlap(known(a), known(b)), F.lit(False))
+        named = [F.col(c).alias(f"{c}_{at}") for c in names]
+        if plain:
+            found = self._values(rows, b if plain[0] is a else a, known(plain[0]).alias("own_")).where(F.array_contains("own_", F.col("v_")))
+            shared = found.select(*named).distinct()
+        else:
+            one, other = (self._values(rows, g).where("v_ <> '_'").select(*named, "v_").distinct() for g in (a, b))
+            shared = one.intersect(other).drop("v_").distinct()
+        shared = shared.withColumn(at, F.lit(True))
         on = reduce(lambda x, y: x & y, (rows[c].eqNullSafe(shared[f"{c}_{at}"]) for c in names))
         return rows.join(shared, on, "left").drop(*(f"{c}_{at}" for c in names)), F.col(at).isNotNull()
 
