@@ -102,3 +102,23 @@ def test_corpora_of_several_files_with_heads(spark, small, monkeypatch):
     rows = conllu.parse(queries_files._text(spark, path), conllu.plus_columns(spark, path)).selectExpr("file", "sent_no", "cast(sent_id as long) AS sent", "words[0].form AS form").orderBy("file", "sent").collect()
     want = [sum(r.file == x.file for x in rows[:i]) for i, r in enumerate(rows)]
     assert [r.sent_no for r in rows] == want and all(r.sent % 8 == r.file and r.form != "_" for r in rows)
+
+
+def test_lines_of_sentences_are_made_once(spark, small, tmp_path):
+    from treeq import queries
+
+    sents = queries.blocks(spark, small, sentences=True)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for batch in rows:
+            made.add(len(batch))
+            yield batch
+
+    narrow = sents.select("sent").mapInPandas(seen, "sent long")
+    n = narrow.count()
+    sents = narrow.join(sents, "sent")
+    made.value = 0
+    conllu.write_corpus(sents.withColumn("source", F.lit("a")), str(tmp_path / "out"), position="sent", per_file=500)
+    assert made.value == n
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
