@@ -10,3 +10,10 @@ def plan(df):
 def test_merging_makes_sentences_once(spark, small):
     """Offsets come from the sizes of sentences, not from the sentences made a second time."""
     assert plan(QUERIES["merge_all"](spark, small)).count("sort_array(") == 1
+
+
+def test_conditions_of_rules_are_tested_once_a_word(spark, small):
+    """What a rule's condition says is a value by the time words ask for it."""
+    text = plan(QUERIES["edit_rules"](spark, small))
+    assert text.count("inline(array(struct(hit0_") == text.count("inline(array(struct(hit1_") == 1
+    assert all("RLIKE" not in line for line in text.splitlines() if "named_struct(" in line)
