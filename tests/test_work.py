@@ -1,5 +1,6 @@
 """How much queries do: sentences are made once, and nothing is worked out again for each word."""
 
+from treeq.operators import trees
 from treeq.queries import QUERIES
 
 
@@ -17,3 +18,13 @@ def test_conditions_of_rules_are_tested_once_a_word(spark, small):
     text = plan(QUERIES["edit_rules"](spark, small))
     assert text.count("inline(array(struct(hit0_") == text.count("inline(array(struct(hit1_") == 1
     assert all("RLIKE" not in line for line in text.splitlines() if "named_struct(" in line)
+
+
+def test_ancestors_without_labels(spark):
+    """Heads are followed directly, without a walk around the tree; a cycle above many words doesn't make their lists long."""
+    heads = [2, 1] + [1 + i % 2 for i in range(1500)]
+    sents = spark.createDataFrame([([(i, h) for i, h in enumerate(heads, 1)],)], "words array<struct<id:int,head:int>>")
+    df = trees.with_ancestors(sents)
+    assert "entry" not in plan(df)
+    up = df.first().up
+    assert up == [[2, 1], [1, 2]] + [[h, 3 - h] for h in heads[2:]]
