@@ -20,6 +20,11 @@ def test_conditions_of_rules_are_tested_once_a_word(spark, small):
     assert all("RLIKE" not in line for line in text.splitlines() if "named_struct(" in line)
 
 
+def test_joined_words_are_made_once(spark, small):
+    """Setting a field of one of two structs would make both for each of their fields."""
+    assert plan(QUERIES["tok_join"](spark, small)).count("[0].lemma, words") == 1
+
+
 def test_ancestors_without_labels(spark):
     """Heads are followed directly, without a walk around the tree; a cycle above many words doesn't make their lists long."""
     heads = [2, 1] + [1 + i % 2 for i in range(1500)]
