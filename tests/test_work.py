@@ -1,5 +1,7 @@
 """How much queries do: sentences are made once, and nothing is worked out again for each word."""
 
+from test_trees import cases, sentences
+
 from treeq.operators import trees
 from treeq.queries import QUERIES
 
@@ -33,3 +35,13 @@ def test_ancestors_without_labels(spark):
     assert "entry" not in plan(df)
     up = df.first().up
     assert up == [[2, 1], [1, 2]] + [[h, 3 - h] for h in heads[2:]]
+
+
+def test_labels_of_short_and_long_sentences(spark):
+    """Both ways to make labels say the same, also with cycles and heads outside."""
+    for r in sentences(spark, cases()).select("k", trees.labels().alias("a"), trees.labels(short=0).alias("b")).collect():
+        assert r.a == r.b, r.k
+
+
+def test_nested_json_sorts_without_a_lambda(spark, small):
+    assert "array_sort(" not in plan(QUERIES["sink_tree_json"](spark, small))

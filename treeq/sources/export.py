@@ -67,7 +67,7 @@ def nested_json(tokens: Column | None = None, labels: Column | None = None, mult
     and highlight_deprel for the ids in `tokens` and `labels`. Types don't recurse, so the text is put together along a walk around the trees: what stands before a word's
     children at its entry, what closes it at its exit."""
     marked = lambda ids, w: F.lit(None) if ids is None else F.when(F.array_contains(ids, w["id"]), True)
-    some = lambda x: F.when(F.size(x) > 0, x)
+    some = lambda x, made=None: F.when(F.size(x) > 0, x if made is None else made)
     misc = lambda w: F.transform(w["misc"], lambda m: F.struct(m["key"].alias("name"), m["val"].alias("val")))
     source = lambda d: F.concat(d["headid"].cast("string"), F.when(d["headsubid"] >= 0, F.concat(F.lit("."), d["headsubid"].cast("string"))).otherwise(""))
     deps = lambda w: F.transform(w["deps"], lambda d: F.struct(source(d).alias("id"), d["deprel"].alias("deprel")))
@@ -78,14 +78,14 @@ def nested_json(tokens: Column | None = None, labels: Column | None = None, mult
         mwe = [token(w).alias("mwe")] if multiword else []
         whole = F.struct(
             w["id"].alias("id"), w["form"].alias("form"), w["lemma"].alias("lemma"), w["upos"].alias("upos"), w["xpos"].alias("xpos"), some(w["feats"]).alias("feats"),
-            some(misc(w)).alias("misc"), some(deps(w)).alias("deps"), *mwe, w["deprel"].alias("deprel"), wrong.alias("error"),
+            some(w["misc"], misc(w)).alias("misc"), some(w["deps"], deps(w)).alias("deps"), *mwe, w["deprel"].alias("deprel"), wrong.alias("error"),
             marked(tokens, w).cast("boolean").alias("highlight"), marked(labels, w).cast("boolean").alias("highlight_deprel"),
         )
         return F.concat(F.when(m["prior"].isNotNull(), ",").otherwise(""), _open(F.to_json(whole)), F.lit(',"children":['))
 
     def walk(marks: Column) -> Column:
         ends = lambda w, i: let(F.get(marks, i), then=lambda m: F.array(F.struct(m["entry"].alias("at"), node(w, m).alias("text")), F.struct(m["exit"].alias("at"), F.lit("]}").alias("text"))))
-        steps = F.array_sort(F.flatten(F.transform("words", ends)))
+        steps = F.sort_array(F.flatten(F.transform("words", ends)))
         return F.concat(F.lit("["), F.array_join(F.transform(steps, lambda s: s["text"]), ""), F.lit("]"))
 
     return let(trees.labels(), then=walk)
