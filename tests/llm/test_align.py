@@ -80,6 +80,40 @@ def test_cuts_change_no_token(both):
         assert sum((both.b.encode(p) for p in pieces), []) == both.b.encode(text)
 
 
+def test_new_pieces_are_tokenised_together(both):
+    """A tokenizer is called with many pieces as one text; pieces that can't be read so have the tokens they have alone."""
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def __getattr__(self, name):
+            def call(texts, **how):
+                self.texts += len(texts)
+                return getattr(self.tokenizer, name)(texts, **how)
+
+            return call
+
+    a, b = both.a, both.b
+    plain_words = [f"w{i * 7919 % 30011}".encode() for i in range(2000)]
+    odd = [t.encode() for t in ("ﬁ", " x", "x ", "é", "日本語", "\u00a0y", "a  b", "…")]
+    try:
+        both.forget()
+        both.a, both.b = Counted(a), Counted(b)
+        both.number(plain_words)
+        assert both.a.texts < 100 and both.b.texts < 100
+        number = both.number(odd + plain_words)
+    finally:
+        both.a, both.b = a, b
+    pieces = odd + plain_words
+    assert len(both.good) == len(pieces) and len(np.unique(number)) == len(pieces)
+    text = [x for part in both.groups for x in part.to_pylist()]
+    one = lambda p: plain(both, [(0, p.decode())]).most_common(1)[0][0]
+    for p, i in list(zip(pieces, number))[:60]:
+        _, n_a, n_b, n_groups, n_links, *_, groups = one(p)
+        assert (*both.sizes[:, i], both.links[i], text[i]) == (n_a, n_b, n_groups, n_links, groups)
+        assert both.good[i] == (n_a > 0)
+
+
 def test_empty_and_long(spark, both):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert align.align(none).count() == 0

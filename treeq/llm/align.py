@@ -1,17 +1,16 @@
 """Alignment of two tokenizers over the same texts: groups of tokens that cover the same bytes, and links between overlapping tokens.
 
-Python only tokenises. Neither tokenizer has a token that goes on over a single blank between two other characters, so a text
-is the same as its pieces between such blanks, and a piece that many documents have is tokenised once in a block of documents: as
-many as come to a task until KNOWN different pieces have been seen. All that follows is Spark's higher-order functions: ends that both tokenizations have (array_intersect) cut a piece into groups, and every stretch between
-two ends of either (array_union) is one link. Counts of links are summed over pieces with their numbers, and what a
-document has is folded from its pieces.
+Neither tokenizer has a token that goes on over a single blank between two other characters, so a text is the same as its pieces
+between such blanks, and a piece that many documents have is tokenised once in a block of documents: as many as come to a task until
+KNOWN different pieces have been seen. New pieces are tokenised TOGETHER, with single blanks between them, and aligned as arrays of a
+step: ends that both tokenizations have cut a piece into groups, and every stretch between two ends of either is one link. All that
+needs other blocks is Spark's: counts of links are summed over pieces with their numbers, and what a document has is folded from its pieces.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from ..functions.let import let, settled
 from .common import cut, cut_by, drop, small_batches, span_hashes, text_steps
 
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are cut up at once, different pieces of a block, and the most pairs of ids that are broadcast: those that make
 #: up a HOT-th of all links or more, of which there can be no more than HOT.
 STEP, KNOWN, HOT = 1 << 20, 1 << 19, 1 << 17
+#: Pieces that are tokenised as one text.
+TOGETHER = 128
 #: Least number of buckets for blocks; spark.sql.shuffle.partitions if that is more.
 BUCKETS = 128
 
@@ -57,43 +57,88 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in named]
         if any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in self.b_bytes):
             raise ValueError("a piece of the vocabulary goes on over a blank, so texts can't be cut there")
-        self.a_size, self.b_size = (np.array([len(x) for x in v], np.int32) for v in (self.a_bytes, self.b_bytes))
+        self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        # what is written for a token: its id, and a mark by what comes after it
+        self.said = pa.array([f"{i}{x}" for i in range(len(self.a_bytes)) for x in ",|"] + [f"{i}{x}" for i in range(len(self.b_bytes)) for x in (",", ";", "")])
         self.forget()
 
     def forget(self) -> None:
-        """No piece is known: `place` numbers the known ones, whose ids by either tokenizer end at `ends` of `ids`."""
+        """No piece is known: `place` numbers the known ones; `good`, `sizes` (tokens of A, of B, groups) and `links` (their number) are by number."""
         self.place: dict[bytes, int] = {}
-        self.ids, self.ends = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
-        self.good = array("b")
+        self.good, self.sizes, self.links = np.zeros(0, bool), np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+        self.groups: list[pa.Array] = []
+        self.pairs: list[np.ndarray] = []
 
     def number(self, pieces: list[bytes]) -> np.ndarray:
-        """Numbers of pieces, each read with a blank before it; new ones are tokenised. They are not good, and have no tokens, where the tokens'
-        bytes aren't the blank and the piece."""
+        """Numbers of pieces, each read with a blank before it; new ones are tokenised and aligned. They are not good, and have no tokens, where the
+        tokens' bytes aren't the blank and the piece."""
         new = [p for p in dict.fromkeys(pieces) if p not in self.place]
-        for lo in range(0, len(new), 1024):
-            some = new[lo : lo + 1024]
-            texts = [p.decode() for p in some]
-            left = (e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False))
-            for p, x, y in zip(some, left, self.b.encode(texts, num_threads=1), strict=True):
-                whole = b" " + p
-                same = b"".join([self.a_bytes[i] for i in x]) == whole == b"".join([self.b_bytes[i] for i in y])
-                self.place[p] = len(self.good)
-                self.good.append(same)
-                for ids, ends, found in zip(self.ids, self.ends, (x, y)):
-                    ids.extend(found if same else [])
-                    ends.append(len(ids))
+        if new:
+            data = np.frombuffer(b"x " + b" x ".join(new) + b" x", np.uint8)
+            size = np.array([len(p) for p in new])
+            start = np.cumsum(size + 3) - size - 1
+            starts, ends = piece_edges(data, np.array([0, len(data)]))
+            plain = np.isin(start, starts) & np.isin(start + size, ends)  # blanks on either side are cuts
+            new = [new[i] for i in np.argsort(~plain, kind="stable")]
+            n = int(plain.sum())
+            parts = [self._joined(new[lo : min(lo + TOGETHER, n)]) for lo in range(0, n, TOGETHER)]
+            parts += [self._single(new[lo : lo + TOGETHER]) for lo in range(n, len(new), TOGETHER)]
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self._align(*map(np.concatenate, zip(*parts)))
         return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
 
-    def lists(self, side: int, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """Ids of these pieces by tokenizer A (0) or B (1), and where their tokens' bytes end in the piece, as lists."""
-        ids, ends = np.frombuffer(self.ids[side], np.int32), np.frombuffer(self.ends[side], np.int64)
-        first, n = ends[number], ends[number + 1] - ends[number]
-        offsets = np.append(0, np.cumsum(n))
-        ids = ids[np.repeat(first - offsets[:-1], n) + np.arange(offsets[-1])]
-        total = np.append(0, np.cumsum((self.b_size if side else self.a_size)[ids].astype(np.int64)))
-        where = pa.array(offsets.astype(np.int32))
-        close = total[1:] - np.repeat(total[offsets[:-1]], n)
-        return pa.ListArray.from_arrays(where, pa.array(ids)), pa.ListArray.from_arrays(where, pa.array(close.astype(np.int32)))
+    def _tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+
+    def _same(self, whole: bytes, x: list[int], y: list[int]) -> bool:
+        """Whether both lists of ids stand for these bytes."""
+        return b"".join([self.a_bytes[i] for i in x]) == whole == b"".join([self.b_bytes[i] for i in y])
+
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(ids by A, ids by B, their numbers by piece) of pieces that may stand beside each other, tokenised as one text."""
+        whole = b" ".join(pieces)
+        ((x,), (y,)) = self._tokens([whole.decode()])
+        to = np.cumsum([len(p) + 1 for p in pieces])
+        if not self._same(b" " + whole, x, y):
+            return self._single(pieces)
+        ids = np.array(x, np.int32), np.array(y, np.int32)
+        ends = np.cumsum(self.a_size[ids[0]]), np.cumsum(self.b_size[ids[1]])
+        n = [np.searchsorted(e, to, "right") for e in ends]
+        if not all(np.array_equal(e[k - 1], to) for e, k in zip(ends, n)):
+            return self._single(pieces)
+        return *ids, *(np.diff(k, prepend=0) for k in n)
+
+    def _single(self, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The same of pieces each on its own; one without tokens is not good."""
+        both = [t if self._same(b" " + p, *t) else ([], []) for p, *t in zip(pieces, *self._tokens([p.decode() for p in pieces]), strict=True)]
+        ids = (np.array([i for t in both for i in t[side]], np.int32) for side in (0, 1))
+        return *ids, *(np.array([len(t[side]) for t in both], np.int64) for side in (0, 1))
+
+    def _align(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Adds new pieces, of these ids and numbers of ids, with their groups as text and their links as pairs of ids in one number."""
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        at_a, at_b = (np.zeros((ends_a[-1] if len(a) else 0) + 1, bool) for _ in range(2))
+        at_a[ends_a], at_b[ends_b] = True, True
+        stretch = np.flatnonzero(at_a | at_b)
+        pair = a[np.searchsorted(ends_a, stretch)].astype(np.int64) << 32 | b[np.searchsorted(ends_b, stretch)]
+        last_a, last_b = at_b[ends_a], at_a[ends_b]  # of their group
+        to_a, to_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        # ids in the order in which they are written: a group's by A, then its by B
+        first_a, first_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+        of_piece = np.zeros(len(b), bool)
+        of_piece[first_b[1:][n_b > 0] - 1] = True
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.append(0, to_b)[group_a]] = 2 * a.astype(np.int64) + last_a
+        order[np.arange(len(b)) + to_a[group_b]] = 2 * len(self.a_bytes) + 3 * b.astype(np.int64) + last_b + of_piece
+        text = self.said.take(pa.array(order))
+        where = np.frombuffer(text.buffers()[1], np.int32, len(order) + 1)[first_a + first_b]
+        self.groups.append(pa.StringArray.from_buffers(len(n_a), pa.py_buffer(where), text.buffers()[2]))
+        n_groups = np.diff(np.append(0, np.cumsum(last_b))[first_b])
+        self.good = np.append(self.good, n_a > 0)
+        self.sizes = np.append(self.sizes, [n_a, n_b, n_groups], 1)
+        self.links = np.append(self.links, n_a + n_b - n_groups)
+        self.pairs.append(pair)
 
 
 @lru_cache(1)
@@ -120,19 +165,27 @@ def piece_edges(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """Rows of two kinds. (block, docs): documents, each with its id, its numbers of tokens and the numbers of its pieces in order; documents
-    that can't be aligned have none. (block, at, n, a, a_ends, b, b_ends): a piece, its number in the block, how often the block's documents
-    have it, and its ids and ends by either tokenizer."""
+    """Rows of three kinds. (block, docs): documents, each with its id, its numbers of tokens and groups and the numbers of its pieces in order;
+    documents that can't be aligned have none. (block, groups): the groups of all pieces of the block, in order of their numbers.
+    (block, at, n, links): a piece, its number in the block, how often the block's documents have it, and its links."""
     kind = dict(docs.dtypes)["doc_id"]
     with open(byte_level, encoding="utf-8") as f, open(pieces, "rb") as g:
         files = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))  # two vocabularies, whose size is fixed
-    ints = pa.list_(pa.int32())
+
+    def batch(block: int, rows: int, /, **columns: pa.Array) -> pa.RecordBatch:
+        every = {"block": pa.array(np.full(rows, block))} | {c: columns.get(c, pa.nulls(rows, t)) for c, t in kinds.items()}
+        return pa.RecordBatch.from_pydict(every)
 
     def listed(block: int, both: Tokenizers, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(n):
+            return
+        yield batch(block, 1, groups=pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(both.groups)))
+        first, pair = np.append(0, np.cumsum(both.links)), np.concatenate(both.pairs)
         for lo in range(0, len(n), 8192):
-            some = np.arange(lo, min(lo + 8192, len(n)))
-            columns = [pa.array(np.full(len(some), block)), pa.nulls(len(some), docs_kind), pa.array(some.astype(np.int32)), pa.array(n[some]), *both.lists(0, some), *both.lists(1, some)]
-            yield pa.RecordBatch.from_arrays(columns, NAMES)
+            hi = min(lo + 8192, len(n))
+            where = pa.array((first[lo : hi + 1] - first[lo]).astype(np.int32))
+            links = pa.ListArray.from_arrays(where, pa.array(pair[first[lo] : first[hi]]))
+            yield batch(block, hi - lo, at=pa.array(np.arange(lo, hi, dtype=np.int32)), n=pa.array(n[lo:hi]), links=links)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, count = _tools(*files.value), np.zeros(0, np.int64)
@@ -146,61 +199,29 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 raw = data.tobytes()
                 known = both.number([raw[starts[i] : ends[i]] for i in first])
                 fine = np.ones(hi - lo, bool)
-                fine[doc[np.frombuffer(both.good, np.int8)[known][number] == 0]] = False
+                fine[doc[~both.good[known][number]]] = False
                 number, doc = known[number[fine[doc]]], doc[fine[doc]]
                 count = np.append(count, np.zeros(len(both.good) - len(count), np.int64))
                 count += np.bincount(number, minlength=len(count))
                 at = np.searchsorted(doc, np.arange(hi - lo + 1))
-                sizes = [np.diff(np.append(0, np.cumsum(np.diff(np.frombuffer(e, np.int64))[number]))[at]) for e in both.ends]
+                sizes = [np.diff(np.append(0, np.cumsum(n[number]))[at]) for n in both.sizes]
                 seq = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(number.astype(np.int32)))
-                rows = pa.StructArray.from_arrays([b.column("doc_id").slice(lo, hi - lo), *map(pa.array, sizes), seq], ["doc_id", "n_a", "n_b", "seq"])
-                columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), rows), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), *(pa.nulls(1, ints) for _ in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, NAMES)
+                rows = pa.StructArray.from_arrays([b.column("doc_id").slice(lo, hi - lo), *map(pa.array, sizes), seq], ["doc_id", "n_a", "n_b", "n_groups", "seq"])
+                yield batch(block, 1, docs=pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), rows))
                 if len(count) > KNOWN:
                     yield from listed(block, both, count)
                     both.forget()
                     block, count = block + 1, np.zeros(0, np.int64)
         yield from listed(block, both, count)
 
-    said = f"array<struct<doc_id: {kind}, n_a: bigint, n_b: bigint, seq: array<int>>>"
-    docs_kind = to_arrow_type(StructType.fromDDL(f"x {said}")["x"].dataType)
-    tokens = "a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"block long, docs {said}, at int, n long, {tokens}")
-
-
-NAMES = ["block", "docs", "at", "n", "a", "a_ends", "b", "b_ends"]
-
-
-def _owner(ends: Column) -> Column:
-    """For each byte the place of the token that covers it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
-
-
-def _aligned() -> Column:
-    """Of a piece its groups as text, their number, and its links as pairs of ids."""
-    def build(a: Column, b: Column, cuts: Column, own_a: Column, own_b: Column) -> Column:
-        def side(ids: Column, own: Column, lo: Column, hi: Column) -> Column:
-            to = F.get(own, hi - 1) + 1
-            return F.array_join(let(F.get(own, lo), then=lambda first: F.slice(ids, first + 1, to - first)), ",")
-
-        group = lambda lo, hi: F.concat(side(a, own_a, lo, hi), F.lit("|"), side(b, own_b, lo, hi))
-        each = F.transform(cuts, lambda hi, i: group(F.coalesce(F.get(cuts, i - 1), F.lit(0)), hi))
-        whole = F.concat(F.array_join(a, ","), F.lit("|"), F.array_join(b, ","))
-        link = lambda e: F.struct(F.get("a", F.get(own_a, e - 1)).alias("a"), F.get("b", F.get(own_b, e - 1)).alias("b"))
-        return F.struct(
-            F.when(F.size(cuts) == 1, whole).otherwise(F.array_join(each, ";")).alias("groups"), F.size(cuts).cast("long").alias("n_groups"),
-            F.transform(F.array_union("a_ends", "b_ends"), link).alias("links"),
-        )
-
-    texts = F.col("a").cast("array<string>"), F.col("b").cast("array<string>")
-    return let(*texts, F.array_intersect("a_ends", "b_ends"), _owner(F.col("a_ends")), _owner(F.col("b_ends")), then=build)
+    said = f"docs array<struct<doc_id: {kind}, n_a: bigint, n_b: bigint, n_groups: bigint, seq: array<int>>>, groups array<string>, at int, n long, links array<long>"
+    kinds = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(said)}
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, {said}")
 
 
 def _links(pieces: DataFrame) -> DataFrame:
     """(block, at, n, pair): the links of pieces, a pair of ids in one number; a piece without tokens has one row without a pair."""
-    links = pieces.select("block", "at", "n", F.explode_outer("links").alias("link"))
-    both = F.shiftleft(F.col("link.a").cast("long"), 32).bitwiseOR(F.col("link.b").cast("long"))
-    return links.select("block", "at", "n", both.alias("pair"))
+    return pieces.select("block", "at", "n", F.explode_outer("links").alias("pair"))
 
 
 def pair_counts(pieces: DataFrame) -> DataFrame:
@@ -227,7 +248,8 @@ def _figures(pieces: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
     rare = sums(links.join(known, "pair", "left_anti").join(counts.where(~often), "pair"), "more_best", "more_count")
     whole = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
     each = found.hint("merge").join(rare.repartition(buckets, "block"), key, "left").select(*key, whole("best"), whole("count"))
-    per = _by_block(each, best="int", count="long")
+    per = each.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.col("best").cast("int").alias("best"), "count"))).alias("each"))
+    per = per.select("block", "each.best", "each.count")
     # both sides of the join are in the block's bucket, which Spark takes for a reason not to shuffle only without this setting
     conf, name = pieces.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     before = conf.get(name)
@@ -238,12 +260,6 @@ def _figures(pieces: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
         conf.set(name, before)
 
 
-def _by_block(rows: DataFrame, **values: str) -> DataFrame:
-    """(block, values): of the pieces of each block, in order, one array a value of the type given."""
-    each = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", *values))).alias("each"))
-    return each.select("block", *(F.col("each")[c].cast(f"array<{kind}>").alias(c) for c, kind in values.items()))
-
-
 def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (`a1,a2|b1;a3|b2,b3`) of each document, of `doc_id` and `text`.
 
@@ -253,21 +269,19 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -
     best. Other columns are left out, whatever their names; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    made = blocks(docs, byte_level, pieces)
-    made = settled(made.select("block", "docs", "at", "n", F.when(F.col("at").isNotNull(), _aligned()).alias("p")), "p")
     buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = cut_by(made.select("block", "docs", "at", "n", "p.groups", "p.n_groups", "p.links"), "block", buckets)
-    each = made.where("at is not null").drop("docs")
+    made = cut_by(blocks(docs, byte_level, pieces), "block", buckets)
+    each = made.where("at is not null").select("block", "at", "n", "links")
     counts = pair_counts(each)
     # written before they are joined: a task that puts a block's arrays together has nothing else in its memory
-    known, figures = cut_by(_by_block(each, groups="string", n_groups="int"), "block", buckets), _figures(each, counts, buckets)
+    known, figures = made.where("groups is not null").select("block", "groups"), _figures(each, counts, buckets)
     drop(counts)
     rows = made.where("docs is not null").select("block", "docs").hint("merge").join(known, "block", "left").hint("merge").join(figures, "block", "left")
 
     def document(d: Column) -> Column:
         total = lambda of: F.aggregate(d["seq"], F.lit(0).cast("long"), lambda s, i: s + F.get(of, i)).alias(of)
         text = F.array_join(F.transform(d["seq"], lambda i: F.get("groups", i)), ";").alias("groups")
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total("n_groups"), total("best"), total("count"), text)
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), d["n_groups"].alias("n_groups"), total("best"), total("count"), text)
 
     out = rows.select(F.inline(F.transform("docs", document)))
     links = F.col("n_a") + F.col("n_b") - F.col("n_groups")
