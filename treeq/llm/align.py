@@ -29,7 +29,7 @@ BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece
 #: up a HOT-th of all links or more, of which there can be no more than HOT.
 STEP, KNOWN, HOT = 1 << 20, 1 << 19, 1 << 17
 #: Pieces that are tokenised as one text.
-TOGETHER = 128
+TOGETHER = 256
 #: Least number of buckets for blocks; spark.sql.shuffle.partitions if that is more.
 BUCKETS = 128
 
@@ -63,11 +63,11 @@ class Tokenizers:
         self.forget()
 
     def forget(self) -> None:
-        """No piece is known: `place` numbers the known ones; `good`, `sizes` (tokens of A, of B, groups) and `links` (their number) are by number."""
+        """No piece is known: `place` numbers the known ones; `good` and `sizes` (tokens of A, of B, groups) are by number, `groups` and `links` by step."""
         self.place: dict[bytes, int] = {}
-        self.good, self.sizes, self.links = np.zeros(0, bool), np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+        self.good, self.sizes = np.zeros(0, bool), np.zeros((3, 0), np.int32)
         self.groups: list[pa.Array] = []
-        self.pairs: list[np.ndarray] = []
+        self.links: list[pa.Array] = []
 
     def number(self, pieces: list[bytes]) -> np.ndarray:
         """Numbers of pieces, each read with a blank before it; new ones are tokenised and aligned. They are not good, and have no tokens, where the
@@ -106,7 +106,7 @@ class Tokenizers:
         n = [np.searchsorted(e, to, "right") for e in ends]
         if not all(np.array_equal(e[k - 1], to) for e, k in zip(ends, n)):
             return self._single(pieces)
-        return *ids, *(np.diff(k, prepend=0) for k in n)
+        return *ids, *(np.ediff1d(k, to_begin=k[:1]) for k in n)
 
     def _single(self, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
         """The same of pieces each on its own; one without tokens is not good."""
@@ -136,9 +136,9 @@ class Tokenizers:
         self.groups.append(pa.StringArray.from_buffers(len(n_a), pa.py_buffer(where), text.buffers()[2]))
         n_groups = np.diff(np.append(0, np.cumsum(last_b))[first_b])
         self.good = np.append(self.good, n_a > 0)
-        self.sizes = np.append(self.sizes, [n_a, n_b, n_groups], 1)
-        self.links = np.append(self.links, n_a + n_b - n_groups)
-        self.pairs.append(pair)
+        self.sizes = np.append(self.sizes, np.array([n_a, n_b, n_groups], np.int32), 1)
+        first = np.append(0, np.cumsum(n_a + n_b - n_groups))
+        self.links.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(pair)))
 
 
 @lru_cache(1)
@@ -179,13 +179,17 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     def listed(block: int, both: Tokenizers, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(n):
             return
-        yield batch(block, 1, groups=pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(both.groups)))
-        first, pair = np.append(0, np.cumsum(both.links)), np.concatenate(both.pairs)
-        for lo in range(0, len(n), 8192):
-            hi = min(lo + 8192, len(n))
-            where = pa.array((first[lo : hi + 1] - first[lo]).astype(np.int32))
-            links = pa.ListArray.from_arrays(where, pa.array(pair[first[lo] : first[hi]]))
-            yield batch(block, hi - lo, at=pa.array(np.arange(lo, hi, dtype=np.int32)), n=pa.array(n[lo:hi]), links=links)
+        both.place.clear()  # what is listed takes its room
+        groups, both.groups = pa.concat_arrays(both.groups), []
+        yield batch(block, 1, groups=pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), groups))
+        del groups
+        at = 0
+        for links in both.links:
+            for lo in range(0, len(links), 8192):
+                some = links.slice(lo, 8192)
+                hi = at + len(some)
+                yield batch(block, len(some), at=pa.array(np.arange(at, hi, dtype=np.int32)), n=pa.array(n[at:hi]), links=some)
+                at = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, count = _tools(*files.value), np.zeros(0, np.int64)
@@ -197,7 +201,7 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 doc = np.searchsorted(offs, starts, "right") - 1
                 _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
                 raw = data.tobytes()
-                known = both.number([raw[starts[i] : ends[i]] for i in first])
+                known = both.number([raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist())])
                 fine = np.ones(hi - lo, bool)
                 fine[doc[~both.good[known][number]]] = False
                 number, doc = known[number[fine[doc]]], doc[fine[doc]]
@@ -213,6 +217,7 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                     both.forget()
                     block, count = block + 1, np.zeros(0, np.int64)
         yield from listed(block, both, count)
+        both.forget()  # the worker stays for other tasks
 
     said = f"docs array<struct<doc_id: {kind}, n_a: bigint, n_b: bigint, n_groups: bigint, seq: array<int>>>, groups array<string>, at int, n long, links array<long>"
     kinds = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(said)}
