@@ -2,8 +2,9 @@
 
 from test_trees import cases, sentences
 
-from treeq.operators import similar, trees
+from treeq.operators import corpus, similar, trees
 from treeq.queries import QUERIES
+from treeq.sources import views
 
 
 def plan(df):
@@ -15,6 +16,23 @@ def test_merging_makes_sentences_once(spark, small):
     assert plan(QUERIES["merge_all"](spark, small)).count("sort_array(") == 1
 
 
+def test_merging_numbers_by_the_sentences_themselves(spark, small):
+    """Offsets are sums over the words of the sentences that are merged, not over another table's counts; tables are read once and tokens keep all they have."""
+    text = plan(QUERIES["merge_all"](spark, small))
+    assert text.count("Relation [") == 2 and text.count("Join ") == 1
+    assert "size(words#" in text and "sum(_w" in text
+    tokens = corpus.merged_tokens(views.orders(spark, small, per=100), "grp", "sent", bounded=True)
+    assert set(views.orders(spark, small).schema["words"].dataType.elementType.names) < set(tokens.columns)
+
+
+def test_both_ways_of_merging(spark, small):
+    """Groups that a task orders and groups of any size are numbered alike."""
+    sents = views.orders(spark, small, per=100).where("grp % 2 = 0")
+    made = [corpus.merged_tokens(sents, "grp", "sent", bounded=b).select("grp", "sent", "kind", "id", "subid", "form", "head", "deps", "misc") for b in (True, False)]
+    a, b = (sorted(df.collect(), key=str) for df in made)
+    assert a == b and max(r.id for r in a) > 100
+
+
 def test_conditions_of_rules_are_tested_once_a_word(spark, small):
     """What a rule's condition says is a value by the time words ask for it."""
     text = plan(QUERIES["edit_rules"](spark, small))
