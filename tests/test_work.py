@@ -2,7 +2,7 @@
 
 from test_trees import cases, sentences
 
-from treeq.operators import corpus, similar, trees
+from treeq.operators import corpus, similar, stats, trees
 from treeq.queries import QUERIES
 from treeq.sources import views
 
@@ -33,6 +33,20 @@ def test_both_ways_of_merging(spark, small):
     assert a == b and max(r.id for r in a) > 100
 
 
+def test_words_are_compared_where_sentences_lie(spark, small):
+    """Both versions of the orders are dealt by their key in one exchange, and joined without another; sentences of different lengths have no differing words."""
+    df = QUERIES["diff_tokens"](spark, small)
+    assert df.count() > 0
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(size(" not in text and "ReusedExchange" in text
+    word = "array<struct<id:int,form:string,lemma:string,upos:string,xpos:string,feats:map<string,string>,head:int,deprel:string>>"
+    w = lambda i, form="a": (i, form, "l", "U", "X", {}, 0, "root")
+    rows = lambda *r: spark.createDataFrame(r, f"k int, words {word}")
+    gold, system = rows((1, [w(1), w(2)]), (2, [w(1), w(2)]), (3, [w(1)])), rows((1, [w(1), w(2, "b")]), (2, [w(1, "b")]), (3, [w(1)]))
+    assert [tuple(r) for r in stats.different_words(gold, system, "k").collect()] == [(1, 2)]
+
+
 def test_conditions_of_rules_are_tested_once_a_word(spark, small):
     """What a rule's condition says is a value by the time words ask for it."""
     text = plan(QUERIES["edit_rules"](spark, small))

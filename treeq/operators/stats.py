@@ -97,7 +97,7 @@ def corpus_scores(gold: DataFrame, system: DataFrame, key: str, fields=("lemma",
 
 def different_words(gold: DataFrame, system: DataFrame, key: str, fields=("form", "lemma", "upos", "xpos", "feats", "head", "deprel")) -> DataFrame:
     """Ids of the words that differ in any of the fields, in sentences of equal length."""
-    both = gold.select(key, F.col("words").alias("g")).join(system.select(key, F.col("words").alias("s")), key).where(F.size("g") == F.size("s"))
+    both = gold.select(key, F.col("words").alias("g")).join(system.select(key, F.col("words").alias("s")), key)
 
     def differs(g: Column, s: Column) -> Column:
         out = F.lit(False)
@@ -106,7 +106,8 @@ def different_words(gold: DataFrame, system: DataFrame, key: str, fields=("form"
         return out
 
     marked = F.filter(F.zip_with("g", "s", lambda g, s: F.struct(g["id"].alias("id"), differs(g, s).alias("d"))), lambda x: x["d"])
-    return both.select(key, F.explode(marked).alias("x")).select(key, F.col("x.id").alias("id"))
+    # as a filter, equal lengths would become a key of the join, and sentences that lie by key would be exchanged again
+    return both.select(key, F.explode(F.when(F.size("g") == F.size("s"), marked)).alias("x")).select(key, F.col("x.id").alias("id"))
 
 
 def annotation_errors(sents: DataFrame, uposs: list[str], deprels: list[str]) -> DataFrame:
