@@ -75,3 +75,25 @@ def test_own_values_are_compared_in_the_row(spark):
     assert found(a, b) == {1, 2, 3}
     assert found(c.of_head(value), c.of_child(value)) == set()
     assert table.where(c.same(a, b))._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_nodes_are_exchanged_with_what_is_asked_of_them(spark, small):
+    """A bound word is no struct while it is joined, so only its ids, head and label are read and exchanged; negative blocks don't make the bindings again."""
+    plan = queries.QUERIES["table_pattern"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "misc" not in plan and "form" not in plan.replace("Format", "")
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 6 and sum("LeftAnti" in line for line in joins) == 2
+
+
+BLOCKS = {
+    "none of the nodes": [("X", "Y", ["dep1"]), grew.Is("X", c.upos("R"))], "no edge": [grew.Is("X", c.lemma("PROMO"))], "two nodes": [("A", "X"), ("X", "Y"), ("B", "Y", ["dep2"]), grew.Is("A", c.xpos("O"))],
+    "a node and a condition": [grew.Is("B", c.upos("A")), ("B", c.xpos("F"))],
+}
+
+
+@pytest.mark.parametrize("name", list(BLOCKS))
+def test_negative_blocks(sents, name):
+    p = grew.Pattern({"A": c.upos("N|R")}, [("A", "B")], without=[BLOCKS[name]])
+    ids = [F.col(n)[x] for n in p.nodes for x in ("id", "subid")]
+    whole = bag(grew.match(sents, p, "sent"), "sent", *ids)
+    assert bag(Tokens(token_table(sents, "sent"), "sent").match(p), "sent", *ids) == whole and whole

@@ -144,18 +144,25 @@ class Tokens:
 
         return self.rows.where("kind <> 'MWT'").unionByName(top.select(*self.keys, *(blank(c) for c in self.fields)))
 
-    def _bind(self, rows: DataFrame | None, name: str, c: Cond, dependent: bool, ties: list[Column]) -> DataFrame:
-        """Rows with one more node, a struct; a word is bound once in a row. The node's condition is tested before the join."""
+    def _node(self, rows: DataFrame, name: str) -> DataFrame:
+        """Keys, named apart, and the fields as columns of a node: as a struct, a node would be exchanged with all its fields, whatever is asked of it."""
+        return rows.select(*(F.col(k).alias(f"{k}_n") for k in self.keys), *(F.col(f).alias(f"{name}@{f}") for f in self.fields))
+
+    def _whole(self, name: str) -> Column:
+        """A bound node as a struct."""
+        return F.struct(*(F.col(f"{name}@{f}").alias(f) for f in self.fields))
+
+    def _bind(self, rows: DataFrame | None, name: str, c: Cond, dependent: bool, ties: list[Column], bound: list[str]) -> DataFrame:
+        """Rows with one more node; a word is bound once in a row. The node's condition is tested before the join."""
         node = self._domain(dependent)
-        node = (node if c is ANY else self._holding(node, c)).select(*(F.col(k).alias(f"{k}_n") for k in self.keys), self.token().alias(name))
+        node = self._node(node if c is ANY else self._holding(node, c), name)
         if rows is None:
-            return node.select(*(F.col(f"{k}_n").alias(k) for k in self.keys), name)
+            return node.withColumnsRenamed({f"{k}_n": k for k in self.keys})
         on = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(node[f"{k}_n"]) for k in self.keys))
         for tie in ties:
             on = on & tie
-        for other in rows.columns:
-            if other not in self.keys and not other.endswith("_free"):
-                on = on & ~((F.col(f"{other}.id") == F.col(f"{name}.id")) & (F.col(f"{other}.subid") == F.col(f"{name}.subid")))
+        for other in bound:
+            on = on & ~((F.col(f"{other}@id") == F.col(f"{name}@id")) & (F.col(f"{other}@subid") == F.col(f"{name}@subid")))
         return rows.join(node, on).drop(*(f"{k}_n" for k in self.keys))
 
     def match(self, pattern: Pattern) -> DataFrame:
@@ -169,19 +176,20 @@ class Tokens:
             ties = [_tie(h, d, *rest) for h, d, *rest in pattern.edges if name in (h, d) and h in near and d in near]
             for a, b, immediate in pattern.order:
                 if name in (a, b) and a in near and b in near:
-                    ties.append(F.col(f"{a}.id") + 1 == F.col(f"{b}.id") if immediate else F.col(f"{a}.id") < F.col(f"{b}.id"))
-            rows = self._bind(rows, name, pattern.nodes[name], any(e[1] == name for e in pattern.edges), ties)
+                    ties.append(F.col(f"{a}@id") + 1 == F.col(f"{b}@id") if immediate else F.col(f"{a}@id") < F.col(f"{b}@id"))
+            rows = self._bind(rows, name, pattern.nodes[name], any(e[1] == name for e in pattern.edges), ties, bound)
             bound.append(name)
         for a, ga, b, gb, equal in pattern.agree:
-            overlap = F.arrays_overlap(ga(F.col(a)), gb(F.col(b)))
+            overlap = F.arrays_overlap(ga(self._whole(a)), gb(self._whole(b)))
             rows = rows.where(F.coalesce(overlap if equal else ~overlap, F.lit(False)))
         for block in pattern.without:
             rows = self._without(rows, block, bound)
-        ids = F.array_sort(F.array(*(F.col(f"{n}.id") for n in pattern.nodes)))
-        return rows.select(*self.keys, *pattern.nodes, ids.alias("ids"))
+        ids = F.array_sort(F.array(*(F.col(f"{n}@id") for n in pattern.nodes)))
+        return rows.select(*self.keys, *(self._whole(n).alias(n) for n in pattern.nodes), ids.alias("ids"))
 
     def _without(self, rows: DataFrame, block: list, bound: list[str]) -> DataFrame:
-        """Rows for which no binding of the block's own nodes satisfies all of it: an anti-join on what is bound."""
+        """Rows for which no binding of the block's own nodes satisfies all of it: an anti-join on those bound nodes that the block is about. Where that is one, the
+        words are looked through for it, and not the rows, which would be made a second time."""
         conds: dict[str, Cond] = {}
         edges = []
         for k, x in enumerate(block):
@@ -194,11 +202,16 @@ class Tokens:
                 edges.append((x[0], f"any{k}", *x[2:]))
         names = list(dict.fromkeys(n for e in edges for n in e[:2]))
         free = [n for n in dict.fromkeys([*names, *conds]) if n not in bound]
-        found = rows
-        for n in [n for n in conds if n in bound]:
-            same = self._holding(self._domain(False), conds[n]).select(*(F.col(k).alias(f"{k}_n") for k in self.keys), F.col("id").alias("id_n"), F.col("subid").alias("subid_n"))
-            on = [found[k].eqNullSafe(same[f"{k}_n"]) for k in self.keys] + [F.col(f"{n}.id") == F.col("id_n"), F.col(f"{n}.subid") == F.col("subid_n")]
-            found = found.join(same, reduce(lambda a, b: a & b, on), "left_semi")
+        about = [n for n in bound if n in names or n in conds]
+        if len(about) == 1:
+            own = self._domain(False)
+            found = self._node(self._holding(own, conds[about[0]]) if about[0] in conds else own, about[0]).withColumnsRenamed({f"{k}_n": k for k in self.keys})
+        else:
+            found = rows.select(*self.keys, *(f"{n}@{f}" for n in about for f in self.fields)) if about else rows.select(*self.keys).distinct()
+            for n in [n for n in conds if n in bound]:
+                same = self._holding(self._domain(False), conds[n]).select(*(F.col(k).alias(f"{k}_n") for k in self.keys), F.col("id").alias("id_n"), F.col("subid").alias("subid_n"))
+                on = [found[k].eqNullSafe(same[f"{k}_n"]) for k in self.keys] + [F.col(f"{n}@id") == F.col("id_n"), F.col(f"{n}@subid") == F.col("subid_n")]
+                found = found.join(same, reduce(lambda a, b: a & b, on), "left_semi")
         for e in edges:
             if e[0] in bound and e[1] in bound:
                 found = found.where(_tie(*e))
@@ -210,21 +223,21 @@ class Tokens:
             ties = [_tie(named(h), named(d), *rest) for h, d, *rest in edges if name in (h, d) and {h, d} <= {*known, name}]
             found = self._any_node(found, f"{name}_free", conds.get(name, ANY), any(e[1] == name for e in edges), ties)
             known.append(name)
-        ids = [F.col(f"{n}.{c}").alias(f"{n}_{c}_") for n in bound for c in ("id", "subid")]
-        gone = found.select(*(F.col(k).alias(f"{k}_") for k in self.keys), *ids).distinct()
-        on = [rows[k].eqNullSafe(gone[f"{k}_"]) for k in self.keys] + [F.col(f"{n}.{c}") == F.col(f"{n}_{c}_") for n in bound for c in ("id", "subid")]
+        ids = [F.col(f"{n}@{c}").alias(f"{n}_{c}_") for n in about for c in ("id", "subid")]
+        gone = found.select(*(F.col(k).alias(f"{k}_") for k in self.keys), *ids)
+        on = [rows[k].eqNullSafe(gone[f"{k}_"]) for k in self.keys] + [F.col(f"{n}@{c}") == F.col(f"{n}_{c}_") for n in about for c in ("id", "subid")]
         return rows.join(gone, reduce(lambda a, b: a & b, on), "left_anti")
 
     def _any_node(self, rows: DataFrame, name: str, c: Cond, dependent: bool, ties: list[Column]) -> DataFrame:
         node = self._domain(dependent)
-        node = (node if c is ANY else self._holding(node, c)).select(*(F.col(k).alias(f"{k}_n") for k in self.keys), self.token().alias(name))
+        node = self._node(node if c is ANY else self._holding(node, c), name)
         on = reduce(lambda a, b: a & b, ties, reduce(lambda a, b: a & b, (rows[k].eqNullSafe(node[f"{k}_n"]) for k in self.keys)))
         return rows.join(node, on).drop(*(f"{k}_n" for k in self.keys))
 
 
 def _tie(h: str, d: str, labels=None, negated: bool = False) -> Column:
-    there = (F.col(f"{d}.head") == F.col(f"{h}.id")) & (F.col(f"{h}.subid") < 0) & (F.col(f"{d}.subid") < 0) & (F.col(f"{d}.id") > 0)
+    there = (F.col(f"{d}@head") == F.col(f"{h}@id")) & (F.col(f"{h}@subid") < 0) & (F.col(f"{d}@subid") < 0) & (F.col(f"{d}@id") > 0)
     if labels is None:
         return there
-    listed = F.col(f"{d}.deprel").isin(list(labels))
+    listed = F.col(f"{d}@deprel").isin(list(labels))
     return there & (~listed if negated else listed)
