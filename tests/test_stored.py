@@ -47,3 +47,14 @@ def test_texts_are_not_exchanged_to_be_numbered(spark, small):
     """Only counts of splits are exchanged when a corpus is read."""
     text = QUERIES["sink_corpus"](spark, small)._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_tables_of_tokens_leave_no_shuffle_files(spark, small):
+    """By the time a table of tokens is asked, what dealt its sentences is gone."""
+    before = shuffle_files(spark)
+    QUERIES["table_values"](spark, small)
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
